@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op8_packing
 from .source_mix import ORACLE as MIX_SQL
 from .source_mix import op10_source_mix
 from .token_counts import op4_token_counts
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op8_packing": op8_packing,
     "op10_source_mix": op10_source_mix,
 }
 ORACLES = {"op10_source_mix": MIX_SQL}
