@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op7_language_id
 from .packing import op8_packing
 from .source_mix import ORACLE as MIX_SQL
 from .source_mix import op10_source_mix
@@ -9,6 +10,7 @@ from .token_counts import op4_token_counts
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op10_source_mix": op10_source_mix,
 }
