@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .language_id import op7_language_id
 from .packing import op8_packing
+from .quality_rules import ORACLE as QUALITY_RULES_SQL
+from .quality_rules import op9_quality_rules
 from .source_mix import ORACLE as MIX_SQL
 from .source_mix import op10_source_mix
 from .token_counts import op4_token_counts
@@ -12,6 +14,10 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
 }
-ORACLES = {"op10_source_mix": MIX_SQL}
+ORACLES = {
+    "op9_quality_rules": QUALITY_RULES_SQL,
+    "op10_source_mix": MIX_SQL,
+}
