@@ -89,20 +89,32 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One unsigned 64-bit hash per word, in order; A-Z count as a-z."""
+#: Bytes between words of letters: all of ASCII but letters.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
+
+
+def word_hashes(text: str | None, between: np.ndarray = _IS_SPACE, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """One unsigned 64-bit hash per word, in order; A-Z count as a-z.
+
+    between: the bytes that separate words. prefixes: for each, hashes of the first so many bytes of the longer words follow.
+    """
     b = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
     if not len(b):
         return np.zeros(0, np.uint64)
     inside = np.zeros(len(b) + 2, bool)
-    np.logical_not(_IS_SPACE[b], out=inside[1:-1])
+    np.logical_not(between[b], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     power, inverse = _powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * M64)
+        out = [mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * M64)]
+        for k in prefixes:
+            at = starts[ends - starts > k]
+            out.append(mix64((total[at + k] - total[at]) * inverse[at] + np.uint64(k << 32)))
+    return np.concatenate(out) if prefixes else out[0]
 
 
 def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:

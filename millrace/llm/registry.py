@@ -9,8 +9,10 @@ from .quality_rules import op9_quality_rules
 from .source_mix import ORACLE as MIX_SQL
 from .source_mix import op10_source_mix
 from .token_counts import op4_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
