@@ -63,7 +63,7 @@ def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most:
     return np.sort(words[chosen])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 3e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Non-negative risk with the logistic loss, minimised by Adam over the whole sample."""
     words = select_words(positive, unlabelled)
     rows, cols = [], []
