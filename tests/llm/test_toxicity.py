@@ -26,7 +26,7 @@ def test_edges(spark):
 
 def test_learns_a_word_from_few_examples(spark):
     rng = np.random.default_rng(1)
-    docs = [(i, " ".join(rng.choice(list("abcdefgh"), 30)) + (" Vile!" if i % 10 == 0 else "")) for i in range(600)]
+    docs = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.integers(0, 400, 30)) + (" Vile!" if i % 10 == 0 else "")) for i in range(600)]
     labels = [(i, int(i % 10 == 0)) for i in range(300)]
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = scored(docs, train(docs, labels)).collect()
