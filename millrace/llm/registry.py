@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op7_language_id
+from .near_duplicates import op5_near_duplicates
 from .packing import op8_packing
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
 from .quality_rules import op9_quality_rules
@@ -14,6 +15,7 @@ from .toxicity import op3_toxicity
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
