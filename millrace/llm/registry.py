@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .knn_join import ORACLE as KNN_SQL
+from .knn_join import op1_knn_join
 from .language_id import op7_language_id
 from .near_duplicates import op5_near_duplicates
 from .packing import op8_packing
@@ -13,6 +15,7 @@ from .token_counts import op4_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_knn_join": op1_knn_join,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
@@ -22,6 +25,7 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 ORACLES = {
+    "op1_knn_join": KNN_SQL,
     "op9_quality_rules": QUALITY_RULES_SQL,
     "op10_source_mix": MIX_SQL,
 }
