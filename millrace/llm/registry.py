@@ -5,6 +5,8 @@ from __future__ import annotations
 from .knn_join import ORACLE as KNN_SQL
 from .knn_join import op1_knn_join
 from .language_id import op7_language_id
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
+from .line_dedup import op2_line_dedup
 from .near_duplicates import op5_near_duplicates
 from .packing import op8_packing
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
@@ -16,6 +18,7 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_knn_join": op1_knn_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
@@ -26,6 +29,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_knn_join": KNN_SQL,
+    "op2_line_dedup": LINE_DEDUP_SQL,
     "op9_quality_rules": QUALITY_RULES_SQL,
     "op10_source_mix": MIX_SQL,
 }
