@@ -9,6 +9,7 @@ from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op2_line_dedup
 from .near_duplicates import op5_near_duplicates
 from .packing import op8_packing
+from .quality_model import op6_quality_model
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
 from .quality_rules import op9_quality_rules
 from .source_mix import ORACLE as MIX_SQL
@@ -22,6 +23,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality_model": op6_quality_model,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
