@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder in spark.checkpoint.dir, so that lost executors cost nothing before here.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine only where none is set and Spark runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
 
-    A folder of this process is set only where the session has none and runs on one machine.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder, so that lost executors cost nothing before here."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of Parquet files in the shared folder, read again. For rows with whole texts."""
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def has_rows_within(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows: the size check before a broadcast."""
     return df.limit(most + 1).count() <= most
@@ -126,5 +135,6 @@ def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(len(w) - n + 1, np.uint64(n), np.uint64)
         for i in range(n):
-            h = mix64(h * M64 + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+            h *= M64
+            h += w[i : len(w) - n + 1 + i]
+    return np.unique(mix64(h))

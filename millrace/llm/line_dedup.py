@@ -23,7 +23,7 @@ from . import common
 
 MIN_SITES, LG_K = 10, 12
 #: Removed lines whose list of places is broadcast to the documents; more are joined by shuffle.
-BROADCAST_PLACES = 1_000_000
+BROADCAST_PLACES = 250_000
 
 
 def _hashes(line: Column) -> list[Column]:
