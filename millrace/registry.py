@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import catalog, corpus, evaluation, retrieval, routing, state, telemetry, versions
+from .plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "tel_overview"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog", "corpus", "evaluation", "retrieval", "routing", "state", "telemetry", "versions"]
