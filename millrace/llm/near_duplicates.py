@@ -8,11 +8,12 @@ d + 1 of its blocks in one order that all documents share, two linked documents
 (the pigeonhole and prefix principles together: exact, for any order). The order puts blocks that a
 bounded sample finds frequent late and empty blocks last, which keeps buckets small.
 
-Equal sets are one node from the start. In a bucket only pairs with its least member are candidates
-(their number is linear); they are verified on the whole sets, and components are formed. Buckets
-that still hold several components are then searched for further pairs by the Hamming distance of
-short parity sketches, and those are verified too. So no link between different texts is lost, and
-no bucket is expanded into all of its pairs.
+Equal sets are one node from the start. Buckets with the same members count once. First every set is
+verified, on the whole sets, against the bucket-least member that it shares most blocks with, and
+components are formed; large groups of near copies are one component after that. Then the buckets
+that still hold several components are searched for pairs across these by the Hamming distance of
+short parity sketches and by size, and the pairs that pass are verified too. So no link between
+different components is lost, and no bucket is expanded into all of its pairs.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing; a null doc_id takes part but is never a component's name unless all of its ids are null;
@@ -36,6 +37,8 @@ from .components import components
 SAMPLE, FREQUENT = 4000, 100_000
 #: Candidates' ids are broadcast up to this many (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets that share fewer blocks than this are left to the search by sketches.
+SHARED = 4
 _U = np.uint64
 
 
@@ -124,8 +127,8 @@ def _key_rows(heavy: np.ndarray, freq: np.ndarray, every: bool):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, sid): (key, rep, sid) of all but the least sid of each key."""
-    last_key, last_rep = None, 0
+    """From rows sorted by (key, sid): (key, rep, sid) of all but the least sid of each key, once each."""
+    last_key, last_rep, last_sid = None, 0, 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -133,8 +136,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         rep = np.where(at >= 0, sid[at], last_rep)
-        last_key, last_rep = key[-1], rep[-1]
-        out = np.flatnonzero(rep != sid)
+        again = ~new & (sid == np.append(last_sid, sid[:-1]))
+        last_key, last_rep, last_sid = key[-1], rep[-1], sid[-1]
+        out = np.flatnonzero((rep != sid) & ~again)
         if len(out):
             yield _arrow("key rep sid", key[out], rep[out], sid[out])
 
@@ -167,10 +171,10 @@ def parity_sketch(h: np.ndarray, bits: int) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sid, n, bits = [], [], []
-        for i, x in zip(b.column("sid").to_pylist(), b.column("hashes").to_pylist()):
-            h = np.frombuffer(x, _U)
+        for t in b.column("text").to_pylist():
+            h = common.shingle_hashes(t)
             for _, count, _ in tables_of(len(h)):
-                sid.append(i), n.append(len(h)), bits.append(parity_sketch(h, count).tobytes())
+                sid.append(set_id(h)), n.append(len(h)), bits.append(parity_sketch(h, count).tobytes())
         yield _arrow("sid n sketch", pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()))
 
 
@@ -216,19 +220,26 @@ def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from search(open_rows)
 
 
-def _sets_of(docs: DataFrame, slim: DataFrame, sids: DataFrame) -> DataFrame:
-    """(sid, hashes) of the wanted sets, made again from one document each."""
+def _made_again(docs: DataFrame, slim: DataFrame, sids: DataFrame, make, schema: str) -> DataFrame:
+    """What `make` makes of the texts of the wanted sets, of one document each (more if an id repeats, which adds nothing later)."""
     none = F.lit(-(2**63))
-    one = slim.join(sids, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", none)).alias("one")).select("one").distinct()
-    few = common.has_rows_within(one, BROADCAST_IDS)
-    made = docs.select(F.coalesce("doc_id", none).alias("one"), "text").join(F.broadcast(one) if few else one, "one").select("text").mapInArrow(_whole_sets, "sid long, hashes binary")
-    return made.join(F.broadcast(sids) if few else sids, "sid").groupBy("sid").agg(F.first("hashes").alias("hashes"))
+    few = common.has_rows_within(sids, BROADCAST_IDS)
+    one = common.cut(slim.join(F.broadcast(sids) if few else sids, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", none)).alias("one")).select("one").distinct())
+    made = docs.select(F.coalesce("doc_id", none).alias("one"), "text").join(F.broadcast(one) if few else one, "one").select("text").mapInArrow(make, schema)
+    return made.join(F.broadcast(sids) if few else sids, "sid")
+
+
+def _verified(docs: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose whole sets are similar enough."""
+    pairs = common.cut(pairs)
+    named = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    return common.cut(_links(pairs, common.cut(_made_again(docs, slim, named, _whole_sets, "sid long, hashes binary"))))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose whole sets are similar enough."""
     x, y = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +258,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     slim = common.cut(docs.mapInArrow(_set_rows, "doc_id long, n long, sid long"))
     heavy, freq = _frequent(docs)
     keys = docs.select("text").mapInArrow(_key_rows(heavy, freq, False), "key long, sid long")
-    stars = common.cut(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long").distinct())
-    pairs = stars.select(F.col("rep").alias("a"), F.col("sid").alias("b")).distinct()
-    named = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    sets = common.cut(_sets_of(docs, slim, named))
-    links = common.cut(_links(pairs, sets))
-    comps = components(links)
-    links = links.unionByName(common.cut(_further_links(stars, comps, sets)))
+    stars = common.cut(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long"))
+    shared = stars.groupBy("rep", "sid").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    links = _verified(docs, slim, shared.groupBy(F.col("sid").alias("b")).agg(F.max_by("rep", F.struct("n", "rep")).alias("a")))
+    links = links.unionByName(_verified(docs, slim, _across(docs, slim, stars, components(links))))
     comps = components(links)
     canon = slim.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     comp = canon.join(comps.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
@@ -262,18 +270,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return slim.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _further_links(stars: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of one bucket that its least member didn't show."""
+def _across(docs: DataFrame, slim: DataFrame, stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): pairs of one bucket and of different components that sizes and sketches allow."""
+    members = F.struct(F.bit_xor(F.xxhash64("sid")), F.sum(F.xxhash64("sid").cast("decimal(38,0)")), F.count("*"), F.min("rep"))
+    buckets = stars.groupBy("key").agg(members.alias("members")).groupBy("members").agg(F.min("key").alias("key")).select("key")
+    rows = common.cut(stars.join(buckets, "key"))
     least, member = comps.select(F.col("id").alias("rep"), F.col("component").alias("rc")), comps.select(F.col("id").alias("sid"), F.col("component").alias("sc"))
-    rows = stars.join(least, "rep", "left").join(member, "sid", "left").select("key", "rep", "sid", F.coalesce("rc", "rep").alias("rc"), F.coalesce("sc", "sid").alias("sc"))
+    rows = rows.join(least, "rep", "left").join(member, "sid", "left").select("key", "rep", "sid", F.coalesce("rc", "rep").alias("rc"), F.coalesce("sc", "sid").alias("sc"))
     rows = common.cut(rows)
-    # Buckets with two rows or more besides the least member's component; a lone pair was verified before.
-    open_keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.max((F.col("rc") != F.col("sc")).cast("int")).alias("apart")).where("members > 1 and apart = 1").select("key")
-    open_rows = rows.join(open_keys, "key")
-    members = open_rows.select("key", "sid", F.col("sc").alias("comp")).unionByName(open_rows.select("key", F.col("rep").alias("sid"), F.col("rc").alias("comp"))).distinct()
-    sketches = sets.mapInArrow(_sketches, "sid long, n long, sketch binary")
-    pairs = members.join(sketches, "sid").repartition("key").sortWithinPartitions("key").mapInArrow(_contested, "a long, b long").distinct()
-    return _links(pairs, sets)
+    rows = rows.join(rows.where("rc <> sc").select("key").distinct(), "key")
+    rows = common.cut(rows.select("key", "sid", F.col("sc").alias("comp")).unionByName(rows.groupBy("key").agg(F.min("rep").alias("sid"), F.min("rc").alias("comp"))))
+    sketches = _made_again(docs, slim, common.cut(rows.select("sid").distinct()), _sketches, "sid long, n long, sketch binary")
+    return rows.join(sketches, "sid").repartition("key").sortWithinPartitions("key").mapInArrow(_contested, "a long, b long").distinct()
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
