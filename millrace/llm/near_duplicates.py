@@ -8,8 +8,9 @@ d + 1 of its blocks in one order that all documents share, two linked documents
 (the pigeonhole and prefix principles together: exact, for any order). The order puts blocks that a
 bounded sample finds frequent late and empty blocks last, which keeps buckets small.
 
-Equal sets are one node from the start. Buckets with the same members count once. First every set is
-verified, on the whole sets, against the bucket-least member that it shares most blocks with, and
+Equal sets are one node from the start. Buckets with the same members are one. First every set is
+verified, on the whole sets, against one hub (a hub is the member of a bucket that most other
+buckets have too, as the original of many copies), the one that it shares most blocks with, and
 components are formed; large groups of near copies are one component after that. Then the buckets
 that still hold several components are searched for pairs across these by the Hamming distance of
 short parity sketches and by size, and the pairs that pass are verified too. So no link between
@@ -259,9 +260,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heavy, freq = _frequent(docs)
     keys = docs.select("text").mapInArrow(_key_rows(heavy, freq, False), "key long, sid long")
     stars = common.cut(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long"))
-    shared = stars.groupBy("rep", "sid").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
-    links = _verified(docs, slim, shared.groupBy(F.col("sid").alias("b")).agg(F.max_by("rep", F.struct("n", "rep")).alias("a")))
-    links = links.unionByName(_verified(docs, slim, _across(docs, slim, stars, components(links))))
+    members = F.struct(F.bit_xor(F.xxhash64("sid")), F.sum(F.xxhash64("sid").cast("decimal(38,0)")), F.count("*"), F.min("rep"))
+    buckets = stars.groupBy("key").agg(members.alias("members")).groupBy("members").agg(F.min("key").alias("key"), F.count("*").alias("blocks")).drop("members")
+    rows = stars.join(buckets, "key")
+    rows = common.cut(rows.select("key", "sid", "blocks").unionByName(rows.groupBy("key").agg(F.min("rep").alias("sid"), F.min("blocks").alias("blocks"))))
+    links = _verified(docs, slim, _with_hubs(rows))
+    links = links.unionByName(_verified(docs, slim, _across(docs, slim, rows, components(links))))
     comps = components(links)
     canon = slim.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     comp = canon.join(comps.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
@@ -270,16 +274,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return slim.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(docs: DataFrame, slim: DataFrame, stars: DataFrame, comps: DataFrame) -> DataFrame:
+def _with_hubs(rows: DataFrame) -> DataFrame:
+    """(a, b): every member b with the hub a that it shares most blocks with, if enough."""
+    known = rows.groupBy("sid").agg(F.sum("blocks").alias("d"))
+    hubs = rows.join(known, "sid").groupBy("key").agg(F.max_by("sid", F.struct("d", "sid")).alias("hub"))
+    shared = rows.join(hubs, "key").where("sid <> hub").groupBy("hub", "sid").agg(F.sum("blocks").alias("n")).where(F.col("n") >= SHARED)
+    return shared.groupBy(F.col("sid").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
+
+
+def _across(docs: DataFrame, slim: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     """(a, b): pairs of one bucket and of different components that sizes and sketches allow."""
-    members = F.struct(F.bit_xor(F.xxhash64("sid")), F.sum(F.xxhash64("sid").cast("decimal(38,0)")), F.count("*"), F.min("rep"))
-    buckets = stars.groupBy("key").agg(members.alias("members")).groupBy("members").agg(F.min("key").alias("key")).select("key")
-    rows = common.cut(stars.join(buckets, "key"))
-    least, member = comps.select(F.col("id").alias("rep"), F.col("component").alias("rc")), comps.select(F.col("id").alias("sid"), F.col("component").alias("sc"))
-    rows = rows.join(least, "rep", "left").join(member, "sid", "left").select("key", "rep", "sid", F.coalesce("rc", "rep").alias("rc"), F.coalesce("sc", "sid").alias("sc"))
-    rows = common.cut(rows)
-    rows = rows.join(rows.where("rc <> sc").select("key").distinct(), "key")
-    rows = common.cut(rows.select("key", "sid", F.col("sc").alias("comp")).unionByName(rows.groupBy("key").agg(F.min("rep").alias("sid"), F.min("rc").alias("comp"))))
+    known = comps.withColumnRenamed("id", "sid")
+    rows = common.cut(rows.join(known, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")))
+    apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    rows = common.cut(rows.join(apart, "key"))
     sketches = _made_again(docs, slim, common.cut(rows.select("sid").distinct()), _sketches, "sid long, n long, sketch binary")
     return rows.join(sketches, "sid").repartition("key").sortWithinPartitions("key").mapInArrow(_contested, "a long, b long").distinct()
 

@@ -1 +1,27 @@
-"""Queries: state."""
+"""Queries with ordered state per key, over the batch form of the folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.telemetry import metrics
+from ..streaming import folds
+from .base import query, table
+
+
+def timed(spark, sf):
+    rows = metrics(table(spark, sf, "events"))
+    return rows.select("event_id", "client_ip", "status_code", "intent", F.unix_millis(F.col("created_at").cast("timestamp")).alias("at_ms"))
+
+
+@query("st_token_bucket")
+def st_token_bucket(spark, sf):
+    # Requests of an hour are taken as of a minute, so that the bucket runs empty.
+    rows = timed(spark, sf).withColumn("at_ms", F.floor(F.col("at_ms") / 60).cast("long")).select("client_ip", "event_id", "at_ms")
+    return folds.batch(rows, "client_ip", folds.token_bucket, folds.BUCKET_OUT)
+
+
+@query("st_alert_cooldown")
+def st_alert_cooldown(spark, sf):
+    rows = timed(spark, sf).where("status_code >= 400").select(F.when(F.col("status_code") == 429, "RATE_LIMIT").otherwise("SERVER_ERROR").alias("alert_type"), "event_id", "at_ms")
+    return folds.batch(rows, "alert_type", folds.cooldown, folds.COOLDOWN_OUT)

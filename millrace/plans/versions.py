@@ -31,10 +31,10 @@ def ver_set_current(spark, sf):
     return V.with_current(rows, "src5", "2024-02-01 00:00:00").select("version", "is_current", "activated_at", "rolled_back_at")
 
 
-@query("ver_partition_replace", "SELECT source, count(*) AS n, sum(length(t))::BIGINT AS chars FROM (SELECT source, text AS t FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) UNION ALL SELECT source, upper(text) || '!' FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) GROUP BY source")
+@query("ver_partition_replace", "SELECT source, count(*) AS n, sum(length(t))::BIGINT AS chars FROM (SELECT source, text AS t FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) UNION ALL SELECT source, text || '!!' FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) GROUP BY source")
 def ver_partition_replace(spark, sf):
     rows = docs(spark, sf).select("doc_id", "source", "text")
-    new = rows.where("source IN ('src1', 'src2') AND doc_id % 2 = 0").withColumn("text", F.concat(F.upper("text"), F.lit("!")))
+    new = rows.where("source IN ('src1', 'src2') AND doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit("!!")))
     return V.replaced(rows, new, "source").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
