@@ -5,14 +5,18 @@ Patterns are data: pass other tables for other languages. All are Unicode-aware.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U = "(?iuU)"
-#: What a token is, and the accents of the default slug alphabet with their plain letters.
+#: Fixed value: what a token is.
 TOKEN = "[a-zà-ỹ0-9]+"
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters that decompose to a plain letter and marks, and those plain letters.
+_DECOMPOSED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()}
+ACCENTED = "".join(c for c, p in _DECOMPOSED.items() if p.isascii())
+PLAIN = "".join(p for p in _DECOMPOSED.values() if p.isascii())
 STOPWORDS = ("the", "and", "of", "to", "in", "is", "de", "la", "le", "les", "der", "die", "das", "und", "el", "los", "que")
 NS_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
