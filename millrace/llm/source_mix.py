@@ -58,7 +58,7 @@ def _component(patterns: list[tuple[tuple, int]], quota: dict, most: int) -> dic
     for members, size in patterns:
         for tier in range(most):
             edge(0, node(("p", members)), size, tier)
-        routes[members] = {s: edge(node(("p", members)), node(("s", s)), most * size, 0) for s in members}
+        routes[members] = {s: edge(node(("p", members)), node(("s", s)), most * size, 0) for s in dict.fromkeys(members)}
     for s in {s for members, _ in patterns for s in members}:
         edge(node(("s", s)), 1, quota.get(s, 0), 0)
     while True:
