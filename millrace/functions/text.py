@@ -113,3 +113,32 @@ def packed_sentences(text: Column, most: int = 800, least: int = 20) -> Column:
 
     done = F.aggregate(sentences(text), start, step, lambda acc: F.when(acc["buf"] != "", F.array_append(acc["pieces"], acc["buf"])).otherwise(acc["pieces"]))
     return F.filter(done, lambda p: F.length(F.btrim(p)) >= least)
+
+
+def normalized_query(text: Column) -> Column:
+    """Lower case, words only, single spaces, model names like `vf-8` as `vf 8`."""
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
+    return F.regexp_replace(plain, r"\bvf[\s_-]*(\d+)", "vf $1")
+
+
+def joined_letters(line: Column) -> Column:
+    """A line of which most tokens are single characters, three or more, is written without spaces."""
+    words = F.filter(F.split(line, " "), lambda w: w != "")
+    single = F.filter(words, lambda w: F.length(w) == 1)
+    return F.when((F.size(single) >= 3) & (2 * F.size(single) > F.size(words)), F.array_join(words, "")).otherwise(line)
+
+
+def urls(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[^\s)>\]]+)"), F.lit(1)))
+
+
+def numbers(text: Column) -> Column:
+    """Numbers in order, with `.` or `,` between digits taken as decimal point."""
+    found = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
+    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def unwrapped_json(text: Column) -> Column:
+    """The JSON inside a fenced block, or the text itself."""
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.when(inner != "", F.btrim(inner)).otherwise(F.btrim(text))
