@@ -18,7 +18,7 @@ _DECOMPOSED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(
 ACCENTED = "".join(c for c, p in _DECOMPOSED.items() if p.isascii())
 PLAIN = "".join(p for p in _DECOMPOSED.values() if p.isascii())
 STOPWORDS = ("the", "and", "of", "to", "in", "is", "de", "la", "le", "les", "der", "die", "das", "und", "el", "los", "que")
-NS_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -50,7 +50,7 @@ def cache_key(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16))
 
 
-def uuid5(name: Column, namespace: str = NS_DNS) -> Column:
+def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     """The name-based UUID, version 5, of a name under a namespace."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
@@ -115,10 +115,10 @@ def packed_sentences(text: Column, most: int = 800, least: int = 20) -> Column:
     return F.filter(done, lambda p: F.length(F.btrim(p)) >= least)
 
 
-def normalized_query(text: Column) -> Column:
-    """Lower case, words only, single spaces, model names like `vf-8` as `vf 8`."""
+def normalized_query(text: Column, series: str = "mk") -> Column:
+    """Lower case, words only, single spaces; numbers of a series like `mk-8` as `mk 8`."""
     plain = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
-    return F.regexp_replace(plain, r"\bvf[\s_-]*(\d+)", "vf $1")
+    return F.regexp_replace(plain, rf"\b{series}[\s_-]*(\d+)", f"{series} $1")
 
 
 def joined_letters(line: Column) -> Column:

@@ -10,12 +10,12 @@ from .base import query, table
 from .telemetry import M, facts
 
 
-NORMAL = r"trim(regexp_replace(regexp_replace(lower('VF-' || item_id || ' ' || text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(regexp_replace(lower('MK-' || item_id || ' ' || text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("txt_normalize_query", rf"SELECT item_id, regexp_replace({NORMAL}, '\bvf[\s_-]*(\d+)', 'vf \1', 'g') AS q FROM benchmark")
+@query("txt_normalize_query", rf"SELECT item_id, regexp_replace({NORMAL}, '\bmk[\s_-]*(\d+)', 'mk \1', 'g') AS q FROM benchmark")
 def txt_normalize_query(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", X.normalized_query(F.concat(F.lit("VF-"), "item_id", F.lit(" "), "text")).alias("q"))
+    return table(spark, sf, "benchmark").select("item_id", X.normalized_query(F.concat(F.lit("MK-"), "item_id", F.lit(" "), "text")).alias("q"))
 
 
 @query("txt_joined_letters")

@@ -15,7 +15,7 @@ def one(spark, column, **values):
 
 
 def test_uuid5_as_python(spark):
-    for name in ("vf8:all:x:1", "é", ""):
+    for name in ("a8:all:x:1", "é", ""):
         assert one(spark, X.uuid5(F.col("n")), n=name) == str(uuid.uuid5(uuid.NAMESPACE_DNS, name))
 
 
