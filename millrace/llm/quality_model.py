@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 5
+ORDER = 4
 #: Entries of the model that a task holds at a time (12 bytes each, and an index of 4).
 SHARD = 4_000_000
 #: A document is rejected above this quantile of its language's held-out trusted documents, times the slack.
@@ -102,7 +102,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, kind, g, v) of counts (lang, g, c) of ORDER-grams: kind k > 0 are log probabilities of k-grams, kind -k log weights of contexts before a k-gram."""
     of = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # by how many characters a shorter n-gram is preceded
-        of[k] = common.cut(of[k + 1].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c")))
+        of[k] = common.stored(of[k + 1].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c")), "grams")
     made, lower = [], None
     for k in range(1, ORDER + 1):
         rows = of[k].join(F.broadcast(_discounts(of[k])), "lang").withColumns(
@@ -114,7 +114,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             rows = rows.withColumn("below", 1 / (F.col("kinds") + 1.0))
         else:
             rows = rows.withColumn("s", F.substring("g", 2, k - 1)).join(lower, ["lang", "s"])
-        p = common.cut(rows.select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")).alias("p")))
+        p = common.stored(rows.select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")).alias("p")), "probabilities")
         lower = p.select("lang", F.col("g").alias("s"), F.col("p").alias("below"))
         made.append(p.select("lang", F.lit(k).alias("kind"), "g", F.log("p").alias("v")))
         floor = F.log(F.col("weight") / (F.col("kinds") + 1.0)) if k == 1 else F.log("weight")  # what is left for unseen characters
@@ -240,12 +240,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shard: int = SHARD) -> Dat
     """docs' columns (_row beside text and _lang, which go) with perplexity; trusted: lang, text of the training documents."""
     spark = docs.sparkSession
     counts = trusted.where("text <> ''").select(F.coalesce("lang", F.lit("\0")).alias("lang"), "text").mapInArrow(_count_grams, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    model = common.cut(kneser_ney(common.cut(counts)))
+    model = common.stored(kneser_ney(common.stored(counts, "counts")), "model")
     entries = model.groupBy("lang").count().collect()
     langs, size = [r.lang for r in entries], sum(r["count"] for r in entries)
     shards = max(1, -(-size // shard))
     if shards > 1:
-        model = common.cut(model.mapInArrow(_shard_rows(shards), "lang string, kind int, g string, v double, shard int"))
+        model = common.stored(model.mapInArrow(_shard_rows(shards), "lang string, kind int, g string, v double, shard int"), "shards")
     kept = [f for f in docs.schema.fields if f.name not in ("text", "_lang")]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "_sum double, _n long"])
     parts = []
