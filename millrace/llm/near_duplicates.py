@@ -40,6 +40,8 @@ SAMPLE, FREQUENT = 4000, 100_000
 BROADCAST_IDS = 1_000_000
 #: Sets that share fewer blocks than this are left to the search by sketches.
 SHARED = 4
+#: So many buckets of each set are known in all of its buckets, to search a pair in the first that both have.
+FIRST = 10
 _U = np.uint64
 
 
@@ -179,8 +181,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow("sid n sketch", pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()))
 
 
-def _near_in_bucket(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components that sizes and Hamming distance allow, a few rows at a time."""
+def _near_in_bucket(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, first: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components that sizes and Hamming distance allow, a few rows at a time.
+
+    first: some buckets of each row. Pairs that have one of them, below this key, in common belong to that bucket.
+    """
     order = np.argsort(n, kind="stable")
     upto = np.searchsorted(n[order], 4 * n[order] // 3, side="right")
     for i, o in enumerate(order[:-1]):
@@ -190,6 +195,9 @@ def _near_in_bucket(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iter
             part = rest[k : k + 4096]
             apart = np.bitwise_count(sketch[part] ^ sketch[o]).sum(axis=1, dtype=np.int64)
             near = part[7 * apart <= n[part] + n[o]]
+            if len(near):
+                before = first[o][first[o] < key]
+                near = near[~np.isin(first[near], before).any(axis=1)]
             if len(near):
                 yield np.full(len(near), o), near
 
@@ -198,11 +206,12 @@ def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, each with its sketch: the pairs of each bucket that are still to be verified."""
 
     def search(rows: list) -> Iterator[pa.RecordBatch]:
-        key, sid, comp, n, sketch = (np.concatenate([r[i] for r in rows]) if i < 4 else sum((r[4] for r in rows), []) for i in range(5))
+        key, sid, comp, n, first = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        sketch = sum((r[5] for r in rows), [])
         for width in {len(x) for x in sketch}:  # the bands that meet in a bucket have one width; others are sketches of another band
             at = np.flatnonzero([len(x) == width for x in sketch])
             bits = np.frombuffer(b"".join(sketch[i] for i in at), np.uint8).reshape(len(at), width)
-            for p, q in _near_in_bucket(n[at], comp[at], bits):
+            for p, q in _near_in_bucket(n[at], comp[at], bits, first[at], int(key[0])):
                 yield _arrow("a b", np.minimum(sid[at][p], sid[at][q]), np.maximum(sid[at][p], sid[at][q]))
 
     open_rows: list = []
@@ -211,12 +220,13 @@ def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key, sid, comp, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid", "comp", "n"))
         sketch = b.column("sketch").to_pylist()
+        first = np.frombuffer(b"".join(b.column("first").to_pylist()), ">i8").astype(np.int64).reshape(len(key), FIRST)
         edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for s, e in zip(edges, edges[1:]):
             if open_rows and open_rows[0][0][0] != key[s]:
                 yield from search(open_rows)
                 open_rows = []
-            open_rows.append((key[s:e], sid[s:e], comp[s:e], n[s:e], sketch[s:e]))
+            open_rows.append((key[s:e], sid[s:e], comp[s:e], n[s:e], first[s:e], sketch[s:e]))
     if open_rows:
         yield from search(open_rows)
 
@@ -259,11 +269,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     slim = common.cut(docs.mapInArrow(_set_rows, "doc_id long, n long, sid long"))
     heavy, freq = _frequent(docs)
     keys = docs.select("text").mapInArrow(_key_rows(heavy, freq, False), "key long, sid long")
-    stars = common.cut(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long"))
+    stars = common.stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long"), "stars")
     members = F.struct(F.bit_xor(F.xxhash64("sid")), F.sum(F.xxhash64("sid").cast("decimal(38,0)")), F.count("*"), F.min("rep"))
     buckets = stars.groupBy("key").agg(members.alias("members")).groupBy("members").agg(F.min("key").alias("key"), F.count("*").alias("blocks")).drop("members")
     rows = stars.join(buckets, "key")
-    rows = common.cut(rows.select("key", "sid", "blocks").unionByName(rows.groupBy("key").agg(F.min("rep").alias("sid"), F.min("blocks").alias("blocks"))))
+    rows = common.stored(rows.select("key", "sid", "blocks").unionByName(rows.groupBy("key").agg(F.min("rep").alias("sid"), F.min("blocks").alias("blocks"))), "buckets")
     links = _verified(docs, slim, _with_hubs(rows))
     links = links.unionByName(_verified(docs, slim, _across(docs, slim, rows, components(links))))
     comps = components(links)
@@ -285,11 +295,15 @@ def _with_hubs(rows: DataFrame) -> DataFrame:
 def _across(docs: DataFrame, slim: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     """(a, b): pairs of one bucket and of different components that sizes and sketches allow."""
     known = comps.withColumnRenamed("id", "sid")
-    rows = common.cut(rows.join(known, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")))
+    rows = common.stored(rows.join(known, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")), "members")
     apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = common.cut(rows.join(apart, "key"))
-    sketches = _made_again(docs, slim, common.cut(rows.select("sid").distinct()), _sketches, "sid long, n long, sketch binary")
-    return rows.join(sketches, "sid").repartition("key").sortWithinPartitions("key").mapInArrow(_contested, "a long, b long").distinct()
+    rows = common.stored(rows.join(apart, "key"), "contested")
+    last = F.lit(2**63 - 1)
+    first = F.slice(F.concat(F.array_sort(F.collect_set("key")), F.array_repeat(last, FIRST)), 1, FIRST)
+    packed = F.aggregate(first, F.lit(b""), lambda acc, x: F.concat(acc, F.unhex(F.lpad(F.hex(x), 16, "0"))))
+    known = common.stored(rows.groupBy("sid").agg(packed.alias("first")), "first")
+    sketches = _made_again(docs, slim, known.select("sid"), _sketches, "sid long, n long, sketch binary")
+    return rows.join(known.join(sketches, "sid"), "sid").repartition("key").sortWithinPartitions("key").mapInArrow(_contested, "a long, b long").distinct()
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
