@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Bytes of an Arrow batch of texts: a worker holds a batch several times over, as arrays, strings and results.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow; from here on the session's batches are of BATCH_BYTES at most (and one row at least)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not (conf.get(key).rstrip("b").isdigit() and 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(f, schema)
+
+
+_MODEL: dict = {}
+
+
+def only_model(key: tuple, make: Callable):
+    """make(), which this Python worker keeps until it is asked for another one: workers are used again by later jobs."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
 def has_rows_within(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows: the size check before a broadcast."""
     return df.limit(most + 1).count() <= most

@@ -148,9 +148,6 @@ class CrossParser:
         return out
 
 
-_PARSERS: dict[str, CrossParser] = {}
-
-
 def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Per language the beginnings of the `docs` distinct texts with the smallest hashes: at most docs * chars characters."""
     rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("part"))
@@ -169,17 +166,14 @@ def identify(docs: DataFrame, texts: dict[str, str], keep_text: bool = False, pr
     names = [*[f.name for f in kept], f"{prefix}lang_pred", f"{prefix}score"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _PARSERS.get(mark)
-        if parser is None:
-            _PARSERS.clear()
-            parser = _PARSERS.setdefault(mark, CrossParser(texts))
+        parser = common.only_model(("parser", mark), lambda: CrossParser(texts))
         for b in batches:
             got = parser.predict(b.column("text").to_pylist())
             new = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *new], names=names)
 
     types = [*[f.dataType.simpleString() for f in kept], "string", "double"]
-    return docs.mapInArrow(predict, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
+    return common.in_batches(docs, predict, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

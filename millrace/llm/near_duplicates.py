@@ -236,7 +236,8 @@ def _made_again(docs: DataFrame, slim: DataFrame, sids: DataFrame, make, schema:
     none = F.lit(-(2**63))
     few = common.has_rows_within(sids, BROADCAST_IDS)
     one = common.cut(slim.join(F.broadcast(sids) if few else sids, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", none)).alias("one")).select("one").distinct())
-    made = docs.select(F.coalesce("doc_id", none).alias("one"), "text").join(F.broadcast(one) if few else one, "one").select("text").mapInArrow(make, schema)
+    texts = docs.select(F.coalesce("doc_id", none).alias("one"), "text").join(F.broadcast(one) if few else one, "one").select("text")
+    made = common.in_batches(texts, make, schema)
     return made.join(F.broadcast(sids) if few else sids, "sid")
 
 
@@ -266,7 +267,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    slim = common.cut(docs.mapInArrow(_set_rows, "doc_id long, n long, sid long"))
+    slim = common.cut(common.in_batches(docs, _set_rows, "doc_id long, n long, sid long"))
     heavy, freq = _frequent(docs)
     keys = docs.select("text").mapInArrow(_key_rows(heavy, freq, False), "key long, sid long")
     stars = common.stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long"), "stars")
