@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,24 +46,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch of texts: a worker holds a batch several times over, as arrays, strings and results.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
-def in_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow; from here on the session's batches are of BATCH_BYTES at most (and one row at least)."""
+def in_batches(df: DataFrame, f: Callable, schema: str, model: tuple | None = None) -> DataFrame:
+    """df.mapInArrow; from here on the session's batches are of BATCH_BYTES at most (and one row at least).
+
+    model: the key of the model that f asks `only_model` for; what a worker kept of others goes before f begins.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not (conf.get(key).rstrip("b").isdigit() and 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES):
         conf.set(key, f"{BATCH_BYTES}b")
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        forget_models_but(model)
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 _MODEL: dict = {}
 
 
+def forget_models_but(key: tuple | None) -> None:
+    for other in _MODEL.keys() - {key}:
+        del _MODEL[other]
+
+
 def only_model(key: tuple, make: Callable):
     """make(), which this Python worker keeps until it is asked for another one: workers are used again by later jobs."""
+    forget_models_but(key)
     if key not in _MODEL:
-        _MODEL.clear()
         _MODEL[key] = make()
     return _MODEL[key]
 

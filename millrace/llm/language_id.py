@@ -161,19 +161,19 @@ def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
 
 def identify(docs: DataFrame, texts: dict[str, str], keep_text: bool = False, prefix: str = "") -> DataFrame:
     """docs' columns (the text only if asked for) with lang_pred and score, whose names get the prefix."""
-    mark = hashlib.md5(repr(sorted(texts.items())).encode()).hexdigest()
+    model = ("parser", hashlib.md5(repr(sorted(texts.items())).encode()).hexdigest())
     kept = [f for f in docs.schema.fields if f.name != "text" or keep_text]
     names = [*[f.name for f in kept], f"{prefix}lang_pred", f"{prefix}score"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = common.only_model(("parser", mark), lambda: CrossParser(texts))
+        parser = common.only_model(model, lambda: CrossParser(texts))
         for b in batches:
             got = parser.predict(b.column("text").to_pylist())
             new = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *new], names=names)
 
     types = [*[f.dataType.simpleString() for f in kept], "string", "double"]
-    return common.in_batches(docs, predict, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
+    return common.in_batches(docs, predict, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)), model)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = docs.count()
     part = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    keys = part.select("text").mapInArrow(_key_rows(np.zeros(0, _U), np.zeros(0, np.int64), True), "key long, sid long").distinct()
+    keys = common.in_batches(part.select("text"), _key_rows(np.zeros(0, _U), np.zeros(0, np.int64), True), "key long, sid long").distinct()
     rows = keys.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
     heavy, freq = np.array([r.key for r in rows], np.int64).view(_U), np.array([r["count"] for r in rows], np.int64)
     order = np.argsort(heavy)
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     slim = common.cut(common.in_batches(docs, _set_rows, "doc_id long, n long, sid long"))
     heavy, freq = _frequent(docs)
-    keys = docs.select("text").mapInArrow(_key_rows(heavy, freq, False), "key long, sid long")
+    keys = common.in_batches(docs.select("text"), _key_rows(heavy, freq, False), "key long, sid long")
     stars = common.stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "key long, rep long, sid long"), "stars")
     members = F.struct(F.bit_xor(F.xxhash64("sid")), F.sum(F.xxhash64("sid").cast("decimal(38,0)")), F.count("*"), F.min("rep"))
     buckets = stars.groupBy("key").agg(members.alias("members")).groupBy("members").agg(F.min("key").alias("key"), F.count("*").alias("blocks")).drop("members")

@@ -97,8 +97,10 @@ class WordEncoder:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and a closing 0, cut where longer than capacity."""
 
+    model = ("words", tokenizer)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.only_model(("words", tokenizer), lambda: WordEncoder(tokenizer))
+        encoder = common.only_model(model, lambda: WordEncoder(tokenizer))
         for b in batches:
             rows = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
@@ -114,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return cut(b for b in batches if b.num_rows)
 
-    return common.in_batches(docs.select(F.col("doc_id").cast("long"), "text"), nonempty, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.in_batches(docs.select(F.col("doc_id").cast("long"), "text"), nonempty, "doc_id long, piece int, start long, length long, ids_crc32 long", model)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
