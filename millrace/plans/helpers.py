@@ -18,10 +18,14 @@ def txt_normalize_query(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", X.normalized_query(F.concat(F.lit("MK-"), "item_id", F.lit(" "), "text")).alias("q"))
 
 
-@query("txt_joined_letters")
+WORDS = "list_filter(string_split(l, ' '), lambda w: w <> '')"
+JOINED = f"CASE WHEN len(list_filter({WORDS}, lambda w: length(w) = 1)) >= 3 AND 2 * len(list_filter({WORDS}, lambda w: length(w) = 1)) > len({WORDS}) THEN array_to_string({WORDS}, '') ELSE l END"
+
+
+@query("txt_joined_letters", f"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: {JOINED}), chr(10))) AS digest FROM documents")
 def txt_joined_letters(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("joined", X.joined_letters(F.col("line"))).where("joined <> line").select("doc_id", "pos", "joined")
+    lines = F.transform(F.split("text", "\n"), X.joined_letters)
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"))
 
 
 @query("txt_urls", r"SELECT page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^\s)>\]]+')))::INT AS urls FROM pages")
