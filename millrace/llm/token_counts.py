@@ -84,22 +84,19 @@ class PieceCounter:
         return out
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
-
-
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of docs' text; `model` is read where the tasks run."""
+    key = ("pieces", model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(model) or _COUNTERS.setdefault(model, PieceCounter(model))
+        counter = common.only_model(key, lambda: PieceCounter(model))
         for b in batches:
             n = counter.counts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), "text").mapInArrow(
-        count, "doc_id long, n_bytes long, n_tokens long"
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), "text")
+    return common.in_batches(rows, count, "doc_id long, n_bytes long, n_tokens long", key)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
