@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 4
+ORDER = 5
 #: Entries of the model that a task holds at a time (12 bytes each, and an index of 4).
 SHARD = 4_000_000
 #: A document is rejected above this quantile of its language's held-out trusted documents, times the slack.

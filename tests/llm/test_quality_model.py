@@ -60,6 +60,13 @@ def test_by_the_textbook(spark, shard):
             assert got[i] == pytest.approx(math.exp(-s / (len(t) + 1)), rel=1e-4)
 
 
+def test_four_characters_of_context(spark):
+    trusted = spark.createDataFrame([("1aaa2", "en"), ("3aaa4", "en")] * 3, "text string, lang string")
+    docs = spark.createDataFrame([(0, "1aaa2", "en"), (1, "1aaa4", "en")], "_row long, text string, _lang string")
+    got = {r._row: r.perplexity for r in perplexities(docs, trusted).collect()}
+    assert got[1] > 1.1 * got[0]
+
+
 def test_verdicts(spark):
     labels = dict((i, q) for i, q in duckdb.sql("SELECT doc_id, quality FROM '/root/testdata/sf0.01/labels.parquet'").fetchall())
     rows = op6_quality_model(spark, "/root/testdata/sf0.01").collect()
