@@ -13,8 +13,9 @@ verified, on the whole sets, against one hub (a hub is the member of a bucket th
 buckets have too, as the original of many copies), the one that it shares most blocks with, and
 components are formed; large groups of near copies are one component after that. Then the buckets
 that still hold several components are searched for pairs across these by the Hamming distance of
-short parity sketches and by size, and the pairs that pass are verified too. So no link between
-different components is lost, and no bucket is expanded into all of its pairs.
+short parity sketches and by size, and the pairs that pass are verified too; a bucket of more than
+`BUCKET` members is dealt into parts, and each two of its parts are searched by a task of their own.
+So no link between different components is lost, and no bucket is expanded into all of its pairs.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing; a null doc_id takes part but is never a component's name unless all of its ids are null;
@@ -42,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 SHARED = 4
 #: So many buckets of each set are known in all of its buckets, to search a pair in the first that both have.
 FIRST = 10
+#: Members of a contested bucket that are searched as one; a larger one is dealt into parts of about this size.
+BUCKET = 4096
 _U = np.uint64
 
 
@@ -181,16 +184,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow("sid n sketch", pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()))
 
 
-def _near_in_bucket(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, first: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_in_bucket(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, first: np.ndarray, key: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components that sizes and Hamming distance allow, a few rows at a time.
 
     first: some buckets of each row. Pairs that have one of them, below this key, in common belong to that bucket.
+    side: the part of the bucket that each row is of; if given, only pairs of different parts.
     """
     order = np.argsort(n, kind="stable")
     upto = np.searchsorted(n[order], 4 * n[order] // 3, side="right")
     for i, o in enumerate(order[:-1]):
         rest = order[i + 1 : upto[i]]
         rest = rest[comp[rest] != comp[o]]
+        if side is not None:
+            rest = rest[side[rest] != side[o]]
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             apart = np.bitwise_count(sketch[part] ^ sketch[o]).sum(axis=1, dtype=np.int64)
@@ -203,30 +209,32 @@ def _near_in_bucket(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, first:
 
 
 def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key, each with its sketch: the pairs of each bucket that are still to be verified."""
+    """From rows sorted by key and two parts of its bucket, each with its sketch: the pairs that are still to be verified."""
 
     def search(rows: list) -> Iterator[pa.RecordBatch]:
-        key, sid, comp, n, first = (np.concatenate([r[i] for r in rows]) for i in range(5))
-        sketch = sum((r[5] for r in rows), [])
+        task, sid, comp, n, first, side = (np.concatenate([r[i] for r in rows]) for i in range(6))
+        sketch = [x for r in rows for x in r[6]]
+        key, i, j = task[0].tolist()
         for width in {len(x) for x in sketch}:  # the bands that meet in a bucket have one width; others are sketches of another band
             at = np.flatnonzero([len(x) == width for x in sketch])
             bits = np.frombuffer(b"".join(sketch[i] for i in at), np.uint8).reshape(len(at), width)
-            for p, q in _near_in_bucket(n[at], comp[at], bits, first[at], int(key[0])):
+            for p, q in _near_in_bucket(n[at], comp[at], bits, first[at], key, None if i == j else side[at]):
                 yield _arrow("a b", np.minimum(sid[at][p], sid[at][q]), np.maximum(sid[at][p], sid[at][q]))
 
     open_rows: list = []
     for b in batches:
         if not b.num_rows:
             continue
-        key, sid, comp, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid", "comp", "n"))
+        key, i, j, sid, comp, n, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "sid", "comp", "n", "side"))
+        task = np.stack([key, i, j], axis=1)
         sketch = b.column("sketch").to_pylist()
         first = np.frombuffer(b"".join(b.column("first").to_pylist()), ">i8").astype(np.int64).reshape(len(key), FIRST)
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        edges = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1).tolist(), len(key)]
         for s, e in zip(edges, edges[1:]):
-            if open_rows and open_rows[0][0][0] != key[s]:
+            if open_rows and (open_rows[0][0][0] != task[s]).any():
                 yield from search(open_rows)
                 open_rows = []
-            open_rows.append((key[s:e], sid[s:e], comp[s:e], n[s:e], first[s:e], sketch[s:e]))
+            open_rows.append((task[s:e], sid[s:e], comp[s:e], n[s:e], first[s:e], side[s:e], sketch[s:e]))
     if open_rows:
         yield from search(open_rows)
 
@@ -293,18 +301,26 @@ def _with_hubs(rows: DataFrame) -> DataFrame:
     return shared.groupBy(F.col("sid").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (key, sid, parts and more), each in its part (side) of its bucket, once for each pair i <= j of parts that its part is in."""
+    side = F.pmod(F.xxhash64(F.lit(7), "sid"), F.col("parts"))
+    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "parts")
+
+
 def _across(docs: DataFrame, slim: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     """(a, b): pairs of one bucket and of different components that sizes and sketches allow."""
     known = comps.withColumnRenamed("id", "sid")
     rows = common.stored(rows.join(known, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")), "members")
-    apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BUCKET).cast("long").alias("parts")).where("x <> y").select("key", "parts")
     rows = common.stored(rows.join(apart, "key"), "contested")
     last = F.lit(2**63 - 1)
     first = F.slice(F.concat(F.array_sort(F.collect_set("key")), F.array_repeat(last, FIRST)), 1, FIRST)
     packed = F.aggregate(first, F.lit(b""), lambda acc, x: F.concat(acc, F.unhex(F.lpad(F.hex(x), 16, "0"))))
     known = common.stored(rows.groupBy("sid").agg(packed.alias("first")), "first")
     sketches = _made_again(docs, slim, known.select("sid"), _sketches, "sid long, n long, sketch binary")
-    return rows.join(known.join(sketches, "sid"), "sid").repartition("key").sortWithinPartitions("key").mapInArrow(_contested, "a long, b long").distinct()
+    task = ("key", "i", "j")
+    return _dealt(rows.join(known.join(sketches, "sid"), "sid")).repartition(*task).sortWithinPartitions(*task).mapInArrow(_contested, "a long, b long").distinct()
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from millrace.llm import near_duplicates as N
 from millrace.llm.common import shingle_hashes, word_hashes
 from millrace.llm.near_duplicates import blocks, kept_keys, near_duplicates, op5_near_duplicates, parity_sketch, tables_of
 
@@ -89,5 +90,32 @@ def test_chains_passages_and_edges(spark):
     assert got == sorted(by_brute_force([d for d in docs if d[0] is not None] + [(None, "one two"), (None, "zz")][:0]) + [(True, None, 1, 203), (True, None, 1, None)], key=str)
 
 
+def test_hot_bucket_is_dealt_into_bounded_tasks(spark):
+    rows = spark.range(400).selectExpr("7L key", "id sid", "10L parts").unionByName(spark.range(3).selectExpr("8L key", "id sid", "1L parts"))
+    tasks = {}
+    for r in N._dealt(rows).collect():
+        tasks.setdefault((r.key, r.i, r.j), []).append((r.sid, r.side))
+    met = {}
+    for (key, i, j), members in tasks.items():
+        assert len(members) <= 140
+        for x, s in members:
+            for y, t in members:
+                if x < y and (i == j or s != t):
+                    met[key, x, y] = met.get((key, x, y), 0) + 1
+    assert set(met.values()) == {1} and len(met) == 400 * 399 // 2 + 3
+
+
+def test_shared_passage_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET", 8)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    passage = list(rng.choice(words, 50))
+    docs = [(i, " ".join([*passage, *rng.choice(words, 10)])) for i in range(120)]  # 46 of 56 shingles in common: no link
+    docs += [(200 + i, t.rsplit(" ", 2)[0] + " x y") for i, (_, t) in enumerate(docs[:20])]  # linked with one each
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == by_brute_force(docs)
+    assert len({c for _, _, _, c in got}) == 120
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
