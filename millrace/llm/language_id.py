@@ -149,8 +149,9 @@ class CrossParser:
 
 
 def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Per language the beginnings of the `docs` distinct texts with the smallest hashes: at most docs * chars characters."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("part"))
+    """Per language a stretch, at a place chosen by hash, of each of the `docs` distinct texts with the smallest hashes: at most docs * chars characters."""
+    begin = 1 + F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - chars + 1, F.lit(1)))
+    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", begin.cast("int"), F.lit(chars)).alias("part"))
     first = Window.partitionBy("lang").orderBy("h")
     chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs).drop("n")
     out: dict[str, list] = {}

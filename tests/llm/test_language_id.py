@@ -44,6 +44,14 @@ def test_edges(spark):
     assert samples(spark.createDataFrame([], "text string, lang string")) == {}
 
 
+def test_samples_reach_beyond_a_shared_header(spark):
+    header = "lorem ipsum " * 100
+    rows = [(f"{header}{i} " + "der hund und die katze " * 200, "de") for i in range(20)] + [("short", "en")]
+    got = samples(spark.createDataFrame(rows, "text string, lang string"))
+    assert got["de"].count("hund") > 10 * 20 and got["en"] == "short"
+    assert len(got["de"]) == 20 * 1000 + 19
+
+
 def test_held_out_accuracy(spark):
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").fetchall())
     rows = op7_language_id(spark, SF).collect()
