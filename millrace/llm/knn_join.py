@@ -117,6 +117,10 @@ def _reach(pivots: np.ndarray, data: dict, asked: dict, others: int) -> np.ndarr
     return out
 
 
+def _slice(slices: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(2), "vec_id", "salt"), slices).cast("int")
+
+
 def knn_join(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score over vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -133,8 +137,9 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 102
     own = valid.where("asks").groupBy("vec_id").count().agg(F.max("count").alias("n")).first().n
     if not own:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    others = k + own  # so many rows hold k that aren't the query's own
-    near = data.select("cell", "dist").withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).where(F.col("n") <= others).groupBy("cell").agg(F.collect_list("dist").alias("near"))
+    # So many rows hold k that aren't the query's own; of an id that repeats more often than there are cells, one row a cell is looked at.
+    others = k + min(own, len(pivots))
+    near = (data.select("cell", "dist") if own <= len(pivots) else data.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))).withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).where(F.col("n") <= others).groupBy("cell").agg(F.collect_list("dist").alias("near"))
     sizes = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
     cells = {r.cell: (r.n, r.far, r.near) for r in sizes.join(near, "cell").collect()}
     asked = {r.cell: (r.n, r.far, r.norm) for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"), F.max("norm").alias("norm")).collect()}
@@ -174,7 +179,9 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 102
         .where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("split")) == F.col("part"))
         .select("g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "vec_id", "embedding")
     )
-    right = data.join(to_send, "cell").where("dist >= least").select("g", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "embedding")
+    # By row, not by id, so that the rows of one id share no slice.
+    salted = data.withColumn("salt", F.monotonically_increasing_id()).join(to_send, "cell").where("dist >= least")
+    right = salted.select("g", _slice(F.col("slices")).alias("slice"), "vec_id", "embedding")
     won = left.groupBy("g", "slice").cogroup(right.groupBy("g", "slice")).applyInArrow(_solver(scale, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return won.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

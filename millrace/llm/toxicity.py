@@ -7,7 +7,7 @@ that part negative (overfitting) the step goes back on it instead. The prior is
 all labelled training rows.
 
 The fit uses a bounded sample (`POSITIVES` and `UNLABELLED` documents with the smallest hashes of
-their ids, less copies); every document is scored over its whole text.
+their ids, less copies; where ids repeat, one row of each before second ones); every document is scored over its whole text.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; without
 toxic examples all scores are 0; labels that repeat or disagree count as toxic if any is; repeated
@@ -23,11 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 #: Bounds of the training sample, and of the words that get a weight.
 POSITIVES, UNLABELLED, WORDS = 3000, 9000, 4096
+#: So many distinct rows of one id at most are in the sample.
+PER_ID = 1000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -98,7 +101,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [features(t).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(made, pa.binary())], names=["toxic", "words"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(made, pa.binary())], names=["doc_id", "toxic", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -107,9 +110,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first().p
     order = F.xxhash64(F.lit(11), "doc_id")
     p_ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("toxic"))
-    u_ids = docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
+    u_ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("toxic"))
     ids = p_ids.unionByName(u_ids)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text").mapInArrow(_words, "toxic int, words binary").collect()
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    made = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, f"doc_id {kind}, toxic int, words binary").distinct()
+    # An id may have many rows: one of each id comes first, then second ones, within the same bounds.
+    own = Window.partitionBy("toxic", "doc_id").orderBy(F.xxhash64("words"))
+    made = common.cut(made.withColumn("n", F.row_number().over(own)).where(F.col("n") <= PER_ID))
+    chosen = [made.where(F.col("toxic") == t).select("toxic", "doc_id", "n").orderBy("n", order, "doc_id").limit(most) for t, most in ((1, positives), (0, unlabelled))]
+    rows = made.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["toxic", "doc_id", "n"]).select("toxic", "words").collect()
     sets = sorted({(r.toxic, bytes(r.words)) for r in rows})  # copies of a text count once
     p, u = ([np.frombuffer(w, np.uint64) for t, w in sets if t == k] for k in (1, 0))
     if not p or not share:

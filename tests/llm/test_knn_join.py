@@ -30,6 +30,24 @@ def test_against_brute_force(spark, monkeypatch, per_group, per_slice, pivots):
     assert got == brute(rows, 4)
 
 
+def test_hot_query_id(spark, monkeypatch):
+    monkeypatch.setattr(K, "PIVOTS", 4)
+    monkeypatch.setattr(K, "ROWS_PER_SLICE", 50)
+    lists, slices = [], []
+    reach, solver = K._reach, K._slice
+    monkeypatch.setattr(K, "_reach", lambda p, data, asked, others: lists.extend(len(c[2]) for c in data.values()) or reach(p, data, asked, others))
+    monkeypatch.setattr(K, "_slice", lambda n: slices.append(n) or solver(n))
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=(100, 6)) * 3).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(10, vectors[10])] * 200
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in K.knn_join(frame, F.col("vec_id") % 10 == 0, k=4).orderBy("query_id", "rank").collect()]
+    assert got == brute(rows, 4)
+    assert max(lists) <= 4 + 4
+    hot = spark.range(200).selectExpr("10L vec_id", "id salt", "4 slices").groupBy(K._slice(F.col("slices")).alias("s")).count().collect()
+    assert slices and len(hot) == 4 and max(r["count"] for r in hot) < 100
+
+
 def test_few_and_no_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in K.knn_join(frame, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 2048)]

@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 
+from millrace.llm import toxicity
 from millrace.llm.toxicity import Model, op3_toxicity, scored, train
 
 SF = "/root/testdata/sf0.1"
@@ -24,6 +25,16 @@ def test_edges(spark):
     assert [r.score for r in scored(docs, model).collect()] == [0.5] * 4
 
 
+def test_an_id_with_most_rows_leaves_the_sample_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: seen.append((len(p), len(u))))
+    docs = [(7, f"hot w{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)] + [(100 + i, f"cold x{chr(97 + i)}") for i in range(20)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, 1), (100, 0)], "doc_id long, toxic int")
+    train(docs, labels, positives=5, unlabelled=30)
+    train(docs, labels, positives=5, unlabelled=21)
+    assert seen == [(5, 30), (5, 21)]
+
+
 def test_learns_a_word_from_few_examples(spark):
     rng = np.random.default_rng(1)
     docs = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.integers(0, 400, 30)) + (" Vile!" if i % 10 == 0 else "")) for i in range(600)]
