@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from millrace.llm.quality_model import ORDER, op6_quality_model, perplexities, quality
+from millrace.llm.quality_model import ORDER, most_frequent, op6_quality_model, perplexities, quality
 
 TEXTS = ["the cat sat on the mat. the hat", "a cat and a rat sat", "that is that, the end", "on and on and on the mat", "rats"]
 
@@ -45,13 +45,13 @@ def model(texts):
     return p
 
 
-@pytest.mark.parametrize("shard", [10**6, 40])
-def test_by_the_textbook(spark, shard):
+@pytest.mark.parametrize("head", [10**6, 40, 0])
+def test_by_the_textbook(spark, head):
     p = model(TEXTS)
     asked = [*TEXTS, "the zebra sat", "", None, "q", "tttt", "on a mat"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)] + [(99, "the cat", "fr")], "_row long, text string, _lang string")
     trusted = spark.createDataFrame([(t, "en") for t in TEXTS], "text string, lang string")
-    got = {r._row: r.perplexity for r in perplexities(docs, trusted, shard).collect()}
+    got = {r._row: r.perplexity for r in perplexities(docs, trusted, head).collect()}
     assert got[99] is None and got[6] is None and got[7] is None
     for i, t in enumerate(asked):
         if t:
@@ -82,3 +82,16 @@ def test_edges(spark):
     for some in (labels, labels.limit(0)):
         assert sorted((str(r.doc_id), r.kept) for r in quality(docs, some).collect()) == [("1", False), ("2", False), ("2", True), ("None", True)]
     assert quality(docs.limit(0), labels).count() == 0
+
+
+def test_extra_columns_and_long_texts(spark):
+    names = ["g", "n", "v", "h", "lang2", "_n", "_tail", "_sum", "perplexity"]
+    docs = spark.createDataFrame([(1, "the cat " * 40_000, "en", *names), (2, "the cat sat", "en", *names)], ["doc_id", "text", "lang", *names])
+    labels = spark.createDataFrame([(2, 1, "x")], "doc_id long, quality int, lang string")
+    assert sorted((r.doc_id, r.kept) for r in quality(docs, labels).collect()) == [(1, True), (2, True)]
+
+
+def test_the_most_frequent(spark):
+    rows = spark.createDataFrame([(c,) for c in (5, 4, 4, 3, 1, 1)], "c long")
+    got = lambda n: sorted(r.c for r in most_frequent(rows, n).collect())
+    assert got(4) == [3, 4, 4, 5] and got(2) == [5] and got(0) == [] and len(got(10)) == 6
