@@ -87,6 +87,16 @@ def has_rows_within(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name with so many underscores before it that df has no such column, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def n_words(text: Column) -> Column:
     """How many words a text has; 0 for null."""
     trimmed = F.btrim(text, F.lit(SPACE))

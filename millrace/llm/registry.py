@@ -12,7 +12,6 @@ from .packing import op8_packing
 from .quality_model import op6_quality_model
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
 from .quality_rules import op9_quality_rules
-from .source_mix import ORACLE as MIX_SQL
 from .source_mix import op10_source_mix
 from .token_counts import op4_token_counts
 from .toxicity import op3_toxicity
@@ -33,5 +32,4 @@ ORACLES = {
     "op1_knn_join": KNN_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
     "op9_quality_rules": QUALITY_RULES_SQL,
-    "op10_source_mix": MIX_SQL,
 }

@@ -1,28 +1,33 @@
 """Mixing sources to target weights by a min-cost flow over membership patterns.
 
-Documents are aggregated by the set of sources they belong to. A flow routes token capacity from
-patterns to source quotas: a pattern offers its tokens once at no cost, a second time at cost 1, a
-third time at cost 2 and so on (convex repetition costs), so no document repeats before all
-reachable ones were used. Whole rounds repeat every document of a pattern; of the last, partial
-round a seeded prefix of documents is taken.
+Documents are aggregated by the set of sources they belong to, their pattern. In the corpus a text
+belongs to every source that carries a copy of it. A flow routes token capacity from patterns to source
+quotas at convex repetition costs: a pattern gives its texts once at no cost, a second time at cost
+1, a third and fourth time at cost 2, up to eight times at cost 3 and so on, so that no text repeats
+before all that can be reached were used. The cost of a path depends on its first edge alone, so the
+cheapest flow comes from largest flows, one cost after the other. What a pattern gives to a source
+is taken in whole rounds, and of the last, partial round as a seeded prefix of documents.
 
 Defined results: null texts and texts without words have size 0 and are never taken; a null source
-is a source of its own, ordered last; rows that tie (repeats of an id in a source) go together; an
-empty table gives no rows. Extra columns are ignored by `mix` and kept by `mixed_documents`.
+is a source of its own, ordered last; rows that tie (repeats of an id in a source) are told apart by
+their text and then by their place in the table, so that a part of them can be taken; an empty table
+gives no rows. Extra columns are ignored by the query and kept by `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
 
-#: A plan is made on the driver from one row per pattern, never from documents; more patterns than this are refused.
-MAX_PATTERNS = 200_000
+#: Rows of small tables (texts that several sources carry; plans) that are broadcast; beyond it they are joined by shuffle.
+BROADCAST_TEXTS, BROADCAST_PLAN = 500_000, 50_000
 
 
 def capped_shares(sizes: list[tuple[str | None, int]], weights: dict, most: int) -> dict:
@@ -39,201 +44,201 @@ def capped_shares(sizes: list[tuple[str | None, int]], weights: dict, most: int)
     return out
 
 
-def _component(patterns: list[tuple[tuple, int]], quota: dict, most: int) -> dict[tuple, dict]:
-    """Min-cost flow by successive shortest paths; node 0 is the origin, 1 the sink."""
-    nodes: dict = {}
-    graph: dict[int, list[int]] = defaultdict(list)
-    to, room, cost = [], [], []
+@dataclass
+class Pattern:
+    """A set of sources, the tokens of one round over its distinct texts, and what each source can take of it at most."""
 
-    def node(x) -> int:
-        return nodes.setdefault(x, len(nodes) + 2)
+    members: tuple
+    round: int
+    most: dict
 
-    def edge(a: int, b: int, cap: int, price: int) -> int:
-        for u, v, c, p in ((a, b, cap, price), (b, a, 0, -price)):
-            graph[u].append(len(to))
-            to.append(v), room.append(c), cost.append(p)
-        return len(to) - 2
 
-    routes = {}
-    for members, size in patterns:
-        for tier in range(most):
-            edge(0, node(("p", members)), size, tier)
-        routes[members] = {s: edge(node(("p", members)), node(("s", s)), most * size, 0) for s in dict.fromkeys(members)}
-    for s in {s for members, _ in patterns for s in members}:
-        edge(node(("s", s)), 1, quota.get(s, 0), 0)
+def _blocking_flows(graph: list[list[int]], to: list[int], room: list[int], origin: int, sink: int) -> None:
+    """Fills a network to its largest flow: shortest paths first, all of one length together."""
     while True:
-        dist, via, queue, queued = {0: 0}, {}, deque([0]), {0}
+        level, queue = {origin: 0}, deque([origin])
         while queue:
             u = queue.popleft()
-            queued.discard(u)
             for e in graph[u]:
-                if room[e] > 0 and dist[u] + cost[e] < dist.get(to[e], 1 << 60):
-                    dist[to[e]], via[to[e]] = dist[u] + cost[e], e
-                    if to[e] not in queued:
-                        queue.append(to[e])
-                        queued.add(to[e])
-        if 1 not in dist:
-            break
-        path, v = [], 1
-        while v:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        step = min(room[e] for e in path)
-        for e in path:
-            room[e] -= step
-            room[e ^ 1] += step
-    return {m: {s: room[e ^ 1] for s, e in r.items()} for m, r in routes.items()}
-
-
-def route(patterns: list[tuple[tuple, int]], quota: dict, most: int = 3) -> dict[tuple, dict]:
-    """Tokens that each pattern gives to each of its sources. Patterns that share no source are solved apart."""
-    up: dict = {}
-
-    def root(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for members, _ in patterns:
-        for s in members[1:]:
-            up[root(members[0])] = root(s)
-    parts = defaultdict(list)
-    for members, size in patterns:
-        if members and size > 0:
-            parts[root(members[0])].append((members, size))
-    out: dict = {}
-    for part in parts.values():
-        out |= _component(part, quota, most)
-    return out
+                if room[e] > 0 and to[e] not in level:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if sink not in level:
+            return
+        at = [0] * len(graph)
+        while True:
+            path, v = [], origin
+            while v != sink:
+                edges = graph[v]
+                while at[v] < len(edges) and not (room[edges[at[v]]] > 0 and level.get(to[edges[at[v]]]) == level[v] + 1):
+                    at[v] += 1
+                if at[v] < len(edges):
+                    path.append(edges[at[v]])
+                    v = to[path[-1]]
+                elif path:
+                    v = to[path.pop() ^ 1]
+                    at[v] += 1
+                else:
+                    break
+            if v != sink:
+                break
+            step = min(room[e] for e in path)
+            for e in path:
+                room[e] -= step
+                room[e ^ 1] += step
+
+
+def route(patterns: list[Pattern], quota: dict) -> list[dict]:
+    """Tokens that each pattern gives to each of its sources: the largest flow, and of those one of least cost."""
+    sources = {s: i for i, s in enumerate(dict.fromkeys(s for p in patterns for s in p.members))}
+    first = 2 + len(sources)
+    graph: list[list[int]] = [[] for _ in range(first + len(patterns))]
+    to, room = [], []
+
+    def edge(a: int, b: int, cap: int) -> int:
+        for u, v, c in ((a, b, cap), (b, a, 0)):
+            graph[u].append(len(to))
+            to.append(v), room.append(c)
+        return len(to) - 2
 
+    origins = [edge(0, first + i, 0) for i in range(len(patterns))]
+    routes = [{s: edge(first + i, 2 + sources[s], p.most[s]) for s in p.members} for i, p in enumerate(patterns)]
+    needs = [edge(2 + i, 1, quota.get(s, 0)) for s, i in sources.items()]
+    given, cost = [0] * len(patterns), 0
+    while any(room[e] for e in needs) and any(g < sum(p.most.values()) for g, p in zip(given, patterns)):
+        for i, p in enumerate(patterns):  # the first round costs 0, the second 1, the next two 2, the next four 3
+            open_ = min(sum(p.most.values()), p.round * 2**cost) if p.round else 0
+            room[origins[i]] += max(0, open_ - given[i])
+            given[i] = max(given[i], open_) if p.round else sum(p.most.values())
+        _blocking_flows(graph, to, room, 0, 1)
+        cost += 1
+    return [{s: room[e ^ 1] for s, e in r.items()} for r in routes]
 
-def _order_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
+def _coded(source: Column) -> Column:
+    return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string")))
 
-def plan(rows: DataFrame, quotas, most: int = 3, digits: int = 3) -> DataFrame:
-    """From (members array, size, key): per pattern the whole rounds and the last key of the partial round.
 
-    quotas: a function of [(members, size)] giving {source: tokens}. Only sums by pattern, and by pattern and
-    leading digits of the key, leave the executors' aggregation; exact key order is needed only inside the one
-    bucket of 16^-digits of a pattern where its partial round ends.
-    """
-    spark = rows.sparkSession
-    sums = rows.groupBy("members").agg(F.sum("size").alias("size"))
-    got = sums.limit(MAX_PATTERNS + 1).collect()
-    if len(got) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = sorted(((tuple(r.members), r["size"]) for r in got), key=lambda x: [(s is None, s or "") for s in x[0]])
-    flows = route(patterns, quotas(patterns), most)
-    made = []
-    for members, size in patterns:
-        give = sum(flows.get(members, {}).values())
-        rounds = min(most, give // size) if size else 0
-        made.append((list(members), int(size), int(rounds), int(give - rounds * size)))
-    per = spark.createDataFrame(made, "members array<string>, pattern_size long, rounds long, rest long")
-    cells = rows.groupBy("members", F.substring("key", 1, digits).alias("cell")).agg(F.sum("size").alias("size"))
-    upto = Window.partitionBy("members").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        cells.withColumn("after", F.sum("size").over(upto))
-        .join(per.where("rest > 0"), "members")
-        .where("after > rest and after - size <= rest")
-        .select("members", "cell", (F.col("rest") - F.col("after") + F.col("size")).alias("open"))
-    )
-    edge = edge.groupBy("members").agg(F.min("cell").alias("cell"), F.max_by("open", F.lit(0) - F.conv("cell", 16, 10).cast("int")).alias("open"))
-    inside = rows.withColumn("cell", F.substring("key", 1, digits)).join(edge, ["members", "cell"])
-    ties = inside.groupBy("members", "cell", "open", "key").agg(F.sum("size").alias("size"))
-    along = Window.partitionBy("members", "cell").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = (
-        ties.withColumn("after", F.sum("size").over(along))
-        .where("2 * after - size <= 2 * open")
-        .groupBy("members")
-        .agg(F.max("key").alias("last_key"))
-    )
-    # Without a key inside the bucket the round ends just before it.
-    return per.join(edge.select("members", "cell"), "members", "left").join(last, "members", "left").select(
-        "members", "pattern_size", "rounds", F.coalesce("last_key", "cell", F.lit("")).alias("upto_key"), F.col("last_key").isNotNull().alias("closed")
-    )
+def _source(code: str) -> str | None:
+    return None if code == "n" else code[1:]
+
 
+def _edges(rows: DataFrame, by: list[str], key: str, digits: int = 3) -> DataFrame:
+    """Where each group's prefix by key ends: (by, the first key that doesn't fit into `open` as a whole, tokens left before it) of rows (by, key, size, open).
+
+    Only sums by leading digits of the key leave the executors' aggregation; single keys are sorted inside the one
+    cell of 16^-digits of a group where its prefix ends.
+    """
+    upto = lambda c: Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    celled = rows.withColumn("cell", F.substring(key, 1, digits))
+    cells = celled.groupBy(*by, "cell").agg(F.sum("size").alias("size"), F.min("open").alias("open")).withColumn("after", F.sum("size").over(upto("cell")))
+    cells = cells.where("after > open and after - size <= open").select(*by, "cell", (F.col("open") - F.col("after") + F.col("size")).alias("left"))
+    inside = celled.join(cells, [*by, "cell"]).groupBy(*by, key).agg(F.sum("size").alias("size"), F.min("left").alias("left")).withColumn("after", F.sum("size").over(upto(key)))
+    return inside.where("after > left and after - size <= left").select(*by, F.col(key).alias(f"edge_{key}"), (F.col("left") - F.col("after") + F.col("size")).alias("left"))
 
-def _copies() -> Column:
-    extra = F.when(F.col("closed"), F.col("key") <= F.col("upto_key")).otherwise(F.col("key") < F.col("upto_key"))
-    return F.col("rounds") + F.when(extra, 1).otherwise(0)
 
+def plan(rows: DataFrame, cells: list[tuple[list, str, int, int]]) -> DataFrame:
+    """(members, own, cell_size, rounds, and where the partial round ends) of rows (members, own, size, key, tie).
 
-def contract_quotas(patterns: list[tuple[tuple, int]], most: int = 3) -> dict:
-    """Targets: sources by code point, null last, weigh 1, 2, 3, repeating."""
-    sizes: dict = defaultdict(int)
-    for members, n in patterns:
-        for s in members:
-            sizes[s] += n
+    cells: (members, own, their tokens, tokens to take). The end is a key, a tie-breaker within that key, and whether its rows are in.
+    """
+    made = [(m, own, n, give // n if n else 0, give % n if n else 0) for m, own, n, give in cells]
+    by = ["members", "own"]
+    per = rows.sparkSession.createDataFrame(made, "members array<string>, own string, cell_size long, rounds long, rest long")
+    named = per.where("rest > 0").select(*by, F.col("rest").alias("open"))
+    named = F.broadcast(named) if len(made) <= BROADCAST_PLAN else named
+    ends = common.cut(_edges(rows.join(named, by), by, "key"))
+    tied = rows.join(F.broadcast(ends) if len(made) <= BROADCAST_PLAN else ends, by).where("key = edge_key").withColumn("open", F.col("left")).drop("left")
+    last = _edges(tied, by, "tie").withColumnRenamed("left", "last")
+    sizes = tied.join(last, by).where("tie = edge_tie").groupBy(*by).agg(F.sum("size").alias("tied"))
+    last = last.join(sizes, by).select(*by, "edge_tie", (2 * F.col("last") >= F.col("tied")).alias("closed"))
+    return per.drop("rest").join(ends.drop("left"), by, "left").join(last, by, "left")
+
+
+def contract_quotas(sizes: dict, most: int = 3) -> dict:
+    """Targets of {source: tokens}: sources by code point, null last, weigh 1, 2, 3, repeating."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     return capped_shares([(s, sizes[s]) for s in order], {s: 1 + i % 3 for i, s in enumerate(order)}, most)
 
 
-def mix(docs: DataFrame, members: Column, seed: int = 7, quotas=contract_quotas, most: int = 3) -> tuple[DataFrame, DataFrame, dict]:
-    """(per document: _members, _size, _copies beside docs' own columns; the plan; the targets)."""
-    keyed = docs.withColumns({"_members": members, "_size": common.n_words(F.col("text")), "_key": _order_key(F.col("doc_id"), seed)})
-    slim = common.cut(keyed.select(F.col("_members").alias("members"), F.col("_size").alias("size"), F.col("_key").alias("key")))
-    targets: dict = {}
-
-    def quota(patterns):
-        targets.update(quotas(patterns, most))
-        return {s: int(t) for s, t in targets.items()}
-
-    chosen = common.cut(plan(slim, quota, most))
-    few = common.has_rows_within(chosen, 10_000)
-    named = chosen.select(F.col("members").alias("_m"), *[F.col(c).alias(f"_{c}") for c in ("pattern_size", "rounds", "upto_key", "closed")])
-    extra = F.when(F.col("_closed"), F.col("_key") <= F.col("_upto_key")).otherwise(F.col("_key") < F.col("_upto_key"))
-    out = (
-        keyed.join(F.broadcast(named) if few else named, keyed._members == named._m, "left")
-        .withColumn("_copies", F.when(F.col("_size") == 0, 0).otherwise(F.col("_rounds") + F.when(extra, 1).otherwise(0)))
-        .drop("_m", "_rounds", "_upto_key", "_closed", "_key")
+@dataclass
+class Mix:
+    """docs' columns with the names of two more, tokens and copies to take; per source its tokens and its target."""
+
+    rows: DataFrame
+    size: str
+    copies: str
+    sources: dict
+
+
+def mix(docs: DataFrame, members: Column | None = None, seed: int = 7, quotas: Callable[[dict, int], dict] = contract_quotas, most: int = 3) -> Mix:
+    """Every document with the number of times that the mix takes it, at most `most`.
+
+    members: the sources that a row can be counted to (an array); then any of them may take it. Without it a row counts to
+    its `source`, and the pattern of a text is the set of sources that carry it.
+    """
+    by_text = members is None
+    size, copies, key, tie, text, pattern, own = common.unused(docs, "size", "copies", "key", "tie", "text_hash", "members", "own")
+    keyed = docs.withColumns(
+        {
+            size: common.n_words(F.col("text")),
+            key: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))),
+            tie: F.lpad(F.hex(F.xxhash64(F.lit(seed), "text", F.monotonically_increasing_id())), 16, "0"),
+            text: F.xxhash64("text"),
+            own: _coded(F.col("source")) if by_text else F.lit(""),
+            pattern: F.array(_coded(F.col("source"))) if by_text else F.array_sort(F.array_distinct(F.transform(members, _coded))),
+        }
     )
-    return out, chosen, targets
+    slim = common.cut(keyed.where(F.col(size) > 0).select(*[F.col(c).alias(n) for c, n in ((pattern, "members"), (own, "own"), (size, "size"), (key, "key"), (tie, "tie"), (text, "text"))]))
+    texts = slim.groupBy("text", "own").agg(F.min("size").alias("size")).groupBy("text").agg(F.array_sort(F.collect_set("own")).alias("shared"), F.min("size").alias("size"))
+    if by_text:
+        shared = common.cut(texts.where("size(shared) > 1").select("text", "shared"))
+        shared = F.broadcast(shared) if common.has_rows_within(shared, BROADCAST_TEXTS) else shared
+        slim = common.cut(slim.join(shared, "text", "left").withColumn("members", F.coalesce("shared", "members")).drop("shared"))
+        rounds = texts.groupBy(F.col("shared").alias("members")).agg(F.sum("size").alias("round"))
+    else:
+        rounds = slim.groupBy("members").agg(F.sum("size").alias("round"))
+    per_round = {tuple(r.members): r["round"] for r in rounds.toLocalIterator()}
+    held = {(tuple(r.members), r.own): r["size"] for r in slim.groupBy("members", "own").agg(F.sum("size").alias("size")).toLocalIterator()}
+
+    sizes: dict = {_source(r.own): 0 for r in keyed.select(F.col(own).alias("own")).distinct().toLocalIterator()} if by_text else {}
+    for (m, o), n in held.items():
+        for s in [o] if by_text else m:
+            sizes[_source(s)] = sizes.get(_source(s), 0) + n
+    targets = quotas(sizes, most)
+    patterns = [Pattern(m, per_round[m], {s: most * (held.get((m, s), 0) if by_text else n) for s in m}) for m, n in sorted(per_round.items())]
+    flows = dict(zip([p.members for p in patterns], route(patterns, {_coded_name(s): int(t) for s, t in targets.items()})))
+    cells = [(list(m), o, n, min(most * n, flows[m][o] if by_text else sum(flows[m].values()))) for (m, o), n in sorted(held.items())]
+    chosen = common.cut(plan(slim, cells))
+
+    p = {c: f"{pattern}_{c}" for c in chosen.columns}
+    chosen = chosen.select(*[F.col(c).alias(n) for c, n in p.items()])
+    if by_text:
+        shared = shared.select(F.col("text").alias(f"{text}_shared"), F.col("shared").alias(f"{pattern}_shared"))
+        keyed = keyed.join(shared, F.col(text) == F.col(f"{text}_shared"), "left").withColumn(pattern, F.coalesce(f"{pattern}_shared", pattern))
+    out = keyed.join(F.broadcast(chosen) if len(cells) <= BROADCAST_PLAN else chosen, (F.col(pattern) == F.col(p["members"])) & (F.col(own) == F.col(p["own"])), "left")
+    at_edge = (F.col(key) == F.col(p["edge_key"])) & ((F.col(tie) < F.col(p["edge_tie"])) | ((F.col(tie) == F.col(p["edge_tie"])) & F.col(p["closed"])))
+    extra = F.coalesce((F.col(key) < F.col(p["edge_key"])) | at_edge, F.lit(False)).cast("long")
+    out = out.withColumn(copies, F.when(F.col(size) == 0, F.lit(0)).otherwise(F.col(p["rounds"]) + extra).cast("long"))
+    return Mix(out.select(*docs.columns, size, copies), size, copies, {s: (n, targets.get(s, 0.0)) for s, n in sizes.items()})
+
+
+def _coded_name(source: str | None) -> str:
+    return "n" if source is None else f"s{source}"
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
-    out, _, _ = mix(docs, F.array("source"), seed)
-    return out.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    m = mix(docs, seed=seed)
+    (one,) = common.unused(m.rows, "one")
+    return m.rows.where(F.col(m.copies) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(m.copies).cast("int")))).select(*docs.columns)
 
 
-def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_source_mix(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out, _, targets = mix(docs, F.array("source"))
-    named = spark.createDataFrame([([s], float(t)) for s, t in targets.items()], "t array<string>, target double")
-    few = len(targets) <= 10_000
-    return out.join(F.broadcast(named) if few else named, F.col("_members") == F.col("t"), "left").select(
-        "doc_id", F.col("_size").alias("size"), F.col("_pattern_size").alias("source_size"), "target", (F.col("_copies") * F.col("_size")).alias("taken")
+    m = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    named = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in m.sources.items()], "named string, source_size long, target double")
+    named = F.broadcast(named) if len(m.sources) <= BROADCAST_PLAN else named
+    return m.rows.join(named, F.col("source").eqNullSafe(F.col("named")), "left").select(
+        "doc_id", F.col(m.size).alias("size"), "source_size", "target", (F.col(m.copies) * F.col(m.size)).alias("taken")
     )
-
-
-ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS key
-  FROM documents),
-s AS (
-  SELECT source, sum(size)::BIGINT AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
-  FROM d GROUP BY source),
-r AS (
-  SELECT *, coalesce(sum(3 * n) OVER before, 0) AS capped, coalesce(sum(w) OVER before, 0) AS gone,
-         sum(n) OVER () AS total, sum(w) OVER () AS weights, row_number() OVER (ORDER BY 3 * n / w, source NULLS LAST) AS k
-  FROM s WINDOW before AS (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (
-  SELECT arg_min((total - capped)::DOUBLE / (weights - gone)::DOUBLE, k) AS level, min(k) AS first
-  FROM r WHERE 3 * n >= (total - capped)::DOUBLE / (weights - gone)::DOUBLE * w),
-t AS (SELECT source, n, CASE WHEN k >= first THEN level * w ELSE (3 * n)::DOUBLE END AS target FROM r, l),
-p AS (
-  SELECT *, CASE WHEN n > 0 THEN least(3, floor(target)::BIGINT // n) ELSE 0 END AS rounds FROM t),
-c AS (
-  SELECT d.*, p.n, p.target, p.rounds, floor(p.target)::BIGINT - p.rounds * p.n AS rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after,
-         sum(size) OVER (PARTITION BY d.source, key) AS tied
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, n AS source_size, target,
-       (size * (rounds + CASE WHEN rest > 0 AND 2 * after - tied <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c
-"""
