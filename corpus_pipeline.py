@@ -22,23 +22,27 @@ from millrace.llm.source_mix import mixed_documents
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be recognised; null texts and texts without a letter go."""
     held = common.held_out(F.col("doc_id"), 4, 2)
-    return identify(docs, samples(docs.where(~held)), keep_text=True, prefix="_").where("_lang_pred <> 'und'").select(*docs.columns)
+    lang, score = common.unused(docs, "lang_pred", "score")
+    return identify(docs, samples(docs.where(~held)), keep_text=True, names=(lang, score)).where(F.col(lang) != "und").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; those that had words and lost all of them go."""
     word = F.coalesce(F.col("text").rlike(common.WORD_RE), F.lit(False))
-    return remove_boilerplate(docs).where((F.col("_n_removed") == 0) | word).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, _, removed = remove_boilerplate(docs)
+    changed = F.col(removed) > 0
+    return rows.where(~changed | word).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least id; documents without words stay."""
-    rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    if not rows.groupBy("_row").count().where("count > 1 OR _row IS NULL").isEmpty():
-        rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    gone = common.cut(near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_row")))
+    (row,) = common.unused(docs, "row")
+    rows = docs.withColumn(row, F.col("doc_id").cast("long"))
+    if not rows.groupBy(row).count().where(F.col("count") > 1).isEmpty() or not rows.where(F.col(row).isNull()).isEmpty():
+        rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = common.cut(near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias(row)))
     few = common.has_rows_within(gone, 1_000_000)
-    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

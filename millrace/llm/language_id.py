@@ -6,17 +6,19 @@ phrase); phrases times log2(sample length) over the text's length estimates the
 language with the fewest such normalised phrases wins, ties to the smaller name.
 
 The automata of all languages are one table of transitions; numpy steps many stretches of text
-through it at once. Stretches of 1024 bytes are parsed apart, which adds the same phrase ends for
-every language. Upper case counts as lower case; digits, ASCII symbols and spaces count as one gap.
-
-Defined results: null texts and texts without a letter are `und` with score 0, as is everything if
-no language could be learned; repeated rows get a row each; an empty table gives no rows.
+through it at once. Each stretch is first parsed from its start; then the parse that really enters it
+from the stretch before is followed until it meets that one, from where on they agree. So texts of any
+length are parsed whole, as one sequence of phrases. Upper case counts as lower case; digits, ASCII
+symbols and spaces count as one gap.
+
+Defined results: null texts and texts without a letter (Unicode's category L) are `und` with score 0, as
+is everything if no language could be learned; repeated rows get a row each; an empty table gives no
+rows; columns of any other name pass through or are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,6 @@ from . import common
 #: Bounds of the training sample: documents per language, and characters of each (the fit only; predictions read whole texts).
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 1000
 STRETCH = 1024
-_HAS_LETTER = re.compile(r"[^\W\d_]").search
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
 _GAP[97:123] = False
@@ -75,64 +76,106 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 class CrossParser:
     """samples: {language: text}."""
 
     def __init__(self, samples: dict[str, str]):
         plain = {k: _plain(v) for k, v in sorted(samples.items())}
         self.languages = [k for k, v in plain.items() if len(v)]
-        used = np.unique(np.concatenate([plain[k] for k in self.languages] or [np.zeros(0, np.uint8)]))
-        self.code = np.zeros(256, np.int32)  # 0: a byte that no sample has
-        self.code[used] = np.arange(1, len(used) + 1)
-        wide = len(used) + 1
+        self.code = np.zeros((len(self.languages), 256), np.int16)  # by language; 0: a byte that its sample lacks
         self.bits, self.roots, blocks, base = [], [], [], 0
-        for k in self.languages:
-            moves = suffix_automaton(self.code[plain[k]].tolist())
-            restart = np.full(wide, (base + len(moves)) * wide, np.int32)  # after a byte that the sample lacks, any move is missing
+        for code, k in zip(self.code, self.languages):
+            used = np.unique(plain[k])
+            code[used] = np.arange(1, len(used) + 1)
+            wide = len(used) + 1
+            moves = suffix_automaton(code[plain[k]].tolist())
+            restart = np.full(wide, base + len(moves) * wide, np.int64)  # after a byte that the sample lacks, any move is missing
             for c, s in moves[0].items():
-                restart[c] = (base + s) * wide
+                restart[c] = base + s * wide
             block = np.tile(~restart, (len(moves) + 1, 1))  # a missing move: the complement of where the next phrase begins
             block[0] = restart
             for s, m in enumerate(moves):
                 for c, t in m.items():
-                    block[s, c] = (base + t) * wide
-            blocks.append(block.ravel())
-            self.roots.append(base * wide)
+                    block[s, c] = base + t * wide
+            blocks.append(block.ravel() if base + block.size >= 2**31 else block.ravel().astype(np.int32))
+            self.roots.append(base)
             self.bits.append(np.log2(max(2, len(plain[k]))))
-            base += len(moves) + 1
+            base += block.size
         self.table = np.concatenate(blocks) if blocks else np.zeros(0, np.int32)
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+    def phrases(self, texts: list[np.ndarray], stretch: int = STRETCH) -> np.ndarray:
         """(texts, languages): into how many phrases each text falls."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         sizes = np.array([len(t) for t in texts])
         if not len(self.languages) or not sizes.sum():
             return out
-        owner = np.repeat(np.arange(len(texts)), -(-sizes // STRETCH))
-        first = np.concatenate([np.arange(0, n, STRETCH) for n in sizes])
+        owner = np.repeat(np.arange(len(texts)), -(-sizes // stretch))
+        first = np.concatenate([np.arange(0, n, stretch) for n in sizes])
         begin = first + (np.cumsum(sizes) - sizes)[owner]
-        length = np.minimum(STRETCH, sizes[owner] - first)
+        length = np.minimum(stretch, sizes[owner] - first)
+        codes = self.code[:, np.append(np.concatenate(texts), np.zeros(stretch, np.uint8))]
+
         order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
-        codes = np.append(self.code[np.concatenate(texts)], np.zeros(STRETCH, np.int32))
-        active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), axis=1)
+        active = np.searchsorted(-length[order], -np.arange(length.max()), side="left")
+        roots = np.array(self.roots, self.table.dtype)[:, None]
+        state = np.repeat(roots, len(owner), axis=1)
         ended = np.zeros(state.shape, np.int32)
-        for t in range(length[0]):
+        at = begin[order]
+        for t in range(length.max()):
             n = active[t]
-            to = self.table[state[:, :n] + codes[begin[:n] + t]]
-            miss = to >> 31
-            ended[:, :n] -= miss
+            to = self.table[state[:, :n] + codes[:, at[:n] + t]]
+            miss = to >> (8 * to.itemsize - 1)
+            ended[:, :n] -= miss.astype(np.int32)
             state[:, :n] = to ^ miss
-        np.add.at(out, owner, (ended + 1).T)
-        return out
+        back = np.argsort(order, kind="stable")
+        state, ended = state[:, back], ended[:, back]
+
+        # Stretches that continue a text: what they are entered with is first taken to be the end of a parse from the start of the
+        # stretch before, and followed again where that turns out to be another state.
+        real, counts = state.copy(), ended.copy()
+        lang, k = np.nonzero(np.broadcast_to(first > 0, state.shape))
+        while len(k):
+            end, counts[lang, k] = self._follow(real[lang, k - 1], roots[lang, 0], state[lang, k], ended[lang, k], codes, lang, begin[k], length[k])
+            other = (end != real[lang, k]) & (np.append(first, 0)[k + 1] > 0)
+            real[lang, k] = end
+            lang, k = lang[other], k[other] + 1
+        np.add.at(out, owner, counts.T)
+        return out + (sizes > 0)[:, None]
+
+    def _step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = self.table[state + codes]
+        return np.where(to < 0, ~to, to), to < 0
+
+    def _follow(self, entered, root, root_end, root_count, codes, lang, begin, length) -> tuple[np.ndarray, np.ndarray]:
+        """(end states, phrase ends) of stretches entered in some state, given those of a parse from the root."""
+        end, count = entered.copy(), np.zeros(len(entered), np.int32)
+        lane, x, y = np.arange(len(entered)), entered, root
+        seen = np.zeros(len(entered), np.int32)  # phrase ends of the parse from the root, so far
+        t = 0
+        while len(lane):
+            c = codes[lang[lane], begin[lane] + t]
+            (x, x_miss), (y, y_miss) = self._step(x, c), self._step(y, c)
+            count[lane] += x_miss
+            seen[lane] += y_miss
+            t += 1
+            met, over = x == y, length[lane] == t
+            done = lane[met]
+            end[done], count[done] = root_end[done], count[done] + root_count[done] - seen[done]
+            end[lane[over & ~met]] = x[over & ~met]
+            go = ~met & ~over
+            lane, x, y = lane[go], x[go], y[go]
+        return end, count
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out, k = [], 0
         while k < len(texts):
             part, total = [], 0
             while k < len(texts) and total < 4_000_000:
-                t = texts[k] if texts[k] and _HAS_LETTER(texts[k]) else ""
+                t = texts[k] if texts[k] and has_letter(texts[k]) else ""
                 part.append(_plain(t))
                 total += len(part[-1])
                 k += 1
@@ -160,21 +203,21 @@ def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     return {k: "\n".join(v) for k, v in out.items()}
 
 
-def identify(docs: DataFrame, texts: dict[str, str], keep_text: bool = False, prefix: str = "") -> DataFrame:
-    """docs' columns (the text only if asked for) with lang_pred and score, whose names get the prefix."""
-    model = ("parser", hashlib.md5(repr(sorted(texts.items())).encode()).hexdigest())
-    kept = [f for f in docs.schema.fields if f.name != "text" or keep_text]
-    names = [*[f.name for f in kept], f"{prefix}lang_pred", f"{prefix}score"]
+def identify(docs: DataFrame, texts: dict[str, str], keep_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns (the text only if asked for), less any of these names, with the predicted language and the score."""
+    model = ("parser", hashlib.md5(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest())
+    kept = [f for f in docs.schema.fields if f.name not in names and (f.name != "text" or keep_text)]
+    docs = docs.select(*[f"`{f.name}`" for f in kept if f.name != "text"], "text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = common.only_model(model, lambda: CrossParser(texts))
         for b in batches:
             got = parser.predict(b.column("text").to_pylist())
             new = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *new], names=names)
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *new], names=[*[f.name for f in kept], *names])
 
-    types = [*[f.dataType.simpleString() for f in kept], "string", "double"]
-    return common.in_batches(docs, predict, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)), model)
+    types = [*[(f.name, f.dataType.simpleString()) for f in kept], (names[0], "string"), (names[1], "double")]
+    return common.in_batches(docs, predict, ", ".join(f"`{n}` {t}" for n, t in types), model)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

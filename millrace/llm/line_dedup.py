@@ -9,7 +9,8 @@ so no content is lost altogether.
 Lines are the \\n-separated parts of a text, compared without the white space at their ends; lines
 without a word are never removed. Defined results: null texts stay null and have no lines; rows with
 a null doc_id keep all of theirs (though they count for the spread); a null site is no site; rows
-that repeat an id are treated alike; an empty table gives no rows. Other columns pass through.
+that repeat an id are treated alike; an empty table gives no rows; texts and lines of any length are
+taken whole. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,8 +61,9 @@ def _band(min_sites: int, lg_k: int) -> tuple[int, int]:
     return max(1, math.floor(min_sites * (1 - wide)) - 1), math.ceil(min_sites * (1 + wide)) + 1
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with `text` cleaned, and _n_lines (with a word, before) and _n_removed."""
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> tuple[DataFrame, str, str]:
+    """docs with `text` cleaned and two more columns, whose names follow: lines with a word (before), and lines removed."""
+    n_lines, n_removed, doc, gone_at, clean, left, all_ = common.unused(docs, "n_lines", "n_removed", "doc", "gone", "clean", "left", "all")
     lines = common.cut(boilerplate(docs, site, min_sites))
     few = common.has_rows_within(lines, BROADCAST_PLACES)
     gone = (
@@ -69,17 +71,19 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
         .where("doc_id is not null")
         .join(F.broadcast(lines) if few else lines, ["h1", "h2"])
         .where(~F.col("first").eqNullSafe(F.struct("doc_id", "pos")))
-        .select(F.col("doc_id").alias("_doc"), F.struct("pos", "h1").alias("place"))
+        .select(F.col("doc_id").alias(doc), F.struct("pos", "h1").alias("place"))
     )
-    gone = common.cut(gone.groupBy("_doc").agg(F.collect_set("place").alias("_gone")))
-    total = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if total <= BROADCAST_PLACES else gone, docs["doc_id"] == gone["_doc"], "left").drop("_doc")
+    gone = common.cut(gone.groupBy(doc).agg(F.collect_set("place").alias(gone_at)))
+    total = gone.agg(F.sum(F.size(gone_at))).first()[0] or 0
+    joined = docs.join(F.broadcast(gone) if total <= BROADCAST_PLACES else gone, F.col("doc_id") == F.col(doc), "left").drop(doc)
     worded = F.expr(f"size(filter(split(text, '\\n'), x -> btrim(x, '{_SQL_SPACE}') <> ''))")
-    kept = F.expr(f"filter(split(text, '\\n'), (x, i) -> NOT array_contains(_gone, named_struct('pos', i, 'h1', xxhash64(btrim(x, '{_SQL_SPACE}')))))")
-    clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = joined.withColumns({"_n_lines": F.coalesce(F.when(F.col("text").isNotNull(), worded), F.lit(0)).cast("long"), "_clean": clean, "_kept": F.when(F.col("_gone").isNotNull(), F.size(kept)), "_all": F.size(F.split("text", "\n"))})
-    rows = rows.withColumn("_n_removed", F.coalesce(F.col("_all") - F.col("_kept"), F.lit(0)).cast("long"))
-    return rows.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_n_lines", "_n_removed")
+    kept = F.expr(f"filter(split(text, '\\n'), (x, i) -> NOT array_contains(`{gone_at}`, named_struct('pos', i, 'h1', xxhash64(btrim(x, '{_SQL_SPACE}')))))")
+    touched = F.col(gone_at).isNotNull()
+    rows = joined.withColumns(
+        {n_lines: F.coalesce(F.when(F.col("text").isNotNull(), worded), F.lit(0)).cast("long"), clean: F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text")), left: F.when(touched, F.size(kept)), all_: F.size(F.split("text", "\n"))}
+    )
+    rows = rows.withColumn(n_removed, F.coalesce(F.col(all_) - F.col(left), F.lit(0)).cast("long"))
+    return rows.select(*[F.col(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines, n_removed), n_lines, n_removed
 
 
 _SQL_SPACE = r" \t\n\u000b\f\r".replace(r"\f", r"\u000c")
@@ -89,8 +93,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     text = F.coalesce("text", F.lit(""))
-    return remove_boilerplate(docs).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.md5(text.cast("binary")).alias("md5_left")
+    rows, n_lines, n_removed = remove_boilerplate(docs)
+    return rows.select(
+        "doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.md5(text.cast("binary")).alias("md5_left")
     )
 
 

@@ -28,19 +28,31 @@ def test_phrases_by_substring_search(sample, texts):
         assert row.tolist() == [phrases_by_search(t, bytes(_plain(s))) for s in (sample, "bca")]
 
 
-def test_stretches(spark):
-    text = "ab c" * 700
-    parser = CrossParser({"x": "abc cab"})
-    p = bytes(_plain(text))
-    assert parser.phrases([_plain(text)])[0, 0] == sum(phrases_by_search(p[i : i + 1024], b"abc cab") for i in range(0, len(p), 1024))
+@given(st.text("abc ", min_size=1, max_size=30), st.lists(st.text("abcd ", max_size=90), max_size=5), st.integers(1, 9))
+def test_stretches_make_no_difference(sample, texts, stretch):
+    parser = CrossParser({"x": sample, "y": "bca ab"})
+    plain = [_plain(t) for t in texts]
+    assert parser.phrases(plain, stretch).tolist() == parser.phrases(plain, 1000).tolist()
+
+
+def test_long_texts():
+    rng = np.random.default_rng(3)
+    sample = "".join(rng.choice(list("ab c"), 500))
+    texts = ["".join(rng.choice(list("ab cd"), n)) for n in (5000, 1024, 1025, 3)] + [sample * 20, "ab c" * 700, "a" * 3000]
+    parser = CrossParser({"x": sample})
+    got = parser.phrases([_plain(t) for t in texts])[:, 0].tolist()
+    assert got == [phrases_by_search(bytes(_plain(t)), bytes(_plain(sample))) for t in texts]
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "123 !", "q"), (3, "hello hello", "q"), (None, "日本", "q")], "doc_id long, text string, score string")
-    got = identify(docs.select("doc_id", "text"), {"en": "hello world", "fr": "bonjour"}).collect()
-    assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "fr"), (1, "und"), (2, "und"), (3, "en"), (3, "und")]
+    docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "123 !", "q"), (3, "hello hello", "q"), (None, "日本", "q"), (4, "½²①Ⅷ", "q"), (5, "hello " * 30_000, "q")], "doc_id long, text string, score string")
+    rows = identify(docs, {"en": "hello world", "fr": "bonjour"})
+    got = rows.collect()
+    assert rows.columns == ["doc_id", "lang_pred", "score"]
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "fr"), (1, "und"), (2, "und"), (3, "en"), (3, "und"), (4, "und"), (5, "en")]
     assert all(0 <= r.score <= 1 for r in got)
-    assert [r.lang_pred for r in identify(docs.select("doc_id", "text"), {}).collect()] == ["und"] * 5
+    assert [r.lang_pred for r in identify(docs.select("doc_id", "text"), {}).collect()] == ["und"] * 7
+    assert identify(docs.limit(0), {"en": "hello"}).count() == 0
     assert samples(spark.createDataFrame([], "text string, lang string")) == {}
 
 

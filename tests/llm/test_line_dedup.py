@@ -8,10 +8,10 @@ def test_by_hand(spark):
     docs += [(100 + i, "near\nnear enough", f"s{i % 3}", 1) for i in range(9)]
     docs += [(200 + i, "nine sites", f"s{i % 9}", 1) for i in range(30)]
     docs += [(300, None, "s1", 1), (301, "", None, 1), (None, "Common footer", "s2", 1), (5, "own line 5\n Common footer \n\nnear", "s5", 1), (302, "Common footer", None, 1)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, _n int")
-    rows = remove_boilerplate(frame)
-    assert rows.columns == ["doc_id", "text", "source", "_n", "_n_lines", "_n_removed"]
-    got = {r.doc_id: (r.text, r._n_lines, r._n_removed) for r in rows.collect()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, _n_lines int")
+    rows, n_lines, n_removed = remove_boilerplate(frame)
+    assert rows.columns == ["doc_id", "text", "source", "_n_lines", "__n_lines", "_n_removed"] and {r._n_lines for r in rows.collect()} == {1}
+    got = {r.doc_id: (r.text, r[n_lines], r[n_removed]) for r in rows.collect()}
     assert got[0] == ("own line 0\n Common footer \n\nnear", 3, 0)
     assert got[5] == ("own line 5\n", 3, 2) and rows.count() == len(docs)
     assert got[100] == ("near enough", 2, 1) and got[207] == ("nine sites", 1, 0)
@@ -21,6 +21,16 @@ def test_by_hand(spark):
 def test_exact_counts_decide_near_the_threshold(spark):
     docs = [(i, f"ten sites\n{i}", f"s{i % 10}") for i in range(40)] + [(100 + i, f"nine sites\n{i}", f"s{i % 9}") for i in range(40)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    gone = {r.doc_id for r in remove_boilerplate(frame).where("_n_removed > 0").collect()}
+    gone = {r.doc_id for r in remove_boilerplate(frame)[0].where("_n_removed > 0").collect()}
     assert gone == set(range(1, 40))
-    assert remove_boilerplate(frame.limit(0)).agg(F.count("*")).first()[0] == 0
+    assert remove_boilerplate(frame.limit(0))[0].agg(F.count("*")).first()[0] == 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = ["_n_removed", "_doc", "_gone", "_clean", "_left", "_all", "h1", "pos", "site", "first"]
+    docs = [(i, f"shared\n{'word ' * 60_000}{i}", f"s{i}", *[7] * len(names)) for i in range(12)]
+    frame = spark.createDataFrame(docs, ["doc_id", "text", "source", *names])
+    rows, _, n_removed = remove_boilerplate(frame)
+    got = rows.collect()
+    assert all(r[c] == 7 for r in got for c in names) and sorted(r[n_removed] for r in got) == [0] + [1] * 11
+    assert all(len(r.text) > 300_000 for r in got)

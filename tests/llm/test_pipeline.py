@@ -54,3 +54,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     out = stages(spark, docs)
     assert [x.count() for x in out[:4]] == [7, 4, 4, 2]
     assert all(x.count() == 0 for x in stages(spark, docs.limit(0)))
+
+
+def test_clashing_columns_come_through(spark):
+    names = ["_lang_pred", "_score", "_n_lines", "_n_removed", "_row", "_size", "_members", "_copies", "_key", "_tie", "_own", "size", "members"]
+    rows = [(i, f"one two three four five six {i} seven eight", "en", "s", 1, *range(len(names))) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for x in stages(spark, docs)[:-1]:
+        assert x.columns == docs.columns and x.count() > 0
+        assert all([r[c] for c in names] == list(range(len(names))) for r in x.collect())
