@@ -1,9 +1,11 @@
 """Quality rules: base statistics of whole texts, then robust multivariate outliers.
 
 Per language and source the minimum covariance determinant (MCD) of transformed statistics is
-estimated by concentration steps: from coordinate-wise medians and quartile ranges, each step takes
-the mean and covariance of the three quarters of the rows with the smallest Mahalanobis distances.
-Rows whose distance under the final estimate exceeds a chi-square cutoff are rejected.
+estimated by concentration steps from three starts: medians and quartile ranges, all rows, and the
+rows near the medians. Each step takes the mean and covariance of the three quarters of the rows with
+the smallest Mahalanobis distances; a start is followed until its determinant stops falling, and the
+start that ends with the least determinant wins. Rows whose distance under that estimate exceeds a
+chi-square cutoff are rejected.
 
 All of it is DataFrame expressions. The statistics are rounded to integers, so sums are exact and
 reruns agree; the three-quarter threshold comes from a histogram of distances, so no group meets in
@@ -11,8 +13,8 @@ one task. Groups with fewer than `MIN_ROWS` rows that pass the base rules use th
 estimate, and languages with fewer have none (only the base rules then decide).
 
 Defined results: a null or empty text has zeros everywhere and fails the base rules; null languages
-and sources are groups of their own; repeated rows count each; an empty table gives no rows. Extra
-columns are ignored.
+and sources are groups of their own; repeated rows count each; an empty table gives no rows; texts of
+any length count whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql.window import Window
 from . import common
 
 MIN_ROWS = 60
-STEPS = 4
+#: A step counts as a fall of the determinant if it is less than this share of the one before.
+FALL = 0.999999999
 #: Chi-square with 4 degrees of freedom at 0.99999, and the consistency factor of a three-quarter subset there.
 CUTOFF, CONSISTENCY = 28.47, 1.485
 #: Thousandths, as the statistics are held in: the least spread that a statistic is taken to have.
@@ -57,8 +60,10 @@ MOMENTS = [{f"m{i}": f"s{i} / n" for i in DIMS}, _COV, *_cholesky()]
 START = {f"m{i}": f"CAST(q{i}50 AS DOUBLE)" for i in DIMS} | {
     f"l{i}{j}": f"sqrt((q{i}75 - q{i}25) / 1.349 * ((q{i}75 - q{i}25) / 1.349) + {LEAST[i - 1] ** 2}.0)" if i == j else "0.0E0" for i, j in LOWER
 }
+BOX = " AND ".join(f"abs(x{i} - q{i}50) <= greatest(1.5E0 * (q{i}75 - q{i}25), {LEAST[i - 1]}.0E0)" for i in DIMS)
 PARAMETERS = [*[f"m{i}" for i in DIMS], *[f"l{i}{j}" for i, j in LOWER]]
 DISTANCE = [{f"y{i}": f"(x{i} - m{i}{''.join(f' - l{i}{j} * y{j}' for j in range(1, i))}) / l{i}{i}"} for i in DIMS] + [{"d2": "y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4"}]
+DETERMINANT = " * ".join(f"l{i}{i} * l{i}{i}" for i in DIMS)
 BUCKET = "CAST(floor(CASE WHEN d2 < 4096 THEN d2 ELSE 4096 END * 64) AS BIGINT)"
 
 
@@ -100,8 +105,8 @@ def _layered(df: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
     return df
 
 
-def _joined(rows: DataFrame, per_group: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(per_group) if common.has_rows_within(per_group, 50_000) else per_group, "g")
+def _joined(rows: DataFrame, per_group: DataFrame, by: list[str] | str = "g") -> DataFrame:
+    return rows.join(F.broadcast(per_group) if common.has_rows_within(per_group, 50_000) else per_group, by)
 
 
 def _quartiles(rows: DataFrame) -> DataFrame:
@@ -115,17 +120,33 @@ def _quartiles(rows: DataFrame) -> DataFrame:
     return wide
 
 
-def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    return _layered(rows.groupBy(*by).agg(*[F.expr(v).alias(k) for k, v in SUMS.items()]), [*MOMENTS, {"det": DETERMINANT}]).select(*by, *PARAMETERS, "det")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, start, location and lower Cholesky factor) of the three starts; a group without a row near its medians lacks the third."""
+    quartiles = common.cut(_quartiles(rows))
+    made = [_layered(quartiles, [START]), _moments(rows, "g"), _moments(_joined(rows, quartiles).where(BOX), "g")]
+    made = [x.select("g", F.lit(k).alias("start"), *PARAMETERS) for k, x in enumerate(made, 1)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def mcd(rows: DataFrame) -> DataFrame:
     """(g, location, lower Cholesky factor) of rows (g, x1..x4), which are read a few times."""
-    fit = common.cut(_layered(_quartiles(rows), [START]).select("g", *PARAMETERS))
-    for _ in range(steps):
-        near = _layered(_joined(rows, fit), DISTANCE).select("g", "x1", "x2", "x3", "x4", F.expr(BUCKET).alias("b"))
-        counts = near.groupBy("g", "b").count()
-        by = Window.partitionBy("g")
-        inner = counts.withColumns({"below": F.sum("count").over(by.orderBy("b")), "n": F.sum("count").over(by)}).where("4 * below >= 3 * n").groupBy("g").agg(F.min("b").alias("h"))
-        half = _joined(near, inner).where("b <= h")
-        fit = common.cut(_layered(half.groupBy("g").agg(*[F.expr(v).alias(k) for k, v in SUMS.items()]), MOMENTS).select("g", *PARAMETERS))
-    return fit
+    fit = common.cut(_starts(rows).withColumns({"det": F.lit(float("inf")), "moving": F.lit(True)}))
+    by = Window.partitionBy("g", "start")
+    while not fit.where("moving").isEmpty():
+        near = _layered(_joined(rows, fit.where("moving").select("g", "start", *PARAMETERS)), DISTANCE).select("g", "start", "x1", "x2", "x3", "x4", F.expr(BUCKET).alias("b"))
+        counts = near.groupBy("g", "start", "b").count()
+        inner = counts.withColumns({"below": F.sum("count").over(by.orderBy("b")), "n": F.sum("count").over(by)}).where("4 * below >= 3 * n").groupBy("g", "start").agg(F.min("b").alias("h"))
+        step = _moments(_joined(near, inner, ["g", "start"]).where("b <= h"), "g", "start")
+        step = step.select("g", "start", *[F.col(c).alias(f"new_{c}") for c in (*PARAMETERS, "det")])
+        fell = F.coalesce(F.col("new_det") < F.col("det") * FALL, F.lit(False))
+        both = fit.join(step, ["g", "start"], "left").withColumn("fell", fell)
+        fit = common.cut(both.select("g", "start", *[F.when(F.col("fell"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*PARAMETERS, "det")], F.col("fell").alias("moving")))
+    best = Window.partitionBy("g").orderBy("det", "start")
+    return common.cut(fit.withColumn("n", F.row_number().over(best)).where("n = 1").select("g", *PARAMETERS))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -178,19 +199,22 @@ def oracle() -> str:
         return source
 
     quart = ", ".join(f"quantile_disc(x{i}, {q / 100}) AS q{i}{q}" for i in DIMS for q in (25, 50, 75))
-    keep = ", ".join(["g", *PARAMETERS])
-    ctes.append(f"f0 AS (SELECT {keep} FROM {layered(f'(SELECT g, {quart} FROM x0 GROUP BY g)', [START])})")
-    for k in range(STEPS):
-        ctes.append(f"n{k} AS (SELECT *, {BUCKET} AS b FROM {layered(f'(x0 JOIN f{k} USING (g))', DISTANCE)})")
-        ctes.append(f"h{k} AS (SELECT g, min(b) AS h FROM (SELECT g, b, count(*) OVER (PARTITION BY g ORDER BY b) AS below, count(*) OVER (PARTITION BY g) AS n FROM n{k}) WHERE 4 * below >= 3 * n GROUP BY g)")
-        sums = ", ".join(f"{v} AS {c}" for c, v in SUMS.items())
-        ctes.append(f"f{k + 1} AS (SELECT {keep} FROM {layered(f'(SELECT g, {sums} FROM n{k} JOIN h{k} USING (g) WHERE b <= h GROUP BY g)', MOMENTS)})")
-    last = f"f{STEPS}"
+    ctes.append(f"qs AS (SELECT g, {quart} FROM x0 GROUP BY g)")
+    sums = ", ".join(f"{v} AS {c}" for c, v in SUMS.items())
+    starts = [layered("qs", [START]), layered(f"(SELECT g, {sums} FROM x0 GROUP BY g)", MOMENTS), layered(f"(SELECT g, {sums} FROM x0 JOIN qs USING (g) WHERE {BOX} GROUP BY g)", MOMENTS)]
+    first = " UNION ALL ".join(f"SELECT g, {k} AS start, 0 AS step, 'infinity'::DOUBLE AS det, {', '.join(PARAMETERS)} FROM {x}" for k, x in enumerate(starts, 1))
+    near = f"(SELECT g, start, step, det, x1, x2, x3, x4, {BUCKET} AS b FROM {layered('(x0 JOIN fall USING (g))', DISTANCE)})"
+    ranked = f"(SELECT *, count(*) OVER (PARTITION BY g, start ORDER BY b) AS below, count(*) OVER (PARTITION BY g, start) AS n FROM {near})"
+    inside = f"(SELECT * FROM (SELECT *, min(CASE WHEN 4 * below >= 3 * n THEN b END) OVER (PARTITION BY g, start) AS h FROM {ranked}) WHERE b <= h)"
+    stepped = layered(f"(SELECT g, start, any_value(step) AS step, any_value(det) AS before, {sums} FROM {inside} GROUP BY g, start)", [*MOMENTS, {"det": DETERMINANT}])
+    ctes.append(f"fall AS ({first} UNION ALL SELECT g, start, step + 1, det, {', '.join(PARAMETERS)} FROM {stepped} WHERE det < before * {FALL})")
+    ctes.append("fit AS (SELECT * FROM fall QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start, step DESC) = 1)")
+    last = "fit"
     both = "SELECT st.*, " + ", ".join(f"coalesce(a.{c}, z.{c}) AS {c}" for c in PARAMETERS)
     both += ", " + ", ".join(f"CASE WHEN NOT base_failed THEN {v} END AS {k}" for k, v in VALUES.items())
     ctes.append(f"o AS ({both} FROM st LEFT JOIN {last} a ON st.g2 = a.g LEFT JOIN {last} z ON st.g1 = z.g)")
     columns = ", ".join(["doc_id", *STATS, "base_failed"])
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT {columns}, NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept FROM {layered('o', DISTANCE)}"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT {columns}, NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept FROM {layered('o', DISTANCE)}"
 
 
 ORACLE = oracle()
