@@ -1,23 +1,28 @@
 """Exact top-k inner products by a Voronoi join.
 
-Vectors are assigned to the nearest of a few pivots. From summaries of the cells (sizes, largest
-distances to the pivot, the k smallest ones) follow, for the queries of each cell, a score that k
-candidates reach for certain, and for each data cell the least distance from its pivot at which a
-row could still reach that score (inner products are bounded by the pivots' one and Cauchy-Schwarz
-on the remainders). Rows below it are not sent to that query group. Query groups hold a bounded
-number of queries, and the rows sent to a group are dealt into slices of bounded size, so a cell
-that holds most rows is many tasks; each solves its queries against its slice by matrix products,
-and the slices' winners are merged.
+Vectors are assigned to the nearest of some pivots, whose number grows with the rows. A first pass
+solves each question exactly over the cells most promising by their pivots, as many as hold enough rows; its k-th score there
+is a level that the answer can't fall below. With it, an inner product being bounded by the pivot's one
+and Cauchy-Schwarz on the remainder, follows for every question and data cell the least distance from
+the pivot at which a row could still matter. Only rows beyond it are sent in the second pass. Cells of
+questions that need about the same rows are solved as one group of bounded size, so rows aren't sent
+more often than bounds require; the rows sent to a group are dealt into slices of bounded size, so a
+cell that holds most rows is many tasks. Each task solves its questions against its slice by matrix
+products, and the winners are merged.
 
 Components count as floor(scale * x). Defined results: null vectors, vectors with a null, NaN or
 infinite component and rows with a null id take no part; shorter vectors count as filled with zeros
-up to the longest; a query that repeats is asked once; candidates that repeat are separate rows; a
-row is never its own candidate, nor are rows of its id; ties go to the smaller id; an empty table
-gives no rows. Scores are exact below 2^63. Extra columns are ignored.
+up to the longest; a question whose id repeats is asked once, with the least of its vectors (arrays in
+order); candidates that repeat are separate rows; a row is never its own candidate, nor are rows of its
+id; ties go to the smaller id; an empty table gives no rows. Scores are exact below 2^63. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +31,12 @@ from pyspark.sql.window import Window
 
 from . import common
 
-PIVOTS, QUERIES_PER_GROUP, ROWS_PER_SLICE = 32, 2048, 40_000
+#: Pivots: the square root of the rows over ROWS_PER_PIVOT, at most MAX_PIVOTS (what is held of pairs of cells grows with its
+#: square), spread out over so many times as many rows.
+ROWS_PER_PIVOT, MAX_PIVOTS, LOOKED_AT = 4, 1024, 8
+QUERIES_PER_GROUP, ROWS_PER_SLICE = 2048, 40_000
+#: Small tables (which cell goes to which group) up to so many rows are broadcast.
+BROADCAST_ROWS = 200_000
 _NEVER = -(2**63) + 1
 
 
@@ -66,8 +76,11 @@ def _assigner(pivots: np.ndarray, scale: int):
     return assign
 
 
-def top_rows(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of each query's k best rows of other ids, by blocks of queries and rows."""
+def top_rows(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, met=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, score) of each query's k best rows of other ids, by blocks of queries and rows.
+
+    met: (queries' cells, rows' cells, which pairs of cells have met before and are left out).
+    """
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
     wide = max(queries.shape[1], rows.shape[1])
@@ -80,7 +93,10 @@ def top_rows(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids:
         for b in range(0, len(rows), 8192):
             x = rows[b : b + 8192]
             s = (q @ x.T).astype(np.int64) if exact else q.astype(np.int64) @ x.T.astype(np.int64)
-            s = np.where(q_ids[:, None] == ids[None, b : b + 8192], _NEVER, s)
+            out_of = q_ids[:, None] == ids[None, b : b + 8192]
+            if met:
+                out_of |= met[2][met[0][a : a + 256, None], met[1][order][None, b : b + 8192]]
+            s = np.where(out_of, _NEVER, s)
             place = np.broadcast_to(np.arange(b, b + len(x)), s.shape)
             if s.shape[1] > 4 * k:  # everything from the k-th score up, ties included, then cut
                 level = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
@@ -96,95 +112,180 @@ def top_rows(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids:
     return tuple(np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in range(3))
 
 
-def _solver(scale: int, k: int):
+def _solver(scale: int, k: int, home: dict[int, list[int]] | None):
+    """home: per question cell the cells that its questions have met."""
+    cells = 1 + max((j for c, h in (home or {}).items() for j in (c, *h)), default=0)
+
     def solve(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        got = top_rows(_matrix(queries["embedding"], scale), queries["vec_id"].to_numpy(), _matrix(rows["embedding"], scale), rows["vec_id"].to_numpy(), k) if len(queries) and len(rows) else [np.zeros(0, np.int64)] * 3
+        got = [np.zeros(0, np.int64)] * 3
+        if len(queries) and len(rows):
+            met = None
+            if home:
+                known = np.zeros((cells + 1, cells + 1), bool)
+                for c in np.unique(queries["cell"].to_numpy()).tolist():
+                    known[c, home[c]] = True
+                met = (np.minimum(queries["cell"].to_numpy(), cells), np.minimum(rows["cell"].to_numpy(), cells), known)
+            got = top_rows(_matrix(queries["embedding"], scale), queries["vec_id"].to_numpy(), _matrix(rows["embedding"], scale), rows["vec_id"].to_numpy(), k, met)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), got)})
 
     return solve
 
 
-def _reach(pivots: np.ndarray, data: dict, asked: dict, others: int) -> np.ndarray:
-    """[query cell, data cell]: the least distance from its pivot at which a row of the data cell can matter."""
-    dot, norm = pivots @ pivots.T, np.sqrt((pivots**2).sum(1))
-    out = np.full(dot.shape, np.inf)
-    for i, (_, radius, longest) in asked.items():
-        sure = np.sort([s for j, (_, _, near) in data.items() for s in dot[i, j] - radius * norm[j] - longest * np.array(near)])[::-1]
-        level = sure[others - 1] if len(sure) >= others else -np.inf
-        for j in data:
-            slack = 1 + 1e-9 * (abs(dot[i, j]) + radius * norm[j] + abs(level if np.isfinite(level) else 0))
-            out[i, j] = (level - dot[i, j] - radius * norm[j] - slack) / longest if longest else -np.inf
-    return out
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    """Of distinct rows, `most` that each lie farthest from those before."""
+    apart, chosen = np.full(len(x), np.inf), [0]
+    while len(chosen) < min(most, len(x)):
+        apart = np.minimum(apart, ((x - x[chosen[-1]]) ** 2).sum(1))
+        chosen.append(int(apart.argmax()))
+    return x[chosen]
 
 
-def _slice(slices: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(2), "vec_id", "salt"), slices).cast("int")
+def _needs(pivots: np.ndarray, home: dict[int, list[int]], far: np.ndarray, scale: int):
+    """Per question cell and data cell outside its home: the least distance at which a row matters to one of the questions, where rows that far exist."""
 
+    def needs(batches):
+        least = np.full((len(pivots), len(pivots)), np.inf)
+        for b in batches:
+            x, level, cell = _fit_width(_matrix(b.column("embedding"), scale), pivots.shape[1]), b.column("level").to_numpy(zero_copy_only=False), b.column("cell").to_numpy()
+            norm = b.column("norm").to_numpy()[:, None]
+            dot = x @ pivots.T
+            slack = 1 + 1e-9 * (np.abs(dot) + norm * far + np.abs(np.where(np.isfinite(level), level, 0))[:, None])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                reach = np.where(np.isfinite(level)[:, None] & (norm > 0), (level[:, None] - dot - slack) / norm, -np.inf)
+            np.minimum.at(least, cell, np.where(reach <= far, reach, np.inf))
+        for c, others in home.items():
+            least[c, others] = np.inf
+        c, j = np.nonzero(least < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(j, pa.int32()), pa.array(least[c, j])], names=["c", "cell", "least"])
 
-def knn_join(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score over vectors (vec_id, embedding)."""
-    spark = vectors.sparkSession
+    return needs
+
+
+def _groups(least: dict[int, dict[int, float]], asked: dict[int, int], sizes: dict[int, int], near: list[int]) -> list[tuple[list[int], dict[int, float]]]:
+    """Question cells that need about the same data cells, together: (question cells, {data cell: least distance})."""
+    out: list = []
+    rows = lambda need: sum(sizes[j] for j in need)
+    open_cells, open_need, held = [], {}, 0
+    for c in near:
+        need = least.get(c, {})
+        both = {j: min(open_need.get(j, np.inf), need.get(j, np.inf)) for j in open_need.keys() | need.keys()}
+        if open_cells and (held + asked[c] > QUERIES_PER_GROUP or rows(both) > 1.25 * max(rows(open_need), rows(need))):
+            out.append((open_cells, open_need))
+            open_cells, open_need, held, both = [], {}, 0, need
+        open_cells, open_need, held = [*open_cells, c], both, held + asked[c]
+    return [*out, (open_cells, open_need)] if open_cells else out
+
+
+@dataclass
+class Join:
+    """Questions (vec_id, embedding, cell, norm) and rows (with dist too) of a join for the k best."""
+
+    queries: DataFrame
+    data: DataFrame
+    k: int
+    scale: int
+
+    def pass_over(self, groups: list[tuple[list[int], dict[int, float]]], asked: dict[int, int], sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+        """(questions by group and slice, rows by group and slice) of groups of (question cells, {data cell: least distance})."""
+        spark, parts, sent, g = self.data.sparkSession, [], [], 0
+        for cells, need in groups:
+            if not need:
+                continue
+            slices = max(1, -(-sum(sizes[j] for j in need) // ROWS_PER_SLICE))
+            split = max(1, -(-sum(asked[c] for c in cells) // QUERIES_PER_GROUP))
+            for part in range(split):
+                parts += [(c, split, part, g, slices) for c in cells]
+                sent += [(j, float(d), g, slices) for j, d in need.items()]
+                g += 1
+        to_group = spark.createDataFrame(parts, "cell int, split int, part int, g int, slices int")
+        to_send = spark.createDataFrame(sent, "cell int, least double, g int, slices int")
+        if len(parts) + len(sent) <= BROADCAST_ROWS:
+            to_group, to_send = F.broadcast(to_group), F.broadcast(to_send)
+        left = (
+            self.queries.join(to_group, "cell")
+            .where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("split")) == F.col("part"))
+            .select("g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "vec_id", "embedding", "cell")
+        )
+        # By row, not by id, so that the rows of one id share no slice.
+        salted = self.data.withColumn("salt", F.monotonically_increasing_id()).join(to_send, "cell").where("dist >= least")
+        slice_ = F.pmod(F.xxhash64(F.lit(2), "vec_id", "salt"), F.col("slices")).cast("int")
+        return left, salted.select("g", slice_.alias("slice"), "vec_id", "embedding", "cell")
+
+    def solved(self, left: DataFrame, right: DataFrame, home: dict[int, list[int]] | None = None) -> DataFrame:
+        return left.groupBy("g", "slice").cogroup(right.groupBy("g", "slice")).applyInArrow(_solver(self.scale, self.k, home), "query_id long, vec_id long, score long")
+
+
+def best_rows(won: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return won.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def passes(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024):
+    """Yields (the join, questions, rows, None) of the first pass; expects its winners; yields the same of the second, with the cells that met. Nothing without rows and questions."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     valid = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), is_query.alias("asks"))
-    chosen = valid.select("vec_id", "embedding").orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(PIVOTS).collect()
+    n = valid.count()
+    most = min(MAX_PIVOTS, max(16, math.isqrt(n // ROWS_PER_PIVOT)))
+    chosen = valid.select("vec_id", "embedding").orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(LOOKED_AT * most).collect()
     if not chosen:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivots = np.unique(_matrix(pa.array([r.embedding for r in chosen], pa.list_(pa.float64())), scale), axis=0)
+        return
+    pivots = _spread(np.unique(_matrix(pa.array([r.embedding for r in chosen], pa.list_(pa.float64())), scale), axis=0), most)
     schema = "vec_id long, embedding array<double>, cell int, dist double, norm double"
     data = valid.select("vec_id", "embedding").mapInArrow(_assigner(pivots, scale), schema)
-    queries = valid.where("asks").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(_assigner(pivots, scale), schema)
-
-    own = valid.where("asks").groupBy("vec_id").count().agg(F.max("count").alias("n")).first().n
-    if not own:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # So many rows hold k that aren't the query's own; of an id that repeats more often than there are cells, one row a cell is looked at.
-    others = k + min(own, len(pivots))
-    near = (data.select("cell", "dist") if own <= len(pivots) else data.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))).withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).where(F.col("n") <= others).groupBy("cell").agg(F.collect_list("dist").alias("near"))
-    sizes = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
-    cells = {r.cell: (r.n, r.far, r.near) for r in sizes.join(near, "cell").collect()}
-    asked = {r.cell: (r.n, r.far, r.norm) for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"), F.max("norm").alias("norm")).collect()}
-    reach = _reach(pivots, cells, asked, others)
-
-    # Groups of query cells, filled up to their bound; a cell with more queries is split by hash.
-    parts, open_group, held, group = [], [], 0, 0  # (cell, parts of the cell, part, group)
-    members: dict[int, list[int]] = {}
-    for c in sorted(asked):
-        split = -(-asked[c][0] // QUERIES_PER_GROUP)
-        if split > 1:
-            for p in range(split):
-                parts.append((c, split, p, group + p))
-                members[group + p] = [c]
-            group += split
-        else:
-            open_group.append(c)
-    for c in open_group:
-        if held and held + asked[c][0] > QUERIES_PER_GROUP:
-            group, held = group + 1, 0
-        parts.append((c, 1, 0, group))
-        members.setdefault(group, []).append(c)
-        held += asked[c][0]
-    sent = []
-    for g, cs in members.items():
-        needs = {j: reach[cs, j].min() for j in cells}
-        rows = sum(cells[j][0] for j, d in needs.items() if d <= cells[j][1])
-        slices = max(1, -(-rows // ROWS_PER_SLICE))
-        sent += [(j, float(d), g, slices) for j, d in needs.items() if d <= cells[j][1]]
-    slices = {g: s for _, _, g, s in sent}
-    to_group = spark.createDataFrame([(*p, slices[p[3]]) for p in parts if p[3] in slices], "cell int, split int, part int, g int, slices int")
-    to_send = spark.createDataFrame(sent, "cell int, least double, g int, slices int")
-    if len(parts) + len(sent) <= 200_000:
-        to_group, to_send = F.broadcast(to_group), F.broadcast(to_send)
-    left = (
-        queries.join(to_group, "cell")
-        .where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("split")) == F.col("part"))
-        .select("g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "vec_id", "embedding")
-    )
-    # By row, not by id, so that the rows of one id share no slice.
-    salted = data.withColumn("salt", F.monotonically_increasing_id()).join(to_send, "cell").where("dist >= least")
-    right = salted.select("g", _slice(F.col("slices")).alias("slice"), "vec_id", "embedding")
-    won = left.groupBy("g", "slice").cogroup(right.groupBy("g", "slice")).applyInArrow(_solver(scale, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return won.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = valid.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = common.cut(once.mapInArrow(_assigner(pivots, scale), schema).drop("dist"))
+    asked = {r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}
+    if not asked:
+        return
+    stats = {r.cell: r for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()}
+    sizes, far = {c: r.n for c, r in stats.items()}, np.full(len(pivots), -np.inf)
+    far[list(stats)] = [r.far for r in stats.values()]
+    product, square = pivots @ pivots.T, (pivots**2).sum(1)
+    apart = square[:, None] - 2 * product + square
+    home: dict[int, list[int]] = {}
+    for c in asked:
+        order = [j for j in np.argsort(-product[c], kind="stable").tolist() if j in sizes]
+        enough = np.searchsorted(np.cumsum([sizes[j] for j in order]), k + 1) + 1
+        home[c] = order[:enough]
+
+    join = Join(queries, data, k, scale)
+    won = yield join, *join.pass_over([([c], dict.fromkeys(h, -np.inf)) for c, h in sorted(home.items())], asked, sizes), None
+    level = won.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("level"))
+    bounded = queries.join(level, "vec_id", "left").select("embedding", "cell", "norm", F.coalesce("level", F.lit(float("-inf"))).alias("level"))
+    least: dict[int, dict[int, float]] = {}
+    for r in bounded.mapInArrow(_needs(pivots, home, far, scale), "c int, cell int, least double").groupBy("c", "cell").agg(F.min("least").alias("least")).collect():
+        least.setdefault(r.c, {})[r.cell] = r.least
+    chain, rest = [], set(asked)
+    while rest:  # each question cell next to the one before
+        chain.append(min(rest, key=lambda c: (apart[chain[-1], c] if chain else 0, c)))
+        rest.discard(chain[-1])
+    yield join, *join.pass_over(_groups(least, asked, sizes, chain), asked, sizes), home
+
+
+def knn_join(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score over vectors (vec_id, embedding)."""
+    steps = passes(vectors, is_query, k, scale)
+    first = next(steps, None)
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    join, left, right, home = first
+    won = common.cut(best_rows(join.solved(left, right, home), k).drop("rank"))
+    join, left, right, home = steps.send(won)
+    return best_rows(won.unionByName(join.solved(left, right, home)), k)
+
+
+def sent_share(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> float:
+    """The share of all (question, row) pairs that the two passes compare."""
+    steps = passes(vectors, is_query, k, scale)
+    join, left, right, home = next(steps)
+
+    def compared(left: DataFrame, right: DataFrame) -> int:
+        both = left.groupBy("g", "slice").count().join(right.groupBy("g", "slice").agg(F.count("*").alias("rows")), ["g", "slice"])
+        return both.agg(F.coalesce(F.sum(F.col("count") * F.col("rows")), F.lit(0))).first()[0]
+
+    pairs = compared(left, right)
+    join, left, right, home = steps.send(common.cut(best_rows(join.solved(left, right, home), k).drop("rank")))
+    return (pairs + compared(left, right)) / (join.queries.count() * join.data.count())
 
 
 def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,11 +295,12 @@ def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, embedding AS raw, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, arg_min(e, raw) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+  FROM q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10
 """
