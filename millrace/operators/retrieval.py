@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numeric import cosine, dot, rrf
+from ..functions.numeric import cosine, rrf
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
-#: Query rows that are broadcast to all vectors; larger query sets are joined in blocks of this size.
+#: Query vectors that a pass over all vectors holds; larger query sets take several passes.
 QUERY_BLOCK = 4096
+#: Rows of a small table that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl). dl is the number of tokens; documents without tokens have no rows."""
+def term_counts(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl). dl is the number of tokens; documents without tokens have no rows.
+
+    only: a table of terms; others are dropped before anything is counted or shuffled.
+    """
     rows = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    rows = rows if only is None else rows.join(only, "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -30,21 +45,33 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def weights(counts: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """(key, term, idf, weight): BM25 document weights; document frequencies come from the same shuffle by term."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    """(key, term, idf, weight): BM25 document weights. Frequencies are counted from the same rows and joined by broadcast where the vocabulary is small enough, so that no common term is a hot key."""
+    df = small(counts.groupBy("term").agg(F.count("*").alias("df")))
     rows = counts.join(df, "term").crossJoin(F.broadcast(stats))
     rows = rows.withColumn("idf", idf(F.col("n_docs"), F.col("df")))
     tf, dl = F.col("tf"), F.col("dl") / F.col("avgdl")
     return rows.select(key, "term", "idf", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl))).alias("weight"))
 
 
-def query_weights(queries: DataFrame, index: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """Query terms weigh as documents of length one, with idf again."""
-    counts = queries.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    terms = index.select("term", "idf").distinct()
-    rows = counts.join(terms, "term").crossJoin(F.broadcast(stats))
+def query_counts(queries: DataFrame, key: str) -> DataFrame:
+    return queries.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def sparse_top(docs: DataFrame, queries: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
+    """k best documents of each query by sums of weight products over shared terms.
+
+    The queries' terms go to the documents first: only their postings are counted and weighed. Query terms weigh as
+    documents of length one, with idf again.
+    """
+    asked = query_counts(queries, query_key)
+    terms, asked = small(asked.select("term").distinct()), small(asked)
+    stats = collection_stats(docs)
+    index = weights(term_counts(docs, doc_key, only=terms), stats, doc_key)
     tf = F.col("tf")
-    return rows.select(key, "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B / F.col("avgdl")))).alias("qw"))
+    rows = index.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B / F.col("avgdl")))
+    scores = rows.groupBy(query_key, doc_key).agg(F.round(F.sum(weight * F.col("weight")), 6).alias("score"))
+    return top(scores, query_key, "score", doc_key, k)
 
 
 def top(rows: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
@@ -53,34 +80,91 @@ def top(rows: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def sparse_top(index: DataFrame, asked: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
-    """Sums of weight products over shared terms; an equi join on terms, added up before the top-k."""
-    scores = asked.join(index.select(doc_key, "term", "weight"), "term").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    return top(scores, query_key, "score", doc_key, k)
+def _matrix(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = x.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    length = np.sqrt((x**2).sum(1, keepdims=True)) if len(column) else np.zeros((0, 1))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, same: Column | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine. queries is a stated set, (query_id, q, q_label), broadcast in blocks.
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best of each row, ties to smaller ids; ids is one row for all, or one for each."""
+    ids = np.broadcast_to(ids, scores.shape)
+    if scores.shape[1] > 4 * k:  # what reaches the k-th score, ties included
+        level = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        pick = np.argsort(scores < level, axis=1, kind="stable")[:, : int((scores >= level).sum(1).max())]
+        scores, ids = np.take_along_axis(scores, pick, 1), np.take_along_axis(ids, pick, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
-    Lengths are taken once per row, so that a pair costs one product.
-    """
-    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = queries.withColumn("q_len", length("q"))
-    v = vectors.withColumn("v_len", length("embedding"))
-    n = queries.count()
+
+def _scored(vectors: DataFrame, queries: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Passes over vectors (vec_id, label, embedding), one for each block of queries (query_id, q_label, q); make(ids, labels, matrix) gives the function of batches."""
+    n, out = queries.count(), None
     blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
     for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("q"), F.col("embedding")) / (F.col("q_len") * F.col("v_len"))))
-        score = F.when((F.col("q_len") > 0) & (F.col("v_len") > 0), near).otherwise(F.lit(0.0))
-        pairs = v.join(F.broadcast(part), F.col("vec_id") != F.col("query_id"))
-        pairs = pairs if same is None else pairs.where(same)
-        got = top(pairs.select("query_id", "vec_id", F.round(score, 6).alias("score")), "query_id", "score", "vec_id", k)
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        held = part.select("query_id", "q_label", "q").toArrow().combine_chunks()
+        ids, labels = (held[c].to_numpy() for c in ("query_id", "q_label"))
+        asked = _matrix(pa.concat_arrays(held["q"].chunks) if held["q"].num_chunks else pa.array([], pa.list_(pa.float64())))
+        got = vectors.select("vec_id", "label", "embedding").mapInArrow(make(ids, labels, asked), schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def _similarity(asked: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return np.round(np.clip(asked @ _matrix(batch.column("embedding")).T, 0, 1), 6)
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, same: Callable | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine. queries is a stated set, (query_id, q, q_label), held in blocks.
+
+    Each task keeps the k best of its rows by array products; only those are shuffled. same(query labels, labels): which pairs count.
+    """
+
+    def make(ids: np.ndarray, labels: np.ndarray, asked: np.ndarray):
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score, row = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                vec = b.column("vec_id").to_numpy()
+                s = _similarity(asked, b)
+                s[ids[:, None] == vec] = -1
+                if same is not None:
+                    s[~same(labels[:, None], b.column("label").to_numpy()[None])] = -1
+                score, row = _best(np.hstack([score, s]), np.hstack([row, np.broadcast_to(vec, s.shape)]), k)
+            real = score >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], score.shape)[real]), pa.array(row[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
+
+        return near
+
+    return top(_scored(vectors, queries, make, "query_id long, vec_id long, score double"), "query_id", "score", "vec_id", k)
+
+
+def dense_categories(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, category, best: the best cosine of each label; each task sends one row of a query and label."""
+
+    def make(ids: np.ndarray, labels: np.ndarray, asked: np.ndarray):
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict = {}
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                s, label = _similarity(asked, b), b.column("label").to_numpy()
+                s[ids[:, None] == b.column("vec_id").to_numpy()] = -1
+                for c in np.unique(label).tolist():
+                    most = s[:, label == c].max(1)
+                    best[c] = np.maximum(best[c], most) if c in best else most
+            for c, most in best.items():
+                real = most >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[real]), pa.array(np.full(real.sum(), c), pa.int64()), pa.array(most[real])], names=["query_id", "category", "best"])
+
+        return near
+
+    return _scored(vectors, queries, make, "query_id long, category long, best double").groupBy("query_id", "category").agg(F.max("best").alias("best"))
+
+
 def fused(lists: list[DataFrame], query_key: str, doc_key: str, k: int) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists; scores of a query are scaled by its best one."""
     rows = lists[0].select(query_key, doc_key, "rank")
@@ -98,4 +182,4 @@ def filled(hits: DataFrame, payload: DataFrame, key: str, columns: list[str]) ->
     return rows.where(F.coalesce(F.col(columns[0]), F.lit("")) != "").drop(*[f"_{c}" for c in columns])
 
 
-__all__ = ["collection_stats", "cosine", "dense_top", "filled", "fused", "idf", "query_weights", "sparse_top", "term_counts", "top", "weights"]
+__all__ = ["collection_stats", "cosine", "dense_categories", "dense_top", "filled", "fused", "idf", "query_counts", "small", "sparse_top", "term_counts", "top", "weights"]

@@ -24,14 +24,11 @@ k AS (SELECT q.vec_id AS query_id, v.vec_id, q.label AS ql, v.label AS vl, round
 
 def index(spark, sf):
     docs = table(spark, sf, "documents")
-    stats = R.collection_stats(docs)
-    return R.weights(R.term_counts(docs, "doc_id"), stats, "doc_id"), stats
+    return R.weights(R.term_counts(docs, "doc_id"), R.collection_stats(docs), "doc_id")
 
 
 def sparse(spark, sf, k=10):
-    rows, stats = index(spark, sf)
-    asked = R.query_weights(table(spark, sf, "benchmark"), rows, stats, "item_id")
-    return R.sparse_top(rows, asked, "item_id", "doc_id", k)
+    return R.sparse_top(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "item_id", "doc_id", k)
 
 
 def asked_vectors(spark, sf):
@@ -42,6 +39,10 @@ def dense(spark, sf, k=10, same=None):
     return R.dense_top(table(spark, sf, "embeddings"), asked_vectors(spark, sf), k, same)
 
 
+def same_or_zero(asked, label):
+    return (label == asked) | (label == 0)
+
+
 @query("ret_df_idf", INDEX + " SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM f, st")
 def ret_df_idf(spark, sf):
     docs = table(spark, sf, "documents")
@@ -51,7 +52,7 @@ def ret_df_idf(spark, sf):
 
 @query("ret_bm25_weights", INDEX + " SELECT doc_id, count(*) AS terms, round(sum(weight), 4) AS total, round(max(weight), 6) AS most FROM w GROUP BY doc_id")
 def ret_bm25_weights(spark, sf):
-    return index(spark, sf)[0].groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("most"))
+    return index(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("most"))
 
 
 @query("ret_sparse_topk", INDEX + ASKED + " SELECT item_id, doc_id, rank, score FROM sp")
@@ -66,7 +67,7 @@ def ret_knn_topk(spark, sf):
 
 @query("ret_knn_filtered", f"WITH {DENSE} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, score FROM k WHERE ql = vl OR vl = 0 QUALIFY rank <= 5")
 def ret_knn_filtered(spark, sf):
-    return dense(spark, sf, 5, (F.col("label") == F.col("q_label")) | (F.col("label") == 0)).select("query_id", "vec_id", "rank", "score")
+    return dense(spark, sf, 5, same_or_zero).select("query_id", "vec_id", "rank", "score")
 
 
 FUSED = f"""{DENSE}, r1 AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM k QUALIFY rank <= 10),
@@ -76,7 +77,7 @@ fu AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf
 
 @query("ret_rrf", f"WITH {FUSED} SELECT query_id, vec_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id)::INT AS rank, round(rrf / max(rrf) OVER (PARTITION BY query_id), 4) AS score FROM fu QUALIFY rank <= 5")
 def ret_rrf(spark, sf):
-    return R.fused([dense(spark, sf), dense(spark, sf, 10, (F.col("label") == F.col("q_label")) | (F.col("label") == 0))], "query_id", "vec_id", 5)
+    return R.fused([dense(spark, sf), dense(spark, sf, 10, same_or_zero)], "query_id", "vec_id", 5)
 
 
 @query(
@@ -99,11 +100,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, cat
 SELECT query_id, category, best, round(best - coalesce(second, 0), 6) AS gap, best >= 0.25 AND round(best - coalesce(second, 0), 6) >= 0.02 AS specific FROM r WHERE n = 1""",
 )
 def ret_category_gap(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    # Every vector is compared with the stated queries; only the best of each category leaves the partitions.
-    q = asked_vectors(spark, sf)
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("label").alias("category"), F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    best = pairs.groupBy("query_id", "category").agg(F.max("score").alias("best"))
+    best = R.dense_categories(table(spark, sf, "embeddings"), asked_vectors(spark, sf)).withColumn("category", F.col("category").cast("int"))
     order = Window.partitionBy("query_id").orderBy(F.desc("best"), "category")
     ranked = best.withColumns({"n": F.row_number().over(order), "second": F.lead("best").over(order)}).where("n = 1")
     gap = F.round(F.col("best") - F.coalesce("second", F.lit(0.0)), 6)
@@ -123,12 +120,12 @@ SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rrf DES
 def ret_hybrid(spark, sf):
     """Sparse and dense lists, fused by rank, one hit per text, five per query."""
     near = dense(spark, sf).select((F.col("query_id") / 50).cast("long").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
-    near = near.join(F.broadcast(table(spark, sf, "benchmark").select("item_id")), "item_id", "left_semi")
+    near = near.join(table(spark, sf, "benchmark").select("item_id"), "item_id", "left_semi")
     both = sparse(spark, sf).select("item_id", "doc_id", "rank").unionByName(near)
     summed = both.groupBy("item_id", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 8).alias("rrf"))
     texts = table(spark, sf, "documents").select("doc_id", F.md5(F.lower(F.btrim("text"))).alias("same"), (F.btrim("text") != "").alias("some")).where("some")
     first = Window.partitionBy("item_id", "same").orderBy(F.desc("rrf"), "doc_id")
-    single = summed.join(texts, "doc_id").withColumn("copy", F.row_number().over(first)).where("copy = 1")
+    single = texts.join(R.small(summed), "doc_id").withColumn("copy", F.row_number().over(first)).where("copy = 1")
     best = F.max("rrf").over(Window.partitionBy("item_id"))
     order = Window.partitionBy("item_id").orderBy(F.desc("rrf"), "doc_id")
     return single.withColumns({"rank": F.row_number().over(order), "score": F.round(F.col("rrf") / best, 4)}).where("rank <= 5").select("item_id", "doc_id", "rank", "score")
@@ -136,11 +133,28 @@ def ret_hybrid(spark, sf):
 
 @query(
     "ret_citations",
-    """SELECT p.source, c.n_chunks, list_sort(c.ids)[1:3] AS first_ids, p.doc_id FROM documents p JOIN (SELECT source, count(*) AS n_chunks, list(doc_id) AS ids FROM documents GROUP BY source) c USING (source) WHERE p.doc_id % 100 = 7""",
+    "SELECT source, count(*) AS n_chunks, count(DISTINCT lang) AS n_languages, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM documents GROUP BY source",
 )
 def ret_citations(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    heads = docs.withColumn("n", F.row_number().over(order)).where("n <= 3").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("first_ids"))
-    counts = docs.groupBy("source").agg(F.count("*").alias("n_chunks"))
-    return docs.where("doc_id % 100 = 7").join(counts, "source").join(heads, "source").select("source", "n_chunks", "first_ids", "doc_id")
+    """Every source with all its chunks."""
+    rows = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("lang").alias("n_languages"), F.sort_array(F.collect_list("doc_id")).alias("all"))
+    return rows.select("source", "n_chunks", "n_languages", F.md5(F.array_join("all", ",")).alias("ids"))
+
+
+@query(
+    "ret_score_floor",
+    f"WITH {DENSE} SELECT query_id, count(*) AS hits, min(score) AS least FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM k) WHERE n <= 5 AND score >= 0.3 GROUP BY query_id",
+)
+def ret_score_floor(spark, sf):
+    """Of the five best hits those of 0.3 or more."""
+    return dense(spark, sf, 5).where("score >= 0.3").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("least"))
+
+
+@query(
+    "ret_sorted_postings",
+    INDEX + " SELECT term, count(*) AS docs, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM w WHERE term IN (SELECT term FROM w GROUP BY term HAVING count(*) <= 3) GROUP BY term",
+)
+def ret_sorted_postings(spark, sf):
+    """Postings of the rarer terms as sorted sparse indices."""
+    postings = R.term_counts(table(spark, sf, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("docs"), F.collect_list("doc_id").alias("ids")).where("docs <= 3")
+    return postings.select("term", "docs", F.md5(F.array_join(F.array_sort("ids"), ",")).alias("ids"))
