@@ -77,13 +77,24 @@ def without_money_paragraphs(text: Column) -> Column:
 NOISE = (r"^(all rights reserved|licensed under|copyright)\b", r"^(page|seite) \d+( (of|von) \d+)?$", r"^[\W_]{3,}$", r"^(home|menu|login|share|subscribe)\b.{0,20}$")
 
 
+#: What cleaning a line replaces, in order: images by their alt text, links by theirs, tags, private-use characters, entities, runs of spaces.
+CLEANED = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"<!--.*?-->|<[^>]+>", " "),
+    ("[\ue000-\uf8ff]", ""),
+    ("&nbsp;", " "),
+    ("&amp;", "&"),
+    (r"[ \t]+", " "),
+)
+
+
 def clean_line(line: Column) -> Column:
     """A line without links, tags and runs of spaces; empty if it is noise."""
-    out = F.regexp_replace(line, r"!\[[^\]]*\]\([^)]*\)", "")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"<!--.*?-->|<[^>]+>", " ")
-    out = F.regexp_replace(out, r"[-]", "")
-    out = F.btrim(F.regexp_replace(F.regexp_replace(out, "&nbsp;", " "), r"[ \t]+", " "))
+    out = line
+    for pattern, to in CLEANED:
+        out = F.regexp_replace(out, pattern, to)
+    out = F.btrim(out)
     return F.when(out.rlike(U + "|".join(NOISE)), F.lit("")).otherwise(out)
 
 

@@ -24,11 +24,6 @@ def longest_alias(rows: DataFrame, label: str, aliases: DataFrame) -> DataFrame:
     return rows.join(hit.select(label, "alias", "target"), label, "left")
 
 
-def filled_forward(rows: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(so_far))
-
-
 def merged(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Update where the key is known, insert where it is new; `change` says which."""
     rows = old.select(*keys, F.col(value).alias("_old")).join(new.select(*keys, F.col(value).alias("_new")), keys, "full_outer")
@@ -36,10 +31,10 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataF
     return rows.select(*keys, F.coalesce("_new", "_old").alias(value), change.alias("change"))
 
 
-def densified(rows: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """Combinations of known left and right keys that no row has. Both are short lists of names."""
-    a, b = rows.select(*left).distinct(), rows.select(*right).distinct()
-    return a.crossJoin(F.broadcast(b)).join(rows.select(*left, *right).distinct(), [*left, *right], "left_anti")
+def grid(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """All combinations of known left and right names. Both are collected into one row: lists of names, as short as the grid is meant to be read."""
+    names = rows.agg(F.collect_set(left).alias(left), F.collect_set(right).alias(right))
+    return names.select(F.explode(left).alias(left), right).select(left, F.explode(right).alias(right))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -9,36 +9,70 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+def lines(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
-def repeated_lines_once(rows: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:
-    """Of lines that a document repeats `least` times or more, the first stays. `rep` counts them."""
-    same = Window.partitionBy(key, "norm")
-    marked = rows.withColumn("norm", F.lower(F.btrim("line"))).withColumns({"rep": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("pos"))})
-    return marked.where((F.col("norm") == "") | (F.col("rep") < least) | (F.col("nth") == 1))
+def repeated_lines_once(text: Column, least: int = 3) -> Column:
+    """The lines of a text; of those that it repeats `least` times or more, only the first stays. All of it happens in the row."""
+    norm = F.transform(lines(text), lambda x, i: F.struct(F.lower(F.btrim(x)).alias("norm"), i.alias("pos"), x.alias("line")))
+    ordered = F.array_sort(norm)
+    # Equal lines are neighbours then: a line goes if one like it comes before and the run is long enough.
+    at = lambda s, k: F.get(s, k)["norm"]
 
+    def stays(s: Column, x: Column, i: Column) -> Column:
+        first = (i == 0) | (at(s, i - 1) != x["norm"])
+        long = F.lit(False)
+        for j in range(least):  # any window of `least` neighbours that holds this line
+            window = (i - j >= 0) & F.coalesce((at(s, i - j) == x["norm"]) & (at(s, i - j + least - 1) == x["norm"]), F.lit(False))
+            long = long | window
+        return (x["norm"] == "") | first | ~long
 
-def sections(rows: DataFrame, is_heading: Column, key: str = "doc_id") -> DataFrame:
-    """Numbers sections by running count of headings, with the title that is open at each line."""
-    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("_head", is_heading)
-    return marked.withColumns({"section": F.sum(F.col("_head").cast("int")).over(so_far), "title": F.last(F.when(F.col("_head"), F.btrim("line")), ignorenulls=True).over(so_far)}).drop("_head")
+    kept = F.flatten(F.transform(F.array(ordered), lambda s: F.filter(s, lambda x, i: stays(s, x, i))))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["pos"], x["line"]))), lambda x: x["line"])
 
 
-def merged_fragments(rows: DataFrame, key: str = "doc_id", below: int = 25) -> DataFrame:
-    """Runs of short lines without sentence marks become one paragraph; other lines stay."""
-    order = Window.partitionBy(key).orderBy("pos")
-    short = (F.length(F.btrim("line")) < below) & ~F.col("line").rlike("[.:;|-]") & (F.btrim("line") != "")
-    marked = rows.withColumn("short", short).withColumn("new", (~F.col("short") | ~F.coalesce(F.lag("short").over(order), F.lit(False))).cast("int"))
-    island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return island.groupBy(key, "island").agg(F.min("pos").alias("pos"), F.count("*").alias("members"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.btrim(x["line"])), " ").alias("paragraph"))
+def sections(text: Column, is_heading) -> Column:
+    """An array of (section, title, n_lines): 0 for the lines before any heading, then one for each line that is_heading takes."""
+    all_ = F.transform(lines(text), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    heads = F.filter(all_, lambda x: is_heading(x["line"]))
+    row = lambda section, title, n: F.struct(section.cast("long").alias("section"), title.alias("title"), n.cast("long").alias("n_lines"))
 
+    def made(all_: Column, h: Column) -> Column:
+        n = F.size(all_)
+        begin = F.coalesce(F.get(h, F.lit(0))["pos"], n)
+        before = F.filter(F.array(row(F.lit(0), F.lit(None).cast("string"), begin)), lambda x: x["n_lines"] > 0)
+        return F.concat(before, F.transform(h, lambda x, i: row(i + 1, F.btrim(x["line"]), F.coalesce(F.get(h, i + 1)["pos"], n) - x["pos"])))
 
-def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Sequence numbers within keys, given before any row is dropped, so gaps can appear later."""
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    both = F.array(F.struct(all_.alias("all"), heads.alias("heads")))
+    return F.flatten(F.transform(both, lambda b: made(b["all"], b["heads"])))
+
+
+def merged_fragments(text: Column, below: int = 25) -> Column:
+    """An array of (pos, members, paragraph): runs of short lines without sentence marks are one paragraph, other lines one each."""
+
+    def short(x: Column) -> Column:
+        return (F.length(F.btrim(x)) < below) & ~x.rlike("[.:;|-]") & (F.btrim(x) != "")
+
+    def made(all_: Column) -> Column:
+        flags = F.transform(all_, lambda x: F.struct(x.alias("line"), short(x).alias("short")))
+
+        def cut(flags: Column) -> Column:
+            starts = F.filter(F.transform(flags, lambda x, i: F.when(~(x["short"] & (i > 0) & F.coalesce(F.get(flags, i - 1)["short"], F.lit(False))), i)), lambda i: i.isNotNull())
+
+            def paragraphs(starts: Column) -> Column:
+                def one(i: Column, k: Column) -> Column:
+                    n = F.coalesce(F.get(starts, k + 1), F.size(flags)) - i
+                    parts = F.transform(F.slice(flags, i + 1, n), lambda x: F.btrim(x["line"]))
+                    return F.struct(i.alias("pos"), n.alias("members"), F.array_join(parts, " ").alias("paragraph"))
+
+                return F.transform(starts, one)
+
+            return F.flatten(F.transform(F.array(starts), paragraphs))
+
+        return F.flatten(F.transform(F.array(flags), cut))
+
+    return F.flatten(F.transform(F.array(lines(text)), made))
 
 
 def valid_chunk(text: Column, language: Column, tags: Column, confidence: Column, kinds: tuple[str, ...], kind: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numeric import cost_micro_usd, cost_vnd_cents, percent
+from .runs import running_sum
 
 MODELS = ("acme/alpha-large", "acme/alpha-small", "beta-chat", "other")
 AS_OF = "2024-01-31 00:00:00"
@@ -84,8 +84,8 @@ def top_ips(rows: DataFrame) -> DataFrame:
 
 def violations(rows: DataFrame) -> DataFrame:
     """Rate-limited requests with the running count of their address; it never resets."""
-    running = Window.partitionBy("client_ip").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.where("status_code = 429").withColumn("violations", F.count("*").over(running))
+    limited = rows.where("status_code = 429")
+    out = running_sum(limited, ["client_ip"], F.date_trunc("hour", "created_at"), ["created_at", "event_id"], F.lit(1), "violations")
     return out.withColumn("severity", F.when(F.col("violations") >= CRITICAL_VIOLATIONS, "CRITICAL").otherwise("WARNING"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import locale_number
 from ..operators import catalog as C
+from ..operators.runs import filled_forward
 from .base import query, table
 
 ALIASES = (("small", "S"), ("small ring", "SR"), ("red", "R"), ("red widget", "RW"), ("blue", "B"), ("blue b", "BB"))
@@ -25,7 +26,7 @@ def cat_prefix_alias(spark, sf):
 @query("cat_fill_forward", "SELECT p_partkey, last_value(h IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS header FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN p_name END AS h FROM part)")
 def cat_fill_forward(spark, sf):
     rows = parts(spark, sf).withColumn("header", F.when(F.col("p_size") % 7 == 0, F.col("p_name")))
-    return C.filled_forward(rows, ["p_brand"], ["p_partkey"], "header").select("p_partkey", "header")
+    return filled_forward(rows, ["p_brand"], "p_partkey", "header").select("p_partkey", "header")
 
 
 @query("cat_dim_triple", "SELECT p_partkey, (4000 + p_size)::DOUBLE AS length_mm, (1000 + p_size * 3)::DOUBLE AS width_mm, (p_size + 0.5)::DOUBLE AS height FROM part")
@@ -36,9 +37,9 @@ def cat_dim_triple(spark, sf):
     return parts(spark, sf).select("p_partkey", *[locale_number(F.get(cut, F.lit(i))).alias(n) for i, n in enumerate(("length_mm", "width_mm", "height"))])
 
 
-@query("cat_min_price", "SELECT p_brand, p_type, min(p_retailprice) AS price, list_sort(list_distinct(list(p_name)))[1:5] AS names FROM part GROUP BY 1, 2")
+@query("cat_min_price", "SELECT p_brand, p_type, min(p_retailprice) AS price, list_sort(list_distinct(list(p_name))) AS names FROM part GROUP BY 1, 2")
 def cat_min_price(spark, sf):
-    return parts(spark, sf).groupBy("p_brand", "p_type").agg(F.min("p_retailprice").alias("price"), F.slice(F.array_sort(F.collect_set("p_name")), 1, 5).alias("names"))
+    return parts(spark, sf).groupBy("p_brand", "p_type").agg(F.min("p_retailprice").alias("price"), F.array_sort(F.collect_set("p_name")).alias("names"))
 
 
 @query(
@@ -66,7 +67,7 @@ SELECT p.p_partkey, coalesce(CASE WHEN p.p_size % 10 = 0 THEN p.p_partkey END, v
 def cat_options_scope(spark, sf):
     rows = parts(spark, sf)
     words = F.split(F.concat("p_name", F.lit(" x"), F.col("p_size") % 3), " ")
-    scope = rows.select("p_brand", "p_partkey", F.explode(F.slice(words, 2, 100)).alias("value_id")).groupBy("p_brand", "value_id").agg(F.min("p_partkey").alias("part"))
+    scope = rows.select("p_brand", "p_partkey", F.explode(F.slice(words, F.lit(2), F.size(words))).alias("value_id")).groupBy("p_brand", "value_id").agg(F.min("p_partkey").alias("part"))
     own = F.when(F.col("p_size") % 10 == 0, F.col("p_partkey"))
     asked = rows.withColumn("value_id", F.split_part("p_name", F.lit(" "), F.lit(2)))
     return asked.join(scope, ["p_brand", "value_id"], "left").select("p_partkey", F.coalesce(own, "part").alias("scope"))
@@ -76,8 +77,7 @@ def cat_options_scope(spark, sf):
 def cat_matrix_densify(spark, sf):
     rows = parts(spark, sf)
     big = rows.where("p_size > 25").select("p_brand", "p_type").distinct()
-    brands, types = rows.select("p_brand").distinct(), rows.select("p_type").distinct()
-    return brands.join(F.broadcast(types), how="cross").join(big, ["p_brand", "p_type"], "left_anti").withColumn("spec_value", F.lit("missing"))
+    return C.grid(rows, "p_brand", "p_type").join(big, ["p_brand", "p_type"], "left_anti").withColumn("spec_value", F.lit("missing"))
 
 
 @query(

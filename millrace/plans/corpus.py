@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators.runs import numbered
 from .base import query, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -48,7 +49,11 @@ def txt_strip_marks(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.strip_marks(F.col("text"))).alias("digest"))
 
 
-@query("txt_uuid5")
+@query(
+    "txt_uuid5",
+    f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || (['8', '9', 'a', 'b'])[strpos('0123456789abcdef', substr(h, 17, 1)) % 4 + CASE WHEN strpos('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 THEN 4 ELSE 0 END]
+  || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, sha1(unhex('{X.NAMESPACE}') || encode('doc:' || doc_id)) AS h FROM documents)""",
+)
 def txt_uuid5(spark, sf):
     return docs(spark, sf).select("doc_id", X.uuid5(F.concat(F.lit("doc:"), F.col("doc_id"))).alias("point_id"))
 
@@ -73,9 +78,8 @@ c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, norm) AS rep, row_number() O
 SELECT doc_id, count(*) AS kept, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM c WHERE norm = '' OR rep < 3 OR nth = 1 GROUP BY doc_id""",
 )
 def txt_line_dedup(spark, sf):
-    kept = C.repeated_lines_once(C.lines(docs(spark, sf)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.md5(text).alias("digest"))
+    kept = docs(spark, sf).select("doc_id", C.repeated_lines_once(F.col("text")).alias("kept"))
+    return kept.select("doc_id", F.size("kept").cast("long").alias("kept"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
 
 NOISE = "|".join(X.NOISE).replace("'", "''")
@@ -86,12 +90,21 @@ NOISE = "|".join(X.NOISE).replace("'", "''")
     f"WITH {LINES} SELECT doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE trim(line) <> '' AND regexp_matches(trim(line), '(?i){NOISE}')) AS noise FROM l GROUP BY doc_id",
 )
 def txt_noise_lines(spark, sf):
-    rows = C.lines(docs(spark, sf)).where(F.btrim("line") != "")
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.btrim("line").rlike("(?i)" + "|".join(X.NOISE))).alias("noise"))
-    return docs(spark, sf).select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("noise", F.lit(0)).alias("noise"))
+    rows = docs(spark, sf).select("doc_id", F.filter(F.transform(C.lines(F.col("text")), F.btrim), lambda x: x != "").alias("l"))
+    noise = F.filter("l", lambda x: x.rlike("(?i)" + "|".join(X.NOISE)))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(noise).cast("long").alias("noise"))
+
+
+CLEAN = "x"
+for _pattern, _to in X.CLEANED:
+    CLEAN = f"regexp_replace({CLEAN}, '{_pattern}', '{_to}', 'g')".replace("$1", "\\1")
+CLEAN = f"trim({CLEAN})"
 
 
-@query("txt_clean_lines")
+@query(
+    "txt_clean_lines",
+    f"""SELECT doc_id, len(l)::INT AS n_lines, md5(array_to_string(l, chr(10))) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches({CLEAN}, '(?i){NOISE}') THEN '' ELSE {CLEAN} END), lambda x: x <> '') AS l FROM documents)""",
+)
 def txt_clean_lines(spark, sf):
     cleaned = F.filter(F.transform(F.split("text", "\n"), X.clean_line), lambda x: x != "")
     return docs(spark, sf).select("doc_id", F.size(cleaned).alias("n_lines"), F.md5(F.array_join(cleaned, "\n")).alias("digest"))
@@ -110,7 +123,8 @@ def txt_type_detect(spark, sf):
 
 @query("txt_ids_seq", "SELECT doc_id, seq FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS seq FROM documents) WHERE length(text) > 500")
 def txt_ids_seq(spark, sf):
-    return C.numbered(docs(spark, sf).select("doc_id", "source", "lang", "text"), ["source", "lang"], ["doc_id"]).where(F.length("text") > 500).select("doc_id", "seq")
+    rows = docs(spark, sf).select("doc_id", "source", "lang", (F.length("text") > 500).alias("long"))
+    return numbered(rows, ["source", "lang"], "doc_id").where("long").select("doc_id", "seq")
 
 
 @query(
@@ -168,8 +182,7 @@ s AS (SELECT *, sum(head::INT) OVER w AS section, last_value(CASE WHEN head THEN
 SELECT doc_id, section::BIGINT AS section, max(title) AS title, count(*) AS n_lines FROM s GROUP BY doc_id, section""",
 )
 def txt_sections(spark, sf):
-    rows = C.sections(C.lines(docs(spark, sf)), F.btrim("line").rlike(HEADING))
-    return rows.groupBy("doc_id", "section").agg(F.max("title").alias("title"), F.count("*").alias("n_lines"))
+    return docs(spark, sf).select("doc_id", F.inline(C.sections(F.col("text"), lambda x: F.btrim(x).rlike(HEADING))))
 
 
 @query(
@@ -180,8 +193,7 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED
 SELECT doc_id, min(pos)::INT AS pos, string_agg(trim(line), ' ' ORDER BY pos) AS paragraph FROM i GROUP BY doc_id, island HAVING count(*) > 1""",
 )
 def txt_short_merge(spark, sf):
-    merged = C.merged_fragments(C.lines(docs(spark, sf)))
-    return merged.where(F.col("members") > 1).select("doc_id", "pos", "paragraph")
+    return docs(spark, sf).select("doc_id", F.inline(C.merged_fragments(F.col("text")))).where("members > 1").select("doc_id", "pos", "paragraph")
 
 
 @query("txt_pack_sentences")
@@ -189,7 +201,10 @@ def txt_pack_sentences(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(X.packed_sentences(F.col("text"))).alias("piece", "chunk"))
 
 
-@query("txt_money_paras")
+@query(
+    "txt_money_paras",
+    f"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: NOT (regexp_matches(p, '(?i){X.PRICE_WORD}') AND regexp_matches(p, '(?i){X.MONEY}'))), chr(10) || chr(10))) AS digest FROM documents""",
+)
 def txt_money_paras(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.without_money_paragraphs(F.col("text"))).alias("digest"))
 

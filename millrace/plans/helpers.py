@@ -33,9 +33,9 @@ def txt_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(X.urls(F.col("html"))).alias("urls"))
 
 
-@query("txt_numbers", r"SELECT doc_id, len(n)::INT AS n, coalesce(list_sum(n), 0)::DOUBLE AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')::DOUBLE) AS n FROM documents) WHERE len(n) < 4")
+@query("txt_numbers", r"SELECT doc_id, len(n)::INT AS n, list_reduce(list_prepend(0.0::DOUBLE, n), lambda a, b: a + b) AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')::DOUBLE) AS n FROM documents)")
 def txt_numbers(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", X.numbers(F.col("text")).alias("a")).where("size(a) < 4")
+    rows = table(spark, sf, "documents").select("doc_id", X.numbers(F.col("text")).alias("a"))
     return rows.select("doc_id", F.size("a").alias("n"), F.aggregate("a", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
@@ -45,10 +45,10 @@ def txt_unwrap_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json(X.unwrapped_json(fenced), "k int").getField("k").alias("k"))
 
 
-@query("qry_context_format", "SELECT p_brand, count(*) AS n, string_agg(p_name || ': ' || format('{:,}', floor(p_retailprice)::BIGINT) || ' VND', chr(10) ORDER BY p_partkey) AS context FROM part WHERE p_size > 45 GROUP BY p_brand")
+@query("qry_context_format", "SELECT p_brand, count(*) AS n, string_agg(p_name || ': ' || format('{:,}', floor(p_retailprice)::BIGINT) || ' VND', chr(10) ORDER BY p_partkey) AS context FROM part GROUP BY p_brand")
 def qry_context_format(spark, sf):
     line = F.concat("p_name", F.lit(": "), F.format_number(F.floor("p_retailprice"), 0), F.lit(" VND"))
-    rows = table(spark, sf, "part").where("p_size > 45").groupBy("p_brand").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
     return rows.select("p_brand", "n", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
 
 
@@ -73,10 +73,10 @@ def qry_followup(spark, sf):
     return last.select("conv_id", F.exists(phrases, lambda p: F.contains(F.lower(F.col("t")), p)).alias("follows"))
 
 
-@query("qry_names_mentioned", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}')))[1:5] AS names FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)")
+@query("qry_names_mentioned", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS names FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)")
 def qry_names_mentioned(spark, sf):
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
-    return table(spark, sf, "documents").select("doc_id", F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit("([A-Z][a-z]{6,})"), F.lit(1)))), 1, 5).alias("names"))
+    return table(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit("([A-Z][a-z]{6,})"), F.lit(1)))).alias("names"))
 
 
 @query("ctl_prompts", "SELECT lang AS kind, source AS version, max(length(text))::INT AS char_count, source = max(source) OVER (PARTITION BY lang) AS active FROM documents GROUP BY lang, source")

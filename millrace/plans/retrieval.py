@@ -133,12 +133,12 @@ def ret_hybrid(spark, sf):
 
 @query(
     "ret_citations",
-    "SELECT source, count(*) AS n_chunks, count(DISTINCT lang) AS n_languages, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM documents GROUP BY source",
+    "SELECT source, count(*) AS n_chunks, count(DISTINCT lang) AS n_languages, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(doc_id)::BIGINT AS id_sum FROM documents GROUP BY source",
 )
 def ret_citations(spark, sf):
-    """Every source with all its chunks."""
-    rows = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("lang").alias("n_languages"), F.sort_array(F.collect_list("doc_id")).alias("all"))
-    return rows.select("source", "n_chunks", "n_languages", F.md5(F.array_join("all", ",")).alias("ids"))
+    """Every source with all its chunks, as counts and digests."""
+    rows = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("lang").alias("n_languages"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("doc_id").alias("id_sum"))
+    return rows
 
 
 @query(

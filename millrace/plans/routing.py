@@ -121,17 +121,17 @@ def qry_models_nested(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("editions"), F.count("*").alias("parts"))
 
 
-@query("qry_models_union", "SELECT p_brand AS name FROM part UNION SELECT p_type FROM part ORDER BY 1 LIMIT 20")
+@query("qry_models_union", "SELECT p_brand AS name FROM part UNION SELECT p_type FROM part ORDER BY 1")
 def qry_models_union(spark, sf):
     rows = table(spark, sf, "part")
-    return rows.select(F.col("p_brand").alias("name")).union(rows.select("p_type")).distinct().orderBy("name").limit(20)
+    return rows.select(F.col("p_brand").alias("name")).union(rows.select("p_type")).distinct().orderBy("name")
 
 
 @query("qry_models_listagg", "SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS editions FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1 AND p_type = 'LARGE') GROUP BY p_brand")
 def qry_models_listagg(spark, sf):
     rows = table(spark, sf, "part").select("p_brand", "p_type", "p_size")
-    rows.createOrReplaceTempView("_parts")
-    kept = spark.sql("SELECT p_brand, p_type FROM _parts WHERE p_brand NOT IN (SELECT p_brand FROM _parts WHERE p_size = 1 AND p_type = 'LARGE')")
+    closed = rows.where("p_size = 1 AND p_type = 'LARGE' AND p_brand IS NOT NULL").select("p_brand").distinct()
+    kept = rows.where("p_brand IS NOT NULL").join(closed, "p_brand", "left_anti")
     return kept.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("editions"))
 
 

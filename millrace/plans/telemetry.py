@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import telemetry as T
+from ..operators.runs import running_sum
 from .base import query, table
 
 #: The fact table in the oracle's SQL.
@@ -176,16 +176,16 @@ def tel_chart_scale(spark, sf):
 @query(
     "tel_max_overlap",
     M + """, p AS (SELECT created_at AS tm, 1 AS step FROM m UNION ALL SELECT created_at + to_milliseconds(total_latency_ms), -1 FROM m),
-r AS (SELECT tm::DATE AS day, sum(step) OVER (PARTITION BY tm::DATE ORDER BY tm, step ROWS UNBOUNDED PRECEDING) AS open FROM p)
-SELECT day, max(open)::BIGINT AS most_open FROM r GROUP BY day""",
+r AS (SELECT tm::DATE AS day, step, sum(step) OVER (ORDER BY tm, step ROWS UNBOUNDED PRECEDING) AS open FROM p)
+SELECT day, max(greatest(open, open - step))::BIGINT AS most_open FROM r GROUP BY day""",
 )
 def tel_max_overlap(spark, sf):
+    """The most requests open at once on each day, those from the day before among them."""
     rows = facts(spark, sf).select(F.col("created_at").cast("timestamp").alias("t"), "total_latency_ms")
     begin = rows.select(F.col("t").alias("at"), F.lit(1).alias("step"))
     end = rows.select(F.timestamp_millis(F.unix_millis("t") + F.col("total_latency_ms")).alias("at"), F.lit(-1).alias("step"))
-    running = Window.partitionBy("day").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = begin.unionByName(end).withColumn("day", F.to_date("at"))
-    return steps.withColumn("open", F.sum("step").over(running)).groupBy("day").agg(F.max("open").alias("most_open"))
+    steps = running_sum(begin.unionByName(end), [], F.date_trunc("minute", "at"), ["at", "step"], F.col("step"), "open")
+    return steps.groupBy(F.to_date("at").alias("day")).agg(F.max(F.greatest(F.col("open"), F.col("open") - F.col("step"))).alias("most_open"))
 
 
 @query("tel_exposition", M + "SELECT 'requests_total{status=\"' || status_code || '\"} ' || count(*) AS line FROM m GROUP BY status_code")
