@@ -41,10 +41,10 @@ def sql_first_match(text: str, rules: tuple, default: str | None) -> str:
     return f"CASE {cases} ELSE {word(default)} END"
 
 
-def longest_key(text: Column, rules: tuple, default: str) -> Column:
+def longest_key(text: Column, rules: tuple, default: str | None) -> Column:
     """The value of the longest key that the text contains; ties go to the earlier rule."""
     out = None
     for key, value in sorted(rules, key=lambda r: -len(r[0])):
         hit = F.contains(text, F.lit(key))
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(default)
+    return out.otherwise(F.lit(default))

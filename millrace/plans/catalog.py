@@ -73,10 +73,10 @@ def cat_options_scope(spark, sf):
     return asked.join(scope, ["p_brand", "value_id"], "left").select("p_partkey", F.coalesce(own, "part").alias("scope"))
 
 
-@query("cat_matrix_densify", "SELECT a.p_brand, b.p_type, 'missing' AS spec_value FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_type FROM part) b WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_size > 25 AND p.p_brand = a.p_brand AND p.p_type = b.p_type)")
+@query("cat_matrix_densify", "SELECT a.p_brand, b.p_type, 'missing' AS spec_value FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_type FROM part) b WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_size > 48 AND p.p_brand = a.p_brand AND p.p_type = b.p_type)")
 def cat_matrix_densify(spark, sf):
     rows = parts(spark, sf)
-    big = rows.where("p_size > 25").select("p_brand", "p_type").distinct()
+    big = rows.where("p_size > 48").select("p_brand", "p_type").distinct()
     return C.grid(rows, "p_brand", "p_type").join(big, ["p_brand", "p_type"], "left_anti").withColumn("spec_value", F.lit("missing"))
 
 

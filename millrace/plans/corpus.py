@@ -171,29 +171,36 @@ def txt_text_dedup(spark, sf):
     return C.first_by_text(docs(spark, sf).select("doc_id", "text"), ["doc_id"]).select("doc_id")
 
 
+SENTENCES = "l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(replace(text, '. ', chr(10)), chr(10)) AS p FROM documents))"
+
+
+def sentence_lines():
+    return F.replace(F.col("text"), F.lit(". "), F.lit("\n"))
+
+
 HEADING = r"^[^.!?|]{1,60}$"
 
 
 @query(
     "txt_sections",
-    f"""WITH {LINES}, h AS (SELECT *, regexp_matches(trim(line), '{HEADING}') AS head FROM l),
+    f"""WITH {SENTENCES}, h AS (SELECT *, regexp_matches(trim(line), '{HEADING}') AS head FROM l),
 s AS (SELECT *, sum(head::INT) OVER w AS section, last_value(CASE WHEN head THEN trim(line) END IGNORE NULLS) OVER w AS title FROM h
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, section::BIGINT AS section, max(title) AS title, count(*) AS n_lines FROM s GROUP BY doc_id, section""",
 )
 def txt_sections(spark, sf):
-    return docs(spark, sf).select("doc_id", F.inline(C.sections(F.col("text"), lambda x: F.btrim(x).rlike(HEADING))))
+    return docs(spark, sf).select("doc_id", F.inline(C.sections(sentence_lines(), lambda x: F.btrim(x).rlike(HEADING))))
 
 
 @query(
     "txt_short_merge",
-    f"""WITH {LINES}, s AS (SELECT *, length(trim(line)) < 25 AND NOT regexp_matches(line, '[.:;|-]') AND trim(line) <> '' AS short FROM l),
+    f"""WITH {SENTENCES}, s AS (SELECT *, length(trim(line)) < 25 AND NOT regexp_matches(line, '[.:;|-]') AND trim(line) <> '' AS short FROM l),
 n AS (SELECT *, (NOT short OR NOT coalesce(lag(short) OVER (PARTITION BY doc_id ORDER BY pos), false))::INT AS fresh FROM s),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM n)
 SELECT doc_id, min(pos)::INT AS pos, string_agg(trim(line), ' ' ORDER BY pos) AS paragraph FROM i GROUP BY doc_id, island HAVING count(*) > 1""",
 )
 def txt_short_merge(spark, sf):
-    return docs(spark, sf).select("doc_id", F.inline(C.merged_fragments(F.col("text")))).where("members > 1").select("doc_id", "pos", "paragraph")
+    return docs(spark, sf).select("doc_id", F.inline(C.merged_fragments(sentence_lines()))).where("members > 1").select("doc_id", "pos", "paragraph")
 
 
 @query("txt_pack_sentences")
