@@ -73,3 +73,16 @@ def jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high:
     """A table read in ranges of a numeric column."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
     return reader.options(**options).load()
+
+
+def eval_cases(spark: SparkSession, path: str, lists: tuple[str, ...] = ("expected_facts", "must_not_do"), columns: tuple[str, ...] = ("test_id", "conversation_id", "turn_index", "user_query", "expected_decision")) -> DataFrame:
+    """Evaluation cases of a delimited file with header and quoted fields; `lists` hold JSON arrays of strings. Cases without id or question go."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, *lists)])
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.select(*[F.btrim(c).alias(c) for c in columns], *[F.coalesce(F.from_json(c, STRINGS), F.array().cast(STRINGS)).alias(c) for c in lists])
+    return rows.where("coalesce(test_id, '') <> '' AND coalesce(user_query, '') <> ''")
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Records of a delimited file with header; line breaks inside quotes don't count."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()

@@ -37,23 +37,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
 
 
 def into_table(rows: DataFrame, path: str, checkpoint: str, key: str = "event_id", day: str = "ts"):
-    """Appends rows whose key the table lacks, partitioned by day; a batch that is written again adds nothing.
+    """Appends rows whose key the table lacks, on any day, partitioned by day; a batch that is written again adds nothing.
 
-    One writer per table. Only the days that a batch touches are read for the comparison.
+    One writer per table. Of rows that repeat a key the earliest counts, and rows without a time lie in a day of their own.
+    Only the key column of the table is read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates([key]).withColumn("day", F.to_date(day)).persist()
+        others = [c for c in batch.columns if c not in (key, day)]
+        first = batch.groupBy(key).agg(F.min(F.struct(F.col(day).isNull().alias("_late"), F.col(day), *others)).alias("_r"))
+        rows = first.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in batch.columns]).withColumn("day", F.to_date(day))
         try:
-            known = spark.read.parquet(path)
-            days = [r.day for r in batch.select("day").distinct().collect()]
-            batch.join(known.where(F.col("day").isin(days)).select(key), key, "left_anti").write.mode("append").partitionBy("day").parquet(path)
+            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
         except Exception as e:  # the table doesn't exist before the first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-            batch.write.mode("append").partitionBy("day").parquet(path)
-        finally:
-            batch.unpersist()
+        rows.write.mode("append").partitionBy("day").parquet(path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
