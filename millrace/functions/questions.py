@@ -91,3 +91,79 @@ def js_rows(html: Column, name: str, schema: str) -> Column:
     """The array of objects that a script of a page assigns to `name`, parsed as JSON, never run."""
     found = F.regexp_extract(html, rf"(?s)\b{name}\s*=\s*(\[.*?\])\s*;", 1)
     return F.from_json(F.nullif(found, F.lit("")), f"array<struct<{schema}>>")
+
+
+def question_intent(question: Column, topic: Column) -> Column:
+    """What a question wants: the first rule that holds; with a topic it asks for specifications; else it may be out of scope."""
+    rest = F.when(topic != "general", "spec_query").when(F.lower(question).rlike("(?s)" + T.OUT_OF_SCOPE), "out_of_scope").otherwise("general")
+    out = None
+    for label, pattern in T.QUESTION_INTENTS:
+        hit = F.lower(F.btrim(question)).rlike("(?s)" + pattern)
+        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
+    return out.otherwise(rest)
+
+
+def broken_rules(answer: Column, rules: Column, decision: Column, evidence: Column) -> Column:
+    """Names of the rules (an array of texts) that an answer breaks; only answers are held to them. evidence: how many passages it had."""
+    low = F.lower(answer)
+
+    def broken(rule: Column) -> Column:
+        names = []
+        for name, groups, has, lacks, bare in T.ANSWER_RULES:
+            asked = F.lit(True)
+            for words in groups:
+                one = F.lit(False)
+                for w in words:
+                    one = one | F.contains(F.lower(rule), F.lit(w))
+                asked = asked & one
+            bad = (evidence == 0) if bare else low.rlike("(?s)" + has)
+            bad = bad & ~low.rlike(lacks) if lacks else bad
+            names.append(F.when(asked & bad, F.lit(name)))
+        return F.array_compact(F.array(*names))
+
+    return F.when(decision == "answer", F.flatten(F.transform(rules, broken))).otherwise(F.array().cast("array<string>"))
+
+
+AMOUNT, UNIT, STARS = r"(?:\d{1,3}(?:[.,]\d{3})+(?:\d{2})?|\d{6,})", r"(?:triệu|tr\b|tỷ|nghìn|đồng|VNĐ|VND|\bđ\b)", r"(?:\\?\*+)?"
+
+
+def without_prices(text: Column) -> Column:
+    """Amounts with their unit, before or after it and over line breaks, go; so do lines of only an amount or the words around one."""
+    out = F.regexp_replace(text, rf"(?i)(?:{AMOUNT}\s*{STARS}\s*{UNIT}{STARS}|{UNIT}\s*{STARS}\s*{AMOUNT}{STARS})", "")
+    alone = rf"(?im)^[ \t]*(?:{AMOUNT}|{UNIT}\\?\*+|(?:giá\s+(?:bán|niêm\s*yết|ưu\s*đãi|x)|đặt\s*cọc|lăn\s*bánh)\s*(?:từ|cho|và)?[^a-zà-ỹ]*)[ \t]*$"
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, alone, ""), r"\n{3,}", "\n\n"), F.lit(" \n\t"))
+
+
+def table_pieces(table: Column, most: int) -> Column:
+    """A table's rows in pieces of at most `most` characters where single rows allow, each under the header's two lines."""
+    rows = F.split(table, "\n")
+    header = F.array_join(F.slice(rows, 1, 2), "\n")
+    body = F.filter(rows, lambda x, i: i >= 2)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("held"))
+
+    def step(acc, line):
+        full = acc["open"].isNotNull() & (acc["held"] + F.length(line) + 1 > most)
+        return F.struct(
+            F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
+            F.when(acc["open"].isNull() | full, line).otherwise(F.concat(acc["open"], F.lit("\n"), line)).alias("open"),
+            (F.when(full, 0).otherwise(acc["held"]) + F.length(line) + 1).cast("int").alias("held"),
+        )
+
+    done = F.aggregate(body, start, step, lambda acc: F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    return F.when(F.size(done) > 0, F.transform(done, lambda p: F.btrim(F.concat(header, F.lit("\n"), p), F.lit(" \n")))).otherwise(F.array(table))
+
+
+def fitted_history(messages: Column, most: int) -> Column:
+    """Messages (an array of texts) within a token budget: the first and the last stay, and of those between the newest that fit."""
+    cost = lambda m: F.greatest(F.lit(1), F.floor(F.length(m) / 4)).cast("long")
+    n = F.size(messages)
+    ends = cost(F.element_at(messages, 1)) + F.when(n > 1, cost(F.element_at(messages, -1))).otherwise(0)
+    middle = F.reverse(F.filter(messages, lambda m, i: (i > 0) & (i < n - 1)))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), ends.alias("used"), F.lit(False).alias("full"))
+
+    def step(acc, m):
+        full = acc["full"] | (acc["used"] + cost(m) > most)
+        return F.struct(F.when(full, acc["kept"]).otherwise(F.array_append(acc["kept"], m)).alias("kept"), F.when(full, acc["used"]).otherwise(acc["used"] + cost(m)).alias("used"), full.alias("full"))
+
+    kept = F.reverse(F.aggregate(middle, start, step, lambda acc: acc["kept"]))
+    return F.when(n <= 2, messages).otherwise(F.concat(F.array(F.element_at(messages, 1)), kept, F.array(F.element_at(messages, -1))))

@@ -83,3 +83,46 @@ KEY_ALIASES = (
     ("hill_start_assist", ("hsa",)),
     ("autonomous_emergency_braking", ("aeb",)),
 )
+
+# The group of specifications that a question is about, in the order of trial; no group means all of them.
+SPEC_GROUPS = (
+    ("battery", r"thời\s*gian\s*sạc|sạc\s*nhanh|sạc\s*chậm|sạc\s*đầy|nạp\s*pin|dung\s*lượng\s*pin|dung\s*lượng|quãng\s*đường|đi\s*được|phạm\s*vi|tầm\s*di\s*chuyển|tầm\s*hoạt\s*động|\brange\b|pin|\bkwh\b|\bsạc\b|10\s*[-–]\s*70|10\s*%\s*[-–]\s*70"),
+    ("powertrain", r"công\s*suất|mã\s*lực|mô[\s-]*men|\btorque\b|tăng\s*tốc|0\s*[-–]\s*100|tốc\s*độ\s*tối\s*đa|vận\s*tốc|dẫn\s*động|\bawd\b|\bfwd\b|\brwd\b|động\s*cơ|\bmotor\b|\bhp\b|\bkw\b|cầu\s*trước|cầu\s*sau|2\s*cầu"),
+    ("dimension", r"kích\s*thước|chiều\s*dài|chiều\s*rộng|chiều\s*cao|khoảng\s*sáng\s*gầm|trục\s*cơ\s*sở|\bwheelbase\b|trọng\s*lượng|cân\s*nặng|dung\s*tích\s*cốp|thể\s*tích\s*cốp|khoang\s*hành\s*lý"),
+    ("safety", r"túi\s*khí|\bairbag\b|phanh|\babs\b|\besc\b|an\s*toàn|cảnh\s*báo|camera\s*360|camera\s*lùi|kiểm\s*soát\s*lực\s*kéo|\btraction\b"),
+    ("interior", r"cửa\s*sổ\s*trời|kính\s*trần|\bsunroof\b|\bpanoramic\b|nội\s*thất|ghế|số\s*chỗ|chỗ\s*ngồi|mấy\s*chỗ|bao\s*nhiêu\s*chỗ|5\s*chỗ|7\s*chỗ|màn\s*hình|\bloa\b|âm\s*thanh|điều\s*hòa|vô\s*lăng|\bhud\b|sạc\s*không\s*dây|cửa\s*gió|thông\s*gió|sưởi"),
+    ("exterior", r"ngoại\s*thất|đèn|mâm|la[\s-]*zăng|gương|kiểu\s*dáng|màu\s*sơn|cốp|cửa\s*hít|cửa\s*hút"),
+    ("adas", r"\badas\b|\bcruise\b|ga\s*tự\s*động|giữ\s*làn|\blane\b|va\s*chạm|\bcollision\b|\baeb\b|điểm\s*mù|blind\s*spot|đỗ\s*xe|\bparking\b|cao\s*tốc|tắc\s*đường|biển\s*báo|hỗ\s*trợ\s*lái"),
+    ("security", r"chống\s*trộm|\bimmobilizer\b|khóa\s*điện\s*tử|định\s*vị\s*xe"),
+    ("chassis", r"hệ\s*thống\s*treo|khung\s*gầm|chassis|đánh\s*lái|trợ\s*lực\s*lái"),
+    (None, r"tiện\s*nghi|giải\s*trí|kết\s*nối|trợ\s*lý\s*ảo|\bapp\b|điều\s*khiển\s*từ\s*xa|gọi\s*thoại|cập\s*nhật\s*phần\s*mềm|có\s*những\s*tính\s*năng|tính\s*năng\s*nổi\s*bật|trang\s*bị"),
+)
+
+# What a question wants, in the order of trial; greetings and thanks only where nothing else is said.
+QUESTION_INTENTS = (
+    ("greeting", r"^(xin\s*chào|chào|hello|hi|helo|alo|hế\s*lô)(\s*(bạn|em|ad|admin|mình|nhé|nha))?[\s!.,?~]*$"),
+    ("thanks", r"^(cảm\s*ơn|cám\s*ơn|cam\s*on|thank\s*you|thanks|tks|tạm\s*biệt|bye|bai\s*bai)(\s*(bạn|em|ad|admin|mình|so\s*much|a\s*lot))?(\s*(nhé|nha|ạ|nhiều|rất\s*nhiều))?[\s!.,?~]*$"),
+    ("identity", r"bạn\s*là\s*ai|bạn\s*tên\s*gì|bạn\s*giúp\s*được\s*gì|chức\s*năng\s*(của\s*bạn|gì)|giới\s*thiệu\s*bản\s*thân|em\s*là\s*ai"),
+    ("utility", r"showroom|trạm\s*sạc|đại\s*lý|cửa\s*hàng|chi\s*nhánh|lái\s*thử|test\s*drive|đăng\s*ký\s*lái|đặt\s*lịch|booking|lịch\s*hẹn|trả\s*góp|vay|thẩm\s*định|lăn\s*bánh|đăng\s*ký\s*xe|khuyến\s*mãi|ưu\s*đãi|voucher|hotline|liên\s*hệ|gặp\s*sales|lịch\s*bảo\s*dưỡng"),
+    ("price", r"giá|bao\s*nhiêu\s*tiền|hết\s*bao\s*nhiêu|mua.*bao\s*nhiêu|đắt\s*không|rẻ\s*không|chi\s*phí.*mua"),
+    ("compare", r"so\s*sánh|so\s*sanh|\bvs\b|versus|hơn\s*kém|khác\s*gì|tốt\s*hơn|hay\s*hơn|đáng\s*mua|nên\s*mua|giữa\s*.*và"),
+    ("cross_model_feature", r"xe\s*nào\s*có|những\s*xe.*có|model\s*nào\s*có|dòng\s*nào\s*có|có\s*trên\s*những\s*xe|có\s*trên\s*xe\s*nào"),
+    ("feature_presence", r"có\s+[^?]{1,80}\s+(không|ko|hả|nhỉ)\s*\??|liệu\s+[^?]{1,60}\s+có\s+.*\?|[^?]{1,60}\s+có\s+(không|ko)\s*\??"),
+    ("models_list", r"những\s*xe|danh\s*sách\s*xe|các\s*mẫu\s*xe|mấy\s*loại\s*xe|đang\s*bán\s*những|có\s*những\s*xe\s*nào"),
+    ("versions_list", r"có\s+mấy\s+phiên\s+bản|những\s+phiên\s+bản|phiên\s+bản\s+nào|mấy\s+bản|edition|có\s+những\s+bản"),
+    ("colors", r"màu\s*sắc|màu\s*ngoại\s*thất|màu\s*nội\s*thất|màu\s*gì|có\s*những\s*màu|màu\s*sơn"),
+    ("policy", r"bảo\s*hành|bảo\s*dưỡng|chính\s*sách|điều\s*khoản|sửa\s*chữa|cứu\s*hộ|dịch\s*vụ\s*sau\s*bán|pháp\s*lý|hỗ\s*trợ\s*kỹ\s*thuật|đặt\s*cọc|đặt\s*coc"),
+)
+OUT_OF_SCOPE = r"thời\s*tiết|chứng\s*khoán|bóng\s*đá|chính\s*trị|tập\s*làm\s*thơ|kể\s*chuyện\s*cười|viết\s*code|viết\s*cho\s*tôi\s*.*code|code\s*python|thuật\s*toán|quicksort|dijkstra|nấu\s*món|công\s*thức\s*nấu|phở\s*bò|tổng\s*thống|hack\s*|bẻ\s*khóa|mật\s*khẩu\s*wifi"
+
+# What an answer must not do: (words of the rule, of which each group needs one), (pattern that the answer must have), (one that it must lack), whether only an answer without evidence breaks it.
+ANSWER_RULES = (
+    ("default_choice", (("chọn",), ("mặc định", "default")), r"eco|plus", r"phiên bản|bản", False),
+    ("mixed_cycles", (("trộn",), ("nedc", "wltp")), r"nedc.*wltp|wltp.*nedc", None, False),
+    ("background", (("kiến thức nền", "kiến thức sẵn"),), None, None, True),
+    ("guessed", (("không đoán",),), None, None, True),
+    ("compared", (("không so sánh", "không lập bảng"),), r"so sánh|bảng|khác nhau|versus|\bvs\b", None, False),
+    ("advised", (("không khuyên",),), r"nên mua|khuyên|gợi ý|chọn", None, False),
+    ("made_up", (("không bịa",),), None, None, True),
+    ("repair", (("chẩn đoán", "hướng dẫn sửa"),), r"bạn nên|cách sửa|thao tác|kiểm tra|thay thế", None, False),
+)

@@ -196,3 +196,71 @@ def web_model_from_path(spark, sf):
     path = F.concat(F.lit("/files/mk9/"), F.element_at(names, (F.col("page_id") % 5 + 1).cast("int")))
     stem = F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)), "[^a-z0-9]", "")
     return table(spark, sf, "pages").select("page_id", rules.longest_key(stem, MODELS, None).alias("model"))
+
+
+SAID = ("Xin chào bạn!", "cảm ơn nhiều", "bạn là ai", "đặt lịch lái thử", "giá xe bao nhiêu tiền", "so sánh hai xe", "xe nào có hud", "xe có camera lùi không?", "danh sách xe", "có mấy phiên bản", "màu gì", "bảo hành pin", "thời tiết hôm nay", "túi khí", "tell me more", "chào bạn, giá xe", "hệ thống treo", "chống trộm", "tiện nghi", "âm thanh", "giữ làn", "động cơ")
+SAY = f"({sql_list(SAID)})[({{0}}) % {len(SAID)} + 1]"
+SPEC_GROUP = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN {'NULL' if k is None else repr(k)}" for k, p in T.SPEC_GROUPS) + " END"
+WANTS = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(q)), '{p}', 's') THEN '{k}'" for k, p in T.QUESTION_INTENTS) + f" WHEN topic <> 'general' THEN 'spec_query' WHEN regexp_matches(lower(q), '{T.OUT_OF_SCOPE}', 's') THEN 'out_of_scope' ELSE 'general' END"
+
+
+def say(number):
+    return F.element_at(F.array(*map(F.lit, SAID)), (number % len(SAID) + 1).cast("int"))
+
+
+@query("qry_question_intent", f"SELECT conv_id, turn, {WANTS} AS wants, {SPEC_GROUP} AS spec_group FROM (SELECT conv_id, turn, {SAY.format('conv_id + turn')} AS q, CASE WHEN turn % 2 = 0 THEN 'battery' ELSE 'general' END AS topic FROM conversations)")
+def qry_question_intent(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", say(F.col("conv_id") + F.col("turn")).alias("q"), F.when(F.col("turn") % 2 == 0, "battery").otherwise("general").alias("topic"))
+    return rows.select("conv_id", "turn", Q.question_intent(F.col("q"), F.col("topic")).alias("wants"), rules.first_match(F.col("q"), T.SPEC_GROUPS, None).alias("spec_group"))
+
+
+RULES = ("Không chọn Eco hoặc Plus mặc định", "Không trộn NEDC/WLTP", "Không dùng kiến thức nền", "Không đoán", "Không so sánh hai xe", "Không khuyên", "Không bịa", "Không chẩn đoán")
+ANSWERS = ("bản eco tốt", "chọn plus", "đi 400 km theo NEDC, 380 theo wltp", "bạn nên kiểm tra phanh", "khác nhau nhiều, nên mua", "eco")
+
+
+def sql_broken(name, groups, has, lacks, bare):
+    asked = " AND ".join("(" + " OR ".join(f"contains(lower(r), '{w}')" for w in words) + ")" for words in groups)
+    bad = "evidence = 0" if bare else f"regexp_matches(lower(answer), '{has}', 's')"
+    return f"SELECT conv_id, turn, '{name}' AS rule FROM a WHERE decision = 'answer' AND {asked} AND {bad}" + (f" AND NOT regexp_matches(lower(answer), '{lacks}')" if lacks else "")
+
+
+@query(
+    "ev_broken_rules",
+    f"WITH a AS (SELECT conv_id, turn, unnest({sql_list(RULES)}) AS r, ({sql_list(ANSWERS)})[conv_id % {len(ANSWERS)} + 1] AS answer, CASE WHEN turn % 5 = 4 THEN 'refuse' ELSE 'answer' END AS decision, turn % 3 AS evidence FROM conversations), "
+    + "b AS (" + " UNION ALL ".join(sql_broken(*x) for x in T.ANSWER_RULES) + ") SELECT rule, count(*) AS n FROM b GROUP BY rule",
+)
+def ev_broken_rules(spark, sf):
+    """How often each rule on answers is broken."""
+    answer = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("conv_id") % len(ANSWERS) + 1).cast("int"))
+    broken = Q.broken_rules(answer, F.array(*map(F.lit, RULES)), F.when(F.col("turn") % 5 == 4, "refuse").otherwise("answer"), F.col("turn") % 3)
+    return table(spark, sf, "conversations").select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("txt_without_prices", "SELECT p_partkey, 'MK ' || p_name || ' và ' || chr(10) || chr(10) || 'Bảo hành 7 năm, số ' || p_size AS t FROM part")
+def txt_without_prices(spark, sf):
+    text = F.concat(F.lit("MK "), "p_name", F.lit(" và 613.700.000\n\nVNĐ\\*\n\n\nGiá bán từ\n 1.200.000 \nBảo hành 7 năm, số "), "p_size", F.lit("đồng 750000\n\n"))
+    return table(spark, sf, "part").select("p_partkey", Q.without_prices(text).alias("t"))
+
+
+@query(
+    "txt_table_pieces",
+    "SELECT p_brand, count(*)::INT AS pieces, sum(length(x))::BIGINT AS chars FROM (SELECT p_brand, '| k | v |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY p_partkey) AS x FROM (SELECT p_brand, p_partkey, '| ' || lpad(p_partkey::VARCHAR, 8, '0') || ' | row |' AS line, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 5 AS piece FROM part) GROUP BY p_brand, piece) GROUP BY p_brand",
+)
+def txt_table_pieces(spark, sf):
+    """Tables cut into pieces of five rows by their length, the header on each."""
+    line = F.concat(F.lit("| "), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(" | row |"))
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit("| k | v |\n|---|---|\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    pieces = rows.select("p_brand", Q.table_pieces(text, 5 * 19).alias("p"))
+    return pieces.select("p_brand", F.size("p").alias("pieces"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query(
+    "qry_fitted_history",
+    """WITH t AS (SELECT conv_id, turn, greatest(1, length(text) // 4) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS j FROM conversations),
+e AS (SELECT conv_id, sum(c) AS ends FROM t WHERE i = 1 OR j = 1 GROUP BY 1), m AS (SELECT t.*, ends + sum(c) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM t JOIN e USING (conv_id) WHERE i > 1 AND j > 1)
+SELECT conv_id, ((SELECT least(count(*), 2) FROM t WHERE t.conv_id = e.conv_id) + (SELECT count(*) FROM m WHERE m.conv_id = e.conv_id AND used <= 100))::INT AS kept FROM e""",
+)
+def qry_fitted_history(spark, sf):
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    return rows.select("conv_id", F.size(Q.fitted_history(F.transform("m", lambda x: x["text"]), 100)).alias("kept"))
