@@ -1,9 +1,11 @@
 """Rank-synchronous merging of byte-pair symbols over ragged numpy arrays.
 
 All sequences of a batch lie in one flat array. In every round each unfinished sequence applies its
-own lowest-rank pair once, at its leftmost place, which is what a priority queue per sequence does;
-the rounds of different sequences run side by side. Sequences whose symbols allow no more merge
-leave the arrays.
+own lowest-rank pair, at all its places at once where that is what one merge after the other, leftmost
+first, comes to: places don't overlap, and no merge there can make way for a lower rank before the
+others had their turn. Pairs whose symbol begins or ends a pair of lower rank are applied at places so
+far apart that the symbols which grow there can't touch. The rounds of different sequences run side by
+side. Sequences whose symbols allow no more merge leave the arrays.
 """
 
 from __future__ import annotations
@@ -12,20 +14,24 @@ import heapq
 
 import numpy as np
 
-#: Longer sequences would hold up their batch, a round per merge; they use `Merger.one`, by the same rule.
-LONG = 192
+#: Longer sequences, in symbols, use `Merger.one`, by the same rule: a pathological one could need a round per merge.
+LONG = 50_000
 _NONE = np.int64(1 << 40)
 
 
 class Merger:
-    """pairs: {(left symbol, right symbol): (rank, merged symbol)}; symbols are below 2^20."""
+    """pairs: {(left symbol, right symbol): (rank, merged symbol)}; symbols are below 2^20. widest: the most first symbols that one symbol is merged of."""
 
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
-        self.pairs = pairs
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]], widest: int):
+        self.pairs, self.apart = pairs, 2 * widest
+        least: dict[int, int] = {}
+        for (a, b), (r, _) in pairs.items():
+            least[a], least[b] = min(r, least.get(a, r)), min(r, least.get(b, r))
         keys = np.array([a << 20 | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.int64(1 << 62))
-        values = np.array(list(pairs.values()), np.int64).reshape(-1, 2)[order]
+        # Ranks times two, and one where the merge may let a pair of lower rank come up.
+        values = np.array([(2 * r + (least.get(c, r + 1) <= r), c) for r, c in pairs.values()], np.int64).reshape(-1, 2)[order]
         self.rank, self.made = np.append(values[:, 0], _NONE), np.append(values[:, 1], 0)
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +73,15 @@ class Merger:
                 least, lens = least[~done], lens[~done]
                 if not len(sym):
                     break
-            at = np.flatnonzero(rank == np.repeat(least, lens))
-            at = at[np.append(True, row[at][1:] != row[at][:-1])]
+            # Ranks that differ in the mark alone are one rank.
+            at = np.flatnonzero(rank >> 1 == np.repeat(least >> 1, lens))
+            gap = np.append(_NONE, np.diff(at))
+            gap[np.append(True, row[at][1:] != row[at][:-1])] = _NONE
+            places = np.arange(len(at))
+            run = places - np.maximum.accumulate(np.where(gap > 1, places, 0))
+            shaky = np.zeros(int(row[-1]) + 1, bool)
+            shaky[row[at[rank[at] & 1 == 1]]] = True
+            at = at[np.where(shaky[row[at]], gap > self.apart, run % 2 == 0)]
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False

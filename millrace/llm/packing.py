@@ -29,8 +29,8 @@ from .merging import LONG, Merger
 
 #: Pieces packed by one task at a time.
 PER_PARTITION = 40_000
-#: Distinct words that a Python worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+#: Characters of distinct words that a Python worker remembers; then it starts afresh.
+REMEMBERED = 3_000_000
 
 # Texts of these characters alone are cut here, by the same pattern as the tokenizer's; any other text goes to the tokenizer whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
@@ -54,13 +54,14 @@ class WordEncoder:
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             pairs.setdefault((vocab[a], vocab[b]), (r, vocab[a + b]))
-        self.merger = Merger(pairs)
+        self.merger = Merger(pairs, max(map(len, vocab)))
         # The byte alphabet: printable bytes stand for themselves, the rest for U+0100 and on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         sign = [chr(b) if b in shown else chr(next(other)) for b in range(256)]
         self.inner, self.last = [vocab[c] for c in sign], [vocab[c + end] for c in sign]
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: set[str]) -> None:
         spelled, rest = [], []
@@ -79,13 +80,16 @@ class WordEncoder:
         for k in range(0, len(texts), 256):
             part = [t or "" for t in texts[k : k + 256]]
             cut = [None if _OTHER.search(t) else _WORDS(t.lower()) for t in part]
-            if len(self.seen) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.seen.clear()
+                self.held = 0
             new: set[str] = set()
             for words in cut:
                 if words:
                     new.update(words)
-            self._learn(new.difference(self.seen))
+            new.difference_update(self.seen)
+            self.held += sum(map(len, new))
+            self._learn(new)
             for t, words in zip(part, cut):
                 if words is None:
                     out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())

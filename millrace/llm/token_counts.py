@@ -1,12 +1,13 @@
 """Token counts of whole texts under a sentencepiece BPE model, by rank-synchronous array merging.
 
 A text is cut into pre-tokens (a run of word marks with the characters up to the next mark, and
-within that wherever a character occurs in no piece of two or more characters), between which no
-merge can happen. The distinct pre-tokens of a batch are held as ragged numpy arrays and merged
+within that wherever a character occurs in no piece of two or more characters, or two neighbours in
+none), between which no merge can happen. The distinct pre-tokens of a batch are held as ragged numpy arrays and merged
 together; the surviving symbols are counted, characters outside the vocabulary as their bytes.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; strings like "<s>" are ordinary
-text; repeated rows are counted each; an empty table gives no rows. Extra columns are ignored.
+text; repeated rows are counted each; an empty table gives no rows; texts of any length are counted
+whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from . import common
 from .merging import Merger
 
 MARK = "▁"
-#: Distinct pre-tokens that a Python worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+#: Characters of distinct pre-tokens that a Python worker remembers; then it starts afresh. Longer pre-tokens are also cut between neighbours.
+REMEMBERED, CUT_FROM = 4_000_000, 16
 
 
 class PieceCounter:
@@ -50,32 +51,42 @@ class PieceCounter:
                 a, b = symbols.get(piece[:k]), symbols.get(piece[k:])
                 if a is not None and b is not None:
                     pairs[a, b] = (rank[sp.get_score(i)], i)
-        self.merger = Merger(pairs)
+        self.merger = Merger(pairs, max(map(len, ids)))
+        self.neighbours = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
         if known != len(ids) or any(MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("pieces with a word mark inside aren't handled")
         inner = "".join(map(re.escape, (c for c in chars if c != MARK)))
         self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{inner}{MARK}]+")
         self.seen: dict[str, int] = {}
+        self.held = 0
+
+    def _parts(self, word: str) -> list[str]:
+        if len(word) < CUT_FROM:
+            return [word]
+        ends = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.neighbours]
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
 
     def _learn(self, words: set[str]) -> None:
-        words = list(words)
-        seqs = []
+        owner, seqs = [], []
         for w in words:
+            self.held += len(w)
             if w[0] in self.char:
-                seqs.append([self.char[c] for c in w])
+                parts = self._parts(w)
+                owner += [w] * len(parts)
+                seqs += [[self.char[c] for c in x] for x in parts]
+                self.seen[w] = 0
             else:
-                seqs.append([])
                 self.seen[w] = sum(1 if c in self.single else len(c.encode()) for c in w)
-        for w, left in zip(words, self.merger.run(seqs)):
-            if len(left):
-                self.seen[w] = len(left) + sum(self.weight.get(x, 1) - 1 for x in left[left >= 1 << 19].tolist())
+        for w, left in zip(owner, self.merger.run(seqs)):
+            self.seen[w] += len(left) + sum(self.weight.get(x, 1) - 1 for x in left[left >= 1 << 19].tolist())
 
     def counts(self, texts: list[str | None]) -> list[int]:
         out = []
         for k in range(0, len(texts), 256):
             cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[k : k + 256]]
-            if len(self.seen) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.seen.clear()
+                self.held = 0
             new: set[str] = set()
             for words in cut:
                 new.update(words)
