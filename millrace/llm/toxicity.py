@@ -10,8 +10,9 @@ The fit uses a bounded sample (`POSITIVES` and `UNLABELLED` documents with the s
 their ids, less copies; where ids repeat, one row of each before second ones); every document is scored over its whole text.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; without
-toxic examples all scores are 0; labels that repeat or disagree count as toxic if any is; repeated
-documents are scored each; an empty table gives no rows. Extra columns are ignored.
+toxic examples all scores are that of an intercept of -40, below 1e-17; labels that repeat or disagree
+count as toxic if any is; repeated documents are scored each; an empty table gives no rows; texts of any
+length are scored whole. `scored` keeps other columns, less one named score.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     u_ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("toxic"))
     ids = p_ids.unionByName(u_ids)
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    made = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, f"doc_id {kind}, toxic int, words binary").distinct()
+    made = common.in_batches(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text"), _words, f"doc_id {kind}, toxic int, words binary").distinct()
     # An id may have many rows: one of each id comes first, then second ones, within the same bounds.
     own = Window.partitionBy("toxic", "doc_id").orderBy(F.xxhash64("words"))
     made = common.cut(made.withColumn("n", F.row_number().over(own)).where(F.col("n") <= PER_ID))
@@ -128,14 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns but the text, with score."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = pa.array(map(model.score, b.column("text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], made], names=[*[f.name for f in kept], "score"])
 
-    return docs.mapInArrow(score, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"]))
+    return common.in_batches(docs, score, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

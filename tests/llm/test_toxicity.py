@@ -42,3 +42,14 @@ def test_learns_a_word_from_few_examples(spark):
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = scored(docs, train(docs, labels)).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 10 == 0) for r in got)
+
+
+def test_extra_columns_empty_tables_and_long_texts(spark):
+    model = Model(np.sort(toxicity.features("vile")), np.full(len(toxicity.features("vile")), 9.0), -5.0)
+    docs = spark.createDataFrame([(1, "fine " * 60_000 + "vile", 7, 8, 9), (2, "fine", 7, 8, 9)], "doc_id long, text string, score int, words int, toxic int")
+    rows = scored(docs, model)
+    assert rows.columns == ["doc_id", "words", "toxic", "score"]
+    assert [(r.doc_id, r.words, r.score > 0.5) for r in rows.orderBy("doc_id").collect()] == [(1, 8, True), (2, 8, False)]
+    assert scored(docs.limit(0), model).count() == 0
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, toxic int, text string")
+    assert 0 <= scored(docs, train(docs, labels)).first().score <= 1
