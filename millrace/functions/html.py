@@ -10,56 +10,145 @@ from pyspark.sql import DataFrame
 
 #: What is dropped with its content, and what starts a block.
 DROPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "iframe", "button"}
-BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "blockquote", "dl", "dt", "dd", "br"}
+BLOCKS = {"p", "div", "section", "article", "main", "figure", "figcaption", "li", "ul", "ol", "table", "tr", "blockquote", "dl", "dt", "dd", "pre", "hr"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
 class _Walk(HTMLParser):
+    """Tag events to blocks. A list or a table is one block of lines, which ends with its outermost tag."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.skip, self.title, self.trail, self.out, self.line, self.heading = [], "", [], [], "", 0
+        self.group: list[str] = []  # lines of the open list or table
+        self.lists: list[list] = []  # [is it numbered, items so far] of each open list
+        self.tables, self.cells, self.open_cell, self.first_row, self.pre, self.term = 0, None, False, True, False, ""
+
+    def crumb(self) -> str:
+        return " > ".join(x[1] for x in self.trail)
 
     def flush(self, prefix: str = "") -> None:
-        text = " ".join(self.line.split())
-        if text and self.heading:
-            self.trail = [x for x in self.trail if x[0] < self.heading] + [(self.heading, text)]
-        elif text:
-            self.out.append((" > ".join(x[1] for x in self.trail), prefix + text))
+        if self.pre:
+            text = f"```\n{self.line}\n```" if self.line.strip() else ""
+        else:
+            text = " ".join(self.line.split())
         self.line = ""
+        if not text or text in ("-", ">"):
+            return
+        if self.heading:
+            self.trail = [x for x in self.trail if x[0] < self.heading] + [(self.heading, text)]
+        elif self.lists and not self.pre:
+            self._item(text)
+        else:
+            self.out.append((self.crumb(), prefix + text))
+
+    def _item(self, text: str) -> None:
+        numbered, n, fresh = self.lists[-1]
+        depth = len(self.lists) - 1
+        self.group.append("  " * depth + (f"{n}. " if numbered else "- ") + text if fresh else "  " * (depth + 1) + text)
+        self.lists[-1][2] = False
+
+    def close_group(self) -> None:
+        if self.group and not self.lists and not self.tables:
+            self.out.append((self.crumb(), "\n".join(self.group)))
+            self.group = []
 
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
             self.skip.append(tag)
-        elif tag in HEADINGS or tag in BLOCKS:
-            self.flush()
-            self.heading = HEADINGS.get(tag, 0)
-            self.line = {"li": "- ", "blockquote": "> "}.get(tag, "")
+        elif self.skip:
+            return
+        elif tag == "br":
+            self.line += "\n" if self.pre else " "
+        elif tag == "img":
+            self.line += f" {dict(attrs).get('alt') or ''} "
         elif tag in ("td", "th"):
-            self.line += " | "
+            self._cell()
+            self.cells = [] if self.cells is None else self.cells
+            self.line = ""
         elif tag == "title":
             self.flush()
+        elif self.tables and tag not in ("table", "tr"):
+            self.line += " "  # blocks inside a cell are its text
+        elif tag in HEADINGS or tag in BLOCKS:
+            self.flush()
+            self.heading = HEADINGS.get(tag, 0)
+            if tag in ("ul", "ol"):
+                self.lists.append([tag == "ol", 0, True])
+            elif tag == "li" and self.lists:
+                self.lists[-1][1] += 1
+                self.lists[-1][2] = True
+            elif tag == "table":
+                self.tables += 1
+                self.first_row = True
+            elif tag == "tr":
+                self._row()
+            elif tag == "hr":
+                self.out.append((self.crumb(), "---"))
+            self.pre = tag == "pre" or (self.pre and tag not in BLOCKS)
+            self.line = "> " if tag == "blockquote" else ""
+
+    def _cell(self) -> None:
+        if self.cells is not None:
+            text = " ".join(self.line.split())
+            if text or self.open_cell:
+                self.cells.append(text.replace("|", "\\|") or " ")
+        self.open_cell, self.line = True, ""
+
+    def _row(self) -> None:
+        if self.cells is not None:
+            self._cell()
+            if self.cells:
+                self.group.append("| " + " | ".join(self.cells) + " |")
+                if self.first_row:
+                    self.group.append("| " + " | ".join(["---"] * len(self.cells)) + " |")
+                    self.first_row = False
+        self.cells, self.open_cell, self.line = None, False, ""
 
     def handle_endtag(self, tag):
         if tag in DROPPED and self.skip:
             while self.skip and self.skip.pop() != tag:
                 pass
+        elif self.skip:
+            return
         elif tag == "title":
             self.title, self.line = " ".join(self.line.split("|")[0].split()), ""
+        elif tag == "tr" or tag == "table":
+            self._row()
+            if tag == "table" and self.tables:
+                self.tables -= 1
+                self.close_group()
+        elif self.tables:
+            return
+        elif tag == "dt":
+            self.term, self.line = " ".join(self.line.split()), ""
+        elif tag == "dd":
+            self.out.append((self.crumb(), f"- **{self.term}**: {' '.join(self.line.split())}"))
+            self.line = ""
         elif tag in HEADINGS or tag in BLOCKS:
             self.flush()
-            self.heading = 0
+            self.heading, self.pre = 0, False
+            if tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
+                self.close_group()
 
     def handle_data(self, data):
         if not self.skip:
             self.line += data
 
+    def finish(self) -> None:
+        self._row()
+        self.flush()
+        self.lists, self.tables = [], 0
+        self.close_group()
+
 
 def walk(html: str | None) -> tuple[str, list[tuple[str, str]]]:
     """(title, [(breadcrumb, block)]); the breadcrumb is the title where no heading is open."""
     w = _Walk()
     w.feed(html or "")
     w.close()
-    w.flush()
+    w.finish()
     return w.title, [(crumb or w.title, block) for crumb, block in w.out]
 
 

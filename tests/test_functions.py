@@ -51,7 +51,16 @@ def test_cosine_of_nothing(spark):
 def test_html_walk():
     title, blocks = html.walk("<title>T | site</title><nav>no</nav><h1>A</h1><p>one <b>two</b></p><h2>B</h2><ul><li>x<li>y</ul><h1>C</h1><table><tr><td>1<td>2</tr></table><script>bad('</p>')</script>")
     assert title == "T"
-    assert blocks == [("A", "one two"), ("A > B", "- x"), ("A > B", "- y"), ("C", "| 1 | 2")]
+    assert blocks == [("A", "one two"), ("A > B", "- x\n- y"), ("C", "| 1 | 2 |\n| --- | --- |")]
+    _, blocks = html.walk(
+        "<h1>L</h1><ol><li>one<li>two <b>b</b><ul><li>in<li>ner</ul></li><li>three</ol><p>see <img src=x alt='a picture'>!</p><pre>a  b\n c</pre><blockquote>said</blockquote><hr>"
+        "<table><tr><th>k</th><th>a|b</th></tr><tr><td><p>1</p></td><td></td></tr></table><dl><dt>term</dt><dd>what it is</dd></dl>loose<br>text<table><tr><td>open"
+    )
+    assert [b for _, b in blocks] == [
+        "1. one\n2. two b\n  - in\n  - ner\n3. three", "see a picture !", "```\na  b\n c\n```", "> said", "---",
+        "| k | a\\|b |\n| --- | --- |\n| 1 |   |", "- **term**: what it is", "loose text", "| open |\n| --- |",
+    ]
+    assert {c for c, _ in blocks} == {"L"}
     assert html.walk(None) == ("", [])
     assert html.packed([("a", "x" * 3200), ("a", "y")])[-1] == ("a", "x" * 200 + "\ny")
 
