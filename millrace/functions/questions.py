@@ -167,3 +167,60 @@ def fitted_history(messages: Column, most: int) -> Column:
 
     kept = F.reverse(F.aggregate(middle, start, step, lambda acc: acc["kept"]))
     return F.when(n <= 2, messages).otherwise(F.concat(F.array(F.element_at(messages, 1)), kept, F.array(F.element_at(messages, -1))))
+
+
+def is_page_junk(section_path: Column, text: Column) -> Column:
+    """Boilerplate of a site: by section, by phrase, or, where no section is open, texts of menu items."""
+    plain = X.strip_marks(text)
+    lines = F.filter(F.transform(F.split(plain, "\n"), F.btrim), lambda x: x != "")
+    menu = F.filter(lines, lambda x: x.rlike(T.MENU_ITEM))
+    by_section = F.exists(section_path, lambda p: F.btrim(X.strip_marks(p)).isin(*T.JUNK_SECTIONS))
+    by_menu = (F.size(section_path) <= 1) & (F.size(menu) >= 2) & (2 * F.size(menu) >= F.size(lines))
+    return F.coalesce(by_section | plain.rlike("(?s)" + T.JUNK_TEXT) | by_menu, F.lit(False))
+
+
+def is_of_others(text: Column, model: Column, own: tuple[str, ...], others: tuple[str, ...]) -> Column:
+    """Whether a text filed under a model names other brands and neither the model, spaced or not, nor an own brand."""
+    low = X.strip_marks(text)
+    named = F.contains(low, F.lower(model)) | F.contains(low, F.replace(F.lower(model), F.lit(" "), F.lit("")))
+    for brand in own:
+        named = named | F.contains(low, F.lit(brand))
+    return F.coalesce(~named & F.exists(F.array(*map(F.lit, others)), lambda b: F.contains(low, b)), F.lit(False))
+
+
+def is_spec_table(text: Column) -> Column:
+    """Four pipes or more, and a label of specifications."""
+    low = X.strip_marks(text)
+    pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    return (pipes >= 4) & F.exists(F.array(*map(F.lit, T.SPEC_LABELS)), lambda x: F.contains(low, x))
+
+
+def edition_named(question: Column, editions: tuple = T.EDITIONS) -> Column:
+    """The listed edition whose longest name the question has."""
+    low, out = F.lower(question), None
+    for name, listed in sorted(editions, key=lambda x: -len(x[0])):
+        hit = F.contains(low, F.lit(name))
+        out = F.when(hit, listed) if out is None else out.when(hit, listed)
+    return out
+
+
+def tool_plan(wants: Column, question: Column, model: Column, models: tuple[str, ...]) -> Column:
+    """What is looked up for a question: an array of (tool, model); null where a model must be asked for first."""
+    call = lambda tool, m: F.struct(F.lit(tool).alias("tool"), m.cast("string").alias("model"))
+    one = lambda tool: F.when(model.isNotNull(), F.array(call(tool, model)))
+    none = F.lit(None)
+    low, utility = F.lower(question), None
+    for tool, pattern in T.UTILITIES:
+        utility = F.when(low.rlike(pattern), F.array(call(tool, model))) if utility is None else utility.when(low.rlike(pattern), F.array(call(tool, model)))
+    compared = F.when(low.rlike(r"giá|bao\s*nhiêu\s*tiền"), F.array(call("get_specs", model), call("get_price", model))).otherwise(F.array(call("get_specs", model)))
+    return (
+        F.when(wants.isin("out_of_scope", "greeting", "thanks", "identity"), F.array().cast("array<struct<tool: string, model: string>>"))
+        .when(wants == "utility", utility.otherwise(F.array(call("get_showroom_charging_link", none))))
+        .when(wants.isin("price", "versions_list"), one("get_price"))
+        .when(wants.isin("spec_query", "feature_presence"), one("get_specs"))
+        .when(wants == "cross_model_feature", F.array(*[call("get_specs", F.lit(m)) for m in models]))
+        .when(wants == "compare", F.when(model.isNotNull(), compared))
+        .when(wants == "models_list", F.array(call("list_available_models", none)))
+        .when(wants == "colors", one("get_colors"))
+        .otherwise(F.array(call("search_knowledge_base", model)))
+    )

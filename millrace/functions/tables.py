@@ -126,3 +126,25 @@ ANSWER_RULES = (
     ("made_up", (("không bịa",),), None, None, True),
     ("repair", (("chẩn đoán", "hướng dẫn sửa"),), r"bạn nên|cách sửa|thao tác|kiểm tra|thay thế", None, False),
 )
+
+# Sections and texts of pages that say nothing of a product, without accents; items of menus; and labels of specification tables.
+JUNK_SECTIONS = ("dang ky thanh cong", "kiem tra email", "kiem tra email de kich hoat tai khoan", "doi mat khau thanh cong", "nhan bao gia uu dai moi nhat", "dich vu khach hang", "speak-up hotline", "speak up hotline", "tien ich", "mua sam", "theo doi")
+JUNK_TEXT = r"icon-popup-success|dang nhap\s*/\s*dang ky truoc khi mua hang|gia ban tu dat coc dang ky lai thu|cam on quy khach da quan tam|tra cuu tai lieu huong dan|checkbox label label\s+consent leg\.interest|dat lich sua chua\s+dat lich sua chua|doi mat khau thanh cong|thay doi thanh cong mat khau|tim showroom\s*&\s*tram sac.*cau hoi thuong gap|san pham dang cap, gia tot, chinh sach hau mai vuot troi"
+MENU_ITEM = r"^-\s*(gia ban|gioi thieu|ngoai that|noi that|thong so|tinh nang|tong quan|thiet ke|van hanh|an toan|uu dai|cac phien ban)\s*$"
+SPEC_LABELS = ("cong suat", "mo men", "mo-men", "dung luong pin", "loai pin", "quang duong", "tai trong", "trong luong", "chieu dai co so", "chieu dai", "chieu rong", "chieu cao", "khoang sang", "co so", "toc do toi da", "tang toc", "so cho ngoi", "cho ngoi", "dan dong", "he thong treo", "treo truoc", "treo sau", "thoi gian nap", "sac day", "sac nhanh", "khoang chua hanh ly")
+
+# Names of editions and what they are listed as.
+EDITIONS = (
+    ("eco", "Eco"), ("bản eco", "Eco"), ("ban eco", "Eco"), ("plus", "Plus"), ("bản plus", "Plus"), ("ban plus", "Plus"), ("tiêu chuẩn", "TieuChuan"), ("tieuchuan", "TieuChuan"), ("tiêu_chuẩn", "TieuChuan"), ("nâng cao", "NangCao"), ("nangcao", "NangCao"), ("cao cấp", "CaoCap"), ("caocap", "CaoCap"),
+    ("pluscaptain", "PlusCaptain"), ("plus captain", "PlusCaptain"), ("the all new", "The All New"), ("all new", "The All New"), ("thenew", "The All New"), ("the new", "The All New"), ("new", "The All New"), ("thế hệ mới", "The All New"), ("the he moi", "The All New"), ("plus awd", "Plus AWD"), ("plusawd", "Plus AWD"),
+)
+
+# The link that a practical question wants, in the order of trial.
+UTILITIES = (
+    ("get_onroad_cost_link", r"lăn\s*bánh|onroad|đăng\s*ký\s*xe"),
+    ("get_loan_estimate_link", r"trả\s*góp|vay|thẩm\s*định"),
+    ("get_showroom_charging_link", r"showroom|trạm\s*sạc|đại\s*lý|chi\s*nhánh"),
+    ("get_booking_link", r"đặt\s*lịch|booking|lịch\s*hẹn|test\s*drive|lái\s*thử"),
+    ("get_maintenance_link", r"link\s*bảo\s*dưỡng|lịch\s*bảo\s*dưỡng"),
+    ("get_active_promotions", r"khuyến\s*mãi|ưu\s*đãi|voucher"),
+)

@@ -264,3 +264,115 @@ SELECT conv_id, ((SELECT least(count(*), 2) FROM t WHERE t.conv_id = e.conv_id)
 def qry_fitted_history(spark, sf):
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
     return rows.select("conv_id", F.size(Q.fitted_history(F.transform("m", lambda x: x["text"]), 100)).alias("kept"))
+
+
+MK = ("MK 2", "MK 6", "MK 8")
+ASKS = f"(SELECT conv_id, turn, q, {WANTS} AS wants, CASE WHEN turn % 3 <> 0 THEN 'MK 6' END AS model FROM (SELECT conv_id, turn, {SAY.format('conv_id + turn')} AS q, CASE WHEN turn % 2 = 0 THEN 'battery' ELSE 'general' END AS topic FROM conversations))"
+CALL = lambda tool, model="model": f"{{'tool': '{tool}', 'model': {model}}}"
+
+
+@query(
+    "qry_tool_plan",
+    f"""SELECT conv_id, turn, p.tool, p.model, step FROM (SELECT conv_id, turn, unnest(p) AS p, generate_subscripts(p, 1)::INT - 1 AS step FROM (SELECT conv_id, turn, CASE WHEN wants IN ('out_of_scope', 'greeting', 'thanks', 'identity') THEN []
+  WHEN wants = 'utility' THEN CASE {' '.join(f"WHEN regexp_matches(lower(q), '{p}') THEN [{CALL(t)}]" for t, p in T.UTILITIES)} ELSE [{CALL('get_showroom_charging_link', 'NULL')}] END
+  WHEN wants IN ('price', 'versions_list') THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_price')}] END WHEN wants IN ('spec_query', 'feature_presence') THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_specs')}] END
+  WHEN wants = 'cross_model_feature' THEN [{', '.join(CALL('get_specs', repr(m)) for m in MK)}]
+  WHEN wants = 'compare' THEN CASE WHEN model IS NULL THEN NULL WHEN regexp_matches(lower(q), 'giá|bao\s*nhiêu\s*tiền') THEN [{CALL('get_specs')}, {CALL('get_price')}] ELSE [{CALL('get_specs')}] END
+  WHEN wants = 'models_list' THEN [{CALL('list_available_models', 'NULL')}] WHEN wants = 'colors' THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_colors')}] END ELSE [{CALL('search_knowledge_base')}] END AS p FROM {ASKS}))""",
+)
+def qry_tool_plan(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", say(F.col("conv_id") + F.col("turn")).alias("q"), F.when(F.col("turn") % 2 == 0, "battery").otherwise("general").alias("topic"), F.when(F.col("turn") % 3 != 0, "MK 6").alias("model"))
+    plan = Q.tool_plan(Q.question_intent(F.col("q"), F.col("topic")), F.col("q"), F.col("model"), MK)
+    return rows.select("conv_id", "turn", F.posexplode(plan).alias("step", "p")).select("conv_id", "turn", "step", "p.tool", "p.model")
+
+
+SOURCES = "s AS (SELECT doc_id % 100 AS question, (['get_specs', 'get_price', 'search_knowledge_base', 'get_colors'])[doc_id % 7 % 4 + 1] AS tool, (doc_id % 10) / 10.0 AS score, doc_id % 3 = 0 AS injected, doc_id % 2 = 0 AS by_price FROM documents)"
+
+
+@query(
+    "qry_evidence_class",
+    f"""WITH {SOURCES}, t AS (SELECT question, tool, CASE WHEN tool = 'get_price' THEN CASE WHEN by_price THEN 0.9 ELSE 0.5 END WHEN tool = 'get_colors' THEN 0.9 ELSE score END AS score, injected FROM s WHERE tool <> 'get_colors' OR question % 5 = 0)
+SELECT question, CASE WHEN bool_or(CASE tool WHEN 'get_specs' THEN score >= 0.5 WHEN 'get_price' THEN score >= 0.7 WHEN 'search_knowledge_base' THEN score >= 0.5 AND NOT injected ELSE true END) THEN 'direct_support'
+  WHEN bool_or(CASE tool WHEN 'get_specs' THEN true WHEN 'get_price' THEN true WHEN 'search_knowledge_base' THEN score >= 0.3 ELSE true END) THEN 'partial_support' ELSE 'insufficient' END AS evidence FROM t GROUP BY question""",
+)
+def qry_evidence_class(spark, sf):
+    """How well the sources found for a question support an answer; any source of a kind that is good enough decides."""
+    tool = F.element_at(F.array(*map(F.lit, ("get_specs", "get_price", "search_knowledge_base", "get_colors"))), (F.col("doc_id") % 7 % 4 + 1).cast("int"))
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 100).alias("question"), tool.alias("tool"), ((F.col("doc_id") % 10) / 10.0).alias("found"), (F.col("doc_id") % 3 == 0).alias("injected"), (F.col("doc_id") % 2 == 0).alias("by_price"))
+    rows = rows.where("tool <> 'get_colors' OR question % 5 = 0")
+    t, score = F.col("tool"), F.when(F.col("tool") == "get_price", F.when(F.col("by_price"), 0.9).otherwise(0.5)).when(F.col("tool") == "get_colors", 0.9).otherwise(F.col("found"))
+    direct = F.when(t == "get_specs", score >= 0.5).when(t == "get_price", score >= 0.7).when(t == "search_knowledge_base", (score >= 0.5) & ~F.col("injected")).otherwise(True)
+    partial = F.when(t == "search_knowledge_base", score >= 0.3).otherwise(True)
+    got = rows.groupBy("question").agg(F.bool_or(direct).alias("direct"), F.bool_or(partial).alias("partial"))
+    return got.select("question", F.when(F.col("direct"), "direct_support").when(F.col("partial"), "partial_support").otherwise("insufficient").alias("evidence"))
+
+
+JUNK = "CASE WHEN doc_id % 6 = 0 THEN '- Giá bán' || chr(10) || '- Nội thất' || chr(10) || ' x' WHEN doc_id % 6 = 1 THEN text || ' Đặt lịch  sửa chữa đặt lịch sửa chữa' ELSE text END"
+SECTION = "CASE WHEN doc_id % 9 = 4 THEN 'Tiện ích ' ELSE source END"
+
+
+@query(
+    "txt_page_junk",
+    f"""SELECT doc_id FROM (SELECT doc_id, {STRIP % f'({SECTION})'} AS s, {STRIP % f'({JUNK})'} AS t FROM documents) WHERE NOT (trim(s) IN ({', '.join(f"'{x}'" for x in T.JUNK_SECTIONS)}) OR regexp_matches(t, '{T.JUNK_TEXT}', 's')
+  OR (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '{T.MENU_ITEM}'))) >= 2 AND 2 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '{T.MENU_ITEM}'))) >= len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''))))""",
+)
+def txt_page_junk(spark, sf):
+    n = F.col("doc_id")
+    text = F.when(n % 6 == 0, "- Giá bán\n- Nội thất\n x").when(n % 6 == 1, F.concat("text", F.lit(" Đặt lịch  sửa chữa đặt lịch sửa chữa"))).otherwise(F.col("text"))
+    section = F.array(F.when(n % 9 == 4, "Tiện ích ").otherwise(F.col("source")))
+    return table(spark, sf, "documents").where(~Q.is_page_junk(section, text)).select("doc_id")
+
+
+OTHERS = ("idiot", "scum", "licensed")
+
+
+@query(
+    "txt_of_others",
+    f"SELECT doc_id, contains(t, 'src 1') OR contains(t, 'src1') OR contains(t, 'own brand') AS named, ({' OR '.join(f"contains(t, '{b}')" for b in OTHERS)}) AND NOT (contains(t, 'src 1') OR contains(t, 'src1') OR contains(t, 'own brand')) AS of_others FROM (SELECT doc_id, {STRIP % "(text || CASE doc_id % 4 WHEN 0 THEN ' SRC1' WHEN 1 THEN ' Own Brand' ELSE '' END)"} AS t FROM documents)",
+)
+def txt_of_others(spark, sf):
+    """Texts filed under one model that speak of other brands alone."""
+    n = F.col("doc_id")
+    text = F.concat("text", F.when(n % 4 == 0, " SRC1").when(n % 4 == 1, " Own Brand").otherwise(""))
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    named = F.lower("text").rlike("src ?1|own brand")
+    return rows.select("doc_id", named.alias("named"), Q.is_of_others(F.col("text"), F.lit("SRC 1"), ("own brand",), OTHERS).alias("of_others"))
+
+
+@query(
+    "txt_spec_tables",
+    f"SELECT doc_id FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '|a|b|c|d Công suất' WHEN 1 THEN '|||| other' WHEN 2 THEN ' sạc nhanh' ELSE '' END AS t FROM documents) WHERE length(t) - length(replace(t, '|', '')) >= 4 AND ({' OR '.join(f"contains({STRIP % 't'}, '{x}')" for x in T.SPEC_LABELS)})",
+)
+def txt_spec_tables(spark, sf):
+    n = F.col("doc_id") % 5
+    text = F.concat("text", F.when(n == 0, "|a|b|c|d Công suất").when(n == 1, "|||| other").when(n == 2, " sạc nhanh").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", text.alias("t")).where(Q.is_spec_table(F.col("t"))).select("doc_id")
+
+
+VARIANTS = ("giá MK 6 bản Eco", "mk8 the all new thế nào", "MK 2 Plus AWD", "bản cao cấp", "so sánh", "mk 6 new", "Plus Captain MK 9")
+WHICH = f"({sql_list(VARIANTS)})[(conv_id * 3 + turn) % {len(VARIANTS)} + 1]"
+
+
+@query(
+    "qry_model_edition",
+    f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(q), 'mk\s*[0-9]+') THEN 'MK ' || regexp_extract(lower(q), 'mk\s*([0-9]+)', 1) END AS model, CASE {' '.join(f"WHEN contains(lower(q), '{n}') THEN '{v}' " for n, v in sorted(T.EDITIONS, key=lambda x: -len(x[0])))} END AS edition FROM (SELECT conv_id, turn, {WHICH} AS q FROM conversations)",
+)
+def qry_model_edition(spark, sf):
+    q = F.element_at(F.array(*map(F.lit, VARIANTS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(VARIANTS) + 1).cast("int"))
+    number = F.nullif(F.regexp_extract(F.lower(q), r"mk\s*([0-9]+)", 1), F.lit(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("MK "), number).alias("model"), Q.edition_named(q).alias("edition"))
+
+
+@query(
+    "ev_judge_scores",
+    "SELECT source, count(*) AS cases, round(avg(quality), 4) AS faithful, round(avg(1 - toxic), 4) AS relevant, round(avg(least(1.0, length(text) / 1000.0)), 4) AS complete, round(avg(CASE WHEN doc_id % 4 = 0 THEN 0.5 ELSE 1 END), 4) AS grounded, round(avg(doc_id % 900), 1) AS latency_ms, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS answers, count(*) FILTER (WHERE toxic = 1) AS refusals, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS clarifications FROM documents JOIN labels USING (doc_id) GROUP BY source",
+)
+def ev_judge_scores(spark, sf):
+    """Four scores, latency and decisions of judged answers."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("chars")).join(table(spark, sf, "labels"), "doc_id")
+    mean = lambda c, d=4: F.round(F.avg(c), d)
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    return rows.groupBy("source").agg(
+        F.count("*").alias("cases"), mean("quality").alias("faithful"), mean(1 - F.col("toxic")).alias("relevant"), mean(F.least(F.lit(1.0), F.col("chars") / 1000.0)).alias("complete"), mean(F.when(F.col("doc_id") % 4 == 0, 0.5).otherwise(1.0)).alias("grounded"),
+        mean(F.col("doc_id") % 900, 1).alias("latency_ms"), F.count_if(good & ~toxic).alias("answers"), F.count_if(toxic).alias("refusals"), F.count_if(~good & ~toxic).alias("clarifications"),
+    )
