@@ -195,8 +195,10 @@ def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     """Per language a stretch, at a place chosen by hash, of each of the `docs` distinct texts with the smallest hashes: at most docs * chars characters."""
     begin = 1 + F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - chars + 1, F.lit(1)))
     rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", begin.cast("int"), F.lit(chars)).alias("part"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs).drop("n")
+    # First among a 64th of each language, so that no language is one task, then among what is left of it.
+    chosen = rows.select("lang", "h").distinct()
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= docs).drop("n")
     out: dict[str, list] = {}
     for r in sorted(rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("part").alias("part")).collect()):
         out.setdefault(r.lang, []).append(r.part)
