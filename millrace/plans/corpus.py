@@ -203,7 +203,16 @@ def txt_short_merge(spark, sf):
     return docs(spark, sf).select("doc_id", F.inline(C.merged_fragments(sentence_lines()))).where("members > 1").select("doc_id", "pos", "paragraph")
 
 
-@query("txt_pack_sentences")
+@query(
+    "txt_pack_sentences",
+    r"""WITH RECURSIVE s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, x FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM
+  (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda y: trim(y)), lambda y: y <> '') AS p FROM documents))),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, '' AS buf, '' AS last, NULL::VARCHAR AS done FROM s
+  UNION ALL SELECT doc_id, i, CASE WHEN packed THEN CASE WHEN last <> '' AND length(last || ' ' || x) <= 800 THEN last || ' ' || x ELSE x END WHEN buf = '' THEN x ELSE buf || ' ' || x END, x, CASE WHEN packed THEN buf END
+  FROM (SELECT r.doc_id, s.i, s.x, r.buf, r.last, r.buf <> '' AND length(r.buf || ' ' || s.x) > 800 AS packed FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)),
+c AS (SELECT doc_id, i, done AS chunk FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, arg_max(buf, i) FROM r GROUP BY doc_id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS piece, chunk FROM c WHERE length(trim(chunk)) >= 20""",
+)
 def txt_pack_sentences(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(X.packed_sentences(F.col("text"))).alias("piece", "chunk"))
 
