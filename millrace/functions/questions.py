@@ -224,3 +224,10 @@ def tool_plan(wants: Column, question: Column, model: Column, models: tuple[str,
         .when(wants == "colors", one("get_colors"))
         .otherwise(F.array(call("search_knowledge_base", model)))
     )
+
+
+def spec_relevance(question: Column, spec: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """0.9 if a group of words has one in the question and one in the specification, 0.7 if both share a word, else 0.3."""
+    q, s = X.tokens(question, ()), X.tokens(spec, ())
+    rows = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    return F.when(F.exists(rows, lambda g: F.arrays_overlap(g, q) & F.arrays_overlap(g, s)), 0.9).when(F.arrays_overlap(q, s), 0.7).otherwise(0.3)

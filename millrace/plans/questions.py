@@ -376,3 +376,17 @@ def ev_judge_scores(spark, sf):
         F.count("*").alias("cases"), mean("quality").alias("faithful"), mean(1 - F.col("toxic")).alias("relevant"), mean(F.least(F.lit(1.0), F.col("chars") / 1000.0)).alias("complete"), mean(F.when(F.col("doc_id") % 4 == 0, 0.5).otherwise(1.0)).alias("grounded"),
         mean(F.col("doc_id") % 900, 1).alias("latency_ms"), F.count_if(good & ~toxic).alias("answers"), F.count_if(toxic).alias("refusals"), F.count_if(~good & ~toxic).alias("clarifications"),
     )
+
+
+WORDS = (("small", "blue", "size"), ("red", "ring"), ("bolt", "price"))
+FOUND_IN = lambda t, g: f"len(list_intersect({t}, {sql_list(g)})) > 0"
+
+
+@query(
+    "qry_spec_relevance",
+    f"""SELECT p_partkey, CASE WHEN {' OR '.join(f"({FOUND_IN('q', g)} AND {FOUND_IN('s', g)})" for g in WORDS)} THEN 0.9 WHEN len(list_intersect(q, s)) > 0 THEN 0.7 ELSE 0.3 END::DOUBLE AS score
+FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name), '[a-zà-ỹ0-9]+'), lambda t: length(t) > 1) AS s, ([['blue', 'price'], ['widget'], ['ring'], ['none']])[p_partkey % 4 + 1] AS q FROM part)""",
+)
+def qry_spec_relevance(spark, sf):
+    question = F.element_at(F.array(*map(F.lit, ("blue price", "widget", "ring", "none"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", Q.spec_relevance(question, F.col("p_name"), WORDS).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import questions as Q
 from ..operators import versions as V
@@ -157,3 +158,81 @@ def txt_tags(spark, sf):
 @query("tel_sessions_due", SESSIONS + " SELECT count(*) AS sessions, count(*) FILTER (WHERE turns % 7 = 0) AS due FROM s")
 def tel_sessions_due(spark, sf):
     return sessions(spark, sf).agg(F.count("*").alias("sessions"), F.count_if(F.col("turns") % 7 == 0).alias("due"))
+
+
+SNAPSHOTS = (("pinned-7", "src3", "v1"), (None, "src3", "v1"), (None, "nowhere", "v1"), (None, "nowhere", None))
+
+
+@query(
+    "ver_snapshot_cases",
+    "SELECT v.n, coalesce(pinned, (SELECT source || '@' || max(doc_id) FROM documents WHERE source = current GROUP BY source), manifest, 'unknown') AS snapshot FROM (VALUES (0, 'pinned-7', 'src3', 'v1'), (1, NULL, 'src3', 'v1'), (2, NULL, 'nowhere', 'v1'), (3, NULL, 'nowhere', NULL)) v(n, pinned, current, manifest)",
+)
+def ver_snapshot_cases(spark, sf):
+    """What data an answer rests on: the pinned id, else the current version with its date, else the manifest's, else unknown."""
+    asked = spark.createDataFrame([(n, *x) for n, x in enumerate(SNAPSHOTS)], "n int, pinned string, current string, manifest string")
+    versions = table(spark, sf, "documents").groupBy(F.col("source").alias("current")).agg(F.max("doc_id").alias("at"))
+    rows = asked.join(versions, "current", "left")
+    return rows.select("n", F.coalesce("pinned", F.when(F.col("at").isNotNull(), F.concat("current", F.lit("@"), "at")), "manifest", F.lit("unknown")).alias("snapshot"))
+
+
+@query(
+    "ver_rollback",
+    "SELECT DISTINCT source AS version, source = 'src3' AS is_current, CASE WHEN source = 'src3' THEN TIMESTAMP '2024-03-01 00:00:00' WHEN source = 'src5' THEN TIMESTAMP '2024-02-01 00:00:00' END AS activated_at, CASE WHEN source = 'src5' THEN TIMESTAMP '2024-03-01 00:00:00' WHEN source = 'src3' THEN TIMESTAMP '2024-02-01 00:00:00' END AS rolled_back_at FROM documents",
+)
+def ver_rollback(spark, sf):
+    """The registry after a version was promoted and the one before it brought back."""
+    none = F.lit(None).cast("timestamp_ntz")
+    rows = table(spark, sf, "documents").select(F.col("source").alias("version")).distinct().withColumns({"is_current": F.col("version") == "src3", "activated_at": none, "rolled_back_at": none})
+    return V.with_current(V.with_current(rows, "src5", "2024-02-01 00:00:00"), "src3", "2024-03-01 00:00:00").select("version", "is_current", "activated_at", "rolled_back_at")
+
+
+@query(
+    "ctl_prompt_activate",
+    "SELECT kind, version, char_count, version = CASE WHEN kind = 'en' THEN 3 ELSE last END AS active FROM (SELECT *, max(version) OVER (PARTITION BY kind) AS last FROM (SELECT lang AS kind, row_number() OVER (PARTITION BY lang ORDER BY source) AS version, char_count FROM (SELECT lang, source, max(length(text))::INT AS char_count FROM documents GROUP BY 1, 2) UNION ALL SELECT 'new', 1, 5))",
+)
+def ctl_prompt_activate(spark, sf):
+    """Templates by kind and version: a new kind's first version is active at once, and activating one version ends another in the same step."""
+    order = Window.partitionBy("kind")
+    rows = table(spark, sf, "documents").groupBy(F.col("lang").alias("kind"), "source").agg(F.max(F.length("text")).alias("char_count"))
+    rows = rows.withColumn("version", F.row_number().over(order.orderBy("source"))).drop("source")
+    rows = rows.unionByName(spark.createDataFrame([("new", 5, 1)], "kind string, char_count int, version int"))
+    chosen = F.when(F.col("kind") == "en", F.lit(3)).otherwise(F.max("version").over(order))
+    return rows.select("kind", "version", "char_count", (F.col("version") == chosen).alias("active"))
+
+
+@query(
+    "cat_manifest",
+    "SELECT coalesce(p_brand, 'total') AS brand, count(*) AS rows, count(*) FILTER (WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 4 = 0) AS price_changed, count(*) FILTER (WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 0) AS added FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 2 = 0 GROUP BY ROLLUP (p_brand)",
+)
+def cat_manifest(spark, sf):
+    """What a version of a price list changed, by brand and in all."""
+    from .catalog import C
+
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"))
+    new = parts.where("p_partkey % 2 = 0").withColumn("price", F.when(F.col("p_partkey") % 4 == 0, F.col("price") + 1).otherwise(F.col("price")))
+    rows = C.merged(parts.where("p_partkey % 5 <> 0"), new, ["p_partkey", "p_brand"], "price")
+    rolled = rows.rollup("p_brand").agg(F.count("*").alias("rows"), F.count_if(F.col("change") == "updated").alias("price_changed"), F.count_if(F.col("change") == "added").alias("added"))
+    return rolled.select(F.coalesce("p_brand", F.lit("total")).alias("brand"), "rows", "price_changed", "added")
+
+
+@query(
+    "web_url_parts",
+    r"SELECT page_id, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, 'Bảo hành ' || page_id AS label FROM (SELECT page_id, url AS u FROM pages)",
+)
+def web_url_parts(spark, sf):
+    """Hosts, and labels read from the last part of a path."""
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/B%E1%BA%A3o-h%C3%A0nh-"), "page_id", F.lit(".html?x=1"))
+    last = F.regexp_extract(F.parse_url(url, F.lit("PATH")), r"([^/]*?)(\.[a-z]+)?$", 1)
+    label = F.regexp_replace(F.url_decode(last), "[-_]+", " ")
+    return table(spark, sf, "pages").select("page_id", F.lower(F.parse_url(url, F.lit("HOST"))).alias("host"), label.alias("label"))
+
+
+@query(
+    "ev_history_texts",
+    "SELECT conv_id, turn, md5(coalesce(string_agg(role || '=' || text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS digest FROM conversations",
+)
+def ev_history_texts(spark, sf):
+    """The history that each turn of an evaluated conversation is asked with."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    history = F.collect_list(F.concat("role", F.lit("="), "text")).over(before)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(F.array_join(history, "|")).alias("digest"))
