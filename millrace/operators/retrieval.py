@@ -44,15 +44,26 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
-def weights(counts: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """(key, term, idf, weight): BM25 document weights. Frequencies are counted from the same rows and joined by broadcast where the vocabulary is small enough, so that no common term is a hot key."""
-    df = small(counts.groupBy("term").agg(F.count("*").alias("df")))
+def weights(counts: DataFrame, stats: DataFrame, key: str, df: DataFrame | None = None) -> DataFrame:
+    """(key, term, idf, weight): BM25 document weights. df: (term, df) where it is known; else it is counted from the same rows, and adaptive joins handle common terms."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df")) if df is None else df
     rows = counts.join(df, "term").crossJoin(F.broadcast(stats))
     rows = rows.withColumn("idf", idf(F.col("n_docs"), F.col("df")))
     tf, dl = F.col("tf"), F.col("dl") / F.col("avgdl")
     return rows.select(key, "term", "idf", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl))).alias("weight"))
 
 
+def frequencies(docs: DataFrame, terms: DataFrame, few: bool, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((term, df) of these terms, (n_docs, avgdl) of all documents), from one reading of the texts where the terms are few: at most BROADCAST_ROWS."""
+    every = docs.select(tokens(F.col(text)).alias("t")).select(F.size("t").alias("dl"), F.explode(F.array_prepend(F.array_distinct("t"), F.lit(""))).alias("term"))
+    known = terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    counted = every.join(F.broadcast(known) if few else known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+    counted = docs.sparkSession.createDataFrame(counted.toArrow()) if few else counted
+    # The empty term, which no text has, stands for every document.
+    stats = counted.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
+    return counted.where("term <> ''").select("term", "df"), stats
+
+
 def query_counts(queries: DataFrame, key: str) -> DataFrame:
     return queries.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
@@ -64,9 +75,12 @@ def sparse_top(docs: DataFrame, queries: DataFrame, query_key: str, doc_key: str
     documents of length one, with idf again.
     """
     asked = query_counts(queries, query_key)
-    terms, asked = small(asked.select("term").distinct()), small(asked)
-    stats = collection_stats(docs)
-    index = weights(term_counts(docs, doc_key, only=terms), stats, doc_key)
+    terms = asked.select("term").distinct()
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    df, stats = frequencies(docs, terms, few)
+    terms, df = (F.broadcast(terms), F.broadcast(df)) if few else (terms, df)
+    index = weights(term_counts(docs, doc_key, only=terms), stats, doc_key, df)
+    asked = small(asked)
     tf = F.col("tf")
     rows = index.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B / F.col("avgdl")))
@@ -182,4 +196,4 @@ def filled(hits: DataFrame, payload: DataFrame, key: str, columns: list[str]) ->
     return rows.where(F.coalesce(F.col(columns[0]), F.lit("")) != "").drop(*[f"_{c}" for c in columns])
 
 
-__all__ = ["collection_stats", "cosine", "dense_categories", "dense_top", "filled", "fused", "idf", "query_counts", "small", "sparse_top", "term_counts", "top", "weights"]
+__all__ = ["collection_stats", "cosine", "dense_categories", "dense_top", "filled", "frequencies", "fused", "idf", "query_counts", "small", "sparse_top", "term_counts", "top", "weights"]
