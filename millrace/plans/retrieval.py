@@ -156,5 +156,7 @@ def ret_score_floor(spark, sf):
 )
 def ret_sorted_postings(spark, sf):
     """Postings of the rarer terms as sorted sparse indices."""
-    postings = R.term_counts(table(spark, sf, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("docs"), F.collect_list("doc_id").alias("ids")).where("docs <= 3")
+    counts = R.term_counts(table(spark, sf, "documents"), "doc_id")
+    rare = counts.groupBy("term").agg(F.count("*").alias("docs")).where("docs <= 3")
+    postings = counts.join(rare, "term").groupBy("term", "docs").agg(F.collect_list("doc_id").alias("ids"))
     return postings.select("term", "docs", F.md5(F.array_join(F.array_sort("ids"), ",")).alias("ids"))
