@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import questions as Q
 from ..functions import rules
 from ..functions import tables as T
 from ..functions.text import estimated_tokens, tokens
 from .base import query, table
-from .corpus import STRIP, TOKENS
+from .corpus import STRIP
 
 #: Questions for the tables' texts, which have few of these words.
 ASKED = ("cửa sổ trời", "túi khí bao nhiêu", "công suất", "quãng đường", "sạc nhanh", "tăng tốc", "chiều dài", "wheelbase", "số chỗ", "màn hình", "điều hòa", "cốp", "mâm", "giá", "so sánh", "tính năng", "weather", "an toàn và loa", "camera 360", "pin")
@@ -109,8 +110,6 @@ def qry_key_words(spark, sf):
 )
 def qry_guards(spark, sf):
     """Requests that are refused: long messages, long histories, ids that aren't UUIDs."""
-    from pyspark.sql.window import Window
-
     so_far = Window.partitionBy("conv_id").orderBy("turn")
     n = estimated_tokens(F.col("text"))
     uid = F.when(F.col("conv_id") % 3 == 0, "x").otherwise("0f8fad5b-d9cb-469f-a165-70867728950e")

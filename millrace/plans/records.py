@@ -7,9 +7,10 @@ from pyspark.sql.window import Window
 
 from ..functions import questions as Q
 from ..operators import versions as V
-from ..operators.catalog import attributes
+from ..operators.catalog import attributes, merged
 from ..sources import sinks
 from .base import query, table
+from .catalog import RANGES
 from .telemetry import M, facts
 
 
@@ -141,8 +142,6 @@ def cat_price_rows(spark, sf):
 )
 def cat_extractions(spark, sf):
     """Extracted values in their ranges, the first of each key and product."""
-    from .catalog import RANGES
-
     ranges = spark.createDataFrame(list(RANGES), "spec_key string, lo int, hi int")
     rows = attributes(table(spark, sf, "part")).withColumn("v", F.col("spec_value").try_cast("double")).join(F.broadcast(ranges), "spec_key").where("v BETWEEN lo AND hi")
     best = rows.groupBy(F.col("model").alias("p_brand"), "spec_key").agg(F.min_by("v", "p_partkey").alias("v"))
@@ -206,11 +205,9 @@ def ctl_prompt_activate(spark, sf):
 )
 def cat_manifest(spark, sf):
     """What a version of a price list changed, by brand and in all."""
-    from .catalog import C
-
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"))
     new = parts.where("p_partkey % 2 = 0").withColumn("price", F.when(F.col("p_partkey") % 4 == 0, F.col("price") + 1).otherwise(F.col("price")))
-    rows = C.merged(parts.where("p_partkey % 5 <> 0"), new, ["p_partkey", "p_brand"], "price")
+    rows = merged(parts.where("p_partkey % 5 <> 0"), new, ["p_partkey", "p_brand"], "price")
     rolled = rows.rollup("p_brand").agg(F.count("*").alias("rows"), F.count_if(F.col("change") == "updated").alias("price_changed"), F.count_if(F.col("change") == "added").alias("added"))
     return rolled.select(F.coalesce("p_brand", F.lit("total")).alias("brand"), "rows", "price_changed", "added")
 
