@@ -16,11 +16,11 @@ gives no rows. Extra columns are ignored by the query and kept by `mixed_documen
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -234,7 +234,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     return m.rows.where(F.col(m.copies) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(m.copies).cast("int")))).select(*docs.columns)
 
 
-def op10_source_mix(spark, sf_dir: str) -> DataFrame:
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     m = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     named = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in m.sources.items()], "named string, source_size long, target double")
