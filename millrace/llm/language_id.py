@@ -86,7 +86,7 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         plain = {k: _plain(v) for k, v in sorted(samples.items())}
         self.languages = [k for k, v in plain.items() if len(v)]
-        self.code = np.zeros((len(self.languages), 256), np.int16)  # by language; 0: a byte that its sample lacks
+        self.code = np.zeros((len(self.languages), 256), np.int32)  # by language; 0: a byte that its sample lacks
         self.bits, self.roots, blocks, base = [], [], [], 0
         for code, k in zip(self.code, self.languages):
             used = np.unique(plain[k])
@@ -117,19 +117,19 @@ class CrossParser:
         first = np.concatenate([np.arange(0, n, stretch) for n in sizes])
         begin = first + (np.cumsum(sizes) - sizes)[owner]
         length = np.minimum(stretch, sizes[owner] - first)
-        codes = self.code[:, np.append(np.concatenate(texts), np.zeros(stretch, np.uint8))]
+        codes = self.code.take(np.append(np.concatenate(texts), np.zeros(stretch, np.uint8)), axis=1)
 
         order = np.argsort(-length, kind="stable")
         active = np.searchsorted(-length[order], -np.arange(length.max()), side="left")
         roots = np.array(self.roots, self.table.dtype)[:, None]
         state = np.repeat(roots, len(owner), axis=1)
-        ended = np.zeros(state.shape, np.int32)
+        ended = np.zeros(state.shape, self.table.dtype)
         at = begin[order]
         for t in range(length.max()):
             n = active[t]
-            to = self.table[state[:, :n] + codes[:, at[:n] + t]]
+            to = self.table.take(state[:, :n] + codes.take(at[:n] + t, axis=1))
             miss = to >> (8 * to.itemsize - 1)
-            ended[:, :n] -= miss.astype(np.int32)
+            ended[:, :n] -= miss
             state[:, :n] = to ^ miss
         back = np.argsort(order, kind="stable")
         state, ended = state[:, back], ended[:, back]
