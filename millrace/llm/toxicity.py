@@ -56,9 +56,10 @@ class Model:
 
 def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = WORDS) -> np.ndarray:
     """Sorted hashes of the words whose share of documents differs between the samples by five standard errors."""
-    words, index = np.unique(np.concatenate([*positive, *unlabelled, np.zeros(0, np.uint64)]), return_inverse=True)
-    split = sum(map(len, positive))
-    p, u = (np.bincount(x, minlength=len(words)) for x in (index[:split], index[split:]))
+    (own_p, count_p), (own_u, count_u) = (np.unique(np.concatenate([*x, np.zeros(0, np.uint64)]), return_counts=True) for x in (positive, unlabelled))
+    words = np.union1d(own_p, own_u)
+    p, u = np.zeros(len(words)), np.zeros(len(words))
+    p[np.searchsorted(words, own_p)], u[np.searchsorted(words, own_u)] = count_p, count_u
     n, m = max(1, len(positive)), max(1, len(unlabelled))
     pooled = (p + u) / (n + m)
     z = np.abs(p / n - u / m) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n + 1 / m))
@@ -119,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     own = Window.partitionBy("toxic", "doc_id").orderBy(F.xxhash64("words"))
     made = common.cut(made.withColumn("n", F.row_number().over(own)).where(F.col("n") <= PER_ID))
     chosen = [made.where(F.col("toxic") == t).select("toxic", "doc_id", "n").orderBy("n", order, "doc_id").limit(most) for t, most in ((1, positives), (0, unlabelled))]
-    rows = made.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["toxic", "doc_id", "n"]).select("toxic", "words").collect()
-    sets = sorted({(r.toxic, bytes(r.words)) for r in rows})  # copies of a text count once
+    rows = made.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["toxic", "doc_id", "n"]).select("toxic", "words")
+    sets = sorted({(r.toxic, bytes(r.words)) for r in rows.toLocalIterator()})  # copies of a text count once
     p, u = ([np.frombuffer(w, np.uint64) for t, w in sets if t == k] for k in (1, 0))
     if not p or not share:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
