@@ -7,7 +7,9 @@ count can't be lowered. Partitions with a gap keep the bins that are full enough
 pieces of the rest to an exchange, which deals them out anew (other partitions' leftovers make
 better fits) and packs again, until a round saves nothing or `rounds` are over.
 
-Defined results: a null or empty text is the single id 0; rows with the same id are packed each;
+Defined results: a null or empty text is the single id 0; rows with the same id, or a null one, are
+packed each, and ids of any size stay as they are; pieces of equal length are dealt by hash and
+packed by id and piece; a text of any length is tokenized whole and cut only into pieces of `capacity`;
 an empty table gives no rows. Extra columns are ignored.
 """
 
@@ -18,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -174,18 +175,21 @@ _STATE = f"{_PIECE}, sequence_id long, offset long, settled boolean"
 def _pack(capacity: int, first: int):
     """Packs one dealt group; earlier bins, which come whole, stay where no bin is saved."""
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
         lengths = rows["length"].to_numpy()
-        least, old = lower_bound(lengths, capacity), rows["sequence_id"]
-        count = old.nunique() if old.notna().all() else len(rows) + 1
+        least, had = lower_bound(lengths, capacity), rows["sequence_id"].null_count == 0
+        sequence = rows["sequence_id"].to_numpy() if had else np.zeros(len(lengths), np.int64)
+        offset = rows["offset"].to_numpy()
+        count = len(np.unique(sequence)) if had else len(lengths) + 1
         if count > least:
-            bins, offset, used = best_fit_decreasing(lengths, capacity)
+            bins, places, used = best_fit_decreasing(lengths, capacity)
             if len(used) < count:
-                rows["sequence_id"], rows["offset"], count = first + (int(key[0]) << 24) + bins, offset, len(used)
-        used = rows.groupby("sequence_id")["length"].transform("sum")
-        rows["settled"] = (used == capacity) | (count <= least)
-        return rows.drop(columns="_group")
+                sequence, offset, count = first + (key[0].as_py() << 24) + bins, places, len(used)
+        _, own = np.unique(sequence, return_inverse=True)
+        used = np.bincount(own, weights=lengths)[own]
+        new = {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64()), "settled": pa.array((used == capacity) | (count <= least))}
+        return pa.table({n: new.get(n, rows[n]) for n in (x.split()[0] for x in _STATE.split(", "))})
 
     return pack
 
@@ -205,7 +209,7 @@ def packed(parts: DataFrame, capacity: int = 2048, rounds: int = 3, per_partitio
         groups, before = max(1, -(-n // per_partition)), n
         deal = F.xxhash64(F.lit(k), F.monotonically_increasing_id() if k == 0 else F.col("sequence_id"))
         got = common.cut(
-            left.withColumn("_group", F.pmod(deal, F.lit(groups))).groupBy("_group").applyInPandas(_pack(capacity, k << 52), _STATE)
+            left.withColumn("_group", F.pmod(deal, F.lit(groups))).groupBy("_group").applyInArrow(_pack(capacity, k << 52), _STATE)
         )
         done.append(got.where("settled").drop("settled"))
         left = got.where("not settled")

@@ -65,3 +65,13 @@ def test_packs_every_id_once(spark, per):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packed(common.cut(pieces(docs, PATH))).count() == 0
+
+
+@pytest.mark.parametrize("per", [3, 1000])
+def test_null_and_large_ids(spark, per):
+    big = 1 << 60
+    rows = [(big + 1, "a b c"), (big + 3, "a b c"), (None, "a b c"), (None, None), (-big - 1, "x " * 200), (big + 1, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packed(common.cut(pieces(docs, PATH, 64)), 64, per_partition=per).collect()
+    want = sorted(((i, len(w[s : s + 64])) for i, t in rows for w in [[*ids(t), 0]] for s in range(0, len(w), 64)), key=repr)
+    assert sorted(((r.doc_id, r.length) for r in got), key=repr) == want
