@@ -6,11 +6,13 @@ quotas at convex repetition costs: a pattern gives its texts once at no cost, a
 1, a third and fourth time at cost 2, up to eight times at cost 3 and so on, so that no text repeats
 before all that can be reached were used. The cost of a path depends on its first edge alone, so the
 cheapest flow comes from largest flows, one cost after the other. What a pattern gives to a source
-is taken in whole rounds, and of the last, partial round as a seeded prefix of documents.
+is taken in whole rounds, and of the last, partial round as a seeded prefix of documents; what that and
+the source's other patterns leave open is filled with later documents that still fit.
 
 Defined results: null texts and texts without words have size 0 and are never taken; a null source
 is a source of its own, ordered last; rows that tie (repeats of an id in a source) are told apart by
-their text and then by their place in the table, so that a part of them can be taken; an empty table
+their text and then by their place in the table, so that a part of them can be taken (docs are read twice:
+give a stored table, whose places don't change); texts of any length are taken or left whole; an empty table
 gives no rows. Extra columns are ignored by the query and kept by `mixed_documents`, whatever their names.
 """
 
@@ -137,22 +139,71 @@ def _edges(rows: DataFrame, by: list[str], key: str, digits: int = 3) -> DataFra
     return inside.where("after > left and after - size <= left").select(*by, F.col(key).alias(f"edge_{key}"), (F.col("left") - F.col("after") + F.col("size")).alias("left"))
 
 
-def plan(rows: DataFrame, cells: list[tuple[list, str, int, int]]) -> DataFrame:
-    """(members, own, cell_size, rounds, and where the partial round ends) of rows (members, own, size, key, tie).
+#: Rows of each size class (powers of two) of a cell that may fill what its prefix leaves, less than a document's size.
+FILLERS = 2000
 
-    cells: (members, own, their tokens, tokens to take). The end is a key, a tie-breaker within that key, and whether its rows are in.
+
+def _along(c: str, flip: Column) -> Column:
+    """A key in hex digits, or its complement."""
+    return F.when(flip, F.translate(c, "0123456789abcdefABCDEF", "fedcba9876543210543210")).otherwise(F.col(c))
+
+
+def _open_ends(rows: DataFrame, wanted: list[tuple[list, str, int, bool]]) -> DataFrame:
+    """Where the partial rounds end: (members, own, edge_key, edge_tie, left, flip) of cells (members, own, tokens of the partial round, flip).
+
+    Rows before the edge, a key and a tie-breaker within it, are in; `left` tokens are missing then. With flip the rows are run
+    through from the other end.
     """
-    made = [(m, own, n, give // n if n else 0, give % n if n else 0) for m, own, n, give in cells]
     by = ["members", "own"]
-    per = rows.sparkSession.createDataFrame(made, "members array<string>, own string, cell_size long, rounds long, rest long")
-    named = per.where("rest > 0").select(*by, F.col("rest").alias("open"))
-    named = F.broadcast(named) if len(made) <= BROADCAST_PLAN else named
-    ends = common.cut(_edges(rows.join(named, by), by, "key"))
-    tied = rows.join(F.broadcast(ends) if len(made) <= BROADCAST_PLAN else ends, by).where("key = edge_key").withColumn("open", F.col("left")).drop("left")
-    last = _edges(tied, by, "tie").withColumnRenamed("left", "last")
-    sizes = tied.join(last, by).where("tie = edge_tie").groupBy(*by).agg(F.sum("size").alias("tied"))
-    last = last.join(sizes, by).select(*by, "edge_tie", (2 * F.col("last") >= F.col("tied")).alias("closed"))
-    return per.drop("rest").join(ends.drop("left"), by, "left").join(last, by, "left")
+    named = rows.sparkSession.createDataFrame(wanted, "members array<string>, own string, open long, flip boolean")
+    small = len(wanted) <= BROADCAST_PLAN
+    named = F.broadcast(named) if small else named
+    rows = rows.join(named, by).withColumns({c: _along(c, F.col("flip")) for c in ("key", "tie")})
+    ends = common.cut(_edges(rows.drop("flip"), by, "key"))
+    tied = rows.drop("flip").join(F.broadcast(ends) if small else ends, by).where("key = edge_key").withColumn("open", F.col("left")).drop("left")
+    last = _edges(tied, by, "tie")
+    return common.cut(ends.drop("left").join(last, by).join(named.select(*by, "flip"), by))
+
+
+def _fillers(rows: DataFrame, ends: DataFrame, small: bool) -> DataFrame:
+    """(members, own, key, tie, the latter flipped where the cell is) of rows after the edges that fit into what is left there: of every size class the first along the key, larger ones before smaller."""
+    by = ["members", "own"]
+    after = (F.col("key") > F.col("edge_key")) | ((F.col("key") == F.col("edge_key")) & (F.col("tie") > F.col("edge_tie")))
+    rows = rows.join(F.broadcast(ends) if small else ends, by).withColumns({c: _along(c, F.col("flip")) for c in ("key", "tie")})
+    fits = rows.where(after & (F.col("size") <= F.col("left")))
+    fits = fits.withColumn("class", F.floor(F.log2("size")).cast("int"))
+    first = fits.withColumn("n", F.row_number().over(Window.partitionBy(*by, "class").orderBy("key", "tie"))).where(F.col("n") <= FILLERS)
+    first = first.where(F.col("n") <= 16 + F.floor(F.col("left") / F.pow(F.lit(2), "class")))  # more can't fit
+    some = first.groupBy(*by).agg(F.min("left").alias("left"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "key", "tie"))).alias("some"))
+    # As many as fit, in one go along the list.
+    start = F.struct(F.col("left"), F.array().cast("array<struct<key:string,tie:string>>").alias("taken"))
+    step = lambda acc, x: F.when(acc.left + x.less >= 0, F.struct((acc.left + x.less).alias("left"), F.array_append(acc.taken, F.struct(x.key.alias("key"), x.tie.alias("tie"))).alias("taken"))).otherwise(acc)
+    return some.select(*by, F.inline(F.aggregate("some", start, step).taken))
+
+
+def plan(rows: DataFrame, cells: list[tuple[list, str, int, int]], most: int) -> tuple[DataFrame, DataFrame]:
+    """((members, own, cell_size, rounds, edge_key, edge_tie, flip), (members, own, key, tie) of fillers) of rows (members, own, size, key, tie).
+
+    cells: (members, own, their tokens, tokens to take). A partial round is the prefix of whole rows that fits; what the cells of a
+    source leave open goes to its largest cell, whose rows after the prefix fill it as far as any fits.
+    """
+    taken = {(tuple(m), own): (n, give) for m, own, n, give in cells}
+    largest: dict = {}
+    for (m, own), (n, _) in sorted(taken.items()):
+        if own and n > taken.get(largest.get(own), (0, 0))[0]:
+            largest[own] = (m, own)
+    main = {*largest.values()} or {*taken}
+    ends = _open_ends(rows, [(list(c[0]), c[1], give % n, False) for c, (n, give) in taken.items() if c not in main and n and give % n])
+    more: dict = {}
+    for r in ends.toLocalIterator():  # a row for each cell, as the cells themselves
+        more[r.own] = more.get(r.own, 0) + r.left
+    taken |= {c: (taken[c][0], min(most * taken[c][0], taken[c][1] + more[own])) for own, c in largest.items() if own in more}
+    # Where most of a main cell is in the partial round, what stays out is chosen instead, so that many rows are left to choose from.
+    rests = [(list(c[0]), c[1], taken[c][0], taken[c][1] % taken[c][0]) for c in sorted(main) if taken[c][0] and taken[c][1] % taken[c][0]]
+    last = _open_ends(rows, [(m, own, n - rest if 2 * rest > n else rest, 2 * rest > n) for m, own, n, rest in rests])
+    small = len(taken) <= BROADCAST_PLAN
+    per = rows.sparkSession.createDataFrame([(list(m), own, n, give // n if n else 0) for (m, own), (n, give) in taken.items()], "members array<string>, own string, cell_size long, rounds long")
+    return per.join(ends.unionByName(last).drop("left"), ["members", "own"], "left"), _fillers(rows, last, small)
 
 
 def contract_quotas(sizes: dict, most: int = 3) -> dict:
@@ -209,16 +260,19 @@ def mix(docs: DataFrame, members: Column | None = None, seed: int = 7, quotas: C
     patterns = [Pattern(m, per_round[m], {s: most * (held.get((m, s), 0) if by_text else n) for s in m}) for m, n in sorted(per_round.items())]
     flows = dict(zip([p.members for p in patterns], route(patterns, {_coded_name(s): int(t) for s, t in targets.items()})))
     cells = [(list(m), o, n, min(most * n, flows[m][o] if by_text else sum(flows[m].values()))) for (m, o), n in sorted(held.items())]
-    chosen = common.cut(plan(slim, cells))
+    chosen, fillers = map(common.cut, plan(slim, cells, most))
 
-    p = {c: f"{pattern}_{c}" for c in chosen.columns}
-    chosen = chosen.select(*[F.col(c).alias(n) for c, n in p.items()])
+    p = {c: f"{pattern}_{c}" for c in [*chosen.columns, "key", "tie"]}
+    chosen, fillers = (x.select(*[F.col(c).alias(p[c]) for c in x.columns if x is chosen or c in ("key", "tie")]) for x in (chosen, fillers))
     if by_text:
         shared = shared.select(F.col("text").alias(f"{text}_shared"), F.col("shared").alias(f"{pattern}_shared"))
         keyed = keyed.join(shared, F.col(text) == F.col(f"{text}_shared"), "left").withColumn(pattern, F.coalesce(f"{pattern}_shared", pattern))
     out = keyed.join(F.broadcast(chosen) if len(cells) <= BROADCAST_PLAN else chosen, (F.col(pattern) == F.col(p["members"])) & (F.col(own) == F.col(p["own"])), "left")
-    at_edge = (F.col(key) == F.col(p["edge_key"])) & ((F.col(tie) < F.col(p["edge_tie"])) | ((F.col(tie) == F.col(p["edge_tie"])) & F.col(p["closed"])))
-    extra = F.coalesce((F.col(key) < F.col(p["edge_key"])) | at_edge, F.lit(False)).cast("long")
+    flip = F.col(p["flip"])
+    at, at_tie = _along(key, flip), _along(tie, flip)
+    out = out.join(F.broadcast(fillers) if common.has_rows_within(fillers, BROADCAST_TEXTS) else fillers, (at == F.col(p["key"])) & (at_tie == F.col(p["tie"])), "left")
+    before = (at < F.col(p["edge_key"])) | ((at == F.col(p["edge_key"])) & (at_tie < F.col(p["edge_tie"])))
+    extra = (F.coalesce(before | F.col(p["tie"]).isNotNull(), F.lit(False)) != F.coalesce(flip, F.lit(False))).cast("long")
     out = out.withColumn(copies, F.when(F.col(size) == 0, F.lit(0)).otherwise(F.col(p["rounds"]) + extra).cast("long"))
     return Mix(out.select(*docs.columns, size, copies), size, copies, {s: (n, targets.get(s, 0.0)) for s, n in sizes.items()})
 
