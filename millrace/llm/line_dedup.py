@@ -63,7 +63,7 @@ def _band(min_sites: int, lg_k: int) -> tuple[int, int]:
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> tuple[DataFrame, str, str]:
     """docs with `text` cleaned and two more columns, whose names follow: lines with a word (before), and lines removed."""
-    n_lines, n_removed, doc, gone_at, clean, left, all_ = common.unused(docs, "n_lines", "n_removed", "doc", "gone", "clean", "left", "all")
+    n_lines, n_removed, doc, gone_at, parts, kept = common.unused(docs, "n_lines", "n_removed", "doc", "gone", "parts", "kept")
     lines = common.cut(boilerplate(docs, site, min_sites))
     few = common.has_rows_within(lines, BROADCAST_PLACES)
     gone = (
@@ -71,22 +71,24 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
         .where("doc_id is not null")
         .join(F.broadcast(lines) if few else lines, ["h1", "h2"])
         .where(~F.col("first").eqNullSafe(F.struct("doc_id", "pos")))
-        .select(F.col("doc_id").alias(doc), F.struct("pos", "h1").alias("place"))
+        .select(F.col("doc_id").alias(doc), _place(F.col("pos"), F.col("h1")).alias("place"))
     )
     gone = common.cut(gone.groupBy(doc).agg(F.collect_set("place").alias(gone_at)))
     total = gone.agg(F.sum(F.size(gone_at))).first()[0] or 0
     joined = docs.join(F.broadcast(gone) if total <= BROADCAST_PLACES else gone, F.col("doc_id") == F.col(doc), "left").drop(doc)
-    worded = F.expr(f"size(filter(split(text, '\\n'), x -> btrim(x, '{_SQL_SPACE}') <> ''))")
-    kept = F.expr(f"filter(split(text, '\\n'), (x, i) -> NOT array_contains(`{gone_at}`, named_struct('pos', i, 'h1', xxhash64(btrim(x, '{_SQL_SPACE}')))))")
-    touched = F.col(gone_at).isNotNull()
-    rows = joined.withColumns(
-        {n_lines: F.coalesce(F.when(F.col("text").isNotNull(), worded), F.lit(0)).cast("long"), clean: F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text")), left: F.when(touched, F.size(kept)), all_: F.size(F.split("text", "\n"))}
-    )
-    rows = rows.withColumn(n_removed, F.coalesce(F.col(all_) - F.col(left), F.lit(0)).cast("long"))
-    return rows.select(*[F.col(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines, n_removed), n_lines, n_removed
+    joined = joined.withColumn(parts, F.split("text", "\n"))
+    # Places less the removed ones: Spark does that with a hash set, so a text of many lines costs no more for each.
+    places = F.transform(parts, lambda line, i: _place(i, F.xxhash64(F.btrim(line, F.lit(common.SPACE)))))
+    rows = joined.withColumn(kept, F.when(F.col(gone_at).isNotNull(), F.array_except(places, F.col(gone_at))))
+    worded = F.size(F.filter(parts, lambda line: F.btrim(line, F.lit(common.SPACE)) != ""))
+    clean = F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: F.get(F.col(parts), F.shiftright(p, 32).cast("int"))), "\n"))
+    counts = [F.coalesce(F.when(F.col("text").isNotNull(), worded), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(parts) - F.when(F.col(kept).isNotNull(), F.size(kept)), F.lit(0)).cast("long").alias(n_removed)]
+    return rows.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns], *counts), n_lines, n_removed
 
 
-_SQL_SPACE = r" \t\n\u000b\f\r".replace(r"\f", r"\u000c")
+def _place(pos: Column, h1: Column) -> Column:
+    """A line's position, and half of its hash: rows that share an id may differ in their lines."""
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(h1.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +106,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
 l AS (SELECT r, doc_id, source, generate_subscripts(parts, 1) AS pos, unnest(parts) AS raw FROM d),
 t AS (SELECT *, regexp_replace(regexp_replace(raw, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS line FROM l),
 b AS (
-  SELECT line, min((doc_id, pos)) AS first FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+  SELECT line, min((doc_id, pos)) FILTER (WHERE doc_id IS NOT NULL) AS first FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
 m AS (
-  SELECT t.*, b.line IS NOT NULL AND (t.doc_id, t.pos) <> b.first AS gone FROM t LEFT JOIN b USING (line)),
+  SELECT t.*, b.line IS NOT NULL AND t.doc_id IS NOT NULL AND coalesce((t.doc_id, t.pos) <> b.first, false) AS gone FROM t LEFT JOIN b USING (line)),
 k AS (
   SELECT r, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
          coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest

@@ -1,6 +1,9 @@
+import time
+
+import duckdb
 from pyspark.sql import functions as F
 
-from millrace.llm.line_dedup import remove_boilerplate
+from millrace.llm.line_dedup import ORACLE, op2_line_dedup, remove_boilerplate
 
 
 def test_by_hand(spark):
@@ -34,3 +37,26 @@ def test_clashing_names_and_long_texts(spark):
     got = rows.collect()
     assert all(r[c] == 7 for r in got for c in names) and sorted(r[n_removed] for r in got) == [0] + [1] * 11
     assert all(len(r.text) > 300_000 for r in got)
+
+
+def test_null_ids_in_the_operator_and_in_its_sql(spark, tmp_path):
+    docs = [(None if i % 5 == 0 else i, f"own {i}\nshared", f"s{i}") for i in range(12)] + [(None, "only without ids", f"s{i}") for i in range(11)] + [(3, None, "s3"), (3, "other\nshared", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    asked = con.execute(ORACLE)
+    names = [d[0] for d in asked.description]
+    got = [tuple(r[c] for c in names) for r in op2_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(asked.fetchall(), key=repr)
+
+
+def test_many_removed_lines_of_a_text_take_linear_time(spark):
+    def seconds(n):
+        frame = spark.createDataFrame([(i, "\n".join(f"line {k}" for k in range(n)), f"s{i}") for i in range(11)], "doc_id long, text string, source string").repartition(4).cache()
+        frame.count()
+        began = time.time()
+        assert sorted(r._n_removed for r in remove_boilerplate(frame)[0].collect()) == [0] + [n] * 10
+        return time.time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 4 * max(2, seconds(4_000))
