@@ -6,6 +6,8 @@ text adds as negatives is corrected for the toxic texts in it, and where the cor
 that part negative (overfitting) the step goes back on it instead. The prior is the toxic share of
 all labelled training rows.
 
+Words are chosen where the sample's rows are; the driver gets at most `WORDS` of them, and each row's places among these.
+
 The fit uses a bounded sample (`POSITIVES` and `UNLABELLED` documents with the smallest hashes of
 their ids, less copies; where ids repeat, one row of each before second ones); every document is scored over its whole text.
 
@@ -54,45 +56,27 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
-def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the words whose share of documents differs between the samples by five standard errors."""
-    (own_p, count_p), (own_u, count_u) = (np.unique(np.concatenate([*x, np.zeros(0, np.uint64)]), return_counts=True) for x in (positive, unlabelled))
-    words = np.union1d(own_p, own_u)
-    p, u = np.zeros(len(words)), np.zeros(len(words))
-    p[np.searchsorted(words, own_p)], u[np.searchsorted(words, own_u)] = count_p, count_u
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    pooled = (p + u) / (n + m)
-    z = np.abs(p / n - u / m) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n + 1 / m))
-    chosen = np.flatnonzero((z > 5) & (p + u > 2))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")[:most]]
-    return np.sort(words[chosen])
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> Model:
-    """Non-negative risk with the logistic loss, minimised by Adam over the whole sample."""
-    words = select_words(positive, unlabelled)
-    rows, cols = [], []
-    for i, w in enumerate([*positive, *unlabelled]):
-        at = np.flatnonzero(np.isin(words, w, assume_unique=True))
-        rows.append(np.full(len(at), i))
-        cols.append(at)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    n, m, d = len(positive), len(unlabelled), len(words)
+def objective(g: np.ndarray, n: int, prior: float) -> tuple[float, np.ndarray]:
+    """What a step lowers, and its slope along the scores g of n positive rows and of the unlabelled ones after them."""
+    prob = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+    minus = np.logaddexp(0, g)  # the logistic loss of calling a row negative
+    m = len(g) - n
+    rest = minus[n:].mean() - prior * minus[:n].mean()
+    if rest < 0:  # overfitted: back on this part alone
+        return -rest, np.append(prior / n * prob[:n], -prob[n:] / m)
+    return prior * np.logaddexp(0, -g[:n]).mean() + rest, np.append(prior / n * (prob[:n] - 1) - prior / n * prob[:n], prob[n:] / m)
+
+
+def fit(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+    """Non-negative risk, minimised by Adam over the whole sample. Rows are the places in `words` of the words they have."""
+    every = [*positive, *unlabelled]
+    row, col = np.repeat(np.arange(len(every)), [len(x) for x in every]), np.concatenate(every)
+    n, d = len(positive), len(words)
     theta = np.zeros(d + 1)
     theta[d] = np.log(prior / (1 - prior))
     first, second = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
-        g = np.bincount(row, theta[col], n + m) + theta[d]
-        prob = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        loss_minus = np.logaddexp(0, g)  # of calling a row negative
-        rest = loss_minus[n:].mean() - prior * loss_minus[:n].mean()
-        slope = np.zeros(n + m)
-        if rest >= 0:
-            slope[:n] = prior / n * (prob[:n] - 1) - prior / n * prob[:n]
-            slope[n:] = prob[n:] / m
-        else:
-            slope[:n] = prior / n * prob[:n]
-            slope[n:] = -prob[n:] / m
+        _, slope = objective(np.bincount(row, theta[col], len(every)) + theta[d], n, prior)
         grad = np.append(np.bincount(col, slope[row], d), slope.sum())
         grad[:d] += ridge * theta[:d]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
@@ -100,6 +84,39 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(words, theta[:d], float(theta[d]))
 
 
+def select_words(sample: DataFrame, most: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the words whose share of documents differs between the classes of sample (toxic, words) by five standard errors.
+
+    Words are counted where the rows are; only the chosen ones come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in (0, 1):
+                own = [np.frombuffer(w, np.int64) for w, k in zip(b.column("words").to_pylist(), b.column("toxic").to_pylist()) if k == t]
+                word, n = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n * t), pa.array(n * (1 - t))], names=["word", "p", "u"])
+
+    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n, m = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    counts = common.in_batches(sample.select("toxic", "words"), count, "word long, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u > 2")
+    pooled = (F.col("p") + F.col("u")) / (n + m)
+    z = F.abs(F.col("p") / n - F.col("u") / m) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n + 1 / m))
+    chosen = counts.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(most).collect()
+    return np.sort(np.array([r.word for r in chosen], np.int64).view(np.uint64))
+
+
+def _placed(sample: DataFrame, words: np.ndarray) -> DataFrame:
+    """(toxic, doc_id, places): the places in `words` of the words that each row has, as bytes of 16-bit numbers."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.flatnonzero(np.isin(words, np.frombuffer(w, np.uint64), assume_unique=True)).astype(np.uint16).tobytes() for w in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("digest"), pa.array(made, pa.binary())], names=["toxic", "digest", "places"])
+
+    return common.in_batches(sample.select("toxic", "digest", "words"), place, "toxic int, digest string, places binary")
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [features(t).tobytes() for t in b.column("text").to_pylist()]
@@ -120,12 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     own = Window.partitionBy("toxic", "doc_id").orderBy(F.xxhash64("words"))
     made = common.cut(made.withColumn("n", F.row_number().over(own)).where(F.col("n") <= PER_ID))
     chosen = [made.where(F.col("toxic") == t).select("toxic", "doc_id", "n").orderBy("n", order, "doc_id").limit(most) for t, most in ((1, positives), (0, unlabelled))]
-    rows = made.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["toxic", "doc_id", "n"]).select("toxic", "words")
-    sets = sorted({(r.toxic, bytes(r.words)) for r in rows.toLocalIterator()})  # copies of a text count once
-    p, u = ([np.frombuffer(w, np.uint64) for t, w in sets if t == k] for k in (1, 0))
-    if not p or not share:
+    sample = made.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["toxic", "doc_id", "n"]).select("toxic", "words", F.md5("words").alias("digest"))
+    sample = common.cut(sample.dropDuplicates(["toxic", "digest"]))  # copies of a text count once
+    if not share or sample.where("toxic = 1").isEmpty():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    return fit(p, u, min(0.9, max(1e-4, share)))
+    words = select_words(sample)
+    rows = sorted((r.toxic, r.digest, bytes(r.places)) for r in _placed(sample, words).toLocalIterator())
+    p, u = ([np.frombuffer(x, np.uint16).astype(np.int64) for t, _, x in rows if t == k] for k in (1, 0))
+    return fit(words, p, u, min(0.9, max(1e-4, share)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

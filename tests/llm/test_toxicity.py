@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 
 from millrace.llm import toxicity
-from millrace.llm.toxicity import Model, op3_toxicity, scored, train
+from millrace.llm.toxicity import Model, fit, objective, op3_toxicity, scored, train
 
 SF = "/root/testdata/sf0.1"
 
@@ -27,7 +27,7 @@ def test_edges(spark):
 
 def test_an_id_with_most_rows_leaves_the_sample_bounded(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: seen.append((len(p), len(u))))
+    monkeypatch.setattr(toxicity, "fit", lambda words, p, u, prior: seen.append((len(p), len(u))))
     docs = [(7, f"hot w{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)] + [(100 + i, f"cold x{chr(97 + i)}") for i in range(20)]
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, 1), (100, 0)], "doc_id long, toxic int")
     train(docs, labels, positives=5, unlabelled=30)
@@ -53,3 +53,45 @@ def test_extra_columns_empty_tables_and_long_texts(spark):
     assert scored(docs.limit(0), model).count() == 0
     labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, toxic int, text string")
     assert 0 <= scored(docs, train(docs, labels)).first().score <= 1
+
+
+def test_slopes_by_finite_differences():
+    """In both branches: the corrected risk, and the way back where its corrected part is negative."""
+    rng = np.random.default_rng(2)
+    seen = set()
+    for shift in (-3, 0, 3):
+        g = rng.normal(size=30)
+        g[:12] += 2 * shift
+        g[12:] -= shift
+        logistic = lambda x: np.log1p(np.exp(-x))
+        rest = lambda x: logistic(-x[12:]).mean() - 0.3 * logistic(-x[:12]).mean()
+        back = rest(g) < 0
+        risk = (lambda x: -rest(x)) if back else (lambda x: 0.3 * logistic(x[:12]).mean() + rest(x))
+        value, slope = objective(g, 12, 0.3)
+        steps = np.eye(30) * 1e-6
+        assert abs(value - risk(g)) < 1e-12 and np.allclose(slope, [(risk(g + s) - risk(g - s)) / 2e-6 for s in steps], atol=1e-7)
+        seen.add(back)
+    assert seen == {False, True}
+
+
+def test_fit_finds_the_least_risk():
+    """Against plain gradient descent on the dense matrix."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((300, 6)) < np.where(np.arange(300)[:, None] < 60, 0.6, 0.3) * np.linspace(1.5, 0.5, 6)).astype(float)
+    model = fit(np.arange(6, dtype=np.uint64), [np.flatnonzero(r) for r in x[:60]], [np.flatnonzero(r) for r in x[60:]], 0.25, steps=3000, rate=0.01)
+
+    def risk(w):
+        g = x @ w[:6] + w[6]
+        rest = np.logaddexp(0, g[60:]).mean() - 0.25 * np.logaddexp(0, g[:60]).mean()
+        return 0.25 * np.logaddexp(0, -g[:60]).mean() + max(0, rest) + 0.5e-3 * (w[:6] ** 2).sum()
+
+    w = np.append(np.zeros(6), np.log(1 / 3))
+    for _ in range(20_000):
+        _, slope = objective(x @ w[:6] + w[6], 60, 0.25)
+        w -= 0.3 * (np.append(x.T @ slope, slope.sum()) + 1e-3 * np.append(w[:6], 0))
+    assert abs(risk(np.append(model.weights, model.intercept)) - risk(w)) < 2e-3
+
+
+def test_words_are_chosen_by_their_share_of_documents(spark):
+    rows = [(int(i % 3 == 0), np.array(sorted({1, 2 + i % 5, *([9] if i % 3 == 0 else [10])}), np.uint64).tobytes()) for i in range(300)]
+    assert toxicity.select_words(spark.createDataFrame(rows, "toxic int, words binary").repartition(3)).tolist() == [9, 10]
