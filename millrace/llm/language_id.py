@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Bounds of the training sample: documents per language, and characters of each (the fit only; predictions read whole texts).
-SAMPLE_DOCS, SAMPLE_CHARS = 48, 1000
+#: Bounds of the training sample: documents and characters per language, and languages (the fit only; predictions read whole texts).
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 48, 48_000, 64
 STRETCH = 1024
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
@@ -191,17 +191,23 @@ class CrossParser:
         return out
 
 
-def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Per language a stretch, at a place chosen by hash, of each of the `docs` distinct texts with the smallest hashes: at most docs * chars characters."""
-    begin = 1 + F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - chars + 1, F.lit(1)))
-    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", begin.cast("int"), F.lit(chars)).alias("part"))
+def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = MOST_LANGUAGES) -> dict[str, str]:
+    """Per language whole distinct texts in the order of their hashes, at most `docs` with `chars` characters in all.
+
+    Texts beyond an eighth of that come after all others, ones beyond `chars` aren't learned from; of more languages than
+    `languages` those with the most characters chosen are learned.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text").where((F.col("n") > 0) & (F.col("n") <= chars))
     # First among a 64th of each language, so that no language is one task, then among what is left of it.
-    chosen = rows.select("lang", "h").distinct()
+    chosen = rows.select("lang", "h", "n", (F.col("n") > chars // 8).alias("long")).distinct()
     for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= docs).drop("n")
+        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h"))).where(F.col("place") <= docs)
+    chosen = common.cut(chosen.withColumn("total", F.sum("n").over(Window.partitionBy("lang").orderBy("place"))).where(F.col("total") <= chars).select("lang", "h", "n"))
+    most = chosen.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    chosen = chosen.join(F.broadcast(most), "lang", "left_semi").drop("n")
     out: dict[str, list] = {}
-    for r in sorted(rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("part").alias("part")).collect()):
-        out.setdefault(r.lang, []).append(r.part)
+    for r in sorted(rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()):
+        out.setdefault(r.lang, []).append(r.text)
     return {k: "\n".join(v) for k, v in out.items()}
 
 
