@@ -189,6 +189,35 @@ def fused(lists: list[DataFrame], query_key: str, doc_key: str, k: int) -> DataF
     return top(summed, query_key, "rrf", doc_key, k).withColumn("score", F.round(F.col("rrf") / best, 4))
 
 
+def fused_scores(lists: list[DataFrame], query_key: str, doc_key: str) -> DataFrame:
+    """(query, document, rrf) of ranked lists; a query that only one list knows keeps that list's order."""
+    rows = lists[0].select(query_key, doc_key, "rank")
+    for x in lists[1:]:
+        rows = rows.unionByName(x.select(query_key, doc_key, "rank"))
+    return rows.groupBy(query_key, doc_key).agg(F.round(F.sum(rrf(F.col("rank"))), 8).alias("rrf"))
+
+
+def single(hits: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str = "text") -> DataFrame:
+    """Of hits (query, document, rrf) whose texts agree but for case and white space the best; hits without a text go.
+
+    The hits are few: their ids go to the documents, and only those texts' digests come back.
+    """
+    plain = F.btrim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
+    texts = docs.join(small(hits.select(doc_key).distinct()), doc_key, "left_semi").select(doc_key, F.md5(plain).alias("same"), (plain != "").alias("some")).where("some").drop("some")
+    first = Window.partitionBy(query_key, "same").orderBy(F.desc("rrf"), doc_key)
+    return hits.join(small(texts), doc_key).withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy", "same")
+
+
+def rescored(hits: DataFrame, vectors: DataFrame, queries: DataFrame, query_key: str, doc_key: str, k: int, first: int = 10) -> DataFrame:
+    """The `first` hits of each query (by rrf) score by cosine, 0 without a vector, the others keep their rrf; of all the k best, ties in the former order."""
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("rrf"), doc_key))
+    rows = hits.withColumn("place", place)
+    rows = rows.join(small(vectors.join(small(hits.select(doc_key).distinct()), doc_key, "left_semi")), doc_key, "left").join(small(queries), query_key, "left")
+    near = F.coalesce(F.round(cosine(F.col("q"), F.col("embedding")), 4), F.lit(0.0))
+    rows = rows.select(query_key, doc_key, "place", F.when(F.col("place") <= first, near).otherwise(F.round("rrf", 4)).alias("score"))
+    return top(rows, query_key, "score", "place", k).select(query_key, doc_key, "rank", "score")
+
+
 def filled(hits: DataFrame, payload: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Hits with their empty fields filled from the payload; those whose first column stays empty go."""
     p = payload.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
@@ -196,4 +225,4 @@ def filled(hits: DataFrame, payload: DataFrame, key: str, columns: list[str]) ->
     return rows.where(F.coalesce(F.col(columns[0]), F.lit("")) != "").drop(*[f"_{c}" for c in columns])
 
 
-__all__ = ["collection_stats", "cosine", "dense_categories", "dense_top", "filled", "frequencies", "fused", "idf", "query_counts", "small", "sparse_top", "term_counts", "top", "weights"]
+__all__ = ["collection_stats", "cosine", "dense_categories", "dense_top", "filled", "frequencies", "fused", "fused_scores", "idf", "query_counts", "rescored", "single", "small", "sparse_top", "term_counts", "top", "weights"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..operators import index as X
 from ..operators import retrieval as R
 from .base import query, table
 from .corpus import TOKENS
@@ -27,8 +28,12 @@ def index(spark, sf):
     return R.weights(R.term_counts(docs, "doc_id"), R.collection_stats(docs), "doc_id")
 
 
+def stored(spark, sf):
+    return X.opened(spark, table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def sparse(spark, sf, k=10):
-    return R.sparse_top(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "item_id", "doc_id", k)
+    return X.sparse_top(stored(spark, sf), table(spark, sf, "benchmark"), "item_id", k)
 
 
 def asked_vectors(spark, sf):
@@ -152,11 +157,41 @@ def ret_score_floor(spark, sf):
 
 @query(
     "ret_sorted_postings",
-    INDEX + " SELECT term, count(*) AS docs, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM w WHERE term IN (SELECT term FROM w GROUP BY term HAVING count(*) <= 3) GROUP BY term",
+    INDEX + f" SELECT term, doc_id // {X.BLOCK} AS block, count(*) AS docs, round(max(weight), 6) AS most, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM w GROUP BY ALL",
 )
 def ret_sorted_postings(spark, sf):
-    """Postings of the rarer terms as sorted sparse indices."""
-    counts = R.term_counts(table(spark, sf, "documents"), "doc_id")
-    rare = counts.groupBy("term").agg(F.count("*").alias("docs")).where("docs <= 3")
-    postings = counts.join(rare, "term").groupBy("term", "docs").agg(F.collect_list("doc_id").alias("ids"))
-    return postings.select("term", "docs", F.md5(F.array_join(F.array_sort("ids"), ",")).alias("ids"))
+    """The postings of every term, in the order of the documents, block by block, with each block's largest weight."""
+    return stored(spark, sf).table("postings").select("term", "block", F.size("ids").cast("long").alias("docs"), F.round("most", 6).alias("most"), F.md5(F.array_join("ids", ",")).alias("ids"))
+
+
+@query(
+    "ret_sparse_vectors",
+    INDEX + " SELECT doc_id, count(*) AS n, md5(string_agg(term, ',' ORDER BY term)) AS terms, round(sum(weight), 4) AS total, round(arg_min(weight, term), 6) AS first, round(arg_max(weight, term), 6) AS last FROM w GROUP BY doc_id",
+)
+def ret_sparse_vectors(spark, sf):
+    """Every document's sparse vector, its terms in order."""
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return stored(spark, sf).table("vectors").select("doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", ",")).alias("terms"), F.round(total, 4).alias("total"), F.round(F.get("weights", F.lit(0)), 6).alias("first"), F.round(F.element_at("weights", -1), 6).alias("last"))
+
+
+#: A question without a known term now and then: then the dense list counts alone.
+WITHOUT_TERMS = 7
+SEARCHED = f""", {DENSE}, d0 AS (SELECT query_id // 50 AS item_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM k QUALIFY rank <= 10),
+u AS (SELECT item_id, doc_id, rank FROM sp WHERE item_id % {WITHOUT_TERMS} <> 0 UNION ALL SELECT item_id, doc_id, rank FROM d0 WHERE item_id IN (SELECT item_id FROM benchmark)),
+fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf FROM u GROUP BY 1, 2),
+n AS (SELECT fu.*, row_number() OVER (PARTITION BY item_id, trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) ORDER BY rrf DESC, doc_id) AS copy FROM fu JOIN documents USING (doc_id) WHERE trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS place FROM n WHERE copy = 1),
+re AS (SELECT o.*, CASE WHEN place > 10 THEN round(rrf, 4) WHEN q.e IS NULL OR v.e IS NULL THEN 0 ELSE round(greatest(0, least(1, list_cosine_similarity(q.e, v.e))), 4) END AS score
+  FROM o LEFT JOIN v q ON q.vec_id = 50 * o.item_id LEFT JOIN v ON v.vec_id = o.doc_id)"""
+
+
+@query("ret_hybrid_search", INDEX + ASKED + SEARCHED + " SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, place)::INT AS rank, score FROM re QUALIFY rank <= 5")
+def ret_hybrid_search(spark, sf):
+    """Sparse and dense lists fused by rank (the dense one alone where no term is known), one hit per text, the first ten rescored by cosine."""
+    asked = table(spark, sf, "benchmark").where(f"item_id % {WITHOUT_TERMS} <> 0")
+    lists = X.sparse_top(stored(spark, sf), asked, "item_id", 10).select("item_id", "doc_id", "rank")
+    near = dense(spark, sf).select((F.col("query_id") / 50).cast("long").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
+    near = near.join(R.small(table(spark, sf, "benchmark").select("item_id")), "item_id", "left_semi")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("item_id"), F.col("embedding").alias("q"))
+    return R.rescored(R.single(R.fused_scores([lists, near], "item_id", "doc_id"), table(spark, sf, "documents"), "item_id", "doc_id"), vectors, queries, "item_id", "doc_id", 5)
