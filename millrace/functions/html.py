@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What is dropped with its content, and what starts a block.
 DROPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "iframe", "button"}
@@ -20,6 +22,7 @@ class _Walk(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.skip, self.title, self.trail, self.out, self.line, self.heading = [], "", [], [], "", 0
+        self.events: list[tuple[int, str]] = []  # (level, title) of headings, (0, text) of blocks
         self.group: list[str] = []  # lines of the open list or table
         self.lists: list[list] = []  # [is it numbered, items so far] of each open list
         self.tables, self.cells, self.open_cell, self.first_row, self.pre, self.term = 0, None, False, True, False, ""
@@ -27,6 +30,10 @@ class _Walk(HTMLParser):
     def crumb(self) -> str:
         return " > ".join(x[1] for x in self.trail)
 
+    def emit(self, block: str) -> None:
+        self.out.append((self.crumb(), block))
+        self.events.append((0, block))
+
     def flush(self, prefix: str = "") -> None:
         if self.pre:
             text = f"```\n{self.line}\n```" if self.line.strip() else ""
@@ -37,10 +44,11 @@ class _Walk(HTMLParser):
             return
         if self.heading:
             self.trail = [x for x in self.trail if x[0] < self.heading] + [(self.heading, text)]
+            self.events.append((self.heading, text))
         elif self.lists and not self.pre:
             self._item(text)
         else:
-            self.out.append((self.crumb(), prefix + text))
+            self.emit(prefix + text)
 
     def _item(self, text: str) -> None:
         numbered, n, fresh = self.lists[-1]
@@ -50,7 +58,7 @@ class _Walk(HTMLParser):
 
     def close_group(self) -> None:
         if self.group and not self.lists and not self.tables:
-            self.out.append((self.crumb(), "\n".join(self.group)))
+            self.emit("\n".join(self.group))
             self.group = []
 
     def handle_starttag(self, tag, attrs):
@@ -84,7 +92,7 @@ class _Walk(HTMLParser):
             elif tag == "tr":
                 self._row()
             elif tag == "hr":
-                self.out.append((self.crumb(), "---"))
+                self.emit("---")
             self.pre = tag == "pre" or (self.pre and tag not in BLOCKS)
             self.line = "> " if tag == "blockquote" else ""
 
@@ -123,7 +131,7 @@ class _Walk(HTMLParser):
         elif tag == "dt":
             self.term, self.line = " ".join(self.line.split()), ""
         elif tag == "dd":
-            self.out.append((self.crumb(), f"- **{self.term}**: {' '.join(self.line.split())}"))
+            self.emit(f"- **{self.term}**: {' '.join(self.line.split())}")
             self.line = ""
         elif tag in HEADINGS or tag in BLOCKS:
             self.flush()
@@ -152,6 +160,39 @@ def walk(html: str | None) -> tuple[str, list[tuple[str, str]]]:
     return w.title, [(crumb or w.title, block) for crumb, block in w.out]
 
 
+@F.udtf(returnType="seq int, level int, text string")
+class PageEvents:
+    """A page's headings (level 1 to 6), blocks (level 0) and title (level -1, first), in their order."""
+
+    def eval(self, html: str):
+        w = _Walk()
+        w.feed(html or "")
+        w.close()
+        w.finish()
+        yield 0, -1, w.title
+        for seq, (level, text) in enumerate(w.events, 1):
+            yield seq, level, text
+
+
+def page_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, seq, level, text, breadcrumb) of the headings and blocks of pages (key, html), from a lateral join with the pages' events.
+
+    The breadcrumb: of each level the last title so far, if none of a level above came after it; the page's title where no heading is open.
+    """
+    events = pages.select(key, "html").lateralJoin(PageEvents(F.col("html").outer())).drop("html")
+    so_far = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = {k: F.max(F.when(F.col("level") == k, F.struct("seq", "text"))).over(so_far) for k in (-1, *HEADINGS.values())}
+    rows = events.withColumns({f"_{k}": c for k, c in at.items() if k > 0} | {"_title": at[-1]})
+    trail, above = [], F.lit(-1)
+    for k in HEADINGS.values():
+        mine = F.coalesce(F.col(f"_{k}").seq, F.lit(-1))
+        trail.append(F.when(mine > above, F.col(f"_{k}").text))
+        above = F.greatest(above, mine)
+    trail = F.array_compact(F.array(*trail))
+    crumb = F.when(F.size(trail) > 0, F.array_join(trail, " > ")).otherwise(F.col("_title").text)
+    return rows.where("level >= 0").select(key, "seq", "level", "text", crumb.alias("breadcrumb"))
+
+
 def packed(blocks: list[tuple[str, str]], target: int = 1000, hard: int = 1500) -> list[tuple[str, str]]:
     """Blocks under one breadcrumb joined up to the target; longer ones cut at the hard limit."""
     out: list[tuple[str, str]] = []
