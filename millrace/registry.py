@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalog, corpus, evaluation, helpers, pages, questions, records, retrieval, routing, state, telemetry, versions
+from .plans import catalog, corpus, decisions, evaluation, helpers, pages, questions, records, retrieval, routing, state, stores, telemetry, versions
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "tel_overview"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog", "corpus", "evaluation", "helpers", "pages", "questions", "records", "retrieval", "routing", "state", "telemetry", "versions"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog", "corpus", "decisions", "evaluation", "helpers", "pages", "questions", "records", "retrieval", "routing", "state", "stores", "telemetry", "versions"]

@@ -38,6 +38,9 @@ class Folder:
             out[x.getPath().toString()] = (x.getLen(), x.getModificationTime())
         return out
 
+    def make(self) -> None:
+        self._fs.mkdirs(self._path)
+
     def moved_to(self, other: Folder) -> bool:
         """False if the other one was there already, or this one isn't there."""
         return not other.exists() and self._fs.rename(self._path, other._path)

@@ -46,6 +46,21 @@ def cooldown(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFra
     return (sent,), rows[["alert_type", "event_id", "at_ms"]].assign(notify=notify)
 
 
+CARRIED_OUT = "conv_id long, event_id long, at_ms long, model string, edition string, topic string"
+CARRIED_STATE = "model string, edition string, topic string"
+
+
+def carried(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """What a conversation's turns say of model, edition and topic; a turn that says nothing of one takes what was said last."""
+    names = ["model", "edition", "topic"]
+    said = rows[names].astype(object).where(rows[names].notna(), None)
+    before = pd.DataFrame([state or (None, None, None)], columns=names, dtype=object)
+    full = pd.concat([before, said]).ffill().iloc[1:].astype(object)
+    full = full.where(full.notna(), None)
+    last = full.iloc[-1]
+    return tuple(last[n] for n in names), rows[["conv_id", "event_id", "at_ms"]].assign(**{n: full[n].values for n in names})
+
+
 def batch(rows: DataFrame, key: str, fold, schema: str) -> DataFrame:
     """The fold over all rows of each key. Keys come in time order, in bounded Arrow batches, with state between them."""
 
