@@ -42,39 +42,38 @@ class Merger:
 
     def run(self, sequences: list[list[int]]) -> list[np.ndarray]:
         """The symbols that remain of each sequence."""
+        short = [i for i, s in enumerate(sequences) if len(s) <= LONG]
+        lens = np.array([len(sequences[i]) for i in short], np.int64)
+        sym, left = self.run_flat(np.fromiter((x for i in short for x in sequences[i]), np.int64, lens.sum()), lens)
         out: list = [None] * len(sequences)
-        short = []
+        for i, part in zip(short, np.split(sym, np.cumsum(left)[:-1])):
+            out[i] = part
         for i, s in enumerate(sequences):
             if len(s) > LONG:
                 out[i] = np.array(self.one(s), np.int64)
-            elif len(s) < 2:
-                out[i] = np.array(s, np.int64)
-            else:
-                short.append(i)
-        if not short:
-            return out
-        lens = np.array([len(sequences[i]) for i in short])
-        sym = np.fromiter((x for i in short for x in sequences[i]), np.int64, lens.sum())
-        row = np.repeat(np.arange(len(short)), lens)
+        return out
+
+    def run_flat(self, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What remains of sequences of these lengths, which follow each other in `sym`; and how long each then is."""
+        finished: list[tuple[np.ndarray, np.ndarray]] = []  # symbols, and the sequence of each
+        row = np.repeat(np.arange(len(lens)), lens)
         rank, made = self._look(sym[:-1], sym[1:])
         rank, made = np.append(rank, _NONE), np.append(made, 0)
         rank[:-1][row[1:] != row[:-1]] = _NONE
         while len(sym):
             starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            lens = np.diff(np.append(starts, len(row)))
+            now = np.diff(np.append(starts, len(row)))
             least = np.minimum.reduceat(rank, starts)
             done = least == _NONE
             if done.any():
-                ends = starts + lens
-                for k in np.flatnonzero(done):
-                    out[short[row[starts[k]]]] = sym[starts[k] : ends[k]]
-                stay = np.repeat(~done, lens)
+                stay = np.repeat(~done, now)
+                finished.append((sym[~stay], row[~stay]))
                 sym, row, rank, made = sym[stay], row[stay], rank[stay], made[stay]
-                least, lens = least[~done], lens[~done]
+                least, now = least[~done], now[~done]
                 if not len(sym):
                     break
             # Ranks that differ in the mark alone are one rank.
-            at = np.flatnonzero(rank >> 1 == np.repeat(least >> 1, lens))
+            at = np.flatnonzero(rank >> 1 == np.repeat(least >> 1, now))
             gap = np.append(_NONE, np.diff(at))
             gap[np.append(True, row[at][1:] != row[at][:-1])] = _NONE
             places = np.arange(len(at))
@@ -92,7 +91,8 @@ class Merger:
                 rank[spots] = _NONE
                 same = inner[row[inner] == row[inner + 1]]
                 rank[same], made[same] = self._look(sym[same], sym[same + 1])
-        return out
+        left, rows = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*finished)) if finished else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return left[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(lens))
 
     def one(self, s: list[int]) -> list[int]:
         """The same for one long sequence, with a queue: O(n log n)."""

@@ -60,19 +60,22 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         sign = [chr(b) if b in shown else chr(next(other)) for b in range(256)]
-        self.inner, self.last = [vocab[c] for c in sign], [vocab[c + end] for c in sign]
+        self.inner, self.last = np.array([vocab[c] for c in sign], np.int64), np.array([vocab[c + end] for c in sign], np.int64)
         self.seen: dict[str, bytes] = {}
         self.held = 0
 
-    def _learn(self, words: set[str]) -> None:
-        spelled, rest = [], []
-        for w in words:
-            if _LETTERS(w) and len(b := w.encode()) <= LONG:
-                spelled.append((w, [*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]]))
-            else:
-                rest.append(w)
-        for (w, _), ids in zip(spelled, self.merger.run([s for _, s in spelled])):
-            self.seen[w] = ids.astype("<u4").tobytes()
+    def _learn(self, words: list[str]) -> None:
+        spelled = [w for w in words if _LETTERS(w) and len(w) <= LONG // 2]
+        rest = [w for w in words if not (_LETTERS(w) and len(w) <= LONG // 2)] if len(spelled) < len(words) else []
+        raw = [w.encode() for w in spelled]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        b = np.frombuffer(b"".join(raw), np.uint8)
+        sym, last = self.inner[b], np.cumsum(lens) - 1
+        sym[last] = self.last[b[last]]
+        ids, left = self.merger.run_flat(sym, lens)
+        whole, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(left)).tolist()
+        for w, a, z in zip(spelled, [0, *ends], ends):
+            self.seen[w] = whole[a:z]
         for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
             self.seen[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -88,9 +91,9 @@ class WordEncoder:
             for words in cut:
                 if words:
                     new.update(words)
-            new.difference_update(self.seen)
-            self.held += sum(map(len, new))
-            self._learn(new)
+            fresh = list(new.difference(self.seen))
+            self.held += sum(map(len, fresh))
+            self._learn(fresh)
             for t, words in zip(part, cut):
                 if words is None:
                     out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
