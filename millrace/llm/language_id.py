@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from . import common
 
 #: Bounds of the training sample: documents and characters per language, and languages (the fit only; predictions read whole texts).
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 48, 48_000, 64
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 48, 40_000, 64
 STRETCH = 1024
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
@@ -93,7 +93,8 @@ class CrossParser:
             code[used] = np.arange(1, len(used) + 1)
             wide = len(used) + 1
             moves = suffix_automaton(code[plain[k]].tolist())
-            restart = np.full(wide, base + len(moves) * wide, np.int64)  # after a byte that the sample lacks, any move is missing
+            kind = np.int32 if base + (len(moves) + 1) * wide < 2**31 else np.int64
+            restart = np.full(wide, base + len(moves) * wide, kind)  # after a byte that the sample lacks, any move is missing
             for c, s in moves[0].items():
                 restart[c] = base + s * wide
             block = np.tile(~restart, (len(moves) + 1, 1))  # a missing move: the complement of where the next phrase begins
@@ -101,7 +102,7 @@ class CrossParser:
             for s, m in enumerate(moves):
                 for c, t in m.items():
                     block[s, c] = base + t * wide
-            blocks.append(block.ravel() if base + block.size >= 2**31 else block.ravel().astype(np.int32))
+            blocks.append(block.ravel())
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(plain[k]))))
             base += block.size

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +32,7 @@ from .merging import LONG, Merger
 #: Pieces packed by one task at a time.
 PER_PARTITION = 40_000
 #: Characters of distinct words that a Python worker remembers; then it starts afresh.
-REMEMBERED = 3_000_000
+REMEMBERED = 4_000_000
 
 # Texts of these characters alone are cut here, by the same pattern as the tokenizer's; any other text goes to the tokenizer whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
@@ -39,6 +40,18 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r0-9
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
+class _Places(dict):
+    """Words by the order in which they were first asked for; `fresh` are those since it was last emptied."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class WordEncoder:
     """Ids of the word-end BPE tokenizer at `path` as little-endian unsigned 32-bit bytes."""
 
@@ -61,47 +74,66 @@ class WordEncoder:
         other = iter(range(256, 512))
         sign = [chr(b) if b in shown else chr(next(other)) for b in range(256)]
         self.inner, self.last = np.array([vocab[c] for c in sign], np.int64), np.array([vocab[c + end] for c in sign], np.int64)
-        self.seen: dict[str, bytes] = {}
-        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words that are remembered: where their ids begin in `ids`, and how many they are."""
+        self.places, self.held = _Places(), 0
+        self.ids, self.begin, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n_ids = self.n_words = 0
 
     def _learn(self, words: list[str]) -> None:
-        spelled = [w for w in words if _LETTERS(w) and len(w) <= LONG // 2]
-        rest = [w for w in words if not (_LETTERS(w) and len(w) <= LONG // 2)] if len(spelled) < len(words) else []
-        raw = [w.encode() for w in spelled]
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        """The ids of words, after those known so far."""
+        spelled = np.fromiter((bool(_LETTERS(w)) and len(w) <= LONG // 2 for w in words), bool, len(words))
+        raw = [w.encode() for w, s in zip(words, spelled.tolist()) if s]
         b = np.frombuffer(b"".join(raw), np.uint8)
-        sym, last = self.inner[b], np.cumsum(lens) - 1
+        sym, lens = self.inner[b], np.fromiter(map(len, raw), np.int64, len(raw))
+        last = np.cumsum(lens) - 1
         sym[last] = self.last[b[last]]
-        ids, left = self.merger.run_flat(sym, lens)
-        whole, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(left)).tolist()
-        for w, a, z in zip(spelled, [0, *ends], ends):
-            self.seen[w] = whole[a:z]
-        for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        merged, left = self.merger.run_flat(sym, lens)
+        other = np.flatnonzero(~spelled).tolist()
+        others = [e.ids for e in self.library.encode_batch([words[i] for i in other], add_special_tokens=False)]
+        count = np.zeros(len(words), np.int64)
+        count[spelled], count[other] = left, [len(x) for x in others]
+        begin = self.n_ids + np.cumsum(count) - count
+        self.n_ids, self.n_words = self.n_ids + int(count.sum()), self.n_words + len(words)
+        self.ids, self.begin, self.count = _room(self.ids, self.n_ids), _room(self.begin, self.n_words), _room(self.count, self.n_words)
+        self.ids[_runs(begin[spelled], left)] = merged
+        for i, x in zip(other, others):
+            self.ids[begin[i] : begin[i] + len(x)] = x
+        self.begin[self.n_words - len(words) : self.n_words], self.count[self.n_words - len(words) : self.n_words] = begin, count
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(texts), 256):
             part = [t or "" for t in texts[k : k + 256]]
-            cut = [None if _OTHER.search(t) else _WORDS(t.lower()) for t in part]
             if self.held > REMEMBERED:
-                self.seen.clear()
-                self.held = 0
-            new: set[str] = set()
-            for words in cut:
-                if words:
-                    new.update(words)
-            fresh = list(new.difference(self.seen))
-            self.held += sum(map(len, fresh))
-            self._learn(fresh)
-            for t, words in zip(part, cut):
-                if words is None:
-                    out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                else:
-                    out.append(b"".join(map(self.seen.__getitem__, words)))
+                self._forget()
+            cut = [None if _OTHER.search(t) else _WORDS(t.lower()) for t in part]
+            n_words = np.array([len(w or ()) for w in cut])
+            at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(w for w in cut if w)), np.int64, n_words.sum())
+            if self.places.fresh:
+                self.held += sum(map(len, self.places.fresh))
+                self._learn(self.places.fresh)
+                self.places.fresh = []
+            count = self.count[at]
+            whole = self.ids[_runs(self.begin[at], count)].astype("<u4").tobytes()
+            ends = 4 * np.append(0, np.cumsum(count))[np.cumsum(n_words)]
+            for t, words, a, z in zip(part, cut, np.append(0, ends).tolist(), ends.tolist()):
+                out.append(whole[a:z] if words is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 
+def _runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and a closing 0, cut where longer than capacity."""
 
