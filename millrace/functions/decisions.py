@@ -7,27 +7,10 @@ from pyspark.sql import functions as F
 
 from . import rules
 from . import tables as T
+from .products import model_named
 from .questions import question_intent
 
 
-def model_pattern(series: str) -> str:
-    return rf"{series}\s*[0-9]+(?:\s*(?:(?:the\s+)?(?:all\s+)?new|thế\s*hệ\s*mới|the\s*he\s*moi))?|{series}\s*mpv\s*[0-9]+|{series}\s*e34"
-
-
-def model_named(text: Column, series: str = "mk", renewed: str = "8") -> Column:
-    """The first product of a series that a text names, as it is listed: MK 6, MK MPV 7, MK E34; a name with "new" is the renewed number's."""
-    found = F.regexp_extract(F.lower(text), f"({model_pattern(series)})", 1)
-    number = F.regexp_extract(found, rf"^{series}\s*([0-9]+)", 1)
-    name = series.upper()
-    return (
-        F.when(found == "", None)
-        .when((number != "") & found.rlike("new|mới|moi"), F.lit(f"{name} {renewed} All New"))
-        .when(number != "", F.concat(F.lit(f"{name} "), number))
-        .when(found.rlike("mpv"), F.concat(F.lit(f"{name} MPV "), F.regexp_extract(found, "([0-9]+)$", 1)))
-        .otherwise(F.lit(f"{name} E34"))
-    )
-
-
 def edition_first(text: Column) -> Column:
     """The listed edition that the first name of one in a text stands for."""
     found = F.regexp_extract(F.lower(text), f"({T.EDITION_NAMES})", 1)

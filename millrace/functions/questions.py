@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import tables as T
 from . import text as X
+from .numeric import locale_number
+from .products import models_named
 
 
 def relevant_categories(question: Column, table: tuple = T.TOPIC_CATEGORIES) -> Column:
@@ -66,7 +68,7 @@ def brochure_prose(text: Column, names: tuple[str, ...] = ()) -> Column:
         plain = X.strip_marks(x)
         legal = F.exists(F.array(*map(F.lit, T.DISCLAIMERS)), lambda p: F.contains(plain, p)) | (F.contains(plain, F.lit(T.DISCLAIMER_PAIR[0])) & F.contains(plain, F.lit(T.DISCLAIMER_PAIR[1])))
         page = x.rlike("^[0-9]{1,2}$") & (F.coalesce(x.try_cast("int"), F.lit(99)) <= T.LAST_PAGE)
-        out = x.startswith("|") | legal | page | x.rlike(X.U + T.FOOTNOTES) | x.rlike(X.U + T.TABLE_HEADINGS)
+        out = x.startswith("|") | legal | page | x.rlike(X.U + T.FOOTNOTES) | x.rlike(X.U + T.TABLE_HEADINGS) | x.rlike(X.U + T.HEADING_RESIDUE)
         return out | x.isin(*names) if names else out
 
     def rest(line: Column) -> Column:
@@ -175,7 +177,7 @@ def is_page_junk(section_path: Column, text: Column) -> Column:
     lines = F.filter(F.transform(F.split(plain, "\n"), F.btrim), lambda x: x != "")
     menu = F.filter(lines, lambda x: x.rlike(T.MENU_ITEM))
     by_section = F.exists(section_path, lambda p: F.btrim(X.strip_marks(p)).isin(*T.JUNK_SECTIONS))
-    by_menu = (F.size(section_path) <= 1) & (F.size(menu) >= 2) & (2 * F.size(menu) >= F.size(lines))
+    by_menu = (F.size(section_path) <= 1) & (((F.size(menu) >= 2) & (2 * F.size(menu) >= F.size(lines))) | plain.rlike(T.LEADING_ITEM))
     return F.coalesce(by_section | plain.rlike("(?s)" + T.JUNK_TEXT) | by_menu, F.lit(False))
 
 
@@ -188,11 +190,12 @@ def is_of_others(text: Column, model: Column, own: tuple[str, ...], others: tupl
     return F.coalesce(~named & F.exists(F.array(*map(F.lit, others)), lambda b: F.contains(low, b)), F.lit(False))
 
 
-def is_spec_table(text: Column) -> Column:
-    """Four pipes or more, and a label of specifications."""
+def is_spec_table(text: Column, section_path: Column | None = None) -> Column:
+    """Four pipes or more, and a label of specifications; or a section of that title is open."""
     low = X.strip_marks(text)
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return (pipes >= 4) & F.exists(F.array(*map(F.lit, T.SPEC_LABELS)), lambda x: F.contains(low, x))
+    table = (pipes >= 4) & F.exists(F.array(*map(F.lit, T.SPEC_LABELS)), lambda x: F.contains(low, x))
+    return table if section_path is None else table | F.exists(section_path, lambda p: F.btrim(X.strip_marks(p)) == T.SPEC_SECTION)
 
 
 def edition_named(question: Column, editions: tuple = T.EDITIONS) -> Column:
@@ -204,6 +207,17 @@ def edition_named(question: Column, editions: tuple = T.EDITIONS) -> Column:
     return out
 
 
+def valid_spec(key: Column, value: Column) -> Column:
+    """The value of a specification as it is listed: in its range, or one of the drivetrains; null for anything else."""
+    rows = F.create_map(*[x for k, _, _, lo, hi in T.SPEC_RANGES for x in (F.lit(k), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))])
+    r, number, wheels = F.try_element_at(rows, key), locale_number(F.btrim(value)), F.upper(F.btrim(value))
+    return F.when(key == "drivetrain", F.when(wheels.isin(*T.DRIVETRAINS), wheels)).when((number >= r.lo) & (number <= r.hi), F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string")))
+
+
+def spec_category(key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, c, *_ in (*T.SPEC_RANGES, ("drivetrain", "powertrain")) for x in (k, c)]), key)
+
+
 def tool_plan(wants: Column, question: Column, model: Column, models: tuple[str, ...]) -> Column:
     """What is looked up for a question: an array of (tool, model); null where a model must be asked for first."""
     call = lambda tool, m: F.struct(F.lit(tool).alias("tool"), m.cast("string").alias("model"))
@@ -212,14 +226,17 @@ def tool_plan(wants: Column, question: Column, model: Column, models: tuple[str,
     low, utility = F.lower(question), None
     for tool, pattern in T.UTILITIES:
         utility = F.when(low.rlike(pattern), F.array(call(tool, model))) if utility is None else utility.when(low.rlike(pattern), F.array(call(tool, model)))
-    compared = F.when(low.rlike(r"giá|bao\s*nhiêu\s*tiền"), F.array(call("get_specs", model), call("get_price", model))).otherwise(F.array(call("get_specs", model)))
+    # Every product that the question names, and the one it is about.
+    named = F.array_sort(F.array_distinct(F.array_compact(F.concat(models_named(question), F.array(model)))))
+    of_each = lambda tool: F.transform(named, lambda m: call(tool, m))
+    compared = F.when(low.rlike(r"giá|bao\s*nhiêu\s*tiền"), F.concat(of_each("get_specs"), of_each("get_price"))).otherwise(of_each("get_specs"))
     return (
         F.when(wants.isin("out_of_scope", "greeting", "thanks", "identity"), F.array().cast("array<struct<tool: string, model: string>>"))
         .when(wants == "utility", utility.otherwise(F.array(call("get_showroom_charging_link", none))))
         .when(wants.isin("price", "versions_list"), one("get_price"))
         .when(wants.isin("spec_query", "feature_presence"), one("get_specs"))
         .when(wants == "cross_model_feature", F.array(*[call("get_specs", F.lit(m)) for m in models]))
-        .when(wants == "compare", F.when(model.isNotNull(), compared))
+        .when(wants == "compare", F.when(F.size(named) > 0, compared))
         .when(wants == "models_list", F.array(call("list_available_models", none)))
         .when(wants == "colors", one("get_colors"))
         .otherwise(F.array(call("search_knowledge_base", model)))

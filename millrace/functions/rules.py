@@ -1,6 +1,6 @@
 """Ordered rule tables as data, compiled to one CASE expression: the first rule that matches wins.
 
-Rules are ASCII patterns here; tables for other languages are passed the same way.
+The tables themselves are in `tables.py`; others are passed the same way.
 """
 
 from __future__ import annotations
@@ -8,19 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (label, pattern), in order.
-INTENTS = (
-    ("greeting", r"^\s*(hi|hello|hola|bonjour|hallo)\b"),
-    ("thanks", r"^\s*(thanks|merci|danke|gracias)\b"),
-    ("price", r"\b(price|prix|preis|precio|cost)\b"),
-    ("compare", r"\b(versus|vs|compare)\b|\bor\b.*\?"),
-    ("policy", r"\b(warranty|policy|license|licensed)\b"),
-    ("color", r"\b(color|red|blue|green|rouge)\b"),
-    ("list_versions", r"\b(version|edition|versions)\b"),
-    ("spec_query", r"\b(mit|sur|con|with)\b.*\b(der|des|los|the)\b"),
-)
-TOPICS = (("battery", r"pile|batter"), ("safety", r"saf|sich"), ("range", r"rang|heit"), ("comfort", r"ment|con"), ("general", r"."))
-CATEGORIES = (("engine", r"\b(on|en)\b"), ("interior", r"\b(in|dans)\b"), ("exterior", r"\b(the|der|le|el)\b"), (None, r"\bany\b"))
 REASONS = (("timeout", "timed_out"), ("time", "slow"), ("error", "system_error"), ("purchase", "sold"), ("sign", "signed"))
 
 
@@ -33,14 +20,6 @@ def first_match(text: Column, rules: tuple, default: str | None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def sql_first_match(text: str, rules: tuple, default: str | None) -> str:
-    """The same for the oracle, whose word boundaries know ASCII letters only."""
-    plain = f"regexp_replace(lower({text}), '[^\\x00-\\x7F]', 'x', 'g')"
-    word = lambda x: "NULL" if x is None else f"'{x}'"
-    cases = " ".join(f"WHEN regexp_matches({plain}, '{p}', 's') THEN {word(label)}" for label, p in rules)
-    return f"CASE {cases} ELSE {word(default)} END"
-
-
 def longest_key(text: Column, rules: tuple, default: str | None) -> Column:
     """The value of the longest key that the text contains; ties go to the earlier rule."""
     out = None

@@ -129,7 +129,7 @@ ANSWER_RULES = (
 
 # Sections and texts of pages that say nothing of a product, without accents; items of menus; and labels of specification tables.
 JUNK_SECTIONS = ("dang ky thanh cong", "kiem tra email", "kiem tra email de kich hoat tai khoan", "doi mat khau thanh cong", "nhan bao gia uu dai moi nhat", "dich vu khach hang", "speak-up hotline", "speak up hotline", "tien ich", "mua sam", "theo doi")
-JUNK_TEXT = r"icon-popup-success|dang nhap\s*/\s*dang ky truoc khi mua hang|gia ban tu dat coc dang ky lai thu|cam on quy khach da quan tam|tra cuu tai lieu huong dan|checkbox label label\s+consent leg\.interest|dat lich sua chua\s+dat lich sua chua|doi mat khau thanh cong|thay doi thanh cong mat khau|tim showroom\s*&\s*tram sac.*cau hoi thuong gap|san pham dang cap, gia tot, chinh sach hau mai vuot troi"
+JUNK_TEXT = r"icon-popup-success|se lien he tu van|mk\s*[0-9]+\s+hero banner|^\s*-\s*cong ty\s*-\s*o to dien\s*-\s*xe may dien\s*$|dang nhap\s*/\s*dang ky truoc khi mua hang|gia ban tu dat coc dang ky lai thu|cam on quy khach da quan tam|tra cuu tai lieu huong dan|checkbox label label\s+consent leg\.interest|dat lich sua chua\s+dat lich sua chua|doi mat khau thanh cong|thay doi thanh cong mat khau|tim showroom\s*&\s*tram sac.*cau hoi thuong gap|san pham dang cap, gia tot, chinh sach hau mai vuot troi"
 MENU_ITEM = r"^-\s*(gia ban|gioi thieu|ngoai that|noi that|thong so|tinh nang|tong quan|thiet ke|van hanh|an toan|uu dai|cac phien ban)\s*$"
 SPEC_LABELS = ("cong suat", "mo men", "mo-men", "dung luong pin", "loai pin", "quang duong", "tai trong", "trong luong", "chieu dai co so", "chieu dai", "chieu rong", "chieu cao", "khoang sang", "co so", "toc do toi da", "tang toc", "so cho ngoi", "cho ngoi", "dan dong", "he thong treo", "treo truoc", "treo sau", "thoi gian nap", "sac day", "sac nhanh", "khoang chua hanh ly")
 
@@ -147,6 +147,7 @@ UTILITIES = (
     ("get_booking_link", r"đặt\s*lịch|booking|lịch\s*hẹn|test\s*drive|lái\s*thử"),
     ("get_maintenance_link", r"link\s*bảo\s*dưỡng|lịch\s*bảo\s*dưỡng"),
     ("get_active_promotions", r"khuyến\s*mãi|ưu\s*đãi|voucher"),
+    ("get_showroom_charging_link", r"hotline|liên\s*hệ|gặp\s*sales"),
 )
 
 # The topic of a question, in the order of trial.
@@ -201,3 +202,64 @@ NEGATIVE = r"không\s*(có|được\s*trang\s*bị|hỗ\s*trợ|trang\s*bị)|ch
 PRICE_TALK = r"gi[aá]|price|ni[eê]m\s+y[eế]t|[uư]u\s+[đd][ãa]i|vn[dđ]|tri[eệ]u|t[yỷ]|l[aă]n\s+b[aá]nh|tr[aả]\s+g[oó]p"
 # Numbers that claim nothing: addresses, ranges, years in brackets, the series' own, cameras, degrees, shares.
 NO_CLAIM = (r"https?://\S+", r"[0-9]+[-–][0-9]+", r"\([0-9]{4}\)", r"\bmk\s*[0-9]+\b", r"camera\s*[0-9]+", r"[0-9]+\s*độ", r"[0-9]+\s*%")
+
+# Lines of pages and brochures that say nothing, matched from their beginning; letters of any case. A brand's own name after "Tìm xe" doesn't matter.
+NOISE_LINES = (
+    r"^Đăng nhập\s*/\s*Đăng ký$",
+    r"^Banner top bar$",
+    r"^Google tag \(gtag\.js\)$",
+    r"^End Navigation$",
+    r"^END BREADCRUMB$",
+    r"^1\.\s*TRANG CHỦ\s*$",
+    r"^\s*[0-9]+\.\s*(?:TRANG CHỦ|Trang chủ|Tin tức|Cộng đồng)\s*$",
+    r"^Tìm xe ",
+    r"^Nhập ít nhất 2 ký tự",
+    r"^Chọn địa chỉ nhận hàng$",
+    r"^Chọn Tỉnh/Thành",
+    r"^Thay đổi địa chỉ khác$",
+    r"^Hotline\s*[0-9]",
+    r"^Quên mật khẩu\?$",
+    r"^Share$",
+    r"^\s*star \| Đã bán [0-9]+$",
+    r"^\s*\* \* \*\s*$",
+    r"^\s*---\s*$",
+    r"^\s*#+$",
+    r"^\s*\[.*\]\(.*\)\s*$",
+    r"^\s*!\[.*\]\(.*\)\s*$",
+    r"^\s*Đặt lịch\s*$",
+    r"^\s*Đăng ký\s*$",
+    r"^\s*\[if\s+[^\]]*\]\s*$",
+    r"^\s*<!\[endif\]",
+    r"^\s*\[endif\]\s*$",
+    r"^\s*end\s+[\p{L}\p{N}_]+\s+category\s*$",
+    r"^\s*end\s+title\s*$",
+    r"^\s*Banner\s+top\s+bar\s*$",
+    r"^\s*not found\s*$",
+    r"^\s*Không tìm thấy kết quả phù hợp\s*$",
+    r"^\s*Hãy thử lại với từ khoá khác\s*$",
+    r"^\s*Chọn\s+[\p{L}\p{N}_]+\s*$",
+    r"^[0-9.\s]{9,}$",
+    r"^[0-9]{1,2}\s+[0-9]{2}-[0-9]{4}$",
+    r"^\s*[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\s*$",
+    r"^\s*Xin hãy gọi ngay.*$",
+)
+# A menu item that a text begins a line with, and what a table's heading leaves in prose; without accents the first, in lower case the second.
+LEADING_ITEM = r"(^|\n)-\s*(gia ban|gioi thieu|ngoai that|noi that|thong so)\s*\n"
+HEADING_RESIDUE = r"^(kích thước|tính năng|điều khiển thông minh)\s+mk\s+[0-9]+\s+(eco|plus)"
+SPEC_SECTION = "thong so ky thuat"
+
+# Specifications with their category, unit and the least and the greatest value that can be; and the drivetrains.
+SPEC_RANGES = (
+    ("length_mm", "dimension", "mm", 2000, 6000), ("width_mm", "dimension", "mm", 1000, 2500), ("height_mm", "dimension", "mm", 1000, 2200), ("wheelbase_mm", "dimension", "mm", 1500, 3500), ("ground_clearance_mm", "dimension", "mm", 100, 300),
+    ("power_kw", "powertrain", "kW", 10, 600), ("torque_nm", "powertrain", "Nm", 30, 800), ("battery_kwh", "battery", "kWh", 10, 200), ("range_km", "battery", "km", 50, 1000), ("dc_charge_kw", "battery", "kW", 3, 350), ("seats", "interior", "", 2, 9),
+)
+DRIVETRAINS = ("FWD", "RWD", "AWD")
+
+# Labels of specification keys in a context.
+KEY_LABELS = (
+    ("power_kw", "Công suất tối đa"), ("torque_nm", "Mô-men xoắn cực đại"), ("range_km", "Quãng đường di chuyển"), ("battery_kwh", "Dung lượng pin"), ("fast_charge_min", "Thời gian sạc nhanh (10%-70%)"), ("acceleration_0_100_s", "Tăng tốc 0-100 km/h"), ("top_speed_kmh", "Tốc độ tối đa"), ("drivetrain", "Dẫn động"),
+    ("seats", "Số chỗ ngồi"), ("airbags", "Túi khí"), ("length_mm", "Dài"), ("width_mm", "Rộng"), ("height_mm", "Cao"), ("wheelbase_mm", "Chiều dài cơ sở"), ("ground_clearance_mm", "Khoảng sáng gầm"), ("curb_weight_kg", "Trọng lượng không tải"), ("wheel_size_inch", "Kích thước mâm"), ("trunk_capacity", "Dung tích cốp"),
+    ("head_up_display", "Màn hình HUD"), ("surround_view_camera", "Camera 360"), ("leatherette_seats", "Ghế bọc da"), ("speakers", "Số loa"), ("display_inch", "Màn hình cảm ứng"), ("sunroof_type", "Cửa sổ trời"), ("wireless_charging", "Sạc không dây điện thoại"), ("ac_type", "Điều hòa"), ("cabin_air_filter", "Lọc không khí cabin"),
+    ("rear_ac_vents", "Cửa gió điều hòa hàng ghế sau"), ("smart_key", "Chìa khóa thông minh"), ("subwoofer", "Loa trầm"), ("tpms", "Cảnh báo áp suất lốp"), ("usb_port_type_a", "Cổng USB-A"), ("usb_port_type_c", "Cổng USB-C"), ("isofix", "Móc ghế trẻ em ISOFIX"), ("windshield_type", "Kính chắn gió"),
+    ("rollover_mitigation", "Hệ thống chống lật"), ("frunk_capacity_l", "Dung tích cốp trước"), ("privacy_glass", "Kính tối màu"), ("battery_heater", "Gia nhiệt pin"), ("charge_management", "Quản lý sạc"), ("charger_map", "Bản đồ trạm sạc"),
+)

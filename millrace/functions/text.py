@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,54 @@ def clean_line(line: Column) -> Column:
     return F.when(out.rlike(U + "|".join(NOISE)), F.lit("")).otherwise(out)
 
 
+#: What reading a line of a page replaces before it is compared with the noise table, in order.
+READ = (
+    (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
+    (r"<[^>]+>", " "),
+    (r"<!\s*\[[^\]]*\]>|<![^>]{0,80}>", " "),
+    ("[\ue000-\uf8ff]", ""),
+    ("&amp;", "&"),
+    ("&nbsp;", " "),
+    (r"\s+", " "),
+)
+
+
+def read_line(line: Column, noise: tuple[str, ...]) -> Column:
+    """A line without images, tags and runs of spaces; empty if a pattern of the noise table matches from its beginning."""
+    out = line
+    for pattern, to in READ:
+        out = F.regexp_replace(out, pattern, to)
+    out = F.btrim(out)
+    return F.when(out.rlike("(?iu)" + "|".join(noise)), F.lit("")).otherwise(out)
+
+
+def cut_line(line: str, most: int, overlap: int = 80) -> list[str]:
+    """A long line in pieces of at most `most` characters, cut after the last ". ", else "; ", else space of a piece's second half; each begins
+    at a word about `overlap` characters before the end of the one before."""
+    out, start, n = [], 0, len(line)
+    while start < n:
+        end = min(start + most, n)
+        if end < n:
+            found = ((line.rfind(mark, start, end), len(mark)) for mark in (". ", "; ", " "))
+            end = next((at + size for at, size in found if at > start + most // 2), end)
+        piece = line[start:end].strip()
+        if piece:
+            out.append(piece)
+        if end == n:
+            break
+        word = line.find(" ", end - overlap)
+        start = max(word + 1 if word >= 0 else end - overlap, start + 1)
+    return out
+
+
+def cut_lines(line: Column, most: int, overlap: int = 80) -> Column:
+    @F.arrow_udf("array<string>")
+    def cut(lines: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else cut_line(x, most, overlap) for x in lines.to_pylist()], pa.list_(pa.string()))
+
+    return cut(line)
+
+
 def text_type(text: Column) -> Column:
     lines = F.filter(F.split(F.btrim(text), "\n"), lambda x: F.btrim(x) != "")
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))

@@ -8,14 +8,18 @@ from pyspark.sql.window import Window
 
 HISTORY_MESSAGES, HISTORY_TOKENS = 14, 30_000
 CAPS = {"user": 4_000, "assistant": 16_000}
+#: What is looked up for an intent; one that isn't here needs nothing.
 PLANS = {
     "price": ("get_price",),
+    "spec_query": ("get_specs", "search_knowledge_base"),
+    "feature_presence": ("get_specs",),
+    "cross_model_feature": ("get_specs",),
     "compare": ("get_specs", "get_price"),
-    "policy": ("search_kb",),
-    "color": ("get_colors",),
-    "list_versions": ("list_models",),
-    "spec_query": ("get_specs", "search_kb"),
-    "general": ("search_kb",),
+    "versions_list": ("get_price",),
+    "models_list": ("list_available_models",),
+    "colors": ("get_colors",),
+    "policy": ("search_knowledge_base",),
+    "general": ("search_knowledge_base",),
 }
 
 

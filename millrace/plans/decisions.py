@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
+from ..functions import questions as Q
 from ..functions import tables as T
+from ..functions.products import model_pattern
 from ..functions.text import TOKEN
 from ..operators import evidence as E
 from ..streaming import folds
@@ -53,7 +55,7 @@ def said():
     return F.when((F.col("conv_id") + 3 * F.col("turn")) % 4 == 0, word).otherwise(F.concat(naming, word, F.lit(" "), F.col("text")))
 
 
-MODEL = D.model_pattern("mk")
+MODEL = model_pattern("mk")
 SQL_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{p}', 's') THEN '{t}'" for t, p in T.TOPICS) + " END"
 SO_FAR = "OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
 NO_MODEL = "(" + ", ".join(f"'{x}'" for x in T.WITHOUT_MODEL) + ")"
@@ -86,6 +88,31 @@ def qry_decisions(spark, sf):
     return rows.select("conv_id", "turn", "model", "edition", "topic", *[(F.array_join(c, ",") if n == "tools" else c).alias(n) for n, c in made.items()])
 
 
+LISTED = "CASE WHEN regexp_matches(x, '^mk\\s*[0-9]+') THEN CASE WHEN regexp_matches(x, 'new|mới|moi') THEN 'MK 8 All New' ELSE 'MK ' || regexp_extract(x, '([0-9]+)', 1) END WHEN contains(x, 'mpv') THEN 'MK MPV ' || regexp_extract(x, '([0-9]+)$', 1) ELSE 'MK E34' END"
+MAIN = ("MK 2", "MK 6", "MK 8")
+OF_EACH = lambda tool: f"list_transform(named, lambda m: '{tool}:' || m)"
+ONE = lambda tool: f"CASE WHEN model IS NOT NULL THEN ['{tool}:' || model] END"
+
+
+@query(
+    "qry_tool_calls",
+    f"""WITH {SQL_NAMED},
+i AS (SELECT *, {WANTS} AS wants, list_sort(list_distinct(list_filter(list_append(list_transform(regexp_extract_all(lower(q), '{MODEL}'), lambda x: {LISTED}), model), lambda x: x IS NOT NULL))) AS named FROM (SELECT *, coalesce(known, 'general') AS topic FROM c)),
+p AS (SELECT conv_id, turn, CASE WHEN wants IN ('out_of_scope', 'greeting', 'thanks', 'identity') THEN [] WHEN wants = 'utility' THEN [CASE {" ".join(f"WHEN regexp_matches(lower(q), '{u}') THEN '{t}'" for t, u in T.UTILITIES)} ELSE 'get_showroom_charging_link' END || coalesce(':' || model, '')]
+  WHEN wants IN ('price', 'versions_list') THEN {ONE('get_price')} WHEN wants IN ('spec_query', 'feature_presence') THEN {ONE('get_specs')} WHEN wants = 'cross_model_feature' THEN {sql_list(f'get_specs:{m}' for m in MAIN)}
+  WHEN wants = 'compare' THEN CASE WHEN len(named) > 0 THEN CASE WHEN regexp_matches(lower(q), 'giá|bao\\s*nhiêu\\s*tiền') THEN list_concat({OF_EACH('get_specs')}, {OF_EACH('get_price')}) ELSE {OF_EACH('get_specs')} END END
+  WHEN wants = 'models_list' THEN ['list_available_models'] WHEN wants = 'colors' THEN {ONE('get_colors')} ELSE ['search_knowledge_base' || coalesce(':' || model, '')] END AS calls FROM i)
+SELECT conv_id, turn, array_to_string(calls, ',') AS calls FROM p""",
+)
+def qry_tool_calls(spark, sf):
+    """What is looked up for every user's turn, for the product it names or that was named last; a comparison for all that it names."""
+    turns = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", F.col("turn").alias("event_id"), F.col("turn").alias("at_ms"), said().alias("q"))
+    own = turns.select("conv_id", "event_id", "at_ms", *[c.alias(n) for n, c in D.named(F.col("q")).items()])
+    known = folds.batch(own, "conv_id", folds.carried, folds.CARRIED_OUT).join(turns.drop("at_ms"), ["conv_id", "event_id"])
+    calls = Q.tool_plan(Q.question_intent(F.col("q"), F.coalesce("topic", F.lit("general"))), F.col("q"), F.col("model"), MAIN)
+    return known.select("conv_id", F.col("event_id").alias("turn"), F.array_join(F.transform(calls, lambda c: F.concat_ws(":", c.tool, c.model)), ",").alias("calls"))
+
+
 PRICE = "(p_partkey * 1000000 + 500000000)::BIGINT::VARCHAR"
 CLAIMS = ("' Giá ' || {p}", "' Giá bán ' || ({p}::BIGINT + 1)", "' Công suất ' || p_size || ' kW, có HUD và ghế'", "' Xe không có HUD hay camera'", "' Có ghế massage, loa và 123 đèn, 2 cửa sổ'", "''")
 FOUND = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{T.FEATURES}'))"

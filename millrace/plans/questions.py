@@ -161,14 +161,14 @@ def cat_edition_header(spark, sf):
     return table(spark, sf, "part").select("p_partkey", Q.edition_of(header, "mk").alias("edition"))
 
 
-ADDED = "\n12\n61\n| a | b |\nHình ảnh mang tính chất minh họa\nThông số kỹ thuật chung\n(*) note\n left | over \n|---|\n*Phiên bản cao\nThông tin: thông số kỹ thuật có thể thay đổi\nMK 6 ECO\nend"
+ADDED = "\n12\n61\n| a | b |\nHình ảnh mang tính chất minh họa\nThông số kỹ thuật chung\n(*) note\n left | over \n|---|\n*Phiên bản cao\nThông tin: thông số kỹ thuật có thể thay đổi\nMK 6 ECO\nTính năng mk 6 plus có\nend"
 LEGAL = "[" + ", ".join(f"'{p}'" for p in T.DISCLAIMERS) + "]"
 
 
 @query(
     "txt_brochure_prose",
     f"""SELECT doc_id, md5(array_to_string(list_transform(list_filter(l, lambda x: trim(x) = '' OR NOT (starts_with(trim(x), '|') OR len(list_filter({LEGAL}, lambda p: contains({STRIP % 'x'}, p))) > 0 OR (contains({STRIP % 'x'}, '{T.DISCLAIMER_PAIR[0]}') AND contains({STRIP % 'x'}, '{T.DISCLAIMER_PAIR[1]}'))
-  OR (regexp_full_match(trim(x), '[0-9]{{1,2}}') AND try_cast(trim(x) AS INT) <= 60) OR regexp_matches(trim(x), '(?i){T.FOOTNOTES}') OR regexp_matches(trim(x), '(?i){T.TABLE_HEADINGS}') OR trim(x) = 'MK 6 ECO' OR (contains(x, '|') AND trim(replace(x, '|', '')) = ''))),
+  OR (regexp_full_match(trim(x), '[0-9]{{1,2}}') AND try_cast(trim(x) AS INT) <= 60) OR regexp_matches(trim(x), '(?i){T.FOOTNOTES}') OR regexp_matches(trim(x), '(?i){T.TABLE_HEADINGS}') OR regexp_matches(trim(x), '(?i){T.HEADING_RESIDUE}') OR trim(x) = 'MK 6 ECO' OR (contains(x, '|') AND trim(replace(x, '|', '')) = ''))),
   lambda x: CASE WHEN contains(x, '|') THEN trim(replace(trim(x), '|', '')) ELSE x END), chr(10))) AS digest FROM (SELECT doc_id, string_split(text || '{ADDED}', chr(10)) AS l FROM documents)""",
 )
 def txt_brochure_prose(spark, sf):
@@ -272,7 +272,7 @@ CALL = lambda tool, model="model": f"{{'tool': '{tool}', 'model': {model}}}"  #
 
 @query(
     "qry_tool_plan",
-    f"""SELECT conv_id, turn, p.tool, p.model, step FROM (SELECT conv_id, turn, unnest(p) AS p, generate_subscripts(p, 1)::INT - 1 AS step FROM (SELECT conv_id, turn, CASE WHEN wants IN ('out_of_scope', 'greeting', 'thanks', 'identity') THEN []
+    rf"""SELECT conv_id, turn, p.tool, p.model, step FROM (SELECT conv_id, turn, unnest(p) AS p, generate_subscripts(p, 1)::INT - 1 AS step FROM (SELECT conv_id, turn, CASE WHEN wants IN ('out_of_scope', 'greeting', 'thanks', 'identity') THEN []
   WHEN wants = 'utility' THEN CASE {' '.join(f"WHEN regexp_matches(lower(q), '{p}') THEN [{CALL(t)}]" for t, p in T.UTILITIES)} ELSE [{CALL('get_showroom_charging_link', 'NULL')}] END
   WHEN wants IN ('price', 'versions_list') THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_price')}] END WHEN wants IN ('spec_query', 'feature_presence') THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_specs')}] END
   WHEN wants = 'cross_model_feature' THEN [{', '.join(CALL('get_specs', repr(m)) for m in MK)}]
@@ -306,18 +306,19 @@ def qry_evidence_class(spark, sf):
     return got.select("question", F.when(F.col("direct"), "direct_support").when(F.col("partial"), "partial_support").otherwise("insufficient").alias("evidence"))
 
 
-JUNK = "CASE WHEN doc_id % 6 = 0 THEN '- Giá bán' || chr(10) || '- Nội thất' || chr(10) || ' x' WHEN doc_id % 6 = 1 THEN text || ' Đặt lịch  sửa chữa đặt lịch sửa chữa' ELSE text END"
+JUNK = "CASE WHEN doc_id % 6 = 0 THEN '- Giá bán' || chr(10) || '- Nội thất' || chr(10) || ' x' WHEN doc_id % 6 = 1 THEN text || ' Đặt lịch  sửa chữa đặt lịch sửa chữa' WHEN doc_id % 6 = 2 THEN text || chr(10) || '-  Nội thất ' || chr(10) || 'x' WHEN doc_id % 12 = 3 THEN 'MK 6  Hero banner ' || text ELSE text END"
 SECTION = "CASE WHEN doc_id % 9 = 4 THEN 'Tiện ích ' ELSE source END"
 
 
 @query(
     "txt_page_junk",
     f"""SELECT doc_id FROM (SELECT doc_id, {STRIP % f'({SECTION})'} AS s, {STRIP % f'({JUNK})'} AS t FROM documents) WHERE NOT (trim(s) IN ({', '.join(f"'{x}'" for x in T.JUNK_SECTIONS)}) OR regexp_matches(t, '{T.JUNK_TEXT}', 's')
-  OR (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '{T.MENU_ITEM}'))) >= 2 AND 2 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '{T.MENU_ITEM}'))) >= len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''))))""",
+  OR (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '{T.MENU_ITEM}'))) >= 2 AND 2 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '{T.MENU_ITEM}'))) >= len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''))) OR regexp_matches(t, '{T.LEADING_ITEM}'))""",
 )
 def txt_page_junk(spark, sf):
     n = F.col("doc_id")
-    text = F.when(n % 6 == 0, "- Giá bán\n- Nội thất\n x").when(n % 6 == 1, F.concat("text", F.lit(" Đặt lịch  sửa chữa đặt lịch sửa chữa"))).otherwise(F.col("text"))
+    text = F.when(n % 6 == 0, "- Giá bán\n- Nội thất\n x").when(n % 6 == 1, F.concat("text", F.lit(" Đặt lịch  sửa chữa đặt lịch sửa chữa")))
+    text = text.when(n % 6 == 2, F.concat("text", F.lit("\n-  Nội thất \nx"))).when(n % 12 == 3, F.concat(F.lit("MK 6  Hero banner "), "text")).otherwise(F.col("text"))
     section = F.array(F.when(n % 9 == 4, "Tiện ích ").otherwise(F.col("source")))
     return table(spark, sf, "documents").where(~Q.is_page_junk(section, text)).select("doc_id")
 
@@ -340,12 +341,13 @@ def txt_of_others(spark, sf):
 
 @query(
     "txt_spec_tables",
-    f"SELECT doc_id FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '|a|b|c|d Công suất' WHEN 1 THEN '|||| other' WHEN 2 THEN ' sạc nhanh' ELSE '' END AS t FROM documents) WHERE length(t) - length(replace(t, '|', '')) >= 4 AND ({' OR '.join(f"contains({STRIP % 't'}, '{x}')" for x in T.SPEC_LABELS)})",
+    f"SELECT doc_id FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '|a|b|c|d Công suất' WHEN 1 THEN '|||| other' WHEN 2 THEN ' sạc nhanh' ELSE '' END AS t FROM documents) WHERE doc_id % 7 = 3 OR (length(t) - length(replace(t, '|', '')) >= 4 AND ({' OR '.join(f"contains({STRIP % 't'}, '{x}')" for x in T.SPEC_LABELS)}))",
 )
 def txt_spec_tables(spark, sf):
     n = F.col("doc_id") % 5
     text = F.concat("text", F.when(n == 0, "|a|b|c|d Công suất").when(n == 1, "|||| other").when(n == 2, " sạc nhanh").otherwise(""))
-    return table(spark, sf, "documents").select("doc_id", text.alias("t")).where(Q.is_spec_table(F.col("t"))).select("doc_id")
+    section = F.array(F.lit("Tổng quan"), F.when(F.col("doc_id") % 7 == 3, " Thông số kỹ thuật").otherwise("Khác"))
+    return table(spark, sf, "documents").select("doc_id", text.alias("t"), section.alias("s")).where(Q.is_spec_table(F.col("t"), F.col("s"))).select("doc_id")
 
 
 VARIANTS = ("giá MK 6 bản Eco", "mk8 the all new thế nào", "MK 2 Plus AWD", "bản cao cấp", "so sánh", "mk 6 new", "Plus Captain MK 9")
@@ -354,7 +356,7 @@ WHICH = f"({sql_list(VARIANTS)})[(conv_id * 3 + turn) % {len(VARIANTS)} + 1]"
 
 @query(
     "qry_model_edition",
-    f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(q), 'mk\s*[0-9]+') THEN 'MK ' || regexp_extract(lower(q), 'mk\s*([0-9]+)', 1) END AS model, CASE {' '.join(f"WHEN contains(lower(q), '{n}') THEN '{v}' " for n, v in sorted(T.EDITIONS, key=lambda x: -len(x[0])))} END AS edition FROM (SELECT conv_id, turn, {WHICH} AS q FROM conversations)",
+    rf"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(q), 'mk\s*[0-9]+') THEN 'MK ' || regexp_extract(lower(q), 'mk\s*([0-9]+)', 1) END AS model, CASE {' '.join(f"WHEN contains(lower(q), '{n}') THEN '{v}' " for n, v in sorted(T.EDITIONS, key=lambda x: -len(x[0])))} END AS edition FROM (SELECT conv_id, turn, {WHICH} AS q FROM conversations)",
 )
 def qry_model_edition(spark, sf):
     q = F.element_at(F.array(*map(F.lit, VARIANTS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(VARIANTS) + 1).cast("int"))

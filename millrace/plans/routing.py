@@ -5,52 +5,60 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import decisions as D
+from ..functions import questions as Q
 from ..functions import rules as X
+from ..functions import tables as T
 from ..functions.text import estimated_tokens, tokens
 from ..operators import routing as R
 from .base import query, table
 from .corpus import TOKENS
+from .decisions import SAID, SQL_NAMED, SQL_TOPIC, said
+from .questions import SPEC_GROUP, WANTS
 
 
 def turns(spark, sf):
     return table(spark, sf, "conversations")
 
 
-INTENT = X.sql_first_match("text", X.INTENTS, "general")
+USERS = f"(SELECT conv_id, turn, {SAID} AS q, 'general' AS topic FROM conversations WHERE role = 'user')"
+INTENT = f"SELECT conv_id, turn, q, {WANTS} AS intent FROM {USERS}"
 
 
-@query("qry_intent", f"SELECT conv_id, turn, {INTENT} AS intent, {INTENT} = 'general' AND len(regexp_extract_all(text, '\\S+')) >= 4 AS needs_fallback FROM conversations WHERE role = 'user'")
+def users(spark, sf):
+    """The users' turns, with what they say as q."""
+    return turns(spark, sf).where("role = 'user'").select("conv_id", "turn", said().alias("q"))
+
+
+def intent():
+    return Q.question_intent(F.col("q"), F.lit("general"))
+
+
+@query("qry_intent", f"SELECT conv_id, turn, intent, intent = 'general' AND len(regexp_extract_all(q, '\\S+')) >= 4 AS needs_fallback FROM ({INTENT})")
 def qry_intent(spark, sf):
-    intent = X.first_match(F.col("text"), X.INTENTS, "general")
-    rows = turns(spark, sf).where("role = 'user'").select("conv_id", "turn", "text", intent.alias("intent"))
-    return rows.select("conv_id", "turn", "intent", ((F.col("intent") == "general") & (F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))) >= 4)).alias("needs_fallback"))
+    rows = users(spark, sf).withColumn("intent", intent())
+    return rows.select("conv_id", "turn", "intent", ((F.col("intent") == "general") & (F.size(F.regexp_extract_all("q", F.lit(r"(\S+)"), F.lit(1))) >= 4)).alias("needs_fallback"))
 
 
-@query("qry_spec_category", f"SELECT {X.sql_first_match('text', X.CATEGORIES, None)} AS category, count(*) AS n FROM conversations GROUP BY 1")
+@query("qry_spec_category", f"SELECT {SPEC_GROUP} AS category, count(*) AS n FROM {USERS} GROUP BY 1")
 def qry_spec_category(spark, sf):
-    return turns(spark, sf).groupBy(X.first_match(F.col("text"), X.CATEGORIES, None).alias("category")).agg(F.count("*").alias("n"))
+    return users(spark, sf).groupBy(X.first_match(F.col("q"), T.SPEC_GROUPS, None).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("qry_topic", f"SELECT role, {X.sql_first_match('text', X.TOPICS, 'general')} AS topic, count(*) AS n FROM conversations GROUP BY 1, 2")
+@query("qry_topic", f"SELECT coalesce({SQL_TOPIC}, 'general') AS topic, count(*) AS n FROM {USERS} GROUP BY 1")
 def qry_topic(spark, sf):
-    return turns(spark, sf).groupBy("role", X.first_match(F.col("text"), X.TOPICS, "general").alias("topic")).agg(F.count("*").alias("n"))
-
-
-MODEL, EDITION = r"\b(on|en|ein|un)\b", r"\b(\w+(?:tion|keit|ment|ing))\b"
+    return users(spark, sf).groupBy(D.topic(F.col("q")).alias("topic")).agg(F.count("*").alias("n"))
 
 
-@query("qry_entities", f"SELECT conv_id, turn, nullif(regexp_extract(lower(text), '{MODEL}', 1), '') AS model, coalesce(CASE nullif(regexp_extract(lower(text), '{EDITION}', 1), '') WHEN 'tion' THEN 'base' WHEN 'ment' THEN 'plus' WHEN 'keit' THEN 'eco' END, nullif(regexp_extract(lower(text), '{EDITION}', 1), '')) AS edition FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations)")
+@query("qry_entities", f"WITH {SQL_NAMED} SELECT conv_id, turn, own_model AS model, own_edition AS edition FROM n")
 def qry_entities(spark, sf):
-    plain = F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
-    names = F.create_map(*[F.lit(x) for x in ("tion", "base", "ment", "plus", "keit", "eco")])
-    edition = F.nullif(F.regexp_extract(plain, EDITION, 1), F.lit(""))
-    return turns(spark, sf).select("conv_id", "turn", F.nullif(F.regexp_extract(plain, MODEL, 1), F.lit("")).alias("model"), F.coalesce(F.element_at(names, edition), edition).alias("edition"))
+    own = D.named(F.col("q"))
+    return users(spark, sf).select("conv_id", "turn", own["model"].alias("model"), own["edition"].alias("edition"))
 
 
-@query("qry_history_ctx", f"SELECT conv_id, turn, last_value(nullif(regexp_extract(lower(text), '{MODEL}', 1), '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS model_ctx FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations WHERE role = 'user')")
+@query("qry_history_ctx", f"WITH {SQL_NAMED} SELECT conv_id, turn, model AS model_ctx FROM c")
 def qry_history_ctx(spark, sf):
-    plain = F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
-    rows = turns(spark, sf).where("role = 'user'").select("conv_id", "turn", F.nullif(F.regexp_extract(plain, MODEL, 1), F.lit("")).alias("model"))
+    rows = users(spark, sf).select("conv_id", "turn", D.named(F.col("q"))["model"].alias("model"))
     return R.inherited(rows, "model").select("conv_id", "turn", "model_ctx")
 
 
@@ -71,10 +79,10 @@ def qry_history_sanitize(spark, sf):
 PLAN = "CASE intent " + " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in R.PLANS.items()) + " ELSE [] END"
 
 
-@query("qry_plan", f"SELECT conv_id, turn, unnest({PLAN}) AS tool, generate_subscripts({PLAN}, 1)::INT - 1 AS step FROM (SELECT conv_id, turn, {INTENT} AS intent FROM conversations WHERE role = 'user')")
+@query("qry_plan", f"SELECT conv_id, turn, unnest({PLAN}) AS tool, generate_subscripts({PLAN}, 1)::INT - 1 AS step FROM ({INTENT})")
 def qry_plan(spark, sf):
-    intent = X.first_match(F.col("text"), X.INTENTS, "general")
-    return turns(spark, sf).where("role = 'user'").select("conv_id", "turn", F.posexplode(R.plan(intent)).alias("step", "tool"))
+    """The tools of every turn's intent, whatever product it is about."""
+    return users(spark, sf).select("conv_id", "turn", F.posexplode(R.plan(intent())).alias("step", "tool"))
 
 
 @query(
