@@ -31,10 +31,16 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataF
     return rows.select(*keys, F.coalesce("_new", "_old").alias(value), change.alias("change"))
 
 
+#: Names of a grid's smaller side that are broadcast.
+BROADCAST_NAMES = 1_000_000
+
+
 def grid(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """All combinations of known left and right names. Both are collected into one row: lists of names, as short as the grid is meant to be read."""
-    names = rows.agg(F.collect_set(left).alias(left), F.collect_set(right).alias(right))
-    return names.select(F.explode(left).alias(left), right).select(left, F.explode(right).alias(right))
+    """All combinations of known left and right names. The result is that long; the shorter list of names is broadcast."""
+    names = [rows.select(c).where(F.col(c).isNotNull()).distinct() for c in (left, right)]
+    sizes = [x.count() for x in names]
+    few, many = (0, 1) if sizes[0] <= sizes[1] else (1, 0)
+    return names[many].crossJoin(F.broadcast(names[few]) if sizes[few] <= BROADCAST_NAMES else names[few]).select(left, right)
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -14,8 +14,8 @@ from ..functions.numeric import cosine, rrf
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
-#: Query vectors that a pass over all vectors holds; larger query sets take several passes.
-QUERY_BLOCK = 4096
+#: Query vectors that a pass over all vectors holds (more take several passes), and that are multiplied at once.
+QUERIES_PER_PASS, QUERY_BLOCK = 131_072, 4096
 #: Rows of a small table that is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -112,71 +112,87 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _scored(vectors: DataFrame, queries: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """Passes over vectors (vec_id, label, embedding), one for each block of queries (query_id, q_label, q); make(ids, labels, matrix) gives the function of batches."""
+def _scored(vectors: DataFrame, queries: DataFrame, collector: Callable, schema: str) -> DataFrame:
+    """One pass over vectors (vec_id, label, embedding) for all queries (query_id, q_label, q) of a stated set, which every task holds.
+
+    collector(ids, labels, matrix) takes batches by `add` and gives its rows, as arrays of columns, at the end; there is one for each block of queries.
+    """
     n, out = queries.count(), None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    passes = max(1, -(-n // QUERIES_PER_PASS))
+    for p in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         held = part.select("query_id", "q_label", "q").toArrow().combine_chunks()
         ids, labels = (held[c].to_numpy() for c in ("query_id", "q_label"))
-        asked = _matrix(pa.concat_arrays(held["q"].chunks) if held["q"].num_chunks else pa.array([], pa.list_(pa.float64())))
-        got = vectors.select("vec_id", "label", "embedding").mapInArrow(make(ids, labels, asked), schema)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, labels, _matrix(pa.concat_arrays(held["q"].chunks) if held["q"].num_chunks else pa.array([], pa.list_(pa.float64())))))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, labels, asked = shared.value
+            blocks = [collector(ids[k : k + QUERY_BLOCK], labels[k : k + QUERY_BLOCK], asked[k : k + QUERY_BLOCK]) for k in range(0, len(ids), QUERY_BLOCK)]
+            for b in batches:
+                if b.num_rows:
+                    made = _matrix(b.column("embedding"))
+                    for block in blocks:
+                        block.add(b, np.round(np.clip(block.asked @ made.T, 0, 1), 6))
+            names = [f.split()[0] for f in schema.split(", ")]
+            for block in blocks:
+                for rows in block.rows():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
+
+        got = vectors.select("vec_id", "label", "embedding").mapInArrow(near, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def _similarity(asked: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    return np.round(np.clip(asked @ _matrix(batch.column("embedding")).T, 0, 1), 6)
+class _Nearest:
+    """The k best rows of each query so far."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, asked: np.ndarray, k: int, same: Callable | None):
+        self.ids, self.labels, self.asked, self.k, self.same = ids, labels, asked, k, same
+        self.score, self.row = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, batch: pa.RecordBatch, s: np.ndarray) -> None:
+        vec = batch.column("vec_id").to_numpy()
+        s[self.ids[:, None] == vec] = -1
+        if self.same is not None:
+            s[~self.same(self.labels[:, None], batch.column("label").to_numpy()[None])] = -1
+        self.score, self.row = _best(np.hstack([self.score, s]), np.hstack([self.row, np.broadcast_to(vec, s.shape)]), self.k)
+
+    def rows(self) -> Iterator[tuple]:
+        real = self.score >= 0
+        yield np.broadcast_to(self.ids[:, None], self.score.shape)[real], self.row[real], self.score[real]
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, same: Callable | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine. queries is a stated set, (query_id, q, q_label), held in blocks.
+    """query_id, vec_id, score, rank by cosine. queries is a stated set, (query_id, q, q_label).
 
     Each task keeps the k best of its rows by array products; only those are shuffled. same(query labels, labels): which pairs count.
     """
+    rows = _scored(vectors, queries, lambda *block: _Nearest(*block, k, same), "query_id long, vec_id long, score double")
+    return top(rows, "query_id", "score", "vec_id", k)
 
-    def make(ids: np.ndarray, labels: np.ndarray, asked: np.ndarray):
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score, row = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                vec = b.column("vec_id").to_numpy()
-                s = _similarity(asked, b)
-                s[ids[:, None] == vec] = -1
-                if same is not None:
-                    s[~same(labels[:, None], b.column("label").to_numpy()[None])] = -1
-                score, row = _best(np.hstack([score, s]), np.hstack([row, np.broadcast_to(vec, s.shape)]), k)
-            real = score >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], score.shape)[real]), pa.array(row[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
 
-        return near
+class _Categories:
+    """The best score of each query and label so far."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, asked: np.ndarray):
+        self.ids, self.asked, self.best = ids, asked, {}
 
-    return top(_scored(vectors, queries, make, "query_id long, vec_id long, score double"), "query_id", "score", "vec_id", k)
+    def add(self, batch: pa.RecordBatch, s: np.ndarray) -> None:
+        label = batch.column("label").to_numpy()
+        s[self.ids[:, None] == batch.column("vec_id").to_numpy()] = -1
+        for c in np.unique(label).tolist():
+            most = s[:, label == c].max(1)
+            self.best[c] = np.maximum(self.best[c], most) if c in self.best else most
+
+    def rows(self) -> Iterator[tuple]:
+        for c, most in self.best.items():
+            real = most >= 0
+            yield self.ids[real], np.full(real.sum(), c, np.int64), most[real]
 
 
 def dense_categories(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, category, best: the best cosine of each label; each task sends one row of a query and label."""
-
-    def make(ids: np.ndarray, labels: np.ndarray, asked: np.ndarray):
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                s, label = _similarity(asked, b), b.column("label").to_numpy()
-                s[ids[:, None] == b.column("vec_id").to_numpy()] = -1
-                for c in np.unique(label).tolist():
-                    most = s[:, label == c].max(1)
-                    best[c] = np.maximum(best[c], most) if c in best else most
-            for c, most in best.items():
-                real = most >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[real]), pa.array(np.full(real.sum(), c), pa.int64()), pa.array(most[real])], names=["query_id", "category", "best"])
-
-        return near
-
-    return _scored(vectors, queries, make, "query_id long, category long, best double").groupBy("query_id", "category").agg(F.max("best").alias("best"))
+    return _scored(vectors, queries, _Categories, "query_id long, category long, best double").groupBy("query_id", "category").agg(F.max("best").alias("best"))
 
 
 def fused(lists: list[DataFrame], query_key: str, doc_key: str, k: int) -> DataFrame:

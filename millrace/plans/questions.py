@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from ..functions import questions as Q
 from ..functions import rules
 from ..functions import tables as T
-from ..functions.text import estimated_tokens, tokens
+from ..functions.text import estimated_tokens
+from ..operators import evidence
 from .base import query, table
 from .corpus import STRIP
 
@@ -59,9 +60,9 @@ def qry_context_prune(spark, sf):
 SPEC_CASES = " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN '{k}'" for k, p in T.SPEC_KEYS)
 
 
-@query("qry_spec_key", f"SELECT item_id, CASE {SPEC_CASES} END AS spec_key FROM (SELECT item_id, {ASK.format('item_id')} AS q FROM benchmark)")
+@query("qry_spec_key", f"SELECT item_id, CASE {SPEC_CASES} END AS spec_key FROM (SELECT item_id, {ASK.format('item_id')} || ' ' || text AS q FROM benchmark)")
 def qry_spec_key(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", rules.first_match(ask("item_id"), T.SPEC_KEYS, None).alias("spec_key"))
+    return questions(spark, sf).select("item_id", rules.first_match(F.col("q"), T.SPEC_KEYS, None).alias("spec_key"))
 
 
 WANTED = "the price of the ton and xe"
@@ -88,20 +89,23 @@ def qry_page_list(spark, sf):
     return rows.select("source", F.array_join(Q.sorted_pages(F.col("p")), ", ").alias("pages"))
 
 
-GROUPS = (("battery_kwh battery pin dung lượng",), ("range_km range quãng đường", "phạm vi"), ("price giá tiền",), ("seats chỗ ngồi",))
+GROUPS = ", ".join(f"('{g}', {sql_list(phrases)})" for g, phrases in T.SPEC_WORDS)
 
 
 @query(
     "qry_key_words",
-    f"""WITH w AS (SELECT g, unnest(regexp_extract_all(lower(p), '[a-zà-ỹ0-9]+')) AS w FROM (SELECT unnest({[list(g) for g in GROUPS]}) AS p, generate_subscripts({[list(g) for g in GROUPS]}, 1) AS g) t(ps, g), unnest(ps) u(p))
-SELECT k.w AS key, list_sort(list_distinct(list(v.w) FILTER (WHERE v.w IS NOT NULL))) AS words FROM (SELECT DISTINCT * FROM w WHERE regexp_full_match(w, '[a-z0-9_]+')) k LEFT JOIN (SELECT DISTINCT * FROM w WHERE NOT regexp_full_match(w, '[a-z0-9_]+')) v USING (g) GROUP BY k.w""",
+    f"""WITH g AS (SELECT DISTINCT grp, unnest(flatten(list_transform(phrases, lambda p: regexp_extract_all(p, '[a-zà-ỹ0-9]+')))) AS w FROM (VALUES {GROUPS}) x(grp, phrases)),
+k AS (SELECT DISTINCT v.w AS word, k.w AS key FROM g k JOIN g v USING (grp) WHERE regexp_full_match(k.w, '[a-z0-9]+') AND NOT regexp_full_match(v.w, '[a-z0-9]+')),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower({ASK.format('item_id')} || ' ' || text), '[a-zà-ỹ0-9]+'))) AS word FROM benchmark)
+SELECT item_id, list_sort(list(DISTINCT key)) AS keys FROM q JOIN k USING (word) GROUP BY item_id""",
 )
 def qry_key_words(spark, sf):
-    """Plain keys with the local words that share a group with them."""
-    groups = spark.createDataFrame([(i, list(g)) for i, g in enumerate(GROUPS)], "g int, phrases array<string>")
-    words = groups.select("g", F.explode("phrases").alias("p")).select("g", F.explode(tokens(F.col("p"), ())).alias("w")).distinct()
-    plain = F.col("w").rlike("^[a-z0-9_]+$")
-    return words.where(plain).withColumnRenamed("w", "key").join(words.where(~plain), "g", "left").groupBy("key").agg(F.array_sort(F.collect_set("w")).alias("words"))
+    """The plain keys whose group of words has one of each question's local words."""
+    groups = evidence.word_groups(spark)
+    plain = F.col("token").rlike("^[a-z0-9]+$")
+    keys = groups.where(plain).withColumnRenamed("token", "key").join(groups.where(~plain), "group").select(F.col("token").alias("word"), "key").distinct()
+    words = questions(spark, sf).select("item_id", F.explode(evidence.words(F.col("q"))).alias("word"))
+    return words.join(F.broadcast(keys), "word").groupBy("item_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
 @query(
@@ -207,9 +211,10 @@ def say(number):
     return F.element_at(F.array(*map(F.lit, SAID)), (number % len(SAID) + 1).cast("int"))
 
 
-@query("qry_question_intent", f"SELECT conv_id, turn, {WANTS} AS wants, {SPEC_GROUP} AS spec_group FROM (SELECT conv_id, turn, {SAY.format('conv_id + turn')} AS q, CASE WHEN turn % 2 = 0 THEN 'battery' ELSE 'general' END AS topic FROM conversations)")
+@query("qry_question_intent", f"SELECT conv_id, turn, {WANTS} AS wants, {SPEC_GROUP} AS spec_group FROM (SELECT conv_id, turn, {SAY.format('conv_id + turn')} || CASE WHEN turn % 3 = 0 THEN '' ELSE ' ' || text END AS q, CASE WHEN turn % 2 = 0 THEN 'battery' ELSE 'general' END AS topic FROM conversations)")
 def qry_question_intent(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", say(F.col("conv_id") + F.col("turn")).alias("q"), F.when(F.col("turn") % 2 == 0, "battery").otherwise("general").alias("topic"))
+    q = F.concat(say(F.col("conv_id") + F.col("turn")), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "text")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", q.alias("q"), F.when(F.col("turn") % 2 == 0, "battery").otherwise("general").alias("topic"))
     return rows.select("conv_id", "turn", Q.question_intent(F.col("q"), F.col("topic")).alias("wants"), rules.first_match(F.col("q"), T.SPEC_GROUPS, None).alias("spec_group"))
 
 
@@ -225,12 +230,12 @@ def sql_broken(name, groups, has, lacks, bare):
 
 @query(
     "ev_broken_rules",
-    f"WITH a AS (SELECT conv_id, turn, unnest({sql_list(RULES)}) AS r, ({sql_list(ANSWERS)})[conv_id % {len(ANSWERS)} + 1] AS answer, CASE WHEN turn % 5 = 4 THEN 'refuse' ELSE 'answer' END AS decision, turn % 3 AS evidence FROM conversations), "
+    f"WITH a AS (SELECT conv_id, turn, unnest({sql_list(RULES)}) AS r, ({sql_list(ANSWERS)})[conv_id % {len(ANSWERS)} + 1] || ' ' || text AS answer, CASE WHEN turn % 5 = 4 THEN 'refuse' ELSE 'answer' END AS decision, turn % 3 AS evidence FROM conversations), "
     + "b AS (" + " UNION ALL ".join(sql_broken(*x) for x in T.ANSWER_RULES) + ") SELECT rule, count(*) AS n FROM b GROUP BY rule",
 )
 def ev_broken_rules(spark, sf):
     """How often each rule on answers is broken."""
-    answer = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("conv_id") % len(ANSWERS) + 1).cast("int"))
+    answer = F.concat(F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("conv_id") % len(ANSWERS) + 1).cast("int")), F.lit(" "), "text")
     broken = Q.broken_rules(answer, F.array(*map(F.lit, RULES)), F.when(F.col("turn") % 5 == 4, "refuse").otherwise("answer"), F.col("turn") % 3)
     return table(spark, sf, "conversations").select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
@@ -356,10 +361,10 @@ WHICH = f"({sql_list(VARIANTS)})[(conv_id * 3 + turn) % {len(VARIANTS)} + 1]"
 
 @query(
     "qry_model_edition",
-    rf"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(q), 'mk\s*[0-9]+') THEN 'MK ' || regexp_extract(lower(q), 'mk\s*([0-9]+)', 1) END AS model, CASE {' '.join(f"WHEN contains(lower(q), '{n}') THEN '{v}' " for n, v in sorted(T.EDITIONS, key=lambda x: -len(x[0])))} END AS edition FROM (SELECT conv_id, turn, {WHICH} AS q FROM conversations)",
+    rf"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(q), 'mk\s*[0-9]+') THEN 'MK ' || regexp_extract(lower(q), 'mk\s*([0-9]+)', 1) END AS model, CASE {' '.join(f"WHEN contains(lower(q), '{n}') THEN '{v}' " for n, v in sorted(T.EDITIONS, key=lambda x: -len(x[0])))} END AS edition FROM (SELECT conv_id, turn, {WHICH} || ' ' || text AS q FROM conversations)",
 )
 def qry_model_edition(spark, sf):
-    q = F.element_at(F.array(*map(F.lit, VARIANTS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(VARIANTS) + 1).cast("int"))
+    q = F.concat(F.element_at(F.array(*map(F.lit, VARIANTS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(VARIANTS) + 1).cast("int")), F.lit(" "), "text")
     number = F.nullif(F.regexp_extract(F.lower(q), r"mk\s*([0-9]+)", 1), F.lit(""))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("MK "), number).alias("model"), Q.edition_named(q).alias("edition"))
 

@@ -23,11 +23,6 @@ DENSE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DO
 k AS (SELECT q.vec_id AS query_id, v.vec_id, q.label AS ql, v.label AS vl, round(greatest(0, least(1, list_cosine_similarity(q.e, v.e))), 6) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
 
 
-def index(spark, sf):
-    docs = table(spark, sf, "documents")
-    return R.weights(R.term_counts(docs, "doc_id"), R.collection_stats(docs), "doc_id")
-
-
 def stored(spark, sf):
     return X.opened(spark, table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -57,7 +52,8 @@ def ret_df_idf(spark, sf):
 
 @query("ret_bm25_weights", INDEX + " SELECT doc_id, count(*) AS terms, round(sum(weight), 4) AS total, round(max(weight), 6) AS most FROM w GROUP BY doc_id")
 def ret_bm25_weights(spark, sf):
-    return index(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("most"))
+    """The weights of the stored index, by document."""
+    return stored(spark, sf).table("weights").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("most"))
 
 
 @query("ret_sparse_topk", INDEX + ASKED + " SELECT item_id, doc_id, rank, score FROM sp")

@@ -131,7 +131,7 @@ def append(path: str, topic: str, partition: int, messages: list) -> None:
         s.write("".join((m if isinstance(m, str) else json.dumps(m)) + "\n" for m in messages).encode())
 
 
-def broker(spark: SparkSession, servers: str, topics: str, least: int = 50, wait: str = "5s", most: int = 10_000, starting: str = "latest") -> DataFrame:
+def broker(spark: SparkSession, servers: str, topics: str, least: int = 20, wait: str = "2s", most: int = 10_000, starting: str = "latest") -> DataFrame:
     """The same columns from Kafka (needs Spark's package for it): a batch once `least` messages are there, or after `wait`."""
     options = {"kafka.bootstrap.servers": servers, "subscribe": topics, "minOffsetsPerTrigger": least, "maxTriggerDelay": wait, "maxOffsetsPerTrigger": most, "startingOffsets": starting}
     raw = spark.readStream.format("kafka").options(**options).load()
