@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers, brochures, catalog, corpus, decisions, evaluation, helpers, pages, questions, records, retrieval, routing, state, stores, telemetry, versions
+from .plans import answers, brochures, catalog, corpus, decisions, evaluation, helpers, pages, questions, records, retrieval, routing, sheets, state, stores, telemetry, versions
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "tel_overview"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "answers", "brochures", "catalog", "corpus", "decisions", "evaluation", "helpers", "pages", "questions", "records", "retrieval", "routing", "state", "stores", "telemetry", "versions"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "answers", "brochures", "catalog", "corpus", "decisions", "evaluation", "helpers", "pages", "questions", "records", "retrieval", "routing", "sheets", "state", "stores", "telemetry", "versions"]
