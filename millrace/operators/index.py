@@ -4,8 +4,9 @@ terms: df and idf of every term. postings: a term's documents in the order of th
 of BLOCK ids, each with its largest weight; no term is one row or one task, however common. vectors:
 every document's terms in order with their weights. stats: the number of documents and their mean length.
 
-Top-k reads the largest weights first. They bound what a block can score; a question's best blocks are
-scored, and its k-th score leaves out all other blocks that can't reach it. Only blocks that may are joined.
+Top-k of a batch whose terms have few postings scores them all. For others it reads the largest weights
+first. They bound what a block can score; a question's best blocks are scored, and its k-th score leaves
+out all other blocks that can't reach it. Only blocks that may are joined. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from . import retrieval as R
 
 #: Ids of a block, and blocks of each question that are scored first (of k documents' worth at least).
 BLOCK, FIRST = 32, 24
+#: Up to so many postings of a batch's terms, counted with each question, all are scored.
+DIRECT = 20_000_000
 #: The most frequent terms whose idf is broadcast to the postings; the others' meets them by shuffle.
 HEAD = 50_000
 #: Scores are rounded to this many digits; bounds allow for that.
@@ -75,14 +78,11 @@ def opened(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 
 
 def asked_terms(index: Index, queries: DataFrame, query_key: str) -> DataFrame:
-    """(query, term, qw): a question's terms that the index knows, weighing as in a document of length one, with idf again."""
+    """(query, term, qw, df): a question's terms that the index knows, weighing as in a document of length one, with idf again."""
     avgdl = index.table("stats").first().avgdl or 1.0
-    counts = R.query_counts(queries, query_key)
-    counts = cut(counts)
-    wanted = R.small(counts.select("term").distinct())
-    known = cut(index.table("terms").join(wanted, "term", "left_semi"))
+    counts = cut(R.query_counts(queries, query_key))
     tf = F.col("tf")
-    return counts.join(R.small(known), "term").select(query_key, "term", (F.col("idf") * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B / F.lit(avgdl)))).alias("qw"))
+    return index.table("terms").join(R.small(counts), "term").select(query_key, "term", (F.col("idf") * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B / F.lit(avgdl)))).alias("qw"), "df")
 
 
 def bounds(index: Index, asked: DataFrame, query_key: str) -> DataFrame:
@@ -98,20 +98,25 @@ def _scores(index: Index, asked: DataFrame, pairs: DataFrame, query_key: str) ->
     return each.groupBy(query_key, F.col("p.ids").alias(index.key)).agg(F.round(F.sum(F.col("qw") * F.col("p.weights")), DIGITS).alias("score"))
 
 
-def needed(index: Index, queries: DataFrame, query_key: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(asked terms, all (query, block) with bounds, scores of the blocks taken first, the other (query, block) that may still matter)."""
-    asked = cut(asked_terms(index, queries, query_key))
+def needed(index: Index, asked: DataFrame, query_key: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all (query, block) with bounds, scores of the blocks taken first, the other (query, block) that may still matter)."""
     every = cut(bounds(index, asked, query_key))
     best = Window.partitionBy(query_key).orderBy(F.desc("bound"), "block")
     first = cut(every.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(FIRST, k)).select(query_key, "block"))
     scored = cut(_scores(index, asked, first, query_key))
-    level = R.top(scored, query_key, "score", index.key, k).groupBy(query_key).agg(F.when(F.count("*") == k, F.min("score")).alias("level"))
+    level = cut(R.top(scored, query_key, "score", index.key, k).groupBy(query_key).agg(F.when(F.count("*") == k, F.min("score")).alias("level")))
     rest = every.join(first, [query_key, "block"], "left_anti").join(R.small(level), query_key, "left")
     rest = rest.where(F.col("level").isNull() | (F.col("bound") >= F.col("level") - 10.0**-DIGITS)).select(query_key, "block")
-    return asked, every, scored, cut(rest)
+    return every, scored, cut(rest)
 
 
-def sparse_top(index: Index, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+def sparse_top(index: Index, queries: DataFrame, query_key: str, k: int, direct: int = DIRECT) -> DataFrame:
     """query, document, score, rank: the k best documents of each question by sums of weight products over shared terms."""
-    asked, _, scored, rest = needed(index, queries, query_key, k)
-    return R.top(scored.unionByName(_scores(index, asked, rest, query_key)), query_key, "score", index.key, k)
+    asked = cut(asked_terms(index, queries, query_key))
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= direct:
+        met = index.table("weights").join(R.small(asked.select(query_key, "term", "qw")), "term")
+        scores = met.groupBy(query_key, index.key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), DIGITS).alias("score"))
+    else:
+        _, scored, rest = needed(index, asked, query_key, k)
+        scores = scored.unionByName(_scores(index, asked, rest, query_key))
+    return R.top(scores, query_key, "score", index.key, k)

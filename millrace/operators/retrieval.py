@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import cosine, rrf
 from ..functions.text import tokens
+from ..sources.store import cut
 
 K1, B = 1.5, 0.75
 #: Query vectors that a pass over all vectors holds (more take several passes), and that are multiplied at once.
@@ -218,17 +219,19 @@ def single(hits: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text:
 
     The hits are few: their ids go to the documents, and only those texts' digests come back.
     """
+    hits = cut(hits)
     plain = F.btrim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
     texts = docs.join(small(hits.select(doc_key).distinct()), doc_key, "left_semi").select(doc_key, F.md5(plain).alias("same"), (plain != "").alias("some")).where("some").drop("some")
     first = Window.partitionBy(query_key, "same").orderBy(F.desc("rrf"), doc_key)
-    return hits.join(small(texts), doc_key).withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy", "same")
+    return hits.join(small(cut(texts)), doc_key).withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy", "same")
 
 
 def rescored(hits: DataFrame, vectors: DataFrame, queries: DataFrame, query_key: str, doc_key: str, k: int, first: int = 10) -> DataFrame:
     """The `first` hits of each query (by rrf) score by cosine, 0 without a vector, the others keep their rrf; of all the k best, ties in the former order."""
     place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("rrf"), doc_key))
-    rows = hits.withColumn("place", place)
-    rows = rows.join(small(vectors.join(small(hits.select(doc_key).distinct()), doc_key, "left_semi")), doc_key, "left").join(small(queries), query_key, "left")
+    rows = cut(hits.withColumn("place", place))
+    found = cut(vectors.join(small(rows.select(doc_key).distinct()), doc_key, "left_semi"))
+    rows = rows.join(small(found), doc_key, "left").join(small(queries), query_key, "left")
     near = F.coalesce(F.round(cosine(F.col("q"), F.col("embedding")), 4), F.lit(0.0))
     rows = rows.select(query_key, doc_key, "place", F.when(F.col("place") <= first, near).otherwise(F.round("rrf", 4)).alias("score"))
     return top(rows, query_key, "score", "place", k).select(query_key, doc_key, "rank", "score")

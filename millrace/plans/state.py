@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.cooldowns import cooldown
 from ..operators.telemetry import metrics
 from ..streaming import folds
 from .base import query, table
@@ -39,4 +40,4 @@ SELECT alert_type, event_id, at_ms, event_id IN (SELECT sent.id FROM s) AS notif
 )
 def st_alert_cooldown(spark, sf):
     rows = timed(spark, sf).where("status_code >= 400").select(F.when(F.col("status_code") == 429, "RATE_LIMIT").otherwise("SERVER_ERROR").alias("alert_type"), "event_id", "at_ms")
-    return folds.batch(rows, "alert_type", folds.cooldown, folds.COOLDOWN_OUT)
+    return cooldown(rows, "alert_type")

@@ -52,13 +52,12 @@ CARRIED_STATE = "model string, edition string, topic string"
 
 def carried(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     """What a conversation's turns say of model, edition and topic; a turn that says nothing of one takes what was said last."""
-    names = ["model", "edition", "topic"]
-    said = rows[names].astype(object).where(rows[names].notna(), None)
-    before = pd.DataFrame([state or (None, None, None)], columns=names, dtype=object)
-    full = pd.concat([before, said]).ffill().iloc[1:].astype(object)
-    full = full.where(full.notna(), None)
-    last = full.iloc[-1]
-    return tuple(last[n] for n in names), rows[["conv_id", "event_id", "at_ms"]].assign(**{n: full[n].values for n in names})
+    held, out = list(state or (None, None, None)), []
+    for said in zip(rows["model"].tolist(), rows["edition"].tolist(), rows["topic"].tolist()):
+        held = [new if isinstance(new, str) else old for new, old in zip(said, held)]
+        out.append(held)
+    columns = dict(zip(("model", "edition", "topic"), zip(*out)))
+    return tuple(held), rows[["conv_id", "event_id", "at_ms"]].assign(**columns)
 
 
 def batch(rows: DataFrame, key: str, fold, schema: str) -> DataFrame:

@@ -20,8 +20,9 @@ def test_same_rows_as_without_an_index_and_blocks_are_left_out(spark, tmp_path):
     docs, questions = corpus(spark)
     index = X.build(docs, Folder(spark, str(tmp_path / "i")))
     rows = lambda df: sorted(tuple(r) for r in df.select("q", "doc_id", "rank", "score").collect())
-    assert rows(X.sparse_top(index, questions, "q", 5)) == rows(R.sparse_top(docs, questions, "q", "doc_id", 5))
-    _, every, _, rest = X.needed(index, questions, "q", 5)
+    want = rows(R.sparse_top(docs, questions, "q", "doc_id", 5))
+    assert rows(X.sparse_top(index, questions, "q", 5, direct=0)) == want and rows(X.sparse_top(index, questions, "q", 5)) == want
+    every, _, rest = X.needed(index, X.cut(X.asked_terms(index, questions, "q")), "q", 5)
     later = every.count() - X.FIRST * every.select("q").distinct().count()
     assert rest.count() < later / 2  # most blocks are never read
 
@@ -50,9 +51,9 @@ def test_an_index_is_built_once_for_a_version_of_the_files(spark, tmp_path):
 def test_empty_documents_and_questions(spark, tmp_path):
     docs, questions = corpus(spark, 20)
     index = X.build(docs.limit(0), Folder(spark, str(tmp_path / "i")))
-    assert X.sparse_top(index, questions, "q", 3).count() == 0
+    assert X.sparse_top(index, questions, "q", 3).count() == X.sparse_top(index, questions, "q", 3, -1).count() == 0
     index = X.build(docs, Folder(spark, str(tmp_path / "j")))
-    assert X.sparse_top(index, questions.limit(0), "q", 3).count() == 0
+    assert X.sparse_top(index, questions.limit(0), "q", 3).count() == X.sparse_top(index, questions.limit(0), "q", 3, -1).count() == 0
 
 
 def test_rescoring(spark):
