@@ -45,21 +45,31 @@ RAW = ("(p_size * 100)::VARCHAR", "(p_size % 9 + 1)::VARCHAR || '.' || lpad((p_s
 LIMITS = " ".join(f"WHEN '{k}' THEN v BETWEEN {lo} AND {hi}" for k, _, _, lo, hi in T.SPEC_RANGES)
 
 
-@query(
-    "cat_spec_table",
-    f"""WITH r AS (SELECT p_partkey, ({sql_list(KEYS)})[p_partkey % {len(KEYS)} + 1] AS key, trim(CASE p_partkey % {len(RAW)} {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(RAW))} END) AS raw FROM part),
-n AS (SELECT *, CASE WHEN regexp_full_match(raw, '[0-9]{{1,3}}([.,][0-9]{{3}})+') THEN try_cast(regexp_replace(raw, '[.,]', '', 'g') AS DOUBLE) ELSE try_cast(replace(raw, ',', '.') AS DOUBLE) END AS v FROM r)
-SELECT p_partkey, key, CASE key {" ".join(f"WHEN '{k}' THEN '{c}'" for k, c, *_ in T.SPEC_RANGES)} ELSE 'powertrain' END AS category, CASE WHEN key = 'drivetrain' THEN upper(raw) WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS value FROM n
-WHERE CASE WHEN key = 'drivetrain' THEN upper(raw) IN {T.DRIVETRAINS} ELSE coalesce(CASE key {LIMITS} END, false) END""",
-)
-def cat_spec_table(spark, sf):
-    """Extracted specifications that can be: known keys, numbers in their ranges, drivetrains of the list."""
+SPEC_ROWS = f"""r AS (SELECT p_partkey, p_brand, p_type, ({sql_list(KEYS)})[p_partkey % {len(KEYS)} + 1] AS key, trim(CASE p_partkey % {len(RAW)} {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(RAW))} END) AS raw FROM part),
+n AS (SELECT *, CASE WHEN regexp_full_match(raw, '[0-9]{{1,3}}([.,][0-9]{{3}})+') THEN try_cast(regexp_replace(raw, '[.,]', '', 'g') AS DOUBLE) ELSE try_cast(replace(raw, ',', '.') AS DOUBLE) END AS v FROM r),
+k AS (SELECT p_partkey, p_brand, p_type, key, CASE key {" ".join(f"WHEN '{k}' THEN '{c}'" for k, c, *_ in T.SPEC_RANGES)} ELSE 'powertrain' END AS category, CASE WHEN key = 'drivetrain' THEN upper(raw) WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS value FROM n
+WHERE CASE WHEN key = 'drivetrain' THEN upper(raw) IN {T.DRIVETRAINS} ELSE coalesce(CASE key {LIMITS} END, false) END)"""
+
+
+def spec_table(spark, sf):
     n, size = F.col("p_partkey"), F.col("p_size")
     text = lambda c: c.cast("string")
     raw = (text(size * 100), F.concat(text(size % 9 + 1), F.lit("."), F.lpad(text(size * 7), 3, "0")), F.concat(text(size), F.lit(",5")), F.lit("awd"), F.lit("4x4"), F.lit(""), text(size), F.lit("n/a"), F.lit(" Fwd "))
     key = F.element_at(F.array(*map(F.lit, KEYS)), (n % len(KEYS) + 1).cast("int"))
-    rows = table(spark, sf, "part").select("p_partkey", key.alias("key"), F.element_at(F.array(*raw), (n % len(raw) + 1).cast("int")).alias("raw"))
-    return rows.select("p_partkey", "key", Q.spec_category(F.col("key")).alias("category"), Q.valid_spec(F.col("key"), F.col("raw")).alias("value")).where("value IS NOT NULL")
+    rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", key.alias("key"), F.element_at(F.array(*raw), (n % len(raw) + 1).cast("int")).alias("raw"))
+    return rows.withColumns({"category": Q.spec_category(F.col("key")), "value": Q.valid_spec(F.col("key"), F.col("raw"))}).where("value IS NOT NULL")
+
+
+@query("cat_spec_table", f"WITH {SPEC_ROWS} SELECT p_partkey, key, category, value FROM k")
+def cat_spec_table(spark, sf):
+    """Extracted specifications that can be: known keys, numbers in their ranges, drivetrains of the list."""
+    return spec_table(spark, sf).select("p_partkey", "key", "category", "value")
+
+
+@query("cat_spec_first", f"WITH {SPEC_ROWS} SELECT p_brand, p_type, key, arg_min(value, p_partkey) AS value, count(*) AS found FROM k GROUP BY ALL")
+def cat_spec_first(spark, sf):
+    """Of the valid values of a product's edition the first of each key."""
+    return spec_table(spark, sf).groupBy("p_brand", "p_type", "key").agg(F.min_by("value", "p_partkey").alias("value"), F.count("*").alias("found"))
 
 
 MOST, OVERLAP = 300, 80

@@ -191,3 +191,13 @@ def ret_hybrid_search(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("item_id"), F.col("embedding").alias("q"))
     return R.rescored(R.single(R.fused_scores([lists, near], "item_id", "doc_id"), table(spark, sf, "documents"), "item_id", "doc_id"), vectors, queries, "item_id", "doc_id", 5)
+
+
+@query(
+    "ret_knowledge_search",
+    INDEX + ASKED + SEARCHED + ", fin AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, place)::INT AS rank, score FROM re QUALIFY rank <= 5) SELECT item_id, fin.doc_id, rank, score, source, lang FROM fin JOIN documents USING (doc_id) WHERE score >= 0.3",
+)
+def ret_knowledge_search(spark, sf):
+    """Of the five best hits of a question those of 0.3 or more, with what a citation needs."""
+    hits = ret_hybrid_search(spark, sf).where("score >= 0.3")
+    return hits.join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id").select("item_id", "doc_id", "rank", "score", "source", "lang")
