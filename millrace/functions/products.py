@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import tables as T
+
 
 def model_pattern(series: str) -> str:
-    return rf"{series}\s*[0-9]+(?:\s*(?:(?:the\s+)?(?:all\s+)?new|thế\s*hệ\s*mới|the\s*he\s*moi))?|{series}\s*mpv\s*[0-9]+|{series}\s*e34"
+    return rf"{series}\s*[0-9]+(?:\s*{T.RENEWED})?|{series}\s*mpv\s*[0-9]+|{series}\s*e34"
 
 
 def listed(found: Column, series: str = "mk", renewed: str = "8") -> Column:

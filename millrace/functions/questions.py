@@ -126,13 +126,11 @@ def broken_rules(answer: Column, rules: Column, decision: Column, evidence: Colu
     return F.when(decision == "answer", F.flatten(F.transform(rules, broken))).otherwise(F.array().cast("array<string>"))
 
 
-AMOUNT, UNIT, STARS = r"(?:\d{1,3}(?:[.,]\d{3})+(?:\d{2})?|\d{6,})", r"(?:triệu|tr\b|tỷ|nghìn|đồng|VNĐ|VND|\bđ\b)", r"(?:\\?\*+)?"
-
-
 def without_prices(text: Column) -> Column:
     """Amounts with their unit, before or after it and over line breaks, go; so do lines of only an amount or the words around one."""
-    out = F.regexp_replace(text, rf"(?i)(?:{AMOUNT}\s*{STARS}\s*{UNIT}{STARS}|{UNIT}\s*{STARS}\s*{AMOUNT}{STARS})", "")
-    alone = rf"(?im)^[ \t]*(?:{AMOUNT}|{UNIT}\\?\*+|(?:giá\s+(?:bán|niêm\s*yết|ưu\s*đãi|x)|đặt\s*cọc|lăn\s*bánh)\s*(?:từ|cho|và)?[^a-zà-ỹ]*)[ \t]*$"
+    amount, unit, stars = T.AMOUNT, T.UNIT, T.STARS
+    out = F.regexp_replace(text, rf"(?i)(?:{amount}\s*{stars}\s*{unit}{stars}|{unit}\s*{stars}\s*{amount}{stars})", "")
+    alone = rf"(?im)^[ \t]*(?:{amount}|{unit}\\?\*+|{T.PRICE_LEAD})[ \t]*$"
     return F.btrim(F.regexp_replace(F.regexp_replace(out, alone, ""), r"\n{3,}", "\n\n"), F.lit(" \n\t"))
 
 
@@ -229,7 +227,7 @@ def tool_plan(wants: Column, question: Column, model: Column, models: tuple[str,
     # Every product that the question names, and the one it is about.
     named = F.array_sort(F.array_distinct(F.array_compact(F.concat(models_named(question), F.array(model)))))
     of_each = lambda tool: F.transform(named, lambda m: call(tool, m))
-    compared = F.when(low.rlike(r"giá|bao\s*nhiêu\s*tiền"), F.concat(of_each("get_specs"), of_each("get_price"))).otherwise(of_each("get_specs"))
+    compared = F.when(low.rlike(T.PRICE_ASKED), F.concat(of_each("get_specs"), of_each("get_price"))).otherwise(of_each("get_specs"))
     return (
         F.when(wants.isin("out_of_scope", "greeting", "thanks", "identity"), F.array().cast("array<struct<tool: string, model: string>>"))
         .when(wants == "utility", utility.otherwise(F.array(call("get_showroom_charging_link", none))))

@@ -1,6 +1,7 @@
 """What was looked up, as text for a context: one section per result, amounts with thousands marks, no addresses inside texts.
 
-Every function takes columns of one result; items are arrays of structs, which are as long as a lookup returns.
+Every function takes columns of one result; items are arrays of structs, which are as long as a lookup returns. The wording
+of headings, labels and missing results is a fixed value, as is the place of every mark around them.
 """
 
 from __future__ import annotations

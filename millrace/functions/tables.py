@@ -263,3 +263,24 @@ KEY_LABELS = (
     ("rear_ac_vents", "Cửa gió điều hòa hàng ghế sau"), ("smart_key", "Chìa khóa thông minh"), ("subwoofer", "Loa trầm"), ("tpms", "Cảnh báo áp suất lốp"), ("usb_port_type_a", "Cổng USB-A"), ("usb_port_type_c", "Cổng USB-C"), ("isofix", "Móc ghế trẻ em ISOFIX"), ("windshield_type", "Kính chắn gió"),
     ("rollover_mitigation", "Hệ thống chống lật"), ("frunk_capacity_l", "Dung tích cốp trước"), ("privacy_glass", "Kính tối màu"), ("battery_heater", "Gia nhiệt pin"), ("charge_management", "Quản lý sạc"), ("charger_map", "Bản đồ trạm sạc"),
 )
+
+# Amounts with their units in brochures, and lines that hold nothing but one or the words around one; and how a question asks for a price.
+AMOUNT, UNIT, STARS = r"(?:\d{1,3}(?:[.,]\d{3})+(?:\d{2})?|\d{6,})", r"(?:triệu|tr\b|tỷ|nghìn|đồng|VNĐ|VND|\bđ\b)", r"(?:\\?\*+)?"
+PRICE_LEAD = r"(?:giá\s+(?:bán|niêm\s*yết|ưu\s*đãi|x)|đặt\s*cọc|lăn\s*bánh)\s*(?:từ|cho|và)?[^a-zà-ỹ]*"
+PRICE_ASKED = r"giá|bao\s*nhiêu\s*tiền"
+
+# Where a raw file goes, in the order of trial: (of an official host, of this kind, of a named product; what its address, its name or either has; collection, category, confidence, what it is). None: any.
+RAW_ROUTES = (
+    (True, None, None, "url", "dat-coc", "product_info", "thong_tin_san_pham", 1.0, "dat-coc"),
+    (True, None, None, "url", "dich-vu-bao-duong", "maintenance", "dat_lich_bao_duong", 1.0, "service"),
+    (True, None, None, "url", "dich-vu-pin|dich-vu-sua-chua|chinh-sach-bao-hanh|thong-tin-cuu-ho|ve-chung-toi|chinh-sach", "policy", "chinh_sach_dich_vu", 1.0, "policy"),
+    (True, None, None, None, None, "product_info", "thong_tin_san_pham", 0.9, "other"),
+    (None, "pdf", True, "either", "brochure", "product_info", "thong_tin_san_pham", 0.9, "brochure"),
+    (None, "pdf", None, None, None, "policy", "chinh_sach_dich_vu", 0.9, "pdf-manual"),
+    (None, None, None, "name", "so-sanh|bang-doi-chieu", "product_info", "thong_so_ky_thuat", 0.8, "comparison"),
+    (None, None, None, "name", "thong-so-", "product_info", "thong_so_ky_thuat", 0.8, "specs-article"),
+    (None, None, None, None, None, "product_info", "thong_tin_san_pham", 0.7, "article"),
+)
+
+# What follows a product's number when it is the renewed one.
+RENEWED = r"(?:(?:the\s+)?(?:all\s+)?new|thế\s*hệ\s*mới|the\s*he\s*moi)"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tables as T
+
 MOST_CHUNKS, LEAST_SCORE = 30, 0.3
 
 
@@ -89,17 +91,16 @@ def api_metrics(calls: DataFrame) -> DataFrame:
 def raw_route(url: Column, kind: Column, name: Column, model: Column, official: tuple[str, ...]) -> Column:
     """(collection, category, confidence, authoritative, kind) of a raw file by ordered rules on its address, kind and name."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "https?://([^/]+)", 1))
-    own, u, stem = host.isin(*official), F.coalesce(url, F.lit("")), F.lower(name)
-    made = lambda c, k, p, w: F.struct(F.lit(c).alias("collection"), F.lit(k).alias("category"), F.lit(p).alias("confidence"), own.alias("authoritative"), F.lit(w).alias("kind"))
-    brochure = model.isNotNull() & (F.contains(stem, F.lit("brochure")) | F.contains(F.lower(u), F.lit("brochure")))
-    return (
-        F.when(own & F.contains(u, F.lit("dat-coc")), made("product_info", "thong_tin_san_pham", 1.0, "dat-coc"))
-        .when(own & F.contains(u, F.lit("dich-vu-bao-duong")), made("maintenance", "dat_lich_bao_duong", 1.0, "service"))
-        .when(own & u.rlike("dich-vu-pin|dich-vu-sua-chua|chinh-sach-bao-hanh|thong-tin-cuu-ho|ve-chung-toi|chinh-sach"), made("policy", "chinh_sach_dich_vu", 1.0, "policy"))
-        .when(own, made("product_info", "thong_tin_san_pham", 0.9, "other"))
-        .when((kind == "pdf") & brochure, made("product_info", "thong_tin_san_pham", 0.9, "brochure"))
-        .when(kind == "pdf", made("policy", "chinh_sach_dich_vu", 0.9, "pdf-manual"))
-        .when(stem.rlike("so-sanh|bang-doi-chieu"), made("product_info", "thong_so_ky_thuat", 0.8, "comparison"))
-        .when(stem.rlike("thong-so-"), made("product_info", "thong_so_ky_thuat", 0.8, "specs-article"))
-        .otherwise(made("product_info", "thong_tin_san_pham", 0.7, "article"))
-    )
+    own = host.isin(*official)
+    texts = {"url": F.coalesce(url, F.lit("")), "name": F.lower(name)}
+    out = None
+    for of_host, of_kind, of_model, place, pattern, collection, category, confidence, what in T.RAW_ROUTES:
+        hit = F.lit(True)
+        for asked, holds in ((of_host, own), (of_kind, kind == of_kind), (of_model, model.isNotNull())):
+            hit = hit & holds if asked else hit
+        if pattern:
+            either = texts["name"].rlike(pattern) | F.lower(texts["url"]).rlike(pattern)
+            hit = hit & (either if place == "either" else texts[place].rlike(pattern))
+        made = F.struct(F.lit(collection).alias("collection"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), own.alias("authoritative"), F.lit(what).alias("kind"))
+        out = F.when(hit, made) if out is None else out.when(hit, made)
+    return out

@@ -100,7 +100,7 @@ ONE = lambda tool: f"CASE WHEN model IS NOT NULL THEN ['{tool}:' || model] END"
 i AS (SELECT *, {WANTS} AS wants, list_sort(list_distinct(list_filter(list_append(list_transform(regexp_extract_all(lower(q), '{MODEL}'), lambda x: {LISTED}), model), lambda x: x IS NOT NULL))) AS named FROM (SELECT *, coalesce(known, 'general') AS topic FROM c)),
 p AS (SELECT conv_id, turn, CASE WHEN wants IN ('out_of_scope', 'greeting', 'thanks', 'identity') THEN [] WHEN wants = 'utility' THEN [CASE {" ".join(f"WHEN regexp_matches(lower(q), '{u}') THEN '{t}'" for t, u in T.UTILITIES)} ELSE 'get_showroom_charging_link' END || coalesce(':' || model, '')]
   WHEN wants IN ('price', 'versions_list') THEN {ONE('get_price')} WHEN wants IN ('spec_query', 'feature_presence') THEN {ONE('get_specs')} WHEN wants = 'cross_model_feature' THEN {sql_list(f'get_specs:{m}' for m in MAIN)}
-  WHEN wants = 'compare' THEN CASE WHEN len(named) > 0 THEN CASE WHEN regexp_matches(lower(q), 'giá|bao\\s*nhiêu\\s*tiền') THEN list_concat({OF_EACH('get_specs')}, {OF_EACH('get_price')}) ELSE {OF_EACH('get_specs')} END END
+  WHEN wants = 'compare' THEN CASE WHEN len(named) > 0 THEN CASE WHEN regexp_matches(lower(q), '{T.PRICE_ASKED}') THEN list_concat({OF_EACH('get_specs')}, {OF_EACH('get_price')}) ELSE {OF_EACH('get_specs')} END END
   WHEN wants = 'models_list' THEN ['list_available_models'] WHEN wants = 'colors' THEN {ONE('get_colors')} ELSE ['search_knowledge_base' || coalesce(':' || model, '')] END AS calls FROM i)
 SELECT conv_id, turn, array_to_string(calls, ',') AS calls FROM p""",
 )

@@ -281,7 +281,7 @@ CALL = lambda tool, model="model": f"{{'tool': '{tool}', 'model': {model}}}"  #
   WHEN wants = 'utility' THEN CASE {' '.join(f"WHEN regexp_matches(lower(q), '{p}') THEN [{CALL(t)}]" for t, p in T.UTILITIES)} ELSE [{CALL('get_showroom_charging_link', 'NULL')}] END
   WHEN wants IN ('price', 'versions_list') THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_price')}] END WHEN wants IN ('spec_query', 'feature_presence') THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_specs')}] END
   WHEN wants = 'cross_model_feature' THEN [{', '.join(CALL('get_specs', repr(m)) for m in MK)}]
-  WHEN wants = 'compare' THEN CASE WHEN model IS NULL THEN NULL WHEN regexp_matches(lower(q), 'giá|bao\s*nhiêu\s*tiền') THEN [{CALL('get_specs')}, {CALL('get_price')}] ELSE [{CALL('get_specs')}] END
+  WHEN wants = 'compare' THEN CASE WHEN model IS NULL THEN NULL WHEN regexp_matches(lower(q), '{T.PRICE_ASKED}') THEN [{CALL('get_specs')}, {CALL('get_price')}] ELSE [{CALL('get_specs')}] END
   WHEN wants = 'models_list' THEN [{CALL('list_available_models', 'NULL')}] WHEN wants = 'colors' THEN CASE WHEN model IS NOT NULL THEN [{CALL('get_colors')}] END ELSE [{CALL('search_knowledge_base')}] END AS p FROM {ASKS}))""",
 )
 def qry_tool_plan(spark, sf):
