@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -60,12 +62,19 @@ def in_batches(df: DataFrame, f: Callable, schema: str, model: tuple | None = No
 
     def run(batches):
         forget_models_but(model)
+        _give_back()
         yield from f(batches)
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Memory that earlier tasks freed in this worker goes back to the system, where the C library can do that."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _MODEL: dict = {}
 
 
