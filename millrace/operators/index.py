@@ -23,6 +23,8 @@ from . import retrieval as R
 
 #: Ids of a block, and blocks of each question that are scored first (of k documents' worth at least).
 BLOCK, FIRST = 32, 24
+#: Counts up when the tables of an index change, so that an older one isn't read.
+LAYOUT = 1
 #: Up to so many postings of a batch's terms, counted with each question, all are scored.
 DIRECT = 20_000_000
 #: The most frequent terms whose idf is broadcast to the postings; the others' meets them by shuffle.
@@ -68,7 +70,7 @@ def build(docs: DataFrame, folder: Folder, key: str = "doc_id", text: str = "tex
 
 def opened(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """The index of docs in the shared folder; built first if their files have none yet. A half-built one is never read."""
-    name = f"index-{fingerprint(docs)[:16]}"
+    name = f"index-{LAYOUT}-{BLOCK}-{key}-{text}-{fingerprint(docs)[:16]}"
     done = shared(spark) / name
     if not done.exists():
         part = shared(spark) / f"{name}.{uuid.uuid4().hex}"
