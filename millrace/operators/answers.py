@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tables as T
+from ..sources.store import cut
+from . import retrieval as R
 
 MOST_CHUNKS, LEAST_SCORE = 30, 0.3
 
@@ -17,6 +21,38 @@ def ranked_chunks(chunks: DataFrame, by: list[str], order: list[str], most: int
     return chunks.where(F.col("score") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
 
+def firsts(rows: DataFrame, by: list[str], pos: str, most: int, name: str = "ids") -> DataFrame:
+    """(by, name): the first `most` positions of each group, in order."""
+    order = Window.partitionBy(*by).orderBy(pos)
+    first = rows.select(*by, pos).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return first.groupBy(*by).agg(F.array_sort(F.collect_list(pos)).alias(name))
+
+
+def first_matches(asked: DataFrame, told: DataFrame, by: str, pos: str, name: str, most: int = MOST_CHUNKS) -> DataFrame:
+    """(q, name): of the rows (by, pos, t) in a question's group that share a word with it the first `most`; asked: (q, by, token).
+
+    They are among the first `most` of each of its words, so no question meets all rows of its group.
+    """
+    known = asked.select("token").distinct()
+    words = told.select(by, pos, F.explode("t").alias("token"))
+    words = words.join(F.broadcast(known), "token", "left_semi") if known.limit(R.BROADCAST_ROWS + 1).count() <= R.BROADCAST_ROWS else words
+    met = asked.join(firsts(words, [by, "token"], pos, most), [by, "token"])
+    return met.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias(name))
+
+
+def most_shared(asked: DataFrame, told: DataFrame, by: str, pos: str, name: str, score: Callable[[Column], Column], most: int = MOST_CHUNKS) -> DataFrame:
+    """(q, name): of the same rows the best `most` as (-score, pos), by the score that a number of shared words gives; ties to smaller positions.
+
+    Rows with the same words are one kind. A question meets kinds by their words; its best rows are in its best `most` kinds.
+    """
+    kinds = cut(firsts(told.withColumn("kind", F.array_sort("t")), [by, "kind"], pos, most).select(by, F.monotonically_increasing_id().alias("id"), "kind", "ids"))
+    words = kinds.select(by, "id", F.get("ids", F.lit(0)).alias("first"), F.explode("kind").alias("token"))
+    shared = asked.join(words, [by, "token"]).groupBy("q", "id", "first").agg((-score(F.count("*"))).alias("s"))
+    best = shared.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy("s", "first"))).where(F.col("_n") <= most)
+    each = best.join(kinds.select("id", "ids"), "id").select("q", F.transform("ids", lambda x: F.struct(F.col("s"), x.alias("pos"))).alias("l"))
+    return each.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, most).alias(name))
+
+
 def _pages(pages: Column) -> Column:
     """Page labels by number; labels that aren't numbers come first."""
     keyed = F.transform(pages, lambda p: F.struct(F.coalesce(F.when(p.rlike("^[0-9]+$"), p.try_cast("int")), F.lit(0)).alias("n"), p.alias("p")))

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,18 @@ def test_raw_files_by_ordered_rules(spark):
     rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, url string, kind string, name string, model string")
     got = rows.select("i", A.raw_route(F.col("url"), F.col("kind"), F.col("name"), F.col("model"), ("shop.x",)).alias("r")).orderBy("i").collect()
     assert [r.r.kind for r in got] == [c[4] for c in cases]
+
+
+def test_first_matches_without_meeting_every_row(spark):
+    """The best of all pairs, from lists of `most` rows of each word or kind."""
+    rng = random.Random(3)
+    draw = lambda n: sorted(rng.sample("abcdefgh", n))
+    told = [(i % 2, i, draw(rng.randint(0, 4))) for i in range(60)]
+    asked = [(q, q % 2, draw(rng.randint(0, 5))) for q in range(30)]
+    rows = spark.createDataFrame(told, "g int, pos long, t array<string>").repartition(3)
+    tokens = spark.createDataFrame([(q, g, w) for q, g, ws in asked for w in ws], "q long, g int, token string")
+    shared = {q: [(len(set(ws) & set(t)), pos) for h, pos, t in told if h == g and set(ws) & set(t)] for q, g, ws in asked}
+    got = {r.q: r.x for r in A.first_matches(tokens, rows, "g", "pos", "x", most=3).collect()}
+    assert got == {q: sorted(p for _, p in s)[:3] for q, s in shared.items() if s}
+    got = {r.q: [tuple(x) for x in r.x] for r in A.most_shared(tokens, rows, "g", "pos", "x", lambda n: F.least(F.lit(0.2), n * 0.1), most=3).collect()}
+    assert got == {q: sorted((-min(0.2, n * 0.1), p) for n, p in s)[:3] for q, s in shared.items() if s}
