@@ -24,10 +24,10 @@ def _so_far(*by: str):
 
 
 def running_sum(rows: DataFrame, by: list[str], bucket: Column, order: list, value: Column, name: str) -> DataFrame:
-    """rows with the sum of value over the rows of their group up to them. Groups are compared null-safe."""
+    """rows with the sum of value over the rows of their group up to them. Groups are compared null-safe; a null bucket comes last."""
     marked = rows.withColumns({"_bucket": bucket, "_value": value})
     sums = marked.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy(F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     on = F.col("_bucket").eqNullSafe(F.col("_b"))
     for c in by:

@@ -183,8 +183,8 @@ def tel_max_overlap(spark, sf):
     """The most requests open at once on each day, those from the day before among them."""
     rows = facts(spark, sf).select(F.col("created_at").cast("timestamp").alias("t"), "total_latency_ms")
     begin = rows.select(F.col("t").alias("at"), F.lit(1).alias("step"))
-    end = rows.select(F.timestamp_millis(F.unix_millis("t") + F.col("total_latency_ms")).alias("at"), F.lit(-1).alias("step"))
-    steps = running_sum(begin.unionByName(end), [], F.date_trunc("minute", "at"), ["at", "step"], F.col("step"), "open")
+    end = rows.select(F.timestamp_micros(F.unix_micros("t") + 1000 * F.col("total_latency_ms")).alias("at"), F.lit(-1).alias("step"))
+    steps = running_sum(begin.unionByName(end), [], F.date_trunc("minute", "at"), [F.asc_nulls_last("at"), "step"], F.col("step"), "open")
     return steps.groupBy(F.to_date("at").alias("day")).agg(F.max(F.greatest(F.col("open"), F.col("open") - F.col("step"))).alias("most_open"))
 
 
