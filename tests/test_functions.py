@@ -82,3 +82,9 @@ def test_token_bucket_runs_empty_and_refills():
 def test_cooldown_counts_from_the_last_sent_one():
     rows = frame(alert_type=["x"] * 5, event_id=range(5), at_ms=[0, 400_000, 600_000, 900_000, 1_200_000])
     assert folds.cooldown(None, rows)[1]["notify"].tolist() == [True, False, True, False, True]
+
+
+def test_noise_knows_words_of_ascii(spark):
+    lines = ["Éçê.", "Èê", "copyrighté", "copyrights", "menu\r", "Page 3\r", "\u00a0login\u2003", "see <!-- a\rb -->it", "\u00a0a\u00a0"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", X.clean_line(F.col("t")).alias("x")).orderBy("i")
+    assert [r.x for r in rows.collect()] == ["", "Èê", "", "copyrights", "", "Page 3\r", "", "see it", "a"]
