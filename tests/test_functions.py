@@ -37,6 +37,11 @@ def test_sentences_pack_with_overlap(spark):
         assert b.startswith(a[a.rindex("Sentence") :])
 
 
+def test_sentences_keep_their_digits(spark):
+    text = "0 zero. 1 one is here.  2 two!\x0b3 three\n\u00a0 4 four?\t5"
+    assert one(spark, X.sentences(F.col("t")), t=text) == ["0 zero.", "1 one is here.", "2 two!\x0b3 three", "4 four?", "5"]
+
+
 def test_lines_and_money(spark):
     assert one(spark, X.clean_line(F.col("t")), t="see [the site](http://x) <b>now</b>") == "see the site now"
     assert one(spark, X.clean_line(F.col("t")), t="PAGE 3 of 9") == ""
