@@ -16,7 +16,9 @@ from ..sources.store import cut
 
 K1, B = 1.5, 0.75
 #: Query vectors that a pass over all vectors holds (more take several passes), and that are multiplied at once.
-QUERIES_PER_PASS, QUERY_BLOCK = 131_072, 4096
+QUERIES_PER_PASS, QUERY_BLOCK = 131_072, 1024
+#: Vectors that are multiplied with a block of queries at once: what a task holds doesn't grow with the tables.
+VECTOR_BLOCK = 1024
 #: Rows of a small table that is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -130,10 +132,13 @@ def _scored(vectors: DataFrame, queries: DataFrame, collector: Callable, schema:
             ids, labels, asked = shared.value
             blocks = [collector(ids[k : k + QUERY_BLOCK], labels[k : k + QUERY_BLOCK], asked[k : k + QUERY_BLOCK]) for k in range(0, len(ids), QUERY_BLOCK)]
             for b in batches:
-                if b.num_rows:
-                    made = _matrix(b.column("embedding"))
+                for at in range(0, b.num_rows, VECTOR_BLOCK):
+                    some = b.slice(at, VECTOR_BLOCK)
+                    made = _matrix(some.column("embedding"))
                     for block in blocks:
-                        block.add(b, np.round(np.clip(block.asked @ made.T, 0, 1), 6))
+                        s = block.asked @ made.T
+                        np.clip(s, 0, 1, out=s)
+                        block.add(some, np.round(s, 6, out=s))
             names = [f.split()[0] for f in schema.split(", ")]
             for block in blocks:
                 for rows in block.rows():
@@ -149,14 +154,18 @@ class _Nearest:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, asked: np.ndarray, k: int, same: Callable | None):
         self.ids, self.labels, self.asked, self.k, self.same = ids, labels, asked, k, same
-        self.score, self.row = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        self.score, self.row = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)
 
     def add(self, batch: pa.RecordBatch, s: np.ndarray) -> None:
         vec = batch.column("vec_id").to_numpy()
         s[self.ids[:, None] == vec] = -1
         if self.same is not None:
             s[~self.same(self.labels[:, None], batch.column("label").to_numpy()[None])] = -1
-        self.score, self.row = _best(np.hstack([self.score, s]), np.hstack([self.row, np.broadcast_to(vec, s.shape)]), self.k)
+        better = (s.max(1) >= np.maximum(self.score[:, -1], 0)).nonzero()[0]  # the others' k best stay
+        if not len(better):
+            return
+        s = s[better]
+        self.score[better], self.row[better] = _best(np.hstack([self.score[better], s]), np.hstack([self.row[better], np.broadcast_to(vec, s.shape)]), self.k)
 
     def rows(self) -> Iterator[tuple]:
         real = self.score >= 0

@@ -21,3 +21,29 @@ def test_blocks_and_passes_make_no_difference(spark, monkeypatch, per_pass, bloc
     assert got == {(q, k): (i, round(-s, 5)) for q in asked for k, (s, i) in enumerate(best[q], 1)}
     categories = {(r.query_id, r.category): round(r.best, 5) for r in R.dense_categories(vectors, queries).collect()}
     assert categories == {(q, c): round(max(score(q, i) for i in unit if i != q and label[i] == c), 5) for q in asked for c in (0, 1, 2)}
+
+
+def test_a_product_is_bounded(spark, monkeypatch):
+    """However large a batch of vectors, a block of queries meets so many of them at once."""
+    seen = []
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(R._Nearest, "add", lambda self, batch, s, add=R._Nearest.add: (add(self, batch, s), seen.append(s.shape))[0])
+    vectors = spark.createDataFrame([(i, 0, [float(i % 5), 1.0]) for i in range(36)] + [(i, 0, [-1.0, -9.0]) for i in range(36, 50)], "vec_id long, label int, embedding array<double>").coalesce(1)
+    queries = vectors.where("vec_id < 3").selectExpr("vec_id AS query_id", "label AS q_label", "embedding AS q")
+    held = {}
+
+    class Vectors:  # runs the task here
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            held["rows"] = sorted(tuple(x.values()) for b in f(iter(vectors.toArrow().to_batches())) for x in b.to_pylist())
+            return vectors
+
+    R._scored(Vectors(), queries, lambda *block: R._Nearest(*block, 4, None), "query_id long, vec_id long, score double")
+    assert seen and max(s[1] for s in seen) <= 7
+    unit = lambda i: np.array([i % 5, 1.0]) / np.hypot(i % 5, 1) if i < 36 else -np.ones(2)
+    want = [(q, i, s) for q in range(3) for s, i in [(-s, i) for s, i in sorted((-round(max(float(unit(q) @ unit(i)), 0.0), 6), i) for i in range(50) if i != q)[:4]]]
+    assert held["rows"] == sorted(want)
