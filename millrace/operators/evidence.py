@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.text import TOKEN
+from ..sources.store import cut
 from .retrieval import small
 
 DIRECT, SHARED, NEITHER = 0.9, 0.7, 0.3
+#: Keys of a class that are paired at once, and tasks at least that write pairs out.
+BLOCK, PRODUCTS = 256, 96
 
 
 def words(text: Column) -> Column:
@@ -27,18 +30,42 @@ def word_groups(spark, groups: tuple = T.SPEC_WORDS) -> DataFrame:
     return rows.select("group", F.explode(words(F.col("phrase"))).alias("token")).distinct()
 
 
+def _classed(rows: DataFrame, by: list[str], key: str, known: DataFrame | None = None) -> DataFrame:
+    """(by, key, class) of rows (by, key, token). The class holds the key's tokens in order, of known ones if given."""
+    rows = rows if known is None else rows.join(small(known), "token", "left_semi")
+    return rows.groupBy(*by, key).agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("class"))
+
+
+def _blocks(classed: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, class, keys): the keys of each class in arrays of about BLOCK."""
+    counts = classed.groupBy(*by, "class").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    dealt = classed.join(small(counts), [*by, "class"]).withColumn("block", F.pmod(F.xxhash64(key), F.col("n")))
+    return dealt.groupBy(*by, "class", "block").agg(F.collect_list(F.struct(key)).alias(key)).drop("block")
+
+
 def relevance(questions: DataFrame, specs: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """(by, question, spec, score) of questions (by, question, text) and specs (by, spec, key, value) with the same `by`.
 
     Both have words of one group: 0.9; a word in common: 0.7. Pairs that share neither score NEITHER and have no row. groups: (token, group).
+    Keys with the same words form a class. Classes meet by what they share; their pairs are written out from blocks of keys at the end,
+    and no pair of keys is shuffled.
     """
     asked = questions.select(*by, "question", F.explode(words(F.col("text"))).alias("token"))
-    told = specs.select(*by, "spec", F.explode(words(F.concat_ws(" ", "key", "value"))).alias("token"))
+    told = cut(_classed(specs.select(*by, "spec", F.explode(words(F.concat_ws(" ", "key", "value"))).alias("token")), by, "spec"))
+    each = lambda classes: classes.select(*by, "class").distinct().select(*by, "class", F.explode(F.split("class", " ")).alias("token"))
+    known = each(told).select("token").unionByName(groups.select("token")).distinct()
+    asked = cut(_classed(asked, by, "question", known))
     groups = small(groups)
-    of_group = lambda rows, key: rows.join(groups, "token").select(*by, key, "group").distinct()
-    close = of_group(asked, "question").join(of_group(told, "spec"), [*by, "group"]).select(*by, "question", "spec", F.lit(DIRECT).alias("score"))
-    shared = asked.join(told, [*by, "token"]).select(*by, "question", "spec", F.lit(SHARED).alias("score"))
-    return close.unionByName(shared).groupBy(*by, "question", "spec").agg(F.max("score").alias("score"))
+    of_group = lambda rows: rows.join(groups, "token").drop("token").distinct()
+    ours, theirs = each(asked).withColumnRenamed("class", "ours"), each(told).withColumnRenamed("class", "theirs")
+    close = of_group(ours).join(of_group(theirs), [*by, "group"]).select(*by, "ours", "theirs", F.lit(DIRECT).alias("score"))
+    shared = ours.join(theirs, [*by, "token"]).select(*by, "ours", "theirs", F.lit(SHARED).alias("score"))
+    met = close.unionByName(shared).groupBy(*by, "ours", "theirs").agg(F.max("score").alias("score"))
+    met = met.join(_blocks(asked, by, "question").withColumnRenamed("class", "ours"), [*by, "ours"]).join(_blocks(told, by, "spec").withColumnRenamed("class", "theirs"), [*by, "theirs"])
+    # A row stands for up to BLOCK * BLOCK pairs: rows are dealt out by number, not by size.
+    tasks = max(PRODUCTS, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = met.select(*by, "question", "spec", "score").repartition(tasks)
+    return pairs.select(*by, F.explode("question").alias("q"), "spec", "score").select(*by, "q.question", F.explode("spec").alias("s"), "score").select(*by, "question", "s.spec", "score")
 
 
 def features(text: Column) -> Column:

@@ -120,6 +120,20 @@ def test_relevance_meets_on_groups(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_relevance_shuffles_classes_of_words_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 4)
+    groups = E.word_groups(spark, (("power", ("power_kw", "công suất")),))
+    questions = [("m", i, "công suất MK 8") for i in range(30)] + [("m", None, "xa 5"), ("m", 7, "xa"), ("m", 7, "gần"), (None, 50, "xa"), ("k", 51, "xa")]
+    specs = [("m", 100 + i, "power_kw", "300") for i in range(20)] + [("m", None, "x", "xa"), ("m", 200, "a", "8"), ("m", 200, "a", "xa"), (None, 300, "a", "xa")]
+    questions = spark.createDataFrame(questions, "model string, question int, text string")
+    got = E.relevance(questions, spark.createDataFrame(specs, "model string, spec int, key string, value string"), groups, ["model"])
+    want = {(q, s): 0.9 for q in range(30) for s in range(100, 120)} | {(q, 200): 0.7 for q in range(30)} | {(None, None): 0.7, (None, 200): 0.7, (7, None): 0.7}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.question, r.spec): r.score for r in rows} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition") and "Aggregate" not in plan[: plan.index("Repartition")]
+
+
 CASES = [
     ("no features, no numbers", "Vâng ạ", "", [("get_specs", "power_kw", "300 kW")], True),
     ("no evidence", "Có HUD", "", [], False),
