@@ -1,8 +1,8 @@
 """A stored inverted index: built once for a version of the documents, then read by every question batch.
 
-terms: df and idf of every term. postings: a term's documents in the order of their ids, cut into blocks
-of BLOCK ids, each with its largest weight; no term is one row or one task, however common. vectors:
-every document's terms in order with their weights. stats: the number of documents and their mean length.
+postings: a term's documents in the order of their ids, cut into blocks of BLOCK ids, each with its largest
+weight and the term's df and idf; no term is one row, however common. stats: the number of documents and their
+mean length. weights and vectors (every document's terms in order with their weights) are read from the postings.
 
 Top-k of a batch whose terms have few postings scores them all. For others it reads the largest weights
 first. They bound what a block can score; a question's best blocks are scored, and its k-th score leaves
@@ -12,23 +12,28 @@ out all other blocks that can't reach it. Only blocks that may are joined. Both
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import tokens
 from ..sources.store import Folder, cut, fingerprint, shared
 from . import retrieval as R
 
 #: Ids of a block, and blocks of each question that are scored first (of k documents' worth at least).
 BLOCK, FIRST = 32, 24
 #: Counts up when the tables of an index change, so that an older one isn't read.
-LAYOUT = 1
+LAYOUT = 2
 #: Up to so many postings of a batch's terms, counted with each question, all are scored.
 DIRECT = 20_000_000
-#: The most frequent terms whose idf is broadcast to the postings; the others' meets them by shuffle.
-HEAD = 50_000
+#: Documents whose terms are counted at once, and ids of a row of the shuffle at most.
+SLICE, RANGE = 1024, 1 << 16
 #: Scores are rounded to this many digits; bounds allow for that.
 DIGITS = 6
 
@@ -39,31 +44,100 @@ class Index:
     key: str
 
     def table(self, name: str) -> DataFrame:
+        if name == "weights":
+            each = self.table("postings").select("term", F.explode(F.arrays_zip("ids", "weights")).alias("p"))
+            return each.select(F.col("p.ids").alias(self.key), "term", F.col("p.weights").alias("weight"))
+        if name == "vectors":
+            rows = self.table("weights").groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("p"))
+            return rows.select(self.key, F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
         return self.folder.spark.read.parquet(f"{self.folder}/{name}")
 
 
+def _lists(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(at, len(values)), pa.int32()), pa.array(values))
+
+
+LISTS = "term string, range long, ids array<long>, tfs array<long>, dls array<long>"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens) to LISTS: the documents of a slice that have a term, by RANGE of ids."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
+            key, t = b.column(0).to_numpy(), b.column(1)
+            dl, words = t.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), t.flatten().dictionary_encode()
+            pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(key) + np.repeat(np.arange(len(key)), dl), return_counts=True)
+            code, row = np.divmod(pair, max(len(key), 1))
+            ids, part = key[row], key[row] // RANGE
+            order = np.lexsort((ids, part, code))
+            code, row, ids, part, tf = code[order], row[order], ids[order], part[order], tf[order]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])][: len(code)])
+            names = [f.split()[0] for f in LISTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), pa.array(part[first]), _lists(first, ids), _lists(first, tf), _lists(first, dl[row])], names=names)
+
+
+BLOCKS = "term string, block long, df long, idf double, most double, ids array<long>, weights array<double>"
+
+
+def _blocked(avgdl: float):
+    """LISTS with df and idf, in the order of term and range, to BLOCKS; what may go on in the next batch waits for it."""
+
+    def blocks(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        lengths = rows["ids"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        ids, tf, dl = (rows[c].combine_chunks().flatten() for c in ("ids", "tfs", "dls"))
+        none, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        term = rows["term"].combine_chunks().dictionary_encode()
+        code = term.indices.to_numpy()[row]
+        order = np.lexsort((ids, none, code))
+        code, ids, none, row = code[order], ids[order], none[order], row[order]
+        tf, dl, block = tf.to_numpy()[order], dl.to_numpy()[order], ids // BLOCK
+        idf, df = rows["idf"].to_numpy()[row], rows["df"].to_numpy()[row]
+        weight = idf * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / (avgdl or 1.0)))
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]) | (none[1:] != none[:-1])][: len(code)])
+        most = np.maximum.reduceat(weight, first) if len(first) else weight
+        held = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids, mask=none))
+        arrays = [term.dictionary.take(pa.array(code[first])), pa.array(block[first], mask=none[first]), pa.array(df[first]), pa.array(idf[first]), pa.array(most), held, _lists(first, weight)]
+        return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            term, part = (rows[c][-1] for c in ("term", "range"))
+            going_on = pc.and_(pc.equal(rows["term"], term), pc.equal(rows["range"], part) if part.is_valid else rows["range"].is_null())
+            ended = rows.num_rows - pc.sum(pc.fill_null(going_on, False)).as_py()
+            left = rows.slice(ended)
+            if ended:
+                yield blocks(rows.slice(0, ended))
+        if left is not None:
+            yield blocks(left)
+
+    return run
+
+
 def build(docs: DataFrame, folder: Folder, key: str = "doc_id", text: str = "text") -> Index:
-    """Writes the index of docs (integer key, text) to a folder that isn't there yet."""
+    """Writes the index of docs (integer key, text) to a folder that isn't there yet.
+
+    Terms are counted where the texts are, and one shuffle by term takes (term, ids, counts) of many documents a row. A term has
+    one number of each document there, and is written block by block.
+    """
     index, spark = Index(folder, key), docs.sparkSession
-    R.term_counts(docs, key, text).write.parquet(f"{folder}/counts")
-    counts = index.table("counts")
-    n = docs.count()
-    found = cut(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
-    avgdl = (found.agg(F.sum("cf")).first()[0] or 0) / max(n, 1)
-    found.select("term", "df", R.idf(F.lit(n), F.col("df")).alias("idf")).write.parquet(f"{folder}/terms")
-    terms = index.table("terms").select("term", "idf")
-    head = cut(index.table("terms").orderBy(F.desc("df"), "term").limit(HEAD).select("term", "idf"))
-    marked = counts.join(F.broadcast(head), "term", "left")
-    rows = marked.where("idf is not null").unionByName(marked.where("idf is null").drop("idf").join(terms, "term"))
-    tf = F.col("tf")
-    rows = rows.select(key, "term", (F.col("idf") * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * F.col("dl") / F.lit(avgdl or 1.0)))).alias("weight"))
-    rows.write.parquet(f"{folder}/weights")
-    rows = index.table("weights")
-    block = F.floor(F.col(key) / BLOCK).cast("long").alias("block")
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "weight"))).alias("p")
-    blocks = rows.groupBy("term", block).agg(sorted_, F.max("weight").alias("most"))
-    blocks.select("term", "block", "most", F.col("p.id").alias("ids"), F.col("p.weight").alias("weights")).sortWithinPartitions("term", "block").write.parquet(f"{folder}/postings")
-    rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("p")).select(key, F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")).write.parquet(f"{folder}/vectors")
+    docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
+    n, length = docs.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first()
+    avgdl = length / max(n, 1)
+    if docs.groupBy(key).count().where(f"count > 1 OR {key} IS NULL").isEmpty():
+        lists = docs.select(key, tokens(F.col("text")).alias("t")).mapInArrow(_counted, LISTS)
+    else:  # rows of one key are one document
+        one = lambda c: F.array(F.col(c).cast("long"))
+        lists = R.term_counts(docs, key).select("term", F.floor(F.col(key) / RANGE).alias("range"), one(key).alias("ids"), one("tf").alias("tfs"), one("dl").alias("dls"))
+    df = F.sum(F.size("ids")).over(Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = lists.withColumn("df", df).withColumn("idf", R.idf(F.lit(n), F.col("df"))).sortWithinPartitions("term", "range")
+    rows.mapInArrow(_blocked(avgdl), BLOCKS).write.parquet(f"{folder}/postings")
     spark.createDataFrame([(n, float(avgdl))], "n_docs long, avgdl double").write.parquet(f"{folder}/stats")
     return index
 
@@ -84,7 +158,8 @@ def asked_terms(index: Index, queries: DataFrame, query_key: str) -> DataFrame:
     avgdl = index.table("stats").first().avgdl or 1.0
     counts = cut(R.query_counts(queries, query_key))
     tf = F.col("tf")
-    return index.table("terms").join(R.small(counts), "term").select(query_key, "term", (F.col("idf") * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B / F.lit(avgdl)))).alias("qw"), "df")
+    known = index.table("postings").select("term", "df", "idf").join(R.small(counts.select("term").distinct()), "term", "left_semi").distinct()
+    return known.join(R.small(counts), "term").select(query_key, "term", (F.col("idf") * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B / F.lit(avgdl)))).alias("qw"), "df")
 
 
 def bounds(index: Index, asked: DataFrame, query_key: str) -> DataFrame:
@@ -93,9 +168,13 @@ def bounds(index: Index, asked: DataFrame, query_key: str) -> DataFrame:
     return most.groupBy(query_key, "block").agg(F.sum(F.col("qw") * F.col("most")).alias("bound"))
 
 
-def _scores(index: Index, asked: DataFrame, pairs: DataFrame, query_key: str) -> DataFrame:
-    wanted = asked.join(pairs, query_key)
-    rows = index.table("postings").select("term", "block", "ids", "weights").join(R.small(wanted), ["term", "block"])
+def _scores(index: Index, asked: DataFrame, pairs: DataFrame | None, query_key: str) -> DataFrame:
+    """Of the documents in these (query, block), or in all blocks."""
+    wanted, on = (asked, ["term"]) if pairs is None else (asked.join(pairs, query_key), ["term", "block"])
+    rows = index.table("postings").select("term", "block", "ids", "weights")
+    # Other terms' blocks don't reach the shuffle that a long list of blocks takes.
+    rows = rows if pairs is None else rows.join(R.small(asked.select("term").distinct()), "term", "left_semi")
+    rows = rows.join(R.small(wanted.select(query_key, "qw", *on)), on)
     each = rows.select(query_key, "qw", F.explode(F.arrays_zip("ids", "weights")).alias("p"))
     return each.groupBy(query_key, F.col("p.ids").alias(index.key)).agg(F.round(F.sum(F.col("qw") * F.col("p.weights")), DIGITS).alias("score"))
 
@@ -116,8 +195,7 @@ def sparse_top(index: Index, queries: DataFrame, query_key: str, k: int, direct:
     """query, document, score, rank: the k best documents of each question by sums of weight products over shared terms."""
     asked = cut(asked_terms(index, queries, query_key))
     if (asked.agg(F.sum("df")).first()[0] or 0) <= direct:
-        met = index.table("weights").join(R.small(asked.select(query_key, "term", "qw")), "term")
-        scores = met.groupBy(query_key, index.key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), DIGITS).alias("score"))
+        scores = _scores(index, asked, None, query_key)
     else:
         _, scored, rest = needed(index, asked, query_key, k)
         scores = scored.unionByName(_scores(index, asked, rest, query_key))

@@ -65,3 +65,22 @@ def test_rescoring(spark):
     queries = spark.createDataFrame([(7, [0.0, 2.0])], "item long, q array<double>")
     got = R.rescored(hits.withColumnRenamed("q", "item"), vectors, queries, "item", "doc_id", 3)
     assert sorted(tuple(r) for r in got.collect()) == [(7, 2, 1, 1.0), (7, 4, 2, 0.7071), (8, 4, 2, 0.0), (8, 5, 1, 0.0)]
+
+
+def test_an_index_is_written_once_and_rows_of_one_id_are_one_document(spark, tmp_path):
+    docs, _ = corpus(spark, 100)
+    more = spark.createDataFrame([(3, "w0x rare9"), (70_000, "w0x"), (None, "w0x w0x"), (None, "w1x")], "doc_id long, text string")
+    for i, rows in enumerate((docs, docs.unionByName(more))):
+        index = X.build(rows, Folder(spark, str(tmp_path / f"i{i}")))
+        assert index.folder.names() == ["postings", "stats"]
+        n, length = rows.count(), R.term_counts(rows, "doc_id").agg(F.sum("tf")).first()[0]
+        stats = spark.createDataFrame([(n, length / n)], "n_docs long, avgdl double")
+        each = lambda df: sorted((str(r.doc_id), r.term) for r in df.collect())
+        assert each(index.table("weights")) == each(R.term_counts(rows, "doc_id"))
+        if i == 0:  # the length of a document of several rows isn't fixed
+            got = {(r.doc_id, r.term): r.weight for r in index.table("weights").collect()}
+            assert all(abs(got[r.doc_id, r.term] - r.weight) < 1e-12 for r in R.weights(R.term_counts(rows, "doc_id"), stats, "doc_id").collect())
+        for r in index.table("postings").collect():
+            assert (r.block is None) == (r.ids == [None]) and (r.block is None or {x // X.BLOCK for x in r.ids} == {r.block})
+        df = {r.term: r.n for r in R.term_counts(rows, "doc_id").groupBy("term").agg(F.count("*").alias("n")).collect()}
+        assert {r.term: r.df for r in index.table("postings").select("term", "df").distinct().collect()} == df
