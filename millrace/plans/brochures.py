@@ -35,9 +35,9 @@ def txt_noise_table(spark, sf):
     """Every text, with four lines of pages after it, less what the noise table knows."""
     added = [F.element_at(F.array(*map(F.lit, LINES)), ((F.col("doc_id") * m + i) % len(LINES) + 1).cast("int")) for i, m in enumerate((1, 3, 5, 7))]
     lines = F.split(F.concat_ws("\n", "text", *added), "\n")
-    rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.transform(lines, lambda x: X.read_line(x, ("(?!)",))).alias("read"), F.transform(lines, lambda x: X.read_line(x, T.NOISE_LINES)).alias("clean"))
-    kept = F.filter("clean", lambda x: x != "")
-    return rows.select("doc_id", F.size(F.filter("read", lambda x: x != "")).cast("long").alias("n_lines"), F.size(kept).cast("long").alias("kept"), F.md5(F.array_join(kept, "\n")).alias("digest"))
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.filter(F.transform(lines, X.plain_line), lambda x: x != "").alias("read"))
+    rows = rows.select("doc_id", F.size("read").cast("long").alias("n_lines"), F.filter("read", lambda x: ~X.is_noise(x, T.NOISE_LINES)).alias("kept"))
+    return rows.select("doc_id", "n_lines", F.size("kept").cast("long").alias("kept"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
 
 KEYS = (*(k for k, *_ in T.SPEC_RANGES), "drivetrain", "color", "drivetrain")

@@ -21,6 +21,19 @@ def test_noise_lines(spark):
     assert each(spark, [*noise, *kept], lambda t: X.read_line(t, T.NOISE_LINES)) == [""] * len(noise) + list(kept.values())
 
 
+def test_each_form_of_a_line_is_made_once(spark):
+    assert str(Q.brochure_prose(F.col("t"), ("MK 6",))).count("translate(") == 1
+    assert str(X.is_noise(X.plain_line(F.col("t")), T.NOISE_LINES)).count("nbsp") == 1
+    lines = ["plain text", " a  b ", "a\tb", "![x](y) z", "<b>k</b>", "a&amp;b", "a&nbsp;b", "a \ue123 b", "<![endif] x", "a\u00a0b", "", None, "!x [y] > ;"]
+    assert each(spark, lines, X.plain_line) == each(spark, lines, lambda t: F.btrim(_read(t)))
+
+
+def _read(t):
+    for pattern, to in X.READ:
+        t = F.regexp_replace(t, pattern, to)
+    return t
+
+
 @given(st.text("ab .;", max_size=200), st.integers(20, 60), st.integers(0, 15))
 def test_long_lines_lose_nothing(line, most, overlap):
     pieces = X.cut_line(line, most, overlap)
