@@ -76,3 +76,11 @@ def test_ampersands_without_a_reference_are_text(spark, tmp_path):
     spark.createDataFrame([(1, "<title>a&amp</title><h1>b&amp</h1><p>c &copy; &#39;d&lt;&</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = [r.text for r in plans.web_page_blocks(spark, str(tmp_path)).orderBy("seq").limit(2).collect()]
     assert got == [hashlib.md5(x.encode()).hexdigest() for x in ("b&amp", "c &copy; 'd<&")]
+
+
+def test_only_the_part_from_the_name_on_is_read(spark):
+    pages = ["<p>long</p>" * 50 + " my.obj = {a: 1};", "my.obj = {b: 2}", "xmy.obj = {c: 3}; my.obj={d: 4}", "none", "", None, "é my.obj = [5]"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1)
+    made = rows.select("i", js.from_name(F.col("html"), "my.obj").alias("part"), js.assigned_json(F.col("html"), "my.obj").alias("v")).orderBy("i").collect()
+    assert [r.v for r in made] == [js.assigned(p, "my.obj") for p in pages] and made[2].v == '{"d":4}'
+    assert made[0].part == " my.obj = {a: 1};" and made[3].part is None
