@@ -34,6 +34,8 @@ LAYOUT = 2
 DIRECT = 20_000_000
 #: Documents whose terms are counted at once, and ids of a row of the shuffle at most.
 SLICE, RANGE = 1024, 1 << 16
+#: Tokens of those documents (one document isn't cut).
+TOKENS = 1 << 20
 #: Scores are rounded to this many digits; bounds allow for that.
 DIGITS = 6
 
@@ -57,14 +59,22 @@ def _lists(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(at, len(values)), pa.int32()), pa.array(values))
 
 
+def _apart(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Of each place whether a new part begins there: parts hold less than `most` besides their last place's size."""
+    part = (np.cumsum(sizes) - sizes) // most
+    return np.r_[True, part[1:] != part[:-1]][: len(part)]
+
+
 LISTS = "term string, range long, ids array<long>, tfs array<long>, dls array<long>"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tokens) to LISTS: the documents of a slice that have a term, by RANGE of ids."""
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            b = whole.slice(at, SLICE)
+        sizes = whole.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(_apart(sizes, TOKENS) | (np.arange(len(sizes)) % SLICE == 0)).tolist()
+        for at, end in zip(cuts, [*cuts[1:], whole.num_rows]):
+            b = whole.slice(at, end - at)
             key, t = b.column(0).to_numpy(), b.column(1)
             dl, words = t.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), t.flatten().dictionary_encode()
             pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(key) + np.repeat(np.arange(len(key)), dl), return_counts=True)
@@ -80,6 +90,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCKS = "term string, block long, df long, idf double, most double, ids array<long>, weights array<double>"
 
 
+def _parts(rows: pa.Table) -> Iterator[pa.Table]:
+    """Rows in the order of term and range, some RANGE ids at a time (at most twice as many); a term's range stays whole."""
+    term, part = (rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("term", "range"))
+    begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (part[1:] != part[:-1])][: len(term)])
+    sizes = np.add.reduceat(pc.list_value_length(rows["ids"]).to_numpy().astype(np.int64), begins) if len(begins) else begins
+    cuts = begins[_apart(sizes, RANGE)].tolist()
+    for at, end in zip(cuts, [*cuts[1:], rows.num_rows]):
+        yield rows.slice(at, end - at)
+
+
 def _blocked(avgdl: float):
     """LISTS with df and idf, in the order of term and range, to BLOCKS; what may go on in the next batch waits for it."""
 
@@ -112,8 +132,8 @@ def _blocked(avgdl: float):
             going_on = pc.and_(pc.equal(rows["term"], term), pc.equal(rows["range"], part) if part.is_valid else rows["range"].is_null())
             ended = rows.num_rows - pc.sum(pc.fill_null(going_on, False)).as_py()
             left = rows.slice(ended)
-            if ended:
-                yield blocks(rows.slice(0, ended))
+            # A common term's rows are long: a batch of them has many times the ids that others have.
+            yield from map(blocks, _parts(rows.slice(0, ended)))
         if left is not None:
             yield blocks(left)
 

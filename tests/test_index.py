@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import index as X
@@ -84,3 +85,29 @@ def test_an_index_is_written_once_and_rows_of_one_id_are_one_document(spark, tmp
             assert (r.block is None) == (r.ids == [None]) and (r.block is None or {x // X.BLOCK for x in r.ids} == {r.block})
         df = {r.term: r.n for r in R.term_counts(rows, "doc_id").groupBy("term").agg(F.count("*").alias("n")).collect()}
         assert {r.term: r.df for r in index.table("postings").select("term", "df").distinct().collect()} == df
+
+
+def test_what_a_worker_makes_at_once_is_bounded(monkeypatch):
+    """However many ids a batch of a common term's rows has, and however long the texts of a slice are."""
+    monkeypatch.setattr(X, "RANGE", 64)
+    n = [*[16] * 40, *[1] * 5, *[64, 3] * 3]
+    terms = ["the"] * 40 + [f"x{i}" for i in range(5)] + ["y"] * 6
+    part = [i // 4 for i in range(40)] + [0] * 5 + [0, 1, 2, 3, 4, 5]
+    ids = [list(range(64 * p + 16 * (i % 4), 64 * p + 16 * (i % 4) + k)) if i < 40 else list(range(64 * p, 64 * p + k)) for i, (p, k) in enumerate(zip(part, n))]
+    one, nine = [[1] * k for k in n], [[9] * k for k in n]
+    rows = pa.table({"term": terms, "range": part, "ids": ids, "tfs": one, "dls": nine, "df": [5] * len(n), "idf": [0.5] * len(n)})
+    for at_once in (len(n), 7):
+        made = list(X._blocked(9.0)(iter(rows.to_batches(max_chunksize=at_once))))
+        assert max(len(b.column("ids").flatten()) for b in made) <= 128
+        got = [(r["term"], r["block"], i) for b in made for r in b.to_pylist() for i in r["ids"]]
+        assert got == [(t, i // X.BLOCK, i) for t, of in zip(terms, ids) for i in of]
+        blocks = [(t, b) for t, b, _ in got]
+        assert sum(b.num_rows for b in made) == len(set(blocks))  # a block is one row
+    sizes = []
+    monkeypatch.setattr(X, "TOKENS", 50)
+    monkeypatch.setattr(X.np, "unique", lambda x, f=X.np.unique, **k: (sizes.append(len(x)), f(x, **k))[1])
+    docs = [["a"] * 40, [], ["b", "a"], ["a", "c"] * 30, ["c"], ["d"] * 120, [], ["a"]]
+    lists = [r for b in X._counted(iter([pa.record_batch({"id": pa.array(range(8)), "t": pa.array(docs, pa.list_(pa.string()))})])) for r in b.to_pylist()]
+    assert max(sizes) <= 50 + 120 and len(sizes) > 1
+    counts = {(r["term"], i): (tf, dl) for r in lists for i, tf, dl in zip(r["ids"], r["tfs"], r["dls"])}
+    assert counts == {(t, i): (d.count(t), len(d)) for i, d in enumerate(docs) for t in d}
