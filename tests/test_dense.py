@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.operators import retrieval as R
@@ -47,3 +50,34 @@ def test_a_product_is_bounded(spark, monkeypatch):
     unit = lambda i: np.array([i % 5, 1.0]) / np.hypot(i % 5, 1) if i < 36 else -np.ones(2)
     want = [(q, i, s) for q in range(3) for s, i in [(-s, i) for s, i in sorted((-round(max(float(unit(q) @ unit(i)), 0.0), 6), i) for i in range(50) if i != q)[:4]]]
     assert held["rows"] == sorted(want)
+
+
+@pytest.mark.parametrize("same", [None, lambda asked, label: (label == asked) | (label == 0)])
+def test_a_task_holds_little_beside_its_questions(spark, same):
+    """Four thousand questions and a full batch of vectors, as large inputs give: what numpy holds at once stays small."""
+    rng, held = np.random.default_rng(2), {}
+    x, label = rng.normal(size=(10_000, 8)), rng.integers(0, 3, 10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(label), pa.array(x.tolist())], names=["vec_id", "label", "embedding"])
+    queries = spark.createDataFrame(pa.Table.from_batches([batch.slice(0, 4096)])).selectExpr("vec_id AS query_id", "label AS q_label", "embedding AS q")
+
+    class Vectors:  # runs the task here
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            tracemalloc.start()
+            held["rows"] = pa.Table.from_batches(list(f(iter([batch]))))
+            held["most"] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+
+    R._scored(Vectors(), queries, lambda *block: R._Nearest(*block, 5, same), "query_id long, vec_id long, score double")
+    assert held["most"] < 200e6
+    assert held["rows"].num_rows == 4096 * 5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = held["rows"].to_pandas().groupby("query_id")
+    for q in (0, 1023, 1024, 4095):
+        score = np.round(np.clip(unit @ unit[q], 0, 1), 6)
+        fits = [i for i in range(10_000) if i != q and (same is None or same(label[q], label[i]))]
+        assert sorted(got.get_group(q)["vec_id"]) == sorted(sorted(fits, key=lambda i: (-score[i], i))[:5])
