@@ -47,3 +47,7 @@ def test_bare_lines(spark):
         out = F.regexp_replace(out, "(?d)" + pattern, to)
     rows = spark.createDataFrame([(x,) for x in lines], "t string").select(X.bare_line(F.col("t")).alias("bare"), X.trimmed(out).alias("want"))
     assert [r.bare for r in rows.collect()] == [r.want for r in rows.collect()]
+
+
+def test_noise_lines_of_odd_texts(spark, tmp_path):
+    check(spark, tmp_path, "txt_noise_lines")
